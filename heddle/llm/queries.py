@@ -6,15 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from heddle.llm import packing
+from heddle.llm import language, packing
 from heddle.llm.common import read
 
 
+def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.held_out_query(read(spark, sf_dir, "documents"))
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_language": op1_language,
     "op2_packing": op2_packing,
 }
 
