@@ -12,6 +12,7 @@ cut by its binary expansion, so windows are always full.
 from __future__ import annotations
 
 import os
+import struct
 import zlib
 from bisect import bisect_right, insort
 from collections.abc import Iterator
@@ -49,10 +50,7 @@ def encode_texts(texts: list[str], path: str) -> list[bytes]:
     encoded once per worker.  Texts with U+001C to U+001F, which only Python takes
     for white space, are encoded whole.
     """
-    import numpy as np
-
     tokenizer, cache = _tokenizer(path), _cache.setdefault(path, {})
-    pack = lambda ids: np.array(ids, "<u4").tobytes()
     if len(cache) > CACHE_WORDS:
         cache.clear()
     odd = [any(c in t for c in "\x1c\x1d\x1e\x1f") for t in texts]
@@ -60,19 +58,33 @@ def encode_texts(texts: list[str], path: str) -> list[bytes]:
     new: set[str] = set()
     for c in chunks:
         new.update(c)
-    new.difference_update(cache)
-    fresh = list(new)
-    for at in range(0, len(fresh), 10_000):
-        part = fresh[at : at + 10_000]
-        for w, e in zip(part, tokenizer.encode_batch(part, add_special_tokens=False), strict=True):
-            cache[w] = pack(e.ids)
+    fresh = [w for w in new if w not in cache]
+    parts = [_core_and_tail(w) for w in fresh]
+    wanted = [w for w in {x for p in parts for x in p} if w not in cache]
+    for at in range(0, len(wanted), 10_000):
+        part = wanted[at : at + 10_000]
+        for w, e in zip(part, tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
+            cache[w] = _pack(e.ids)
     get = cache.__getitem__
+    cache.update((w, b"".join(map(get, p))) for w, p in zip(fresh, parts, strict=True) if len(p) > 1 or p[0] != w)
     return [
-        pack(tokenizer.encode(t, add_special_tokens=False).ids) if o else b"".join(map(get, c))
+        _pack(tokenizer.encode(t, add_special_tokens=False).ids) if o else b"".join(map(get, c))
         for t, o, c in zip(texts, odd, chunks, strict=True)
     ]
 
 
+def _pack(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
+def _core_and_tail(chunk: str) -> tuple[str, ...]:
+    """A word and its closing marks apart, which the vocabulary never joins; ASCII words in lower case."""
+    core = chunk.rstrip(".,!?;:|*&#")
+    if core != chunk and core.isalpha():
+        return (core.lower() if core.isascii() else core, chunk[len(core) :])
+    return (chunk.lower(),) if chunk.isascii() and chunk.isalpha() else (chunk,)
+
+
 class _Packer:
     """Packs one stream of documents.  Items are (length, number, start, doc_id, ids, total)."""
 
