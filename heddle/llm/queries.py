@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from heddle.llm import language, neardup, packing, secrets, toxicity
+from heddle.llm import language, neardup, packing, secrets, suffixes, toxicity
 from heddle.llm.common import read
 
 
@@ -26,6 +26,10 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.held_out_query(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op7_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.digest(suffixes.dedup_substrings(read(spark, sf_dir, "documents")))
+
+
 def op10_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(read(spark, sf_dir, "documents"), percent=85)
 
@@ -35,6 +39,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_packing": op2_packing,
     "op5_secrets": op5_secrets,
     "op6_toxicity": op6_toxicity,
+    "op7_suffixes": op7_suffixes,
     "op10_neardup": op10_neardup,
 }
 
