@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from heddle.llm import language, neardup, packing, secrets, suffixes, toxicity
+from heddle.llm import knn, language, neardup, packing, secrets, suffixes, toxicity
 from heddle.llm.common import read
 
 
@@ -18,6 +18,11 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"))
 
 
+def op3_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = read(spark, sf_dir, "embeddings")
+    return knn.top_k(vectors, vectors.where("vec_id % 50 = 0"))
+
+
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.spans(read(spark, sf_dir, "documents")))
 
@@ -37,6 +42,7 @@ def op10_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language": op1_language,
     "op2_packing": op2_packing,
+    "op3_knn": op3_knn,
     "op5_secrets": op5_secrets,
     "op6_toxicity": op6_toxicity,
     "op7_suffixes": op7_suffixes,
@@ -44,5 +50,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op3_knn": knn.SQL,
     "op5_secrets": secrets.SQL,
 }
