@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from heddle.llm import knn, language, neardup, packing, secrets, suffixes, toxicity
+from heddle.llm import knn, language, neardup, packing, secrets, sentences, suffixes, toxicity
 from heddle.llm.common import read
 
 
@@ -23,6 +23,10 @@ def op3_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return knn.top_k(vectors, vectors.where("vec_id % 50 = 0"))
 
 
+def op4_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentences.dedup_spans(read(spark, sf_dir, "documents"))
+
+
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.spans(read(spark, sf_dir, "documents")))
 
@@ -43,6 +47,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language": op1_language,
     "op2_packing": op2_packing,
     "op3_knn": op3_knn,
+    "op4_sentences": op4_sentences,
     "op5_secrets": op5_secrets,
     "op6_toxicity": op6_toxicity,
     "op7_suffixes": op7_suffixes,
