@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from heddle.llm import decontaminate, knn, language, neardup, packing, secrets, sentences, suffixes, toxicity
+from heddle.llm import decontaminate, knn, language, lm, neardup, packing, secrets, sentences, suffixes, toxicity
 from heddle.llm.common import read
 
 
@@ -39,6 +39,10 @@ def op7_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.digest(suffixes.dedup_substrings(read(spark, sf_dir, "documents")))
 
 
+def op8_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.held_out_query(read(spark, sf_dir, "documents"))
+
+
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
@@ -55,6 +59,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_secrets": op5_secrets,
     "op6_toxicity": op6_toxicity,
     "op7_suffixes": op7_suffixes,
+    "op8_lm": op8_lm,
     "op9_decontaminate": op9_decontaminate,
     "op10_neardup": op10_neardup,
 }
