@@ -1,10 +1,6 @@
-"""The registered queries over the reference's operators, with their SQL."""
+"""All registered queries over the grouped-sample operators."""
 
-from __future__ import annotations
+from heddle.plans import audits, lengths, models, pooling, ranking, splits, tables, tensors
+from heddle.plans.registry import ORACLE_SQL, QUERIES
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+__all__ = ["ORACLE_SQL", "QUERIES", "audits", "lengths", "models", "pooling", "ranking", "splits", "tables", "tensors"]

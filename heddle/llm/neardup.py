@@ -2,9 +2,9 @@
 
 Equal shingle sets are one node.  Each tree of the forest sorts the nodes by its own part of the signature
 with a range partitioning; runs that share a prefix are leaves, cut deeper where they
-are crowded, so the depth follows the region.  A leaf gives a spanning forest of its pairs that look
-alike; confirmed ones join into components; then leaves that still hold several components give
-the remaining pairs across them.  No leaf is larger than a fixed number of nodes and a long run is read in
+are crowded, so the depth follows the region.  Leaves of the first trees give spanning forests of their pairs
+that look alike; confirmed ones join into components; then leaves of all trees that hold several
+components give all pairs across them.  No leaf is larger than a fixed number of nodes and a long run is read in
 overlapping stretches, so nothing is dropped and no task holds a whole group.
 """
 
@@ -20,6 +20,8 @@ from heddle.llm.common import ascii_word_bytes, batch_of, ddl, stored
 from heddle.llm.graph import components
 
 TREES, DEPTH, SHARED = 16, 6, 3
+#: Trees whose spanning forests are confirmed first; the others then only add pairs across components.
+FIRST_TREES = 4
 HASHES = TREES * DEPTH
 LEAF = 128
 #: What an estimate may lie below the threshold for a pair to be confirmed; over four standard errors.
@@ -47,7 +49,7 @@ def shingles(text: str | None, k: int) -> np.ndarray:
     try:
         w = np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
     except KeyError:
-        _words.update((x, xxhash.xxh3_64_intdigest(x)) for x in set(words).difference(_words.keys()))
+        _words.update([(x, xxhash.xxh3_64_intdigest(x)) for x in set(words) if x not in _words])
         w = np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
     n = min(k, len(w))
     h = np.full(len(w) - n + 1, n, np.uint64)
@@ -100,7 +102,7 @@ def signature_table(docs: DataFrame, *, id_col: str, text_col: str, k: int) -> D
 
 
 def _leaves(nodes: DataFrame) -> DataFrame:
-    """Leaves of every tree: (leaf, node, sketch)."""
+    """Leaves of every tree: (leaf, tree, node, sketch)."""
     rows_schema = ddl("tree int, key binary, sketch binary, node long")
 
     def rows(batches):
@@ -112,7 +114,7 @@ def _leaves(nodes: DataFrame) -> DataFrame:
                 out += [(t, sig[4 * DEPTH * t : 4 * DEPTH * (t + 1)], sketch, node) for t in range(TREES)]
             yield batch_of(out, rows_schema)
 
-    leaf_schema = ddl("leaf long, node long, sketch binary")
+    leaf_schema = ddl("leaf long, tree int, node long, sketch binary")
 
     def walk(batches):
         from pyspark import TaskContext
@@ -122,7 +124,7 @@ def _leaves(nodes: DataFrame) -> DataFrame:
         def emit(part: list[tuple]) -> None:
             nonlocal number
             for at in range(0, max(1, len(part) - LEAF // 2), LEAF // 2) if len(part) > LEAF else [0]:
-                out.extend((number, r[3], r[2]) for r in part[at : at + LEAF])
+                out.extend((number, r[0], r[3], r[2]) for r in part[at : at + LEAF])
                 number += 1
 
         def cut(part: list[tuple], depth: int) -> None:
@@ -172,32 +174,44 @@ def _pairs(leaves: DataFrame, least: float, *, across: bool) -> DataFrame:
     """
     schema = ddl("a long, b long")
 
-    def solve(table):
-        import pyarrow as pa
+    def solve(nodes: list, roots: list, sketches: list, found: list) -> None:
+        if len(set(roots)) < 2:
+            return
+        s = _similar(sketches)
+        i, j = np.nonzero(np.triu(s >= least, 1))
+        order = np.argsort(-s[i, j], kind="stable")
+        above = {r: r for r in roots}
+
+        def top(x):
+            while above[x] != x:
+                above[x] = above[above[x]]
+                x = above[x]
+            return x
+
+        for x, y in zip(i[order].tolist(), j[order].tolist(), strict=True):
+            p, q = top(roots[x]), top(roots[y])
+            if p != q:
+                found.append((min(nodes[x], nodes[y]), max(nodes[x], nodes[y])))
+                if not across:
+                    above[p] = q
 
-        nodes, roots = table["node"].to_pylist(), table["root"].to_pylist()
-        found: list[tuple] = []
-        if len(set(roots)) > 1:
-            s = _similar(table["sketch"].to_pylist())
-            i, j = np.nonzero(np.triu(s >= least, 1))
-            order = np.argsort(-s[i, j], kind="stable")
-            above = {r: r for r in roots}
-
-            def top(x):
-                while above[x] != x:
-                    above[x] = above[above[x]]
-                    x = above[x]
-                return x
-
-            for x, y in zip(i[order].tolist(), j[order].tolist(), strict=True):
-                p, q = top(roots[x]), top(roots[y])
-                if p != q:
-                    found.append((min(nodes[x], nodes[y]), max(nodes[x], nodes[y])))
-                    if not across:
-                        above[p] = q
-        return pa.Table.from_batches([batch_of(found, schema)])
-
-    return leaves.groupBy("leaf").applyInArrow(solve, schema).where("a <> b").distinct()
+    def task(batches):
+        leaf, held = None, ([], [], [])
+        for b in batches:
+            found: list[tuple] = []
+            for at, *row in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if at != leaf:
+                    solve(*held, found)
+                    leaf, held = at, ([], [], [])
+                for part, x in zip(held, row, strict=True):
+                    part.append(x)
+            yield batch_of(found, schema)
+        found = []
+        solve(*held, found)
+        yield batch_of(found, schema)
+
+    rows = leaves.select("leaf", "node", "root", "sketch").repartition("leaf").sortWithinPartitions("leaf")
+    return rows.mapInArrow(task, schema).where("a <> b").distinct()
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -261,7 +275,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     least = percent / 100 - SLACK
     leaves = stored(_leaves(nodes), name="leaves")
     sets = stored(_sets(texts, leaves.select("node").distinct(), k), name="sets")
-    pairs = _pairs(leaves.withColumn("root", F.col("node")), least, across=False)
+    pairs = _pairs(leaves.where(F.col("tree") < FIRST_TREES).withColumn("root", F.col("node")), least, across=False)
     links = stored(_confirmed(pairs, sets, percent), name="links")
     roots = components(links)
     known = leaves.join(roots, "node", "left").select("leaf", "node", "sketch", F.coalesce("root", "node").alias("root"))

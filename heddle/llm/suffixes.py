@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 from heddle.llm.common import batch_of, ddl, stored
 
 GRAM, RANGE = 8, 16
+#: Rows that a task hands on at a time.
+BATCH = 5_000
 _CHUNK = 1 << 20
 _C1, _C2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 _POS = np.uint64((1 << 24) - 1)
@@ -96,8 +98,10 @@ def _zone_table(docs: DataFrame, length: int) -> DataFrame:
                         hull = digest(part[lo : hi + length], seed=((a - lo) << 32) + hi - lo)
                         base = bounds[o][0] - shift
                         rows.append((ids[first + o], hashes[first + o], lo - base, hi - base, a - base, _signed(core), _signed(hull)))
-                    for i in range(0, len(rows), 20_000):
-                        yield batch_of(rows[i : i + 20_000], schema)
+                        if len(rows) == BATCH:
+                            yield batch_of(rows, schema)
+                            rows = []
+                    yield batch_of(rows, schema)
 
     return docs.select("d", "h", "text").mapInArrow(task, schema)
 
@@ -163,6 +167,9 @@ def _ranges(pieces: DataFrame, length: int) -> DataFrame:
                     hull = digest(data[low - z : top - z + length], seed=(a - low) << 32 | (a - top))
                     rows.append((d, h, z, low, top, a, _signed(core), _signed(hull)))
                     top = low - 1
+                if len(rows) >= BATCH:
+                    yield batch_of(rows, schema)
+                    rows = []
             yield batch_of(rows, schema)
 
     return pieces.mapInArrow(task, schema)
@@ -183,8 +190,10 @@ def _windows(pieces: DataFrame, ranges: DataFrame, length: int) -> DataFrame:
                     for s in range(r["lo"], r["hi"] + 1):
                         x = xxhash.xxh3_128_intdigest(data[s - z : s - z + length])
                         rows.append((d, h, s, _signed(x >> 64), _signed(x & ((1 << 64) - 1))))
-            for i in range(0, len(rows), 20_000):
-                yield batch_of(rows[i : i + 20_000], schema)
+                if len(rows) >= BATCH:
+                    yield batch_of(rows, schema)
+                    rows = []
+            yield batch_of(rows, schema)
 
     return pieces.join(wanted, ["d", "h", "z"]).select("d", "h", "z", "data", "ranges").mapInArrow(task, schema)
 

@@ -65,6 +65,9 @@ class Automaton:
         self.known: dict[frozenset, int] = {}
         self.sets: list[frozenset] = []
         self.moves: list[dict[str, int]] = []
+        #: What a word that ends in the state is; STEM holds whatever follows.
+        self.found: list[int | None] = []
+        self.dead = self._state(set())
         self.start = self._state({(0, 0, "")})
 
     def _state(self, found: set[tuple[int, int, str]]) -> int:
@@ -82,6 +85,9 @@ class Automaton:
             self.known[key] = len(self.sets)
             self.sets.append(key)
             self.moves.append({})
+            errors = min((e for n, e, w in key if not w and e <= self.ends.get(n, -1)), default=None)
+            stem = any(n in self.stem_ends and e == 0 and not w for n, e, w in key)
+            self.found.append(STEM if stem else None if errors is None else MISSPELLED if errors else TERM)
         return self.known[key]
 
     def _move(self, state: int, c: str) -> int:
@@ -102,16 +108,13 @@ class Automaton:
 
     def match(self, word: str) -> int | None:
         """TERM, STEM or MISSPELLED (a term), or None."""
-        state = self.start
+        state, moves, found, dead = self.start, self.moves, self.found, self.dead
         for c in word:
-            to = self.moves[state].get(c)
+            to = moves[state].get(c)
             state = self._move(state, c) if to is None else to
-            if not self.sets[state]:
-                return None
-            if self.stem_ends and any(n in self.stem_ends and e == 0 and not w for n, e, w in self.sets[state]):
-                return STEM
-        errors = min((e for n, e, w in self.sets[state] if not w and e <= self.ends.get(n, -1)), default=None)
-        return None if errors is None else MISSPELLED if errors else TERM
+            if state == dead or found[state] == STEM:
+                break
+        return found[state]
 
 
 @dataclass
@@ -123,34 +126,46 @@ class Lexicon:
     spared: frozenset[str] = frozenset()
     _automaton: Automaton | None = field(default=None, repr=False)
     _codes: dict[str, tuple] = field(default_factory=dict, repr=False)
+    _seen: set[str] = field(default_factory=set, repr=False)
+    _hits: set[str] = field(default_factory=set, repr=False)
 
     def match(self, word: str) -> int | None:
         if self._automaton is None:
             self._automaton = Automaton(self.terms, self.stems)
         return None if word in self.spared else self._automaton.match(word)
 
-    def code(self, chunk: str) -> tuple[int, int, int, int, int]:
-        """Of a white-space-delimited chunk: terms, stems, misspelled terms, quotes (1 opens, 2 closes, 3 both), address."""
-        found = self._codes.get(chunk)
-        if found is None:
-            words = TOKEN.findall(chunk)
-            hits = [self.match(w) for w in words]
-            opens = chunk[0] in OPENING + EITHER
-            closes = any(c in CLOSING + EITHER for c in chunk[1:])
-            found = (*(hits.count(k) for k in (TERM, STEM, MISSPELLED)), opens + 2 * closes, int(any(w in ADDRESS for w in words)))
-            if len(self._codes) > CACHE_WORDS:
-                self._codes.clear()
-            self._codes[chunk] = _PLAIN if found == _PLAIN else found
-        return found
+    def _read(self, chunk: str) -> None:
+        """Keeps the code of a white-space-delimited chunk that isn't plain: terms, stems,
+        misspelled terms, quotes (1 opens, 2 closes, 3 both), address."""
+        words = [chunk] if chunk.isalnum() else TOKEN.findall(chunk)
+        hits = [h for w in words if (h := self.match(w)) is not None]
+        opens = chunk[0] in OPENING + EITHER
+        closes = any(c in CLOSING + EITHER for c in chunk[1:]) if len(words) != 1 or words[0] != chunk else False
+        address = any(w in ADDRESS for w in words)
+        if hits or opens or closes or address:
+            self._codes[chunk] = (*(hits.count(k) for k in (TERM, STEM, MISSPELLED)), opens + 2 * closes, int(address))
+        if hits:
+            self._hits.add(chunk)
 
     def features(self, text: str | None) -> list[float]:
         """Counts of hits outside quotations, of quoted ones, of direct ones, and how dense they are."""
         chunks = text.lower().split() if text else []
-        get = self._codes.get
-        codes = [get(c) or self.code(c) for c in chunks]
-        at = [i for i, c in enumerate(codes) if c is not _PLAIN and any(c[:3])]
-        if not at:
-            return [0.0] * FEATURES
+        distinct = set(chunks)
+        for c in distinct - self._seen:
+            self._read(c)
+        self._seen |= distinct
+        if distinct.isdisjoint(self._hits):
+            found = None
+        else:
+            codes = [self._codes.get(c, _PLAIN) for c in chunks]
+            found = self._weigh(codes)
+        if len(self._seen) > CACHE_WORDS:
+            for kept in (self._seen, self._hits, self._codes):
+                kept.clear()
+        return found or [0.0] * FEATURES
+
+    def _weigh(self, codes: list[tuple]) -> list[float]:
+        at = [i for i, c in enumerate(codes) if any(c[:3])]
         quoted, inside = set(), False
         for i, c in enumerate(codes):
             inside = inside or bool(c[3] & 1)
@@ -168,7 +183,7 @@ class Lexicon:
                 left += 1
             dense = max(dense, right - left + 1)
         logs = [float(np.log1p(v)) for v in (terms, stems, misspelled, cited, near, dense)]
-        share = 100 * (terms + stems + misspelled) / (len(chunks) + 20)
+        share = 100 * (terms + stems + misspelled) / (len(codes) + 20)
         return [float(terms > 0), logs[0], float(stems > 0), logs[1], *logs[2:], share]
 
 
@@ -214,7 +229,8 @@ def fit(
     """Learns terms and weights from about ``rows_per_class`` labelled documents of each class.
 
     The rows are those with the smallest hashes of their ids, each distinct text once.  One half
-    of them gives the terms and the spared words, the other the weights.  With no labelled rows the
+    of them gives the terms and the spared words, the other the weights.  Their ids are
+    broadcast: there are about twice ``rows_per_class`` of them at any size.  With no labelled rows the
     terms are ``SEED_TERMS`` and the weights fixed.
     """
     known = labels.where(F.col(label_col).isin(0, 1)).groupBy(id_col).agg(F.max(label_col).cast("int").alias("y"))
@@ -227,7 +243,7 @@ def fit(
     sample = (
         docs.select(F.col(id_col), F.col(text_col).alias("text"))
         .where("text is not null")
-        .join(picked, id_col)
+        .join(F.broadcast(picked), id_col)
         .groupBy(F.xxhash64("text").alias("h"))
         .agg(F.first("text").alias("text"), F.max("y").alias("y"))
         .select("text", "y", F.pmod("h", F.lit(2)).cast("int").alias("half"))

@@ -1 +1 @@
-"""plans."""
+"""The registered queries over the operators, with their SQL."""

@@ -1 +1 @@
-"""streaming."""
+"""Running versions of grouped summaries, for token streams."""
