@@ -24,8 +24,10 @@ TREES, DEPTH, SHARED = 16, 6, 3
 FIRST_TREES = 4
 HASHES = TREES * DEPTH
 LEAF = 128
-#: What an estimate may lie below the threshold for a pair to be confirmed; over four standard errors.
-SLACK = 0.16
+#: Bins of the sketch by which pairs of a leaf are compared.
+BINS = 512
+#: What an estimate may lie below the threshold for a pair to be confirmed; over four standard errors of BINS bins.
+SLACK = 0.075
 CACHE_WORDS = 1_000_000
 _words: dict[bytes, int] = {}
 _M = np.random.default_rng(20_240_101).integers(1 << 62, size=(2, HASHES), dtype=np.uint64) | np.uint64(1)
@@ -102,7 +104,7 @@ def signature_table(docs: DataFrame, *, id_col: str, text_col: str, k: int) -> D
 
 
 def _leaves(nodes: DataFrame) -> DataFrame:
-    """Leaves of every tree: (leaf, tree, node, sketch)."""
+    """Leaves of every tree: (leaf, tree, node)."""
     rows_schema = ddl("tree int, key binary, sketch binary, node long")
 
     def rows(batches):
@@ -114,7 +116,7 @@ def _leaves(nodes: DataFrame) -> DataFrame:
                 out += [(t, sig[4 * DEPTH * t : 4 * DEPTH * (t + 1)], sketch, node) for t in range(TREES)]
             yield batch_of(out, rows_schema)
 
-    leaf_schema = ddl("leaf long, tree int, node long, sketch binary")
+    leaf_schema = ddl("leaf long, tree int, node long")
 
     def walk(batches):
         from pyspark import TaskContext
@@ -124,7 +126,7 @@ def _leaves(nodes: DataFrame) -> DataFrame:
         def emit(part: list[tuple]) -> None:
             nonlocal number
             for at in range(0, max(1, len(part) - LEAF // 2), LEAF // 2) if len(part) > LEAF else [0]:
-                out.extend((number, r[0], r[3], r[2]) for r in part[at : at + LEAF])
+                out.extend((number, r[0], r[3]) for r in part[at : at + LEAF])
                 number += 1
 
         def cut(part: list[tuple], depth: int) -> None:
@@ -159,12 +161,20 @@ def _leaves(nodes: DataFrame) -> DataFrame:
     return spread.repartitionByRange("tree", "key", "sketch").sortWithinPartitions("tree", "key", "sketch", "node").mapInArrow(walk, leaf_schema)
 
 
+def _bins(s: np.ndarray) -> bytes:
+    """A byte for each of BINS equal ranges of hashes, from the set's smallest one there; 0 where it has none."""
+    first = np.searchsorted(s, np.arange(BINS, dtype=np.uint64) << np.uint64(64 - BINS.bit_length() + 1))
+    full = first < np.append(first[1:], len(s))
+    code = np.uint64(1) + s[np.minimum(first, len(s) - 1)] % np.uint64(255)
+    return np.where(full, code, np.uint64(0)).astype(np.uint8).tobytes()
+
+
 def _similar(sketches: list[bytes]) -> np.ndarray:
-    """Estimated similarities of all pairs of a leaf, freed of chance agreement."""
-    packed = np.frombuffer(b"".join(sketches), np.uint8).reshape(len(sketches), -1)
-    low = np.concatenate([packed >> 4, packed & 15], axis=1)
-    same = np.stack([(low == row).mean(1) for row in low])
-    return (same - 1 / 16) / (15 / 16)
+    """Estimated similarities of all pairs of a leaf: equal bins among those that either set fills."""
+    code = np.frombuffer(b"".join(sketches), np.uint8).reshape(len(sketches), -1)
+    full = code > 0
+    same = np.stack([((code == row) & full).sum(1) for row in code])
+    return same / np.stack([(full | row).sum(1) for row in full])
 
 
 def _pairs(leaves: DataFrame, least: float, *, across: bool) -> DataFrame:
@@ -245,15 +255,16 @@ def _unpack(b: bytes) -> np.ndarray:
 
 
 def _sets(docs: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
-    """Full sets of the given nodes."""
-    schema = ddl("node long, items binary")
+    """Full sets of the given nodes, and their sketches."""
+    schema = ddl("node long, items binary, sketch binary")
 
     def task(batches):
         for b in batches:
             ids = b.column(0).to_pylist()
             for at in range(0, len(ids), 200):
                 texts = b.column(1).slice(at, 200).to_pylist()
-                yield batch_of([(d, _pack(shingles(t, k))) for d, t in zip(ids[at : at + 200], texts, strict=True)], schema)
+                found = [(d, shingles(t, k)) for d, t in zip(ids[at : at + 200], texts, strict=True)]
+                yield batch_of([(d, _pack(x), _bins(x)) for d, x in found], schema)
 
     return docs.join(nodes, docs["doc_id"] == nodes["node"], "left_semi").mapInArrow(task, schema)
 
@@ -275,6 +286,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     least = percent / 100 - SLACK
     leaves = stored(_leaves(nodes), name="leaves")
     sets = stored(_sets(texts, leaves.select("node").distinct(), k), name="sets")
+    leaves = leaves.join(sets.select("node", "sketch"), "node")
     pairs = _pairs(leaves.where(F.col("tree") < FIRST_TREES).withColumn("root", F.col("node")), least, across=False)
     links = stored(_confirmed(pairs, sets, percent), name="links")
     roots = components(links)
