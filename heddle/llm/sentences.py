@@ -12,6 +12,7 @@ import re
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -49,28 +50,28 @@ def units(text: str) -> list[str]:
         if len(piece) <= 2 * LONG or len(words := WORD.findall(piece)) <= LONG:
             out.append(piece)
             continue
-        part, n = [], 0
-        if (lead := len(piece) - len(piece.lstrip())) > 0:
-            part.append(piece[:lead])
+        n, start, here = 0, 0, len(piece) - len(piece.lstrip())
         for w in words:
-            part.append(w)
+            here += len(w)
             n += 1
-            if n >= MOST or n >= LEAST and _cuts_after(w):
-                out.append("".join(part))
-                part, n = [], 0
-        if part:
-            out.append("".join(part))
+            if n >= LEAST and (n >= MOST or _cuts_after(w)):
+                out.append(piece[start:here])
+                n, start = 0, here
+        if n:
+            out.append(piece[start:])
     return out
 
 
-def runs(pieces: list[str]) -> list[tuple[int, int, int]]:
+def runs(pieces: list[str]) -> list[tuple[int, int, bytes]]:
     """(first unit, unit after the last, hash) of the shortest run from every unit that has both minima."""
     import xxhash
 
-    words = [p.lower().split() for p in pieces]
-    full = [i for i, w in enumerate(words) if w]
-    joined = [" ".join(words[i]) for i in full]
-    sizes = [len(words[i]) for i in full]
+    full, joined, sizes = [], [], []
+    for i, p in enumerate(pieces):
+        if w := p.lower().split():
+            full.append(i)
+            joined.append(" ".join(w))
+            sizes.append(len(w))
     out, end, total = [], 0, 0
     for first in range(len(full)):
         while end < len(full) and (end - first < SENTENCES or total < WORDS):
@@ -78,28 +79,42 @@ def runs(pieces: list[str]) -> list[tuple[int, int, int]]:
             end += 1
         if end - first < SENTENCES or total < WORDS:
             break
-        out.append((full[first], full[end - 1] + 1, xxhash.xxh3_128_intdigest(" \n".join(joined[first:end]))))
+        out.append((full[first], full[end - 1] + 1, xxhash.xxh3_128_digest(" \n".join(joined[first:end]))))
         total -= sizes[first]
     return out
 
 
-def _halves(x: int) -> tuple[int, int]:
-    return (x >> 64) - (1 << 63), (x & 0xFFFFFFFF) - (1 << 31)
+def _halves(digests: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """96 bits of each hash, as a long and an int."""
+    parts = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2)
+    return parts[:, 0], (parts[:, 1] >> 32).astype(np.int32)
 
 
 def _run_table(docs: DataFrame) -> DataFrame:
-    """(s, c, d): the distinct runs of every document by 96 bits of hash."""
-    schema = ddl("s long, c int, d long")
+    """(s, c, d, many): the distinct runs of every document, and whether they stand there more than once."""
+    schema = ddl("s long, c int, d long, many boolean")
 
     def task(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        names = [f.name for f in schema]
+
+        def batch(found: list[bytes], owners: list[int], many: list[bool]):
+            return pa.RecordBatch.from_arrays([*map(pa.array, _halves(found)), pa.array(owners, pa.int64()), pa.array(many, pa.bool_())], names=names)
+
         for b in batches:
-            rows: list[tuple] = []
+            found, owners, many = [], [], []
             for d, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                rows += [(*_halves(x), d) for x in {r[2] for r in runs(units(text.as_py() or ""))}]
-                if len(rows) > 20_000:
-                    yield batch_of(rows, schema)
-                    rows = []
-            yield batch_of(rows, schema)
+                times: dict[bytes, bool] = {}
+                for _, _, x in runs(units(text.as_py() or "")):
+                    times[x] = x in times
+                found += times
+                owners += [d] * len(times)
+                many += times.values()
+                if len(found) > 20_000:
+                    yield batch(found, owners, many)
+                    found, owners, many = [], [], []
+            yield batch(found, owners, many)
 
     return docs.select("d", "text").mapInArrow(task, schema)
 
@@ -114,7 +129,8 @@ def dedup_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     """
     texts = docs.select(F.col(id_col), F.coalesce(F.col(id_col).cast("long"), F.lit(-1)).alias("d"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     table = stored(_run_table(texts), name="runs")
-    shared = table.groupBy("s", "c").agg(F.min("d").alias("first"), F.max("d").alias("last")).where("first < last").drop("last")
+    groups = table.groupBy("s", "c").agg(F.min("d").alias("first"), F.max("d").alias("last"), F.bool_or("many").alias("many"))
+    shared = groups.where("first < last or many").select("s", "c", "first")
     shared = stored(shared, name="shared-runs")
     met = table.join(shared, ["s", "c"]).select("d", "s", "c", (F.col("d") > F.col("first")).alias("later"))
     lists = stored(met.groupBy("d").agg(F.collect_list(F.struct("s", "c", "later")).alias("runs")), name="run-lists")
@@ -126,23 +142,29 @@ def dedup_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
         for b in batches:
             rows = []
             for doc_id, text, found in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist(), strict=True):
-                pieces = units(text.as_py())
-                known = {(r["s"], r["c"]): r["later"] for r in found or ()}
+                text = text.as_py()
+                pieces = units(text)
+                if not found:
+                    rows.append((doc_id, len(pieces), 0, 0, "", hashlib.sha256(text.encode()).hexdigest(), text))
+                    continue
+                known = {(r["s"], r["c"]): r["later"] for r in found}
                 repeated, gone, seen = [False] * len(pieces), [False] * len(pieces), set()
-                for first, end, x in runs(pieces):
-                    again = x in seen
-                    seen.add(x)
-                    key = _halves(x)
-                    if again or key in known:
-                        for i in range(first, end):
-                            repeated[i] = True
-                            gone[i] = gone[i] or again or known.get(key, False)
+                all_runs = runs(pieces)
+                keys = zip(*(x.tolist() for x in _halves([r[2] for r in all_runs])), strict=True)
+                for (first, end, _), key in zip(all_runs, keys, strict=True):
+                    if (later := known.get(key)) is None:
+                        continue
+                    later = later or key in seen
+                    seen.add(key)
+                    for i in range(first, end):
+                        repeated[i] = True
+                        gone[i] = gone[i] or later
                 kept = "".join(p for p, g in zip(pieces, gone, strict=True) if not g)
                 starts = [i for i, g in enumerate(gone) if g and not (i and gone[i - 1])]
                 ends = [i + 1 for i, g in enumerate(gone) if g and not (i + 1 < len(gone) and gone[i + 1])]
                 removed = ",".join(f"{s}-{e}" for s, e in zip(starts, ends, strict=True))
                 rows.append((doc_id, len(pieces), sum(repeated), sum(gone), removed, hashlib.sha256(kept.encode()).hexdigest(), kept))
-                if len(rows) == 200:
+                if len(rows) >= 200:
                     yield batch_of(rows, schema)
                     rows = []
             yield batch_of(rows, schema)
