@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from heddle.functions import ranks
+
 
 def _auroc(counts: DataFrame, keys: list[str]) -> DataFrame:
     """Numerator and denominator from n1 and n0 by (keys, score)."""
@@ -24,7 +26,10 @@ def _by_score(rows: DataFrame, keys: list[str], weight: Column | None = None) ->
 
 def auroc(rows: DataFrame, keys: list[str]) -> DataFrame:
     """Chance that a positive outscores a negative, ties half; null where a class is missing."""
-    return _auroc(_by_score(rows, keys), keys).select(*keys, (F.col("won") / F.when(F.col("pairs") > 0, F.col("pairs"))).alias("auroc"))
+    counts, bin_ = ranks.by_range(_by_score(rows, keys), "score")
+    placed = ranks.running_total(counts, keys, "score", bin_, F.col("n0"), "below")
+    parts = placed.groupBy(*keys).agg(F.sum(F.col("n1") * (F.col("below") + F.col("n0") / 2)).alias("won"), (F.sum("n1") * F.sum("n0")).alias("pairs"))
+    return parts.select(*keys, (F.col("won") / F.when(F.col("pairs") > 0, F.col("pairs"))).alias("auroc"))
 
 
 def within_prompt(rows: DataFrame, keys: list[str]) -> DataFrame:
@@ -35,9 +40,9 @@ def within_prompt(rows: DataFrame, keys: list[str]) -> DataFrame:
 
 def draws(prompts: DataFrame, reps: int, seed: int) -> DataFrame:
     """(rep, prompt_id, k): how often a prompt is drawn when as many as there are get drawn by hash with replacement."""
-    listed = prompts.select("prompt_id").distinct().withColumn("i", F.row_number().over(Window.orderBy("prompt_id")) - 1)
+    listed = ranks.value_rank(prompts.select("prompt_id").distinct(), "prompt_id").select("prompt_id", (F.col("rank") - 1).alias("i"))
     size = listed.agg(F.count("*").alias("size"))
-    slots = listed.select(F.col("i").alias("slot")).crossJoin(size).select(F.explode(F.sequence(F.lit(0), F.lit(reps - 1))).alias("rep"), "slot", "size")
+    slots = listed.select(F.col("i").alias("slot")).join(F.broadcast(size)).select(F.explode(F.sequence(F.lit(0), F.lit(reps - 1))).alias("rep"), "slot", "size")
     text = F.concat_ws(":", F.lit(seed), F.col("rep"), F.col("slot"))
     drawn = slots.select("rep", (F.conv(F.substring(F.sha2(text, 256), 1, 8), 16, 10).cast("long") % F.col("size")).alias("i"))
     return drawn.groupBy("rep", "i").agg(F.count("*").alias("k")).join(listed, "i").select("rep", "prompt_id", "k")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from heddle.functions import ranks
+
 
 def hashed(seed: int, *ids: str) -> Column:
     return F.sha2(F.concat_ws(":", F.lit(seed), *ids), 256)
@@ -19,8 +21,7 @@ def by_question(prompts: DataFrame, *, share: float = 0.75, seed: int = 42) -> D
     """The first ``share`` of the known prompts in hash order train; other known and all unknown prompts validate."""
     known = prompts.where("is_known")
     n = known.agg(F.count("*").alias("n"))
-    rank = F.row_number().over(Window.orderBy(hashed(seed, "prompt_id")))
-    train = known.withColumn("rank", rank).crossJoin(n).where(F.col("rank") <= F.floor(share * F.col("n"))).select("prompt_id", F.lit("train").alias("part"))
+    train = ranks.hash_rank(known, hashed(seed, "prompt_id")).join(F.broadcast(n)).where(F.col("rank") <= F.floor(share * F.col("n"))).select("prompt_id", F.lit("train").alias("part"))
     return prompts.join(train, "prompt_id", "left").select("prompt_id", "is_known", F.coalesce("part", F.lit("valid")).alias("part"))
 
 
@@ -28,8 +29,7 @@ def by_answer(rows: DataFrame, *, share: float = 0.75, seed: int = 42) -> DataFr
     """The same over the answers of known prompts, which lets a prompt stand on both sides."""
     known = rows.join(known_prompts(rows).where("is_known"), "prompt_id", "left_semi")
     n = known.agg(F.count("*").alias("n"))
-    rank = F.row_number().over(Window.orderBy(hashed(seed, "beam_id")))
-    train = known.withColumn("rank", rank).crossJoin(n).where(F.col("rank") <= F.floor(share * F.col("n"))).select("beam_id", F.lit("train").alias("part"))
+    train = ranks.hash_rank(known, hashed(seed, "beam_id")).join(F.broadcast(n)).where(F.col("rank") <= F.floor(share * F.col("n"))).select("beam_id", F.lit("train").alias("part"))
     return rows.join(train, "beam_id", "left").select("beam_id", "prompt_id", F.coalesce("part", F.lit("valid")).alias("part"))
 
 
@@ -42,8 +42,9 @@ def stratified(rows: DataFrame, label: str, *, share: float = 0.8, seed: int = 4
 
 def folds(rows: DataFrame, k: int = 5, *, seed: int | None = None) -> DataFrame:
     """Prompts dealt to k folds in turn, in order of id or of hash."""
-    order = F.col("prompt_id") if seed is None else hashed(seed, "prompt_id")
-    return rows.select("prompt_id").distinct().withColumn("fold", ((F.row_number().over(Window.orderBy(order)) - 1) % k).cast("int"))
+    prompts = rows.select("prompt_id").distinct()
+    placed = ranks.value_rank(prompts, "prompt_id") if seed is None else ranks.hash_rank(prompts, hashed(seed, "prompt_id"))
+    return placed.select("prompt_id", ((F.col("rank") - 1) % k).cast("int").alias("fold"))
 
 
 def audit(split: DataFrame, prompts: DataFrame) -> DataFrame:

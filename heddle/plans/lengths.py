@@ -1,9 +1,8 @@
 """Queries on token sequences, windows and texts."""
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from heddle.functions import columns
+from heddle.functions import columns, ranks
 from heddle.operators import audits, pooling
 from heddle.plans.registry import query
 from heddle.sources import views
@@ -64,7 +63,8 @@ def window_verdict(spark, sf):
 @query("SELECT beam_id, n, CAST(sum(n) OVER (ORDER BY beam_id) - n AS BIGINT) AS first FROM (SELECT beam_id, count(*) AS n FROM tokens GROUP BY beam_id)")
 def csr_offsets(spark, sf):
     n = views.tokens(spark, sf).groupBy("beam_id").agg(F.count("*").alias("n"))
-    return n.withColumn("first", F.sum("n").over(Window.orderBy("beam_id")) - F.col("n"))
+    rows, bin_ = ranks.by_range(n, "beam_id")
+    return ranks.running_total(rows, [], "beam_id", bin_, F.col("n"), "first")
 
 
 @query("SELECT t.beam_id, pos, t.y FROM tokens t WHERE beam_id IN (SELECT beam_id FROM tokens GROUP BY beam_id HAVING count(*) > 60)")

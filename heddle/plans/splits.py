@@ -15,6 +15,10 @@ def _rows(spark, sf):
     return views.beams(spark, sf).drop("x")
 
 
+def split_answer_rows(spark, sf):
+    return splits.by_answer(_rows(spark, sf))
+
+
 @query(f"WITH {_KNOWN} SELECT prompt_id, is_known FROM known")
 def is_known(spark, sf):
     return splits.known_prompts(_rows(spark, sf))
@@ -27,7 +31,7 @@ def split_question(spark, sf):
 
 @query(f"WITH {_ANSWER} SELECT beam_id, prompt_id, part FROM answer")
 def split_answer(spark, sf):
-    return splits.by_answer(_rows(spark, sf))
+    return split_answer_rows(spark, sf)
 
 
 @query(
