@@ -4,8 +4,9 @@ Equal shingle sets are one node.  Each tree of the forest sorts the nodes by its
 with a range partitioning; runs that share a prefix are leaves, cut deeper where they
 are crowded, so the depth follows the region.  Leaves of the first trees give spanning forests of their pairs
 that look alike; confirmed ones join into components; then leaves of all trees that hold several
-components give all pairs across them.  No leaf is larger than a fixed number of nodes and a long run is read in
-overlapping stretches, so nothing is dropped and no task holds a whole group.
+components give all pairs across them.  No leaf is larger than a fixed number of nodes; a run that had to be cut
+is then compared whole, every node with all those of other components, in cells of two bounded blocks of
+nodes, so nothing is dropped and no task holds a whole group.
 """
 
 from __future__ import annotations
@@ -28,6 +29,8 @@ LEAF = 128
 BINS = 512
 #: What an estimate may lie below the threshold for a pair to be confirmed; over four standard errors of BINS bins.
 SLACK = 0.075
+#: Nodes, and shingles of them, in a block of a run that is compared whole; a task holds two blocks.
+BLOCK_NODES, BLOCK_SHINGLES = 4_096, 2_000_000
 CACHE_WORDS = 1_000_000
 _words: dict[bytes, int] = {}
 _M = np.random.default_rng(20_240_101).integers(1 << 62, size=(2, HASHES), dtype=np.uint64) | np.uint64(1)
@@ -104,7 +107,7 @@ def signature_table(docs: DataFrame, *, id_col: str, text_col: str, k: int) -> D
 
 
 def _leaves(nodes: DataFrame) -> DataFrame:
-    """Leaves of every tree: (leaf, tree, node)."""
+    """Leaves of every tree, (leaf, tree, node), and the nodes of runs that were cut or may go on in another task, (run, tree, node)."""
     rows_schema = ddl("tree int, key binary, sketch binary, node long")
 
     def rows(batches):
@@ -116,19 +119,26 @@ def _leaves(nodes: DataFrame) -> DataFrame:
                 out += [(t, sig[4 * DEPTH * t : 4 * DEPTH * (t + 1)], sketch, node) for t in range(TREES)]
             yield batch_of(out, rows_schema)
 
-    leaf_schema = ddl("leaf long, tree int, node long")
+    leaf_schema = ddl("leaf long, tree int, node long, run long")
 
     def walk(batches):
+        import xxhash
         from pyspark import TaskContext
 
         number, run, out = TaskContext.get().partitionId() << 36, [], []
+        open_ended = True  # whether the run has rows outside ``run``, as the first and the last of a task may have
 
         def emit(part: list[tuple]) -> None:
             nonlocal number
             for at in range(0, max(1, len(part) - LEAF // 2), LEAF // 2) if len(part) > LEAF else [0]:
-                out.extend((number, r[0], r[3]) for r in part[at : at + LEAF])
+                out.extend((number, r[0], r[3], None) for r in part[at : at + LEAF])
                 number += 1
 
+        def whole(part: list[tuple]) -> None:
+            if part:
+                key = xxhash.xxh3_64_intdigest(bytes([part[0][0]]) + part[0][1][: 4 * SHARED]) - (1 << 63)
+                out.extend((None, r[0], r[3], key) for r in part)
+
         def cut(part: list[tuple], depth: int) -> None:
             if len(part) <= LEAF or depth == DEPTH:
                 if len(part) > 1:
@@ -146,15 +156,19 @@ def _leaves(nodes: DataFrame) -> DataFrame:
             for r in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if run and (r[0] != run[-1][0] or r[1][: 4 * SHARED] != run[-1][1][: 4 * SHARED]):
                     cut(run, SHARED)
-                    run = []
+                    if open_ended or len(run) > LEAF:
+                        whole(run)
+                    run, open_ended = [], False
                 elif len(run) >= 4096:
                     cut(run, SHARED)
-                    run = run[-LEAF:]
+                    whole(run[:-LEAF])
+                    run, open_ended = run[-LEAF:], True
                 run.append(r)
             if len(out) > 5_000:
                 yield batch_of(out, leaf_schema)
                 out = []
         cut(run, SHARED)
+        whole(run)
         yield batch_of(out, leaf_schema)
 
     spread = nodes.select("node", "sig").mapInArrow(rows, rows_schema)
@@ -224,6 +238,81 @@ def _pairs(leaves: DataFrame, least: float, *, across: bool) -> DataFrame:
     return rows.mapInArrow(task, schema).where("a <> b").distinct()
 
 
+def _cells(runs: DataFrame) -> DataFrame:
+    """(cell, inner, left, node, root): cells that hold all pairs of a run's nodes (run, node, root, size) from different components.
+
+    The nodes of a run's largest component are the right side, which isn't compared with itself.  Both sides are dealt
+    into blocks; a cell is a block of the left side and any other block, and compares the left block with itself where ``inner``.
+    """
+    each = runs.groupBy("run", "root").agg(F.count("*").alias("n"), F.sum("size").alias("size"))
+    both = each.groupBy("run").agg(F.max(F.struct("n", "root", "size")).alias("most"), F.sum("n").alias("n"), F.sum("size").alias("size")).where("most.n < n")
+    blocks = lambda n, size: F.ceil(F.greatest(n / BLOCK_NODES, size / BLOCK_SHINGLES)).cast("int")
+    dealt = both.select("run", F.col("most.root").alias("main"), blocks(F.col("n") - F.col("most.n"), F.col("size") - F.col("most.size")).alias("lefts"), blocks(F.col("most.n"), F.col("most.size")).alias("rights"))
+    placed = runs.join(dealt, "run").withColumn("left", F.col("root") != F.col("main"))
+    spot = F.xxhash64("node")
+    placed = placed.withColumn("own", F.when(F.col("left"), F.pmod(spot, F.col("lefts"))).otherwise(F.col("lefts") + F.pmod(spot, F.col("rights"))).cast("int"))
+    last = F.when(F.col("left"), F.col("lefts") + F.col("rights")).otherwise(F.col("lefts")) - 1
+    met = placed.withColumn("other", F.explode(F.sequence(F.lit(0), last))).where("other <> own")
+    first, second = F.least("own", "other"), F.greatest("own", "other")
+    return met.select(F.xxhash64("run", first, second).alias("cell"), (second == F.col("lefts")).alias("inner"), (F.col("own") == first).alias("left"), "node", "root")
+
+
+def _across(runs: DataFrame, sets: DataFrame, least: float, percent: int) -> DataFrame:
+    """Confirmed pairs that join components within runs: a spanning forest of each cell's."""
+    schema = ddl("a long, b long")
+
+    def solve(inner: list, left: list, nodes: list, roots: list, sketches: list, items: list, found: list) -> None:
+        if len(set(roots)) < 2:
+            return
+        code = np.frombuffer(b"".join(sketches), np.uint8).reshape(len(nodes), -1)
+        bits = np.packbits(code > 0, axis=1).view(np.uint64)
+        filled = np.bitwise_count(bits).sum(1, dtype=np.int64)
+        group = np.unique(roots, return_inverse=True)[1]
+        side = np.array(left)
+        for i in np.flatnonzero(side).tolist():
+            other = group != group[i]
+            if inner[i]:
+                other[:i] &= ~side[:i]  # an earlier one of the left side has met this one
+            else:
+                other &= ~side
+            at = np.flatnonzero(other)
+            if not len(at):
+                continue
+            same = np.ascontiguousarray(code[at] == code[i]).view(np.uint64).sum(1).view(np.uint8).reshape(len(at), -1).sum(1, dtype=np.int64)
+            shared = np.bitwise_count(bits[at] & bits[i]).sum(1, dtype=np.int64)
+            union = filled[at] + filled[i] - shared
+            estimate = (same - (BINS - union)) / union
+            near = np.flatnonzero(estimate >= least)
+            for j in at[near[np.argsort(-estimate[near], kind="stable")]].tolist():
+                if group[j] != group[i] and _linked(items[i], items[j], percent):
+                    found.append((min(nodes[i], nodes[j]), max(nodes[i], nodes[j])))
+                    group[group == group[j]] = group[i]
+
+    def task(batches):
+        cell, held = None, ([], [], [], [], [], [])
+        for b in batches:
+            found: list[tuple] = []
+            for at, *row in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if at != cell:
+                    solve(*held, found)
+                    cell, held = at, ([], [], [], [], [], [])
+                for part, x in zip(held, row, strict=True):
+                    part.append(x)
+            yield batch_of(found, schema)
+        found = []
+        solve(*held, found)
+        yield batch_of(found, schema)
+
+    rows = _cells(runs).join(sets, "node").select("cell", "inner", "left", "node", "root", "sketch", "items")
+    return rows.repartition("cell").sortWithinPartitions("cell").mapInArrow(task, schema).distinct()
+
+
+def _linked(x: bytes, y: bytes, percent: int) -> bool:
+    one, two = _unpack(x), _unpack(y)
+    common = len(np.intersect1d(one, two, assume_unique=True))
+    return 100 * common >= percent * (len(one) + len(two) - common)
+
+
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs whose full sets have 100 * intersection >= percent * union."""
     schema = ddl("a long, b long")
@@ -232,9 +321,7 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         for batch in batches:
             out = []
             for a, b, x, y in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                one, two = _unpack(x), _unpack(y)
-                common = len(np.intersect1d(one, two, assume_unique=True))
-                if 100 * common >= percent * (len(one) + len(two) - common):
+                if _linked(x, y, percent):
                     out.append((a, b))
             yield batch_of(out, schema)
 
@@ -281,19 +368,27 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     table = stored(signature_table(texts, id_col="doc_id", text_col="text", k=k), name="signatures")
     linked = table.where("s1 is not null and doc_id is not null")
-    nodes = linked.groupBy("s1", "s2").agg(F.min("doc_id").alias("node"), F.first("sig").alias("sig"))
+    nodes = linked.groupBy("s1", "s2").agg(F.min("doc_id").alias("node"), F.first("sig").alias("sig"), F.first("n_shingles").alias("size"))
     nodes = stored(nodes, name="nodes")
     least = percent / 100 - SLACK
     leaves = stored(_leaves(nodes), name="leaves")
     sets = stored(_sets(texts, leaves.select("node").distinct(), k), name="sets")
-    leaves = leaves.join(sets.select("node", "sketch"), "node")
+    crowded = leaves.where("run is not null").select("run", "tree", "node")
+    leaves = leaves.where("leaf is not null").join(sets.select("node", "sketch"), "node")
     pairs = _pairs(leaves.where(F.col("tree") < FIRST_TREES).withColumn("root", F.col("node")), least, across=False)
     links = stored(_confirmed(pairs, sets, percent), name="links")
     roots = components(links)
     known = leaves.join(roots, "node", "left").select("leaf", "node", "sketch", F.coalesce("root", "node").alias("root"))
     more = stored(_confirmed(_pairs(known, least, across=True), sets, percent), name="links")
     if not more.isEmpty():
-        roots = components(links.union(more))
+        links = links.union(more)
+        roots = components(links)
+    for trees in (F.col("tree") < FIRST_TREES, F.col("tree") >= FIRST_TREES):
+        runs = crowded.where(trees).join(roots, "node", "left").join(nodes.select("node", "size"), "node")
+        more = stored(_across(runs.select("run", "node", F.coalesce("root", "node").alias("root"), "size"), sets, least, percent), name="links")
+        if not more.isEmpty():
+            links = links.union(more)
+            roots = components(links)
     by_set = nodes.join(roots, "node", "left").select("s1", "s2", F.coalesce("root", "node").alias("root"))
     out = table.select("doc_id", "n_shingles", "s1", "s2").join(by_set, ["s1", "s2"], "left")
     root = F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "doc_id"))

@@ -2,6 +2,8 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
+
 from heddle.llm import neardup
 from heddle.llm.graph import components
 
@@ -58,6 +60,26 @@ def test_chains_and_a_large_group(spark):
     check(spark, docs, 80)
 
 
+def test_a_hub_of_variants_that_are_not_linked_to_one_another(spark):
+    rng = random.Random(11)
+    hub = [f"h{i}" for i in range(200)]
+    docs, held = [(7, " ".join(hub))], np.ones((5000, 196), np.float32)  # which shingles of the hub a variant has
+    for i in range(5000):
+        own = list(hub)
+        for part in range(3):
+            at = 4 + part * 66 + rng.randrange(60)
+            own[at] = f"v{i}x{part}"
+            held[i, at - 4 : at + 1] = 0
+        docs.append((1000 + i, " ".join(own)))
+    kept = held.sum(1)
+    common = held @ held.T
+    linked = common >= 0.8 * (2 * 196 - common)
+    assert (kept >= 0.85 * (2 * 196 - kept)).all() and linked.sum() < 0.2 * linked.size
+    df = spark.createDataFrame([(d, t, "x", 1) for d, t in docs], SCHEMA)
+    got = {r.doc_id: r.component_id for r in neardup.near_duplicates(df, percent=85).collect()}
+    assert len(got) == 5001 and set(got.values()) == {7}
+
+
 def test_odd_rows(spark):
     rows = [(1, None), (2, ""), (3, " \n"), (4, "one two"), (5, "ONE\ttwo"), (6, "one  two"), (None, "one two"), (5, "ONE\ttwo"), (7, "a\x1cb c d"), (8, "z " * 50_000), (9, "z " * 40_000)]
     df = spark.createDataFrame([(d, t, "x", 1) for d, t in rows], SCHEMA)
