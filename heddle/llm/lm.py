@@ -27,8 +27,8 @@ from heddle.llm.common import ascii_word_bytes, batch_of, ddl, fold, stored
 CONTEXT, DIMS, CLASSES, NOISE = 3, 16, 64, 8
 #: Words with a symbol, symbols of endings, words whose counts are broadcast, words remembered by a worker.
 TOP, ENDINGS, HEAD, CACHE_WORDS = 4_000, 1_024, 200_000, 600_000
-#: Documents from which classes are made, neighbours that tell symbols apart, training rounds, and one position in STRIDE is trained on.
-SAMPLE_DOCS, NEIGHBOURS, ROUNDS, STRIDE = 3_000, 128, 2, 8
+#: Neighbours that tell symbols apart, and training rounds, which share out all positions.
+NEIGHBOURS, ROUNDS = 128, 2
 END = b" "  # no word holds a space
 PAD = TOP + ENDINGS
 SYMBOLS = PAD + 1
@@ -165,14 +165,18 @@ def train(p: Parameters, contexts: np.ndarray, classes: np.ndarray, noise: np.nd
         g = (-odds * times).astype(np.float32)
         g[rows, y] += 1 - odds[rows, y]
         dh = g @ p.q
-        dr = np.zeros_like(p.r)
+        met, place = np.unique(x, return_inverse=True)  # the other symbols don't move
+        place, dr = place.reshape(x.shape), np.zeros((len(met), DIMS), np.float32)
         for i in range(CONTEXT):
-            np.add.at(dr, x[:, i], dh @ p.c[i].T)
-        moves = {"r": dr, "c": np.stack([r[:, i].T @ dh for i in range(CONTEXT)]), "q": g.T @ h, "b": g.sum(0)}
+            np.add.at(dr, place[:, i], dh @ p.c[i].T)
+        moves = {"c": np.stack([r[:, i].T @ dh for i in range(CONTEXT)]), "q": g.T @ h, "b": g.sum(0)}
         for name, d in moves.items():
             past = state.setdefault(name, np.full_like(d, 1e-2))
             past += d * d
             getattr(p, name)[...] += rate * d / np.sqrt(past)
+        past = state.setdefault("r", np.full_like(p.r, 1e-2))
+        past[met] += dr * dr
+        p.r[met] += rate * dr / np.sqrt(past[met])
         seen += np.bincount(x.ravel(), minlength=SYMBOLS)
 
 
@@ -201,24 +205,34 @@ def _counts(texts: DataFrame) -> DataFrame:
     return texts.select("text").mapInArrow(task, schema).groupBy("key", "ending").agg(F.sum("n").alias("n"))
 
 
-def _classes(sample: DataFrame) -> np.ndarray:
-    """A class for every symbol, by k-means over the neighbours that it has in the sample."""
+def targets(n: int, number: int) -> np.ndarray:
+    """Which of ``n`` positions the round predicts; the rounds predict each once."""
+    return np.arange(number, n, ROUNDS)
+
+
+def _classes(read: DataFrame) -> np.ndarray:
+    """A class for every symbol, by k-means over the neighbours that it has in the training texts."""
     schema = ddl("symbol int, near int, n long")
 
     def task(batches):
-        seen = np.zeros((SYMBOLS, NEIGHBOURS + 1), np.int64)
+        width = NEIGHBOURS + 1
+        seen = np.zeros(SYMBOLS * width, np.int64)
         for b in batches:
             for at in range(0, b.num_rows, 200):
                 s, x, _ = contexts_of(b.column(0).slice(at, 200).to_pylist())
                 for i in range(2):
                     ok = x[:, i] != PAD
-                    np.add.at(seen, (s[ok], np.minimum(x[ok, i], NEIGHBOURS)), 1)
-                    np.add.at(seen, (x[ok, i], np.minimum(s[ok], NEIGHBOURS)), 1)
-        yield batch_of([(int(i), int(j), int(seen[i, j])) for i, j in zip(*np.nonzero(seen), strict=True)], schema)
+                    one, two = s[ok], x[ok, i]
+                    np.add.at(seen, one * width + np.minimum(two, NEIGHBOURS), 1)
+                    np.add.at(seen, two * width + np.minimum(one, NEIGHBOURS), 1)
+        full = np.flatnonzero(seen)
+        for at in range(0, len(full), 20_000):
+            part = full[at : at + 20_000]
+            yield batch_of(list(zip((part // width).tolist(), (part % width).tolist(), seen[part].tolist(), strict=True)), schema)
 
     seen = np.zeros((SYMBOLS, NEIGHBOURS + 1))
-    for r in sample.mapInArrow(task, schema).groupBy("symbol", "near").agg(F.sum("n").alias("n")).collect():  # at most symbols times neighbours
-        seen[r.symbol, r.near] = r.n
+    rows = read.mapInArrow(task, schema).groupBy("symbol", "near").agg(F.sum("n").alias("n")).toArrow()  # at most symbols times neighbours
+    seen[rows["symbol"].to_numpy(), rows["near"].to_numpy()] = rows["n"].to_numpy()
     size = seen.sum(1)
     x = np.sqrt(seen / np.maximum(size, 1)[:, None])
     rng, weight = np.random.default_rng(3), np.sqrt(size) + 1e-6
@@ -250,7 +264,7 @@ def _trained(read: DataFrame, classes: np.ndarray, prior: np.ndarray) -> Paramet
             for b in batches:
                 for at in range(0, b.num_rows, 500):
                     s, x, _ = contexts_of(b.column(0).slice(at, 500).to_pylist())
-                    pick = np.arange(number * STRIDE // ROUNDS, len(s), STRIDE)
+                    pick = targets(len(s), number)
                     train(p, x[pick], classes[s[pick]], prior, rng, seen, state)
             total = float(seen.sum())
             if total:
@@ -344,8 +358,7 @@ def learn(model: Model, encoded: DataFrame) -> None:
     if not model.tokens:
         return
     read = encoded.where("train").select("symbols")
-    share = min(1.0, SAMPLE_DOCS / max(1, read.count()))
-    model.classes = _classes(read.where(F.pmod(F.xxhash64("symbols"), F.lit(1 << 30)) < share * (1 << 30)))
+    model.classes = _classes(read)
     sums = np.bincount(model.classes, model.times, minlength=CLASSES)
     each = np.bincount(model.classes, minlength=CLASSES)
     model.share = np.log10((model.times + 0.5) / (sums + 0.5 * each)[model.classes])

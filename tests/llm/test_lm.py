@@ -51,6 +51,20 @@ def test_probabilities_sum_to_one(spark):
     assert np.allclose(shares[np.bincount(model.classes, minlength=lm.CLASSES) > 0], 1)
 
 
+def test_every_position_is_a_target_once():
+    for n in (0, 1, 7, 1000):
+        assert np.array_equal(np.sort(np.concatenate([lm.targets(n, r) for r in range(lm.ROUNDS)])), np.arange(n))
+
+
+def test_classes_come_from_all_documents(spark):
+    texts = [f"f{i % 50} f{i % 47} f{i % 43}" for i in range(6000)] + [f"f1 rare{i} f2" for i in range(40)]
+    docs = spark.createDataFrame([(i, t, "", 1) for i, t in enumerate(texts)], SCHEMA)
+    model, _ = lm.fit(docs)
+    keys = [lm.key_of(f"rare{i}".encode()) for i in range(40)]
+    symbols = model.head_symbol[np.searchsorted(model.head, keys)]
+    assert len(set(symbols.tolist())) == 40 and len(set(model.classes[symbols].tolist())) == 1  # the same company
+
+
 def test_gradient_is_that_of_the_objective():
     rng = np.random.default_rng(0)
     p = lm.Parameters.start(np.full(lm.CLASSES, 1 / lm.CLASSES))
