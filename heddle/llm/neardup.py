@@ -353,7 +353,8 @@ def _sets(docs: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
                 found = [(d, shingles(t, k)) for d, t in zip(ids[at : at + 200], texts, strict=True)]
                 yield batch_of([(d, _pack(x), _bins(x)) for d, x in found], schema)
 
-    return docs.join(nodes, docs["doc_id"] == nodes["node"], "left_semi").mapInArrow(task, schema)
+    # a sort-merge join at every size: nodes grow with the corpus, so they are never broadcast
+    return docs.join(nodes.hint("merge"), docs["doc_id"] == nodes["node"], "left_semi").mapInArrow(task, schema)
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
@@ -375,11 +376,12 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     sets = stored(_sets(texts, leaves.select("node").distinct(), k), name="sets")
     crowded = leaves.where("run is not null").select("run", "tree", "node")
     leaves = leaves.where("leaf is not null").join(sets.select("node", "sketch"), "node")
-    pairs = _pairs(leaves.where(F.col("tree") < FIRST_TREES).withColumn("root", F.col("node")), least, across=False)
-    links = stored(_confirmed(pairs, sets, percent), name="links")
+    tried = stored(_pairs(leaves.where(F.col("tree") < FIRST_TREES).withColumn("root", F.col("node")), least, across=False), name="pairs")
+    links = stored(_confirmed(tried, sets, percent), name="links")
     roots = components(links)
     known = leaves.join(roots, "node", "left").select("leaf", "node", "sketch", F.coalesce("root", "node").alias("root"))
-    more = stored(_confirmed(_pairs(known, least, across=True), sets, percent), name="links")
+    untried = _pairs(known, least, across=True).join(tried, ["a", "b"], "left_anti")  # pairs that were refuted stay so
+    more = stored(_confirmed(untried, sets, percent), name="links")
     if not more.isEmpty():
         links = links.union(more)
         roots = components(links)
