@@ -120,8 +120,11 @@ def _split(data: bytes, bounds: list[tuple[int, int]], length: int) -> Iterator[
 
 def _refine(rows: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
     """Rows (d, h, z, lo, hi, a, core, hull): those in groups of equal hulls, and one of each group
-    of those cores that still hold several groups."""
-    cores = rows.groupBy("core").agg(F.count("*").alias("n")).where("n > 1").select("core")
+    of those cores that still hold several groups.
+
+    Repeated cores are stored before the rows are joined to them, so Spark can split a core that many rows share.
+    """
+    cores = stored(rows.groupBy("core").agg(F.count("*").alias("n")).where("n > 1").select("core"), name=name)
     held = stored(rows.join(cores, "core"), name=name)
     groups = stored(
         held.groupBy("core", "hull").agg(F.count("*").alias("n"), F.min(F.struct("d", "h", "z", "lo", "hi", "a")).alias("one")), name=name
