@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import os
 import struct
+import unicodedata
 import zlib
 from bisect import bisect_right, insort
 from collections.abc import Iterator
@@ -78,10 +79,17 @@ def _pack(ids: list[int]) -> bytes:
 
 
 def _core_and_tail(chunk: str) -> tuple[str, ...]:
-    """A word and its closing marks apart, which the vocabulary never joins; ASCII words in lower case."""
+    """A word and its closing marks apart, which the vocabulary never joins; ASCII words in lower case.
+
+    The vocabulary composes and lower-cases first and then parts letters from marks, so a word counts only where it is
+    letters alone after that too: \u0130 becomes a letter and a mark, and marks join each other.
+    """
     core = chunk.rstrip(".,!?;:|*&#")
     if core != chunk and core.isalpha():
-        return (core.lower() if core.isascii() else core, chunk[len(core) :])
+        if core.isascii():
+            return (core.lower(), chunk[len(core) :])
+        if unicodedata.normalize("NFC", core).lower().isalpha():
+            return (core, chunk[len(core) :])
     return (chunk.lower(),) if chunk.isascii() and chunk.isalpha() else (chunk,)
 
 

@@ -61,3 +61,19 @@ def test_empty_null_and_repeated_rows(spark):
     assert sum(r.length for r in got) == 9
     with pytest.raises(ValueError):
         packing.pack(df, tiers=(100,))
+
+
+def test_ids_of_odd_words_are_the_tokenizer_s():
+    import random
+
+    from tokenizers import Tokenizer
+
+    rng, path = random.Random(5), packing.default_tokenizer_path()
+    letters = "abzABZİıéÉßΣσẞñŉǅक़שׁKÅ中あ가กำم"
+    others = ".,!?;:|*&#'\"()<>=-_/@09²½̸́̇ͅ‍  ᲀ\u001c  \n"
+    texts = ["BELGESİ.", "RESMİ!", "Eİ,", "İ.", "ΟΔΟΣ. ΟΔΟΣ", "क़."]
+    texts += ["".join(rng.choice(letters if rng.random() < 0.7 else others) for _ in range(rng.randint(1, 14))) for _ in range(20_000)]
+    t = Tokenizer.from_file(path)
+    want = [struct.pack(f"<{len(e.ids)}I", *e.ids) for e in t.encode_batch(texts, add_special_tokens=False)]
+    got = packing.encode_texts(texts, path)
+    assert [x for x, a, b in zip(texts, got, want, strict=True) if a != b] == []
