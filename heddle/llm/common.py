@@ -18,6 +18,14 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def free_name(columns: list[str], stem: str) -> str:
+    """``stem``, with underscores after it until no column has that name in any case."""
+    taken = {c.lower() for c in columns}
+    while stem.lower() in taken:
+        stem += "_"
+    return stem
+
+
 def fold(doc_id: str = "doc_id", folds: int = 5) -> Column:
     """crc32 of the id as text, modulo ``folds``; a null id counts as empty text."""
     return (F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit(""))) % folds).cast("int")

@@ -2,8 +2,8 @@
 
 Patterns give candidate spans.  Strong kinds are always reported.  Weak ones (an identifier, a
 token of mixed characters, an endpoint) are reported only where the complementary parts of a credential
-stand within ``SCOPE`` characters: an interval join of the candidates of a document, written
-as a range window, so pairs are never formed.
+stand within ``SCOPE`` characters and share none with them: an interval join of the candidates of a document, written
+as range windows, so pairs are never formed.  An identifier and a secret link each other; an endpoint is linked by both.
 """
 
 from __future__ import annotations
@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from heddle.llm.common import free_name
+
 SCOPE = 256
 
 
@@ -67,13 +69,21 @@ def spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sc
     rows = rows.repartition("_row").select("_row", "_id", "c.*").withColumn("end", end).withColumn("start", F.col("end") - F.col("len"))
     part = F.element_at(F.create_map(*[F.lit(x) for k, v in KINDS.items() for x in (ORDER[k], v[3])]), F.coalesce(F.col("kind"), F.lit(0)))
     good = F.col("good") & F.col("kind").isNotNull()
-    around = Window.partitionBy("_row").orderBy("start").rangeBetween(-scope, scope)
-    has = {p: F.max(F.when(good & (part == p), True).otherwise(False)).over(around) for p in ("identifier", "secret")}
-    rows = rows.withColumn("near_identifier", has["identifier"]).withColumn("near_secret", has["secret"])
+    before, after = (Window.partitionBy("_row").orderBy("start").rangeBetween(*x) for x in ((-scope, 0), (0, scope)))
+
+    def near(wanted: Column) -> Column:
+        """Whether one of the wanted spans begins within the scope and shares no character with the row's."""
+        ends_first = F.min(F.when(wanted, F.col("end"))).over(before) <= F.col("start")
+        begins_last = F.max(F.when(wanted, F.col("start"))).over(after) >= F.col("end")
+        return F.coalesce(ends_first, F.lit(False)) | F.coalesce(begins_last, F.lit(False))
+
+    partner = F.when(part == "identifier", near(good & (part == "secret"))).when(part == "secret", near(good & (part == "identifier")))
+    rows = rows.withColumn("linked", F.coalesce(partner & good, F.lit(False)))
+    both = near(F.col("linked") & (part == "identifier")) & near(F.col("linked") & (part == "secret"))
+    rows = rows.withColumn("linked", F.col("linked") | ((part == "endpoint") & both))
     strong = F.col("kind").isin(*[ORDER[k] for k, v in KINDS.items() if v[4]])
-    linked = ((part != "secret") | F.col("near_identifier")) & ((part == "secret") | F.col("near_secret")) & ((part != "endpoint") | F.col("near_identifier"))
     names = F.create_map(*[F.lit(x) for k in KINDS for x in (ORDER[k], k)])
-    span = F.when(good & (strong | linked), F.struct("start", F.col("kind").alias("order"), "end", F.element_at(names, F.coalesce(F.col("kind"), F.lit(0))).alias("kind"), strong.alias("strong")))
+    span = F.when(good & (strong | F.col("linked")), F.struct("start", F.col("kind").alias("order"), "end", F.element_at(names, F.coalesce(F.col("kind"), F.lit(0))).alias("kind"), strong.alias("strong")))
     return rows.groupBy("_row").agg(F.first("_id", ignorenulls=True).alias(id_col), F.array_sort(F.collect_list(span)).alias("spans")).drop("_row")
 
 
@@ -91,12 +101,18 @@ def digest(found: DataFrame, *, id_col: str = "doc_id") -> DataFrame:
 
 
 def redact(docs: DataFrame, *, mark: str = "[secret]") -> DataFrame:
-    """The documents with every reported span replaced by ``mark``; n_chars follows the text."""
-    key = (F.col("doc_id"), F.xxhash64("text"))
-    found = spans(docs.select(F.struct(*key).alias("_key"), "text"), id_col="_key").where(F.size("spans") > 0)
-    found = found.groupBy("_key").agg(F.first("spans").alias("_spans"))
-    rows = docs.withColumn("_key", F.struct(*key))
-    rows = rows.join(found, rows["_key"].eqNullSafe(found["_key"]), "left").drop("_key")
+    """The documents with every reported span replaced by ``mark``; n_chars follows the text.
+
+    Overlapping spans share a mark.  A null text stays null and a text without spans as it is, however long.  Repeated
+    rows stay and are treated alike, rows with a null id by their text; an empty table gives an empty one; other
+    columns stay as they are, whatever their names.
+    """
+    key, found_as = free_name(docs.columns, "_key"), free_name(docs.columns, "_found")
+    of = F.struct(F.col("doc_id"), F.xxhash64("text"))
+    found = spans(docs.select(of.alias(key), "text"), id_col=key).where(F.size("spans") > 0)
+    found = found.groupBy(key).agg(F.first("spans").alias(found_as))
+    rows = docs.withColumn(key, of)
+    rows = rows.join(found, rows[key].eqNullSafe(found[key]), "left").drop(key)
     start = F.struct(F.lit("").alias("text"), F.lit(0).cast("long").alias("to"))
 
     def put(a: Column, s: Column) -> Column:
@@ -104,11 +120,11 @@ def redact(docs: DataFrame, *, mark: str = "[secret]") -> DataFrame:
         new = F.when(s["end"] <= a["to"], a["text"]).when(s["start"] < a["to"], a["text"]).otherwise(F.concat(a["text"], kept, F.lit(mark)))
         return F.struct(new.alias("text"), F.greatest(a["to"], s["end"]).alias("to"))
 
-    done = F.aggregate(F.col("_spans"), start, put, lambda a: F.concat(a["text"], F.substring(F.col("text"), (a["to"] + 1).cast("int"), F.lit(2**31 - 1))))
-    text = F.when(F.col("_spans").isNull(), F.col("text")).otherwise(done)
+    done = F.aggregate(F.col(found_as), start, put, lambda a: F.concat(a["text"], F.substring(F.col("text"), (a["to"] + 1).cast("int"), F.lit(2**31 - 1))))
+    text = F.when(F.col(found_as).isNull(), F.col("text")).otherwise(done)
     out = rows.withColumn("text", text)
     if "n_chars" in docs.columns:
-        length = F.when(F.col("_spans").isNull(), F.col("n_chars")).otherwise(F.length("text"))
+        length = F.when(F.col(found_as).isNull(), F.col("n_chars")).otherwise(F.length("text"))
         out = out.withColumn("n_chars", length.cast(docs.schema["n_chars"].dataType))
     return out.select(*docs.columns)
 
@@ -122,14 +138,21 @@ def _sql() -> str:
 FROM (SELECT r, unnest(regexp_extract_all(t, {p}, 0)) AS m, unnest(regexp_extract_all(t, {p}, {group})) AS v,
   unnest(string_split_regex(t, {p})[1:-2]) AS g, unnest(range(len(regexp_extract_all(t, {p}, 0)))) AS pos FROM d)"""
 
-    part = lambda p: "o IN (" + ", ".join(str(ORDER[k]) for k, v in KINDS.items() if v[3] == p) + ")"
+    part = lambda p, t="s": f"{t}.o IN (" + ", ".join(str(ORDER[k]) for k, v in KINDS.items() if v[3] == p) + ")"
+    apart = f'abs(y.start - x.start) <= {SCOPE} AND (y."end" <= x.start OR y.start >= x."end")'
     return f"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
 c AS ({" UNION ALL ".join(one(k) for k in KINDS)}),
 p AS (SELECT *, sum(step) OVER (PARTITION BY r, o ORDER BY pos) AS "end" FROM c),
 s AS (SELECT *, "end" - len AS start FROM p WHERE good),
-n AS (SELECT *, bool_or({part("identifier")}) OVER w AS ident, bool_or({part("secret")}) OVER w AS secret
-  FROM s WINDOW w AS (PARTITION BY r ORDER BY start RANGE BETWEEN {SCOPE} PRECEDING AND {SCOPE} FOLLOWING)),
-k AS (SELECT r, o, start, CAST(start AS BIGINT) || ':' || CAST("end" AS BIGINT) AS x, kind FROM n WHERE o < 3 OR CASE WHEN {part("secret")} THEN ident WHEN {part("endpoint")} THEN ident AND secret ELSE secret END),
+m AS (SELECT *, row_number() OVER () AS i FROM s WHERE {part("identifier")} OR {part("secret")}),
+l AS (SELECT DISTINCT x.i FROM m x JOIN m y ON x.r = y.r AND ({part("identifier", "x")}) <> ({part("identifier", "y")}) WHERE {apart}),
+t AS (SELECT m.* FROM m JOIN l USING (i)),
+u AS (SELECT r, start, "end" FROM s WHERE {part("endpoint")}),
+p2 AS (SELECT DISTINCT x.r, x.start FROM u x JOIN t y ON x.r = y.r WHERE {part("identifier", "y")} AND {apart}
+  INTERSECT SELECT DISTINCT x.r, x.start FROM u x JOIN t y ON x.r = y.r WHERE {part("secret", "y")} AND {apart}),
+w AS (SELECT r, o, start, "end", kind FROM s WHERE o < 3 UNION ALL SELECT r, o, start, "end", kind FROM t WHERE o >= 3
+  UNION ALL SELECT s.r, o, s.start, "end", kind FROM s JOIN p2 USING (r, start) WHERE {part("endpoint")}),
+k AS (SELECT r, o, start, CAST(start AS BIGINT) || ':' || CAST("end" AS BIGINT) AS x, kind FROM w),
 a AS (SELECT r, count(*) FILTER (o = 0) AS n0, count(*) FILTER (o = 1) AS n1, count(*) FILTER (o = 2) AS n2,
   string_agg(kind || ':' || x, ',' ORDER BY start, o) FILTER (o < 3) AS b, string_agg(kind || ':' || x, ',' ORDER BY start, o) AS s FROM k GROUP BY r)
 SELECT doc_id, coalesce(n0, 0) AS n_assign, coalesce(n1, 0) AS n_access, coalesce(n2, 0) AS n_hex, sha256(coalesce(b, '')) AS base_sha256, coalesce(s, '') AS spans
