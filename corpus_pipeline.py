@@ -22,22 +22,27 @@ from heddle.llm.common import read, stored
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents predicted toxic; null and empty texts stay.  Odd rows as in ``toxicity.reject``."""
     return toxicity.reject(docs, read(spark, sf_dir, "labels"))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one document of each group; null ids and texts stay.  Odd rows as in ``neardup.one_of_each``."""
     return neardup.one_of_each(docs, percent=80)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that hold a benchmark item; null and empty texts stay.  Odd rows as in ``decontaminate.clean``."""
     return decontaminate.clean(docs, read(spark, sf_dir, "benchmark"))
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps all rows and replaces reported spans.  Odd rows as in ``secrets.redact``."""
     return secrets.redact(docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Cuts all rows into sequences; null text is its end id alone.  Odd rows as in ``packing.pack``."""
     return packing.pack(docs)
 
 

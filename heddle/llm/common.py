@@ -26,6 +26,11 @@ def free_name(columns: list[str], stem: str) -> str:
     return stem
 
 
+def id_or_text(id_col: str = "doc_id", text_col: str = "text") -> Column:
+    """What a row goes by: its id, or where that is null its text's hash."""
+    return F.struct(F.col(id_col).alias("i"), F.when(F.col(id_col).isNull(), F.xxhash64(text_col)).alias("h"))
+
+
 def fold(doc_id: str = "doc_id", folds: int = 5) -> Column:
     """crc32 of the id as text, modulo ``folds``; a null id counts as empty text."""
     return (F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit(""))) % folds).cast("int")

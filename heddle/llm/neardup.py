@@ -398,6 +398,10 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
 
 def one_of_each(docs: DataFrame, **options) -> DataFrame:
-    """The documents that ``near_duplicates`` keeps, with their columns as they are."""
-    gone = near_duplicates(docs, **options).where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
+    """The documents that ``near_duplicates`` keeps, with their columns as they are.
+
+    Rows with a null id, and null and empty texts, stay; so do all rows of a doc_id that is kept, as they can't be told
+    apart.  An empty table gives an empty one; other columns stay as they are, whatever their names.
+    """
+    gone = near_duplicates(docs, **options).where("not kept").select(F.col("doc_id").alias("gone")).distinct()
+    return docs.join(gone, docs["doc_id"] == gone["gone"], "left_anti")

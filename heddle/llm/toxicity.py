@@ -17,20 +17,24 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from heddle.llm.common import batch_of, ddl, fold
+from heddle.llm.common import batch_of, ddl, fold, free_name, id_or_text
 
 #: Terms known before any label is read.
 SEED_TERMS = ("idiot", "moron", "stupid", "loser", "scum", "trash", "clown", "pathetic", "worthless", "disgusting", "imbecile", "bastard")
 #: Words that address somebody.
 ADDRESS = frozenset("you your you're youre u ur du dich dir dein deine tu te toi ton ta vous votre tú ti tus usted".split())
-OPENING, CLOSING, EITHER = "“«„‘‹", "”»’›", '"'
+#: Marks that open a quotation, and those that close it.
+QUOTES = {'"': '"', "“": "”", "„": "“”", "«": "»", "»": "«", "‘": "’", "‚": "‘’", "‹": "›", "›": "‹"}
+MARKS = frozenset("".join([*QUOTES, *QUOTES.values()]))
+#: Words in a quotation at most; an opening mark that isn't closed by then quotes nothing.
+QUOTED = 60
 TOKEN = re.compile(r"[\w*@$]+")
 WINDOW, NEAR = 20, 3
 CACHE_WORDS = 1_000_000
-FEATURES = 9
+FEATURES = 10
 TERM, STEM, MISSPELLED = 0, 1, 2
 #: For too few labels; after the intercept in the order of ``Lexicon.features``.
-DEFAULT_WEIGHTS = (-4.0, 4.0, 1.0, 2.0, 1.0, 2.0, -1.0, 1.0, 1.0, 0.1)
+DEFAULT_WEIGHTS = (-4.0, 4.0, 1.0, 2.0, 1.0, 2.0, -1.0, 0.0, 1.0, 1.0, 0.1)
 
 
 def errors_allowed(term: str) -> int:
@@ -136,19 +140,24 @@ class Lexicon:
 
     def _read(self, chunk: str) -> None:
         """Keeps the code of a white-space-delimited chunk that isn't plain: terms, stems,
-        misspelled terms, quotes (1 opens, 2 closes, 3 both), address."""
+        misspelled terms, quotation marks (and whether each may open or close), address.
+
+        A mark with a letter or digit on either side is an apostrophe.
+        """
         words = [chunk] if chunk.isalnum() else TOKEN.findall(chunk)
         hits = [h for w in words if (h := self.match(w)) is not None]
-        opens = chunk[0] in OPENING + EITHER
-        closes = any(c in CLOSING + EITHER for c in chunk[1:]) if len(words) != 1 or words[0] != chunk else False
+        marks = ()
+        if not MARKS.isdisjoint(chunk):
+            inner = [i for i, c in enumerate(chunk) if c.isalnum()] or [len(chunk), -1]
+            marks = tuple((c, i < inner[0], i > inner[-1]) for i, c in enumerate(chunk) if c in MARKS and (i < inner[0] or i > inner[-1]))
         address = any(w in ADDRESS for w in words)
-        if hits or opens or closes or address:
-            self._codes[chunk] = (*(hits.count(k) for k in (TERM, STEM, MISSPELLED)), opens + 2 * closes, int(address))
+        if hits or marks or address:
+            self._codes[chunk] = (*(hits.count(k) for k in (TERM, STEM, MISSPELLED)), marks, int(address))
         if hits:
             self._hits.add(chunk)
 
     def features(self, text: str | None) -> list[float]:
-        """Counts of hits outside quotations, of quoted ones, of direct ones, and how dense they are."""
+        """Counts of hits outside quotations, of quoted ones, of those beside quotations, of direct ones, and how dense they are."""
         chunks = text.lower().split() if text else []
         distinct = set(chunks)
         for c in distinct - self._seen:
@@ -166,28 +175,38 @@ class Lexicon:
 
     def _weigh(self, codes: list[tuple]) -> list[float]:
         at = [i for i, c in enumerate(codes) if any(c[:3])]
-        quoted, inside = set(), False
-        for i, c in enumerate(codes):
-            inside = inside or bool(c[3] & 1)
-            if inside:
-                quoted.add(i)
-            if c[3] & 2:
-                inside = False
+        quoted = quotations(codes)
         free = [i for i in at if i not in quoted]
         terms, stems, misspelled = (sum(codes[i][k] for i in free) for k in (TERM, STEM, MISSPELLED))
         cited = sum(sum(codes[i][:3]) for i in at if i in quoted)
+        beside = sum(not quoted.isdisjoint(range(i - NEAR, i + NEAR + 1)) for i in free)
         near = sum(any(c[4] for c in codes[max(0, i - NEAR) : i + NEAR + 1]) for i in free)
         dense, left = 0, 0
         for right, i in enumerate(free):
             while i - free[left] >= WINDOW:
                 left += 1
             dense = max(dense, right - left + 1)
-        logs = [float(np.log1p(v)) for v in (terms, stems, misspelled, cited, near, dense)]
+        logs = [float(np.log1p(v)) for v in (terms, stems, misspelled, cited, beside, near, dense)]
         share = 100 * (terms + stems + misspelled) / (len(codes) + 20)
         return [float(terms > 0), logs[0], float(stems > 0), logs[1], *logs[2:], share]
 
 
-_PLAIN = (0, 0, 0, 0, 0)
+_PLAIN = (0, 0, 0, (), 0)
+
+
+def quotations(codes: list[tuple]) -> set[int]:
+    """Places of chunks from an opening mark to one that closes it, ``QUOTED`` chunks at most."""
+    quoted: set[int] = set()
+    opened: dict[str, int] = {}
+    for i, c in enumerate(codes):
+        for mark, may_open, may_close in c[3]:
+            by = [o for o, at in opened.items() if mark in QUOTES[o] and i - at < QUOTED] if may_close else []
+            if by:
+                first = max(by, key=opened.__getitem__)
+                quoted.update(range(opened.pop(first), i + 1))
+            elif may_open and mark in QUOTES:
+                opened[mark] = i
+    return quoted
 
 
 @dataclass
@@ -281,8 +300,10 @@ def _fit(sample: DataFrame, least_docs: int, least_ratio: float, most_terms: int
         s = r.term[:-1]
         if not any(s.startswith(x) for x in stems) and r.n1 >= 1.5 * max((c for t, c in whole.items() if t.startswith(s)), default=0):
             stems.append(s)
+    support = {r.term[:-1]: r.n1 for r in strong if r.term.endswith("*")}
+    stems = sorted(sorted(stems), key=lambda s: -support[s])[:most_terms]
     terms |= set([r.term for r in strong if r.term in whole and not any(r.term.startswith(s) for s in stems)][:most_terms])
-    lexicon = Lexicon(sorted(terms), sorted(stems)[:most_terms])
+    lexicon = Lexicon(sorted(terms), sorted(stems))
 
     spared_schema = ddl("word string")
 
@@ -337,11 +358,12 @@ def held_out_query(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def reject(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that are not predicted toxic, with their columns as they are.
 
-    A repeated doc_id goes if any of its rows is toxic; rows with a null id are judged by their text.
+    A repeated doc_id goes if any of its rows is toxic; rows with a null id are judged by their text.  A null or empty
+    text has no hit and stays, a long one is read whole, an empty table gives an empty one, and other columns
+    stay as they are, whatever their names.
     """
     model = fit(docs, labels.where(fold() != 0))
-    key = F.struct(F.col("doc_id").alias("i"), F.when(F.col("doc_id").isNull(), F.xxhash64("text")).alias("h"))
-    bad = score(docs.withColumn("_key", key), model, id_col="_key").where("predicted = 1").select("_key").distinct()
-    kept = docs.withColumn("_k1", F.col("doc_id")).withColumn("_k2", F.when(F.col("doc_id").isNull(), F.xxhash64("text")))
-    on = kept["_k1"].eqNullSafe(bad["_key.i"]) & kept["_k2"].eqNullSafe(bad["_key.h"])
-    return kept.join(bad, on, "left_anti").drop("_k1", "_k2")
+    key = free_name(docs.columns, "_key")
+    rows = docs.withColumn(key, id_or_text())
+    bad = score(rows, model, id_col=key).where("predicted = 1").select(F.col(key).alias("bad")).distinct()
+    return rows.join(bad, rows[key].eqNullSafe(bad["bad"]), "left_anti").drop(key)

@@ -49,3 +49,14 @@ def test_stages_take_odd_tables(spark):
             last, docs = docs, stage(spark, docs, SF)
             docs = spark.createDataFrame(docs.collect(), docs.schema)
         assert last.count() == len({r.doc_id for r in docs.select("doc_id").collect()}) or last.count() >= docs.select("doc_id").distinct().count()
+
+
+def test_stages_keep_columns_of_any_name(spark):
+    names = ["_key", "_k1", "_k2", "_gone", "gone", "_found", "bad", "start", "end", "node", "component_id", "kept", "score", "predicted", "_ID", "spans", "h", "i"]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{n} int" for n in names)
+    rows = [(i, f"some clean words number {i} here", "en", "s", 3, *range(len(names))) for i in (1, 2, None)]
+    docs = spark.createDataFrame(rows, schema)
+    for _, stage in P.STAGES[:-1]:
+        out = stage(spark, docs, SF)
+        assert out.columns == docs.columns and sorted(map(str, out.collect())) == sorted(map(str, docs.collect()))
+    assert P.STAGES[-1][1](spark, docs, SF).count() >= 3

@@ -33,10 +33,31 @@ def test_quotation_and_address():
     lexicon = T.Lexicon(["idiot"], [])
     direct = lexicon.features("you are an idiot and more")
     quoted = lexicon.features('they wrote “an idiot” and more')
-    assert direct[0] == 1 and quoted[0] == 0 and quoted[5] > 0 and direct[6] > 0
+    assert direct[0] == 1 and quoted[0] == 0 and quoted[5] > 0 and direct[7] > 0
     assert lexicon.features("an idoit")[4] > 0 and lexicon.features("a id1ot")[4] > 0
 
 
+def test_quotations_are_pairs_within_a_distance():
+    lexicon = T.Lexicon(["idiot"], [])
+    free = ['he said " and left. later: you are an idiot', "“never closed and so an idiot", 'a 12" board, you idiot', "„ging“ du idiot", "he’s an idiot, isn’t he", "«oui» idiot"]
+    free += ['" ' + "word " * 100 + 'idiot "', "idiot “no”", "rock ’n roll idiot ’"]
+    cited = ['"you idiot"', "“we don’t call him an idiot”", "„du idiot“", "»du idiot«", "« un idiot »", "‘an idiot’", '("idiot")', '“he said ‘so’ to the idiot”', 'x " idiot " y']
+    for t in free:
+        assert lexicon.features(t)[0] == 1 and lexicon.features(t)[5] == 0, t
+    for t in cited:
+        assert lexicon.features(t)[0] == 0 and lexicon.features(t)[5] > 0, t
+    assert lexicon.features("“no” idiot")[6] > 0 and lexicon.features("“no” " + "x " * 9 + "idiot")[6] == 0
+
+
+def test_terms_left_out_of_the_stems_stay_words(spark):
+    rng = random.Random(2)
+    plain = [f"plain{i}" for i in range(300)]
+    rows = [(i, " ".join(rng.choices(plain, k=20)) + (f" {rng.choice(['zzbad', 'aabad'])}{i % 9}x" if i % 2 else ""), None, None) for i in range(800)]
+    docs, labels = spark.createDataFrame(rows, SCHEMA), spark.createDataFrame([(i, i % 2) for i in range(800)], "doc_id long, toxic int")
+    few = T.fit(docs, labels, most_terms=1).lexicon
+    assert len(few.stems) == 1 and few.terms != sorted(T.SEED_TERMS)
+
+
 def test_held_out_labels(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
     got = T.held_out_query(docs, labels).join(labels, "doc_id").where("held_out").collect()
