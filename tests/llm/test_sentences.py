@@ -59,3 +59,27 @@ def test_odd_rows(spark):
     df = spark.createDataFrame([(d, t, "x", 1) for d, t in rows], SCHEMA)
     assert sorted(r.n_removed for r in S.dedup_spans(df).collect()) == [0, 3, 3]
     assert S.dedup_spans(df.limit(0)).count() == 0
+
+
+def test_rows_that_share_an_id_or_have_none(spark):
+    passage = "a b c d e f. g h i j k. l m n o p."
+    rows = [(-1, "one two. " + passage), (None, passage + " three four."), (None, passage), (7, passage), (7, "q. " + passage), (8, "so what. no."), (8, "so what. no.")]
+    df = spark.createDataFrame([(d, t, "x", 1) for d, t in rows], SCHEMA)
+    got = [(r.doc_id, r.n_repeated, r.n_removed) for r in S.dedup_spans(df).collect()]
+    assert sorted(x[1] for x in got) == [0, 0, 3, 3, 3, 3, 3] and sorted(x[2] for x in got) == [0, 0, 0, 3, 3, 3, 3]
+    assert [x[2] for x in got if x[0] is None].count(0) == 1
+    alike = spark.createDataFrame([(None, passage, "x", 1)] * 2, SCHEMA)
+    assert [(r.n_repeated, r.n_removed) for r in S.dedup_spans(alike).collect()] == [(3, 0)] * 2
+    alike = spark.createDataFrame([(d, passage, "x", 1) for d in (-1, None)], SCHEMA)
+    assert sorted((r.doc_id or 0, r.n_removed) for r in S.dedup_spans(alike).collect()) == [(-1, 3), (0, 0)]
+
+
+def test_scripts_without_spaces(spark):
+    rng = random.Random(9)
+    text = lambda n: "".join(chr(rng.randrange(0x4E00, 0x9000)) + ("。" if rng.random() < 0.1 else "") for _ in range(n))
+    passage = text(80)
+    docs = [(i, text(60) + passage + text(60)) for i in range(4)] + [(i, text(150)) for i in range(4, 8)] + [(9, "ดีมาก" * 3 + passage)]
+    df = spark.createDataFrame([(d, t, "x", 1) for d, t in docs], SCHEMA)
+    got = {r.doc_id: r for r in S.dedup_spans(df).collect()}
+    assert all("".join(S.units(t)) == t for _, t in docs)
+    assert all(got[i].n_removed == 0 for i in (0, 4, 5, 6, 7)) and all(len(got[i].text) < len(t) - 45 for i, t in docs if i in (1, 2, 3, 9))
