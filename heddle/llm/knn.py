@@ -1,7 +1,7 @@
 """Exact top-k search by inner product as a Voronoi join.
 
-Data and queries are grouped by their nearest pivots.  A group is summed up by its radius;
-by Cauchy and Schwarz no member scores more than q·p + |q|·radius.  A query is first
+Data and queries are grouped by their nearest pivots, and the members of a pivot by their distances from it into
+rings.  A group, which is a ring of a pivot, is summed up by its radius; by Cauchy and Schwarz no member scores more than q·p + |q|·radius.  A query is first
 solved in the group that looks best to it, which gives a score to beat, and then goes only to those
 groups whose bound reaches it.  Groups are cut into blocks of bounded size and solved where they lie.
 Of equal vectors only the k + 1 smallest ids can matter, so no more travel.
@@ -9,6 +9,7 @@ Of equal vectors only the k + 1 smallest ids can matter, so no more travel.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,31 +19,40 @@ from pyspark.sql import functions as F
 from heddle.llm.common import batch_of, ddl, stored
 
 SCALE = 256
+#: Pivots grow with the square root of the table between these bounds, so what is broadcast stays bounded.
+LEAST_PIVOTS, MOST_PIVOTS = 128, 16_384
+RINGS = 4
 
 
 def _bytes(v: np.ndarray) -> bytes:
-    """Integers as 32-bit ones where they fit, else 64-bit; a leading byte tells."""
-    small = len(v) == 0 or np.abs(v).max() < 2**31
-    return (b"4" + v.astype("<i4").tobytes()) if small else (b"8" + v.astype("<i8").tobytes())
+    """Whole numbers as 32-bit or 64-bit integers where they fit, else as the floats that they are; a leading byte tells."""
+    largest = np.abs(v).max(initial=0)
+    if largest < 2**31:
+        return b"4" + v.astype("<i4").tobytes()
+    return b"8" + v.astype("<i8").tobytes() if largest < 2**62 else b"f" + v.astype("<f8").tobytes()
+
+
+_TYPES = {b"4": "<i4", b"8": "<i8", b"f": "<f8"}
 
 
 def _matrix(vectors: list[bytes], width: int = 0) -> np.ndarray:
-    """Vectors as rows, shorter ones ended with zeros."""
-    rows = [np.frombuffer(b, "<i4" if b[:1] == b"4" else "<i8", offset=1) for b in vectors]
-    out = np.zeros((len(rows), max([width, *map(len, rows)])), np.int64)
+    """Vectors as rows, shorter ones ended with zeros; of Python's integers where one doesn't fit 64 bits."""
+    rows = [np.frombuffer(b, _TYPES[b[:1]], offset=1) for b in vectors]
+    wide = any(b[:1] == b"f" for b in vectors)
+    out = np.zeros((len(rows), max([width, *map(len, rows)])), object if wide else np.int64)
     for i, r in enumerate(rows):
-        out[i, : len(r)] = r
+        out[i, : len(r)] = [int(x) for x in r.tolist()] if wide else r
     return out
 
 
 def _dot(q: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """Exact integer inner products; by floating point where that is exact."""
+    """Exact integer inner products, the nearest long where one isn't a long; by floating point where that is exact."""
     width = max(q.shape[1], x.shape[1])
     q, x = (np.pad(m, ((0, 0), (0, width - m.shape[1]))) if m.shape[1] < width else m for m in (q, x))
     largest = float(np.abs(q).max(initial=0)) * float(np.abs(x).max(initial=0)) * max(1, width)
     if largest < 2**53:
         return (q.astype(float) @ x.T.astype(float)).astype(np.int64)
-    return (q.astype(object) @ x.T.astype(object)).astype(np.int64)
+    return np.clip(q.astype(object) @ x.T.astype(object), 1 - (1 << 63), (1 << 63) - 1).astype(np.int64)
 
 
 def quantised(table: DataFrame, id_col: str, vector_col: str) -> DataFrame:
@@ -53,11 +63,10 @@ def quantised(table: DataFrame, id_col: str, vector_col: str) -> DataFrame:
         for b in batches:
             rows = []
             for i, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                v = np.floor(SCALE * np.array(x, np.float64))
-                rows.append((i, _bytes(np.clip(v, -(2.0**62), 2.0**62).astype(np.int64))))
+                rows.append((i, _bytes(np.floor(SCALE * np.array(x, np.float64)))))
             yield batch_of(rows, schema)
 
-    finite = F.forall(vector_col, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    finite = F.forall(vector_col, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) * SCALE < float("inf")))
     usable = table.where(F.col(id_col).isNotNull() & F.col(vector_col).isNotNull() & finite)
     return usable.select(F.col(id_col).cast("long"), F.col(vector_col).cast("array<double>")).mapInArrow(task, schema)
 
@@ -86,21 +95,25 @@ def _sent(queries: DataFrame, pivots: np.ndarray, radius: np.ndarray, blocks: np
 
     def task(batches):
         for b in batches:
-            ids, vectors = b.column(0).to_pylist(), b.column(1).to_pylist()
-            least = np.array(b.column(2).to_pylist(), float)
-            q = _matrix(vectors, pivots.shape[1]).astype(float)
-            known = np.pad(pivots, ((0, 0), (0, q.shape[1] - pivots.shape[1]))).astype(float)
-            middle, rows = q @ known.T, []
-            middle[:, blocks == 0] = -np.inf
-            best = middle.argmax(1)
-            bound = (middle + np.sqrt((q**2).sum(1))[:, None] * radius) * (1 + 1e-12) + 1e-3 * np.abs(middle).clip(0, 1)
-            for i in range(len(ids)):
-                to = [best[i]] if first else [j for j in np.flatnonzero(bound[i] >= least[i]) if j != best[i] and blocks[j]]
-                rows += [(int(j), s, ids[i], vectors[i]) for j in to for s in range(int(blocks[j]))]
-                if len(rows) > 10_000:
-                    yield batch_of(rows, schema)
-                    rows = []
-            yield batch_of(rows, schema)
+            all_ids, all_vectors, all_least = b.column(0).to_pylist(), b.column(1).to_pylist(), np.array(b.column(2).to_pylist(), float)
+            for at in range(0, len(all_ids), 500):
+                ids, vectors, least = (x[at : at + 500] for x in (all_ids, all_vectors, all_least))
+                q = _matrix(vectors, pivots.shape[1]).astype(float)
+                known = np.pad(pivots, ((0, 0), (0, q.shape[1] - pivots.shape[1]))).astype(float)
+                with np.errstate(over="ignore", invalid="ignore"):
+                    middle = np.repeat(q @ known.T, RINGS, axis=1)
+                    reach = np.sqrt((q**2).sum(1))[:, None] * radius
+                    bound = middle + reach + 1e-9 * (np.abs(middle) + np.abs(reach)) + 1e-3
+                bound[np.isnan(bound)] = np.inf  # past what floats hold, so nothing is ruled out
+                bound[:, blocks == 0] = -np.inf
+                best, rows = bound.argmax(1), []
+                for i in range(len(ids)):
+                    to = [best[i]] if first else [j for j in np.flatnonzero(bound[i] >= least[i]) if j != best[i] and blocks[j]]
+                    rows += [(int(j), s, ids[i], vectors[i]) for j in to for s in range(int(blocks[j]))]
+                    if len(rows) > 10_000:
+                        yield batch_of(rows, schema)
+                        rows = []
+                yield batch_of(rows, schema)
 
     return queries.select("query_id", "v", "least").mapInArrow(task, schema)
 
@@ -154,30 +167,37 @@ def _solved(data: DataFrame, sent: DataFrame, k: int) -> DataFrame:
 
 
 def top_k(
-    data: DataFrame, queries: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 5, pivots: int = 128, block: int = 4096
+    data: DataFrame, queries: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 5, pivots: int | None = None, block: int = 4096
 ) -> DataFrame:
     """The k highest inner products of every query over all data: query_id, rank, vec_id, score.
 
     Components are floor(256 * x).  Ties go to the smaller id; rows with the query's id are left out; a query
     with fewer than k candidates gets those.  Null vectors, null ids and vectors with a null or non-finite
-    component take no part; vectors of unequal length are compared as if the shorter ended with zeros;
+    component, or one whose 256-fold isn't finite, take no part.  Products are exact, and scores beyond a long are the
+    nearest long.  Vectors of any length are read whole; those of unequal length are compared as if the shorter ended with zeros;
     an id's repeated equal vectors count once.  Empty tables give no rows; other columns are ignored.
     """
     few = Window.partitionBy("v").orderBy("vec_id")
     rows = quantised(data, id_col, vector_col).distinct().withColumn("n", F.row_number().over(few)).where(F.col("n") <= k + 1)
     rows = stored(rows.select("vec_id", "v"), name="vectors")
     asked = stored(quantised(queries, id_col, vector_col).distinct().withColumnRenamed("vec_id", "query_id"), name="queries")
+    if pivots is None:
+        pivots = min(MOST_PIVOTS, max(LEAST_PIVOTS, math.isqrt(rows.count())))
     picked = rows.select("v").distinct().orderBy(F.xxhash64("v"), "v").limit(pivots).collect()
     if not picked:
         return asked.select("query_id", F.lit(1).alias("rank"), F.col("query_id").alias("vec_id"), F.col("query_id").alias("score")).limit(0)
     known = _matrix([r.v for r in picked])
-    grouped = stored(_grouped(rows, known), name="groups")
-    sizes = grouped.groupBy("p").agg(F.count("*").alias("n"), F.max("dist").alias("r")).collect()  # at most a row a pivot
-    radius, blocks = np.zeros(len(known)), np.zeros(len(known), int)
+    cells = stored(_grouped(rows, known), name="cells")
+    edges = cells.groupBy("p").agg(F.percentile_approx("dist", [i / RINGS for i in range(1, RINGS)], 1000).alias("edges"))
+    ring = F.size(F.filter("edges", lambda x: F.col("dist") > x))
+    grouped = cells.join(F.broadcast(edges), "p").select((F.col("p") * RINGS + ring).alias("p"), "vec_id", "v", "dist")  # MOST_PIVOTS rows at most
+    grouped = stored(grouped, name="groups")
+    sizes = grouped.groupBy("p").agg(F.count("*").alias("n"), F.max("dist").alias("r")).collect()  # at most a row a pivot and ring
+    radius, blocks = np.zeros(len(known) * RINGS), np.zeros(len(known) * RINGS, int)
     for r in sizes:
         radius[r.p], blocks[r.p] = r.r, -(-r.n // block)
-    parts = F.element_at(F.array(*[F.lit(int(b)) for b in blocks]), F.col("p") + 1)
-    spread = grouped.select("p", F.pmod(F.xxhash64("vec_id"), parts).cast("int").alias("s"), "vec_id", "v")
+    counts = grouped.sparkSession.createDataFrame([(i, int(n)) for i, n in enumerate(blocks.tolist()) if n], "p int, blocks int")
+    spread = grouped.join(F.broadcast(counts), "p").select("p", F.pmod(F.xxhash64("vec_id"), "blocks").cast("int").alias("s"), "vec_id", "v")
     start = _sent(asked.withColumn("least", F.lit(0.0)), known, radius, blocks, first=True)
     one = stored(_solved(spread, start, k), name="first")
     kth = one.groupBy("query_id", "v").agg(F.sort_array(F.collect_list("score"), asc=False).alias("x"))

@@ -1,6 +1,8 @@
 import math
 import random
 
+import numpy as np
+
 from heddle.llm import knn
 
 SCHEMA = "vec_id long, embedding array<float>, v string, rank int"
@@ -13,7 +15,7 @@ def brute(rows, queries, k):
     data = sorted({(i, tuple(ints(v))) for i, v in rows if i is not None and ints(v) is not None})
     out = []
     for q, v in sorted({(i, tuple(ints(v))) for i, v in queries if i is not None and ints(v) is not None}):
-        scored = sorted((-sum(a * b for a, b in zip(v, x, strict=False)), i) for i, x in data if i != q)
+        scored = sorted((-max(1 - 2**63, min(2**63 - 1, sum(a * b for a, b in zip(v, x, strict=False)))), i) for i, x in data if i != q)
         out += [(q, r + 1, i, -s) for r, (s, i) in enumerate(scored[:k])]
     return sorted(out)
 
@@ -46,3 +48,29 @@ def test_odd_rows(spark):
     check(spark, [(3, [1.0, 2.0])])
     empty = spark.createDataFrame([], SCHEMA)
     assert knn.top_k(empty, empty).count() == 0
+
+
+def test_components_of_any_size(spark):
+    rng = random.Random(8)
+    rows = [(i, vector(rng, scale=2.0 ** rng.choice([0, 20, 50, 60, 120]))) for i in range(60)]
+    rows += [(60, [3e38] * 8), (61, [-3e38] * 8), (62, [3e38, -3e38, 0.0, 0.0, 0.0, 0.0, 0.0, 1.0]), (63, [0.0] * 8), (66, [1e30] * 8)]
+    check(spark, rows, pivots=5, block=7)
+    df = spark.createDataFrame([(i, [1e308, float(i)]) for i in range(4)], "vec_id long, embedding array<double>")
+    assert knn.top_k(df, df).count() == 0
+    df = spark.createDataFrame([(i, [1e250 * (i - 2), float(i)]) for i in range(5)], "vec_id long, embedding array<double>")
+    got = {(r.query_id, r.rank): (r.vec_id, r.score) for r in knn.top_k(df, df, k=2, pivots=2).collect()}
+    assert got[4, 1] == (3, 2**63 - 1) and got[0, 1] == (1, 2**63 - 1) and got[2, 1][0] == 4
+
+
+def test_rings_rule_out_groups(spark):
+    rng = random.Random(3)
+    centers = [vector(rng, scale=40) for _ in range(8)]
+    rows = [(i, [c + x / 64 for c, x in zip(centers[i % 8], vector(rng), strict=True)]) for i in range(400)]
+    df = spark.createDataFrame([(i, v) for i, v in rows], "vec_id long, embedding array<float>")
+    data = knn.quantised(df, "vec_id", "embedding")
+    known = knn._matrix([r.v for r in data.where("vec_id < 8").orderBy("vec_id").collect()])
+    queries = data.where("vec_id % 3 = 0").withColumnRenamed("vec_id", "query_id")
+    norms = [float((known[i].astype(float) ** 2).sum()) for i in range(8)]
+    asked = queries.selectExpr("query_id", "v", f"cast({max(norms) * 0.9} as double) as least")
+    sent = knn._sent(asked, known, np.full(8 * knn.RINGS, 100.0), np.ones(8 * knn.RINGS, int), first=False)
+    assert sent.count() < 0.5 * queries.count() * 8 * knn.RINGS
