@@ -169,13 +169,13 @@ def fit(
 ) -> Model:
     """Fits piece probabilities on about ``docs_per_language`` documents of each language.
 
-    The documents are those with the smallest hashes of their ids, so the sample's size is bounded
-    however many there are.  Rows without text or language are not used.  Priors come from
+    The documents are those with the smallest hashes of id and text, so the sample's size is bounded
+    however many there are, with or without ids.  Rows without text or language are not used.  Priors come from
     the counts of all labelled documents.
     """
     path = vocabulary or default_vocabulary_path()
     used = docs.select(
-        F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(F.col(id_col)).alias("h")
+        F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("h")
     ).where("lang is not null and text is not null")
     sizes = {r.lang: r.n for r in used.groupBy("lang").agg(F.count("*").alias("n")).orderBy("lang").collect()}
     languages = list(sizes)
@@ -233,7 +233,7 @@ def identify(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col:
     """The language of every whole text: id, lang_pred and score (its posterior probability).
 
     ``und`` with score 0 where the text is null, empty or without a letter, or the model
-    knows no language.  Ties go to the language that sorts first.  Repeated rows get a row each,
+    knows no language.  Long texts are read whole.  Ties go to the language that sorts first.  Repeated rows get a row each,
     an empty table gives none, other columns are ignored.
     """
     schema = ddl(f"{id_col} {docs.schema[id_col].dataType.simpleString()}, lang_pred string, score double")

@@ -47,3 +47,32 @@ def test_odd_rows(spark):
     empty = spark.createDataFrame([], SCHEMA)
     assert language.held_out_query(empty).count() == 0
     assert {r.lang_pred for r in language.identify(docs, language.fit(empty)).collect()} == {"und"}
+
+
+def test_predictions_match_a_plain_forward_pass(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").where("length(text) < 600")
+    model = language.fit(docs)
+    known = language.pieces(language.default_vocabulary_path())
+
+    def forward(word, k):
+        s, f = "▁" + word, [1.0]
+        for end in range(1, len(s) + 1):
+            parts = ((f[a], s[a:end]) for a in range(end))
+            f.append(sum(w * model.p[known.ids.get(x, known.unknown if len(x) == 1 else known.none), k] for w, x in parts))
+        return np.log(f[-1])
+
+    texts = {r.doc_id: r.text for r in docs.select("doc_id", "text").collect()}
+    got = language.identify(docs, model).collect()
+    assert len(got) > 10
+    for r in got[:40]:
+        words = language.words_of(texts[r.doc_id])
+        s = np.array([model.prior[k] + sum(forward(w, k) for w in words) for k in range(len(model.languages))])
+        assert r.lang_pred == model.languages[s.argmax()] and abs(r.score - 1 / np.exp(s - s.max()).sum()) < 1e-6
+
+
+def test_the_sample_of_rows_without_ids_is_bounded(spark, monkeypatch):
+    docs = spark.range(3000).selectExpr("cast(null as long) as doc_id", "concat('only', id, ' word') as text", "'en' as lang")
+    read = []
+    monkeypatch.setattr(language, "stored", lambda df, name: read.append(df.cache()) or df)
+    assert language.fit(docs, docs_per_language=300, iterations=1).languages == ["en"]
+    assert 200 < read[0].where("word = 'word'").first().n < 400
