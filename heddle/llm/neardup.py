@@ -17,7 +17,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from heddle.llm.common import ascii_word_bytes, batch_of, ddl, stored
+from heddle.llm.common import ascii_word_bytes, batch_of, ddl, discard, stored
 from heddle.llm.graph import components
 
 TREES, DEPTH, SHARED = 16, 6, 3
@@ -372,16 +372,17 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     nodes = linked.groupBy("s1", "s2").agg(F.min("doc_id").alias("node"), F.first("sig").alias("sig"), F.first("n_shingles").alias("size"))
     nodes = stored(nodes, name="nodes")
     least = percent / 100 - SLACK
-    leaves = stored(_leaves(nodes), name="leaves")
-    sets = stored(_sets(texts, leaves.select("node").distinct(), k), name="sets")
-    crowded = leaves.where("run is not null").select("run", "tree", "node")
-    leaves = leaves.where("leaf is not null").join(sets.select("node", "sketch"), "node")
+    placed = stored(_leaves(nodes), name="leaves")
+    sets = stored(_sets(texts, placed.select("node").distinct(), k), name="sets")
+    crowded = placed.where("run is not null").select("run", "tree", "node")
+    leaves = placed.where("leaf is not null").join(sets.select("node", "sketch"), "node")
     tried = stored(_pairs(leaves.where(F.col("tree") < FIRST_TREES).withColumn("root", F.col("node")), least, across=False), name="pairs")
     links = stored(_confirmed(tried, sets, percent), name="links")
     roots = components(links)
     known = leaves.join(roots, "node", "left").select("leaf", "node", "sketch", F.coalesce("root", "node").alias("root"))
     untried = _pairs(known, least, across=True).join(tried, ["a", "b"], "left_anti")  # pairs that were refuted stay so
     more = stored(_confirmed(untried, sets, percent), name="links")
+    discard(tried)
     if not more.isEmpty():
         links = links.union(more)
         roots = components(links)
@@ -391,6 +392,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         if not more.isEmpty():
             links = links.union(more)
             roots = components(links)
+    discard(placed, sets)
     by_set = nodes.join(roots, "node", "left").select("s1", "s2", F.coalesce("root", "node").alias("root"))
     out = table.select("doc_id", "n_shingles", "s1", "s2").join(by_set, ["s1", "s2"], "left")
     root = F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "doc_id"))

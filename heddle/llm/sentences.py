@@ -17,7 +17,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from heddle.llm.common import batch_of, ddl, stored
+from heddle.llm.common import batch_of, ddl, discard, stored
 
 #: Sentences end at marks before white space, and at line ends.
 ENDS = re.compile(r"[.!?]+\s+|[。！？]+\s*|\s*\n\s*")
@@ -158,6 +158,7 @@ def dedup_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     table = stored(_run_table(texts), name="runs")
     runs_of = F.collect_set(F.struct("s", "c", "later")).alias("runs")
     lists = stored(_met(table).groupBy("d", "h").agg(runs_of), name="run-lists")
+    discard(table)
     schema = ddl(
         f"{id_col} {docs.schema[id_col].dataType.simpleString()}, n_sentences long, n_repeated long, n_removed long, removed string, kept_sha256 string, text string"
     )

@@ -18,7 +18,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from heddle.llm.common import batch_of, ddl, stored
+from heddle.llm.common import batch_of, ddl, discard, stored
 
 GRAM, RANGE = 8, 16
 #: Rows that a task hands on at a time.
@@ -126,6 +126,7 @@ def _refine(rows: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
     """
     cores = stored(rows.groupBy("core").agg(F.count("*").alias("n")).where("n > 1").select("core"), name=name)
     held = stored(rows.join(cores, "core"), name=name)
+    discard(cores)
     groups = stored(
         held.groupBy("core", "hull").agg(F.count("*").alias("n"), F.min(F.struct("d", "h", "z", "lo", "hi", "a")).alias("one")), name=name
     )
@@ -210,8 +211,9 @@ def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def repeated_intervals(docs: DataFrame, length: int) -> DataFrame:
     """(d, h, start, end) of bytes under repeated windows; intervals may overlap."""
-    zones = stored(_zone_table(docs, length), name="zones").withColumn("z", F.col("lo"))
-    first, rest = _refine(zones, "zones-1")
+    zones = stored(_zone_table(docs, length), name="zones")
+    first, rest = _refine(zones.withColumn("z", F.col("lo")), "zones-1")
+    discard(zones)
     pieces = stored(_pieces(docs, rest.select("d", "h", "lo", "hi", "a"), length), name="pieces")
     second, rest = _refine(_ranges(pieces, length), "zones-2")
     windows = stored(_windows(pieces, rest.select("d", "h", "z", "lo", "hi"), length), name="windows")
