@@ -1,11 +1,11 @@
 """Column functions over arrays and texts."""
 
-from __future__ import annotations
-
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def degree2(x: Column) -> Column:
@@ -33,21 +33,27 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def rouge_l(candidate: Column, reference: Column) -> Column:
-    """F-measure of the longest common subsequence of two word arrays; 0 where either is empty."""
-    n = F.size(reference)
-    zero = F.transform(F.sequence(F.lit(0), n), lambda _: F.lit(0))
-
-    def row(previous: Column, word: Column) -> Column:
-        def cell(done: Column, j: Column) -> Column:
-            match = F.element_at(reference, j) == word
-            up, left, corner = F.element_at(previous, j + 1), F.element_at(done, -1), F.element_at(previous, j)
-            return F.concat(done, F.array(F.when(match, corner + 1).otherwise(F.greatest(up, left))))
-
-        return F.aggregate(F.sequence(F.lit(1), n), F.array(F.lit(0)), cell)
-
-    length = F.element_at(F.aggregate(candidate, zero, row), -1)
-    total = F.size(candidate) + n
-    return F.when((F.size(candidate) == 0) | (n == 0), F.lit(0.0)).otherwise(2.0 * length / total)
+    """F-measure of the longest common subsequence of two word arrays of any length; 0 where either is empty or null."""
+    return _rouge_l(candidate, reference)
+
+
+@F.pandas_udf(T.DoubleType())
+def _rouge_l(candidate: pd.Series, reference: pd.Series) -> pd.Series:
+    return pd.Series([_f_measure(c, r) for c, r in zip(candidate, reference, strict=True)], dtype=float)
+
+
+def _f_measure(c, r) -> float:
+    """A bit for each word of the reference tells where the longest common subsequence grows."""
+    if c is None or r is None or not len(c) or not len(r):
+        return 0.0
+    at: dict = {}
+    for i, w in enumerate(r):
+        at[w] = at.get(w, 0) | 1 << i
+    full = v = (1 << len(r)) - 1
+    for w in c:
+        u = v & at.get(w, 0)
+        v = ((v + u) | (v - u)) & full
+    return 2.0 * (len(r) - v.bit_count()) / (len(c) + len(r))
 
 
 def words(text: Column) -> Column:

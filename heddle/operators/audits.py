@@ -105,3 +105,62 @@ def bandpass(cells: DataFrame, lo: float, hi: float) -> DataFrame:
 def first_of(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
     """The first row of each key."""
     return rows.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where("_n = 1").drop("_n")
+
+
+def profile_shape(profile: DataFrame, value: str) -> DataFrame:
+    """The top layer of a profile (layer, value) and its shape: flat where it spans under a thousandth, or under 2 % of its mean; falling or
+    rising where the top stands first or last; peaked where it is above both ends.  Undetermined with a missing value."""
+    v = F.col(value).cast("double")
+    s = profile.agg(
+        (F.max(v) - F.min(v)).alias("span"), F.avg(v).alias("mean"), F.max_by("layer", F.struct(v.alias("v"), (-F.col("layer")).alias("l"))).alias("peak"), F.max(v).alias("top"),
+        F.min_by(v, "layer").alias("ini"), F.max_by(v, "layer").alias("fin"), F.min("layer").alias("lo"), F.max("layer").alias("hi"), F.bool_and(v.isNotNull() & ~F.isnan(v)).alias("whole"),
+    )
+    shape = (
+        F.when(~F.col("whole"), "undetermined")
+        .when((F.col("span") < 1e-3) | (F.col("span") < 0.02 * (F.abs("mean") + 1e-9)), "flat")
+        .when(F.col("peak") == F.col("lo"), "falling")
+        .when(F.col("peak") == F.col("hi"), "rising")
+        .when((F.col("top") > F.col("ini")) & (F.col("top") > F.col("fin")), "peaked")
+        .otherwise("mixed")
+    )
+    return s.select("peak", shape.alias("shape"))
+
+
+def energy_gap_interval(cells: DataFrame, drawn: DataFrame) -> DataFrame:
+    """By layer, mean and 95 % interval of the standardised gap over draws (rep, prompt_id, k) of prompts.
+
+    Norms are summed by prompt first, so a draw weighs sums and rows are never repeated.
+    """
+    norms = cells.groupBy("beam_id", "prompt_id", "y", "layer").agg(F.sqrt(F.sum(F.col("v") ** 2)).alias("norm"))
+    of = lambda k, x: F.sum(F.when(F.col("y") == k, x).otherwise(0.0))
+    sums = norms.groupBy("prompt_id", "layer").agg(*[of(k, x).alias(f"{n}{k}") for k in (0, 1) for n, x in (("n", F.lit(1.0)), ("s", F.col("norm")), ("q", F.col("norm") ** 2))])
+    each = drawn.join(sums, "prompt_id").groupBy("rep", "layer").agg(*[F.sum(F.col("k") * F.col(f"{n}{k}")).alias(f"{n}{k}") for k in (0, 1) for n in "nsq"])
+    var = lambda k: (F.col(f"q{k}") - F.col(f"s{k}") ** 2 / F.col(f"n{k}")) / (F.col(f"n{k}") - 1)
+    enough = each.where("n0 >= 2 and n1 >= 2").withColumn("dev", F.sqrt(F.greatest((var(0) + var(1)) / 2, F.lit(0.0)))).where("dev > 0")
+    gap = enough.select("layer", ((F.col("s1") / F.col("n1") - F.col("s0") / F.col("n0")) / F.col("dev")).alias("gap"))
+    return gap.groupBy("layer").agg(F.count("*").alias("n_reps"), F.avg("gap").alias("mean"), F.percentile("gap", 0.025).alias("lo"), F.percentile("gap", 0.975).alias("hi"))
+
+
+def structure(rows: DataFrame, key: str, expected: int) -> DataFrame:
+    """Keys whose number of rows isn't the expected one."""
+    return rows.groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") != expected)
+
+
+def count_matches(one: DataFrame, two: DataFrame, key: str, count: str) -> DataFrame:
+    """How many keys of both sides have equal counts, and their share."""
+    both = one.select(key, F.col(count).alias("a")).join(two.select(key, F.col(count).alias("b")), key)
+    equal = F.col("a") == F.col("b")
+    return both.agg(F.count("*").alias("n"), _n(equal).alias("equal"), F.avg(equal.cast("double")).alias("share"))
+
+
+def version_difference(cells: DataFrame, a: str, b: str, keys: list[str]) -> DataFrame:
+    """Of two versions of the same cells: how many differ, by how much at most and on average, and their correlation."""
+    d = F.abs(F.col(a) - F.col(b))
+    return cells.groupBy(*keys).agg(F.count("*").alias("n"), _n(d > 0).alias("differing"), F.max(d).alias("most"), F.avg(d).alias("mean"), F.corr(a, b).alias("corr"))
+
+
+def asserted_count(rows: DataFrame, expected: int) -> DataFrame:
+    """The rows; the query fails where there aren't as many as expected."""
+    n = rows.agg(F.count("*").alias("_n"))
+    checked = n.select(F.assert_true(F.col("_n") == expected, F.concat(F.lit(f"expected {expected} rows, found "), F.col("_n").cast("string"))).alias("_ok"))
+    return rows.join(F.broadcast(checked)).where(F.col("_ok").isNull()).drop("_ok")  # one row

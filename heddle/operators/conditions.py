@@ -6,6 +6,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from heddle.operators import tensors
+
 
 def joined_channels(a: Column, b: Column, channels: int) -> Column:
     """Two packed tensors of the same layers, layer by layer: the channels of a, then those of b."""
@@ -37,56 +39,36 @@ def adopted(deltas: DataFrame) -> DataFrame:
     return verdict(deltas).select("condition", ((F.col("wins") > 0) & (F.col("losses") == 0)).alias("adopt"))
 
 
-def _moments(train: DataFrame, column: str) -> tuple[int, np.ndarray, np.ndarray]:
-    """Rows, sum and sum of outer products of a vector column; tasks add up their own."""
-
-    def task(frames):
-        import pandas as pd
-
-        n, first, second = 0, 0.0, 0.0
-        for f in frames:
-            if len(f):
-                x = np.stack(f[column].to_numpy()).astype(np.float64)
-                n, first, second = n + len(x), first + x.sum(0), second + x.T @ x
-        if n:
-            yield pd.DataFrame({"i": range(-1, len(first)), "g": [[n, *first.tolist()], *([0.0, *row] for row in np.asarray(second).tolist())]})
+def without_common(rows: DataFrame, train: DataFrame, k: int, layers: int, *, column: str = "features") -> DataFrame:
+    """Takes, in every layer on its own, the k leading principal directions of the training rows out of every row, which isn't centred."""
+    width = len(train.select(column).first()[0]) // layers
+    layer = lambda i: F.slice(column, i * width + 1, F.lit(width))
+    keep = np.zeros((layers * width, layers * width))
+    for i in range(layers):
+        n, first, second = tensors.moments(train.select(layer(i).alias("part")), "part")
+        mean = first / max(1, n)
+        values, vectors = np.linalg.eigh(second / max(1, n) - np.outer(mean, mean))
+        v = vectors[:, np.argsort(-values)[:k]]
+        keep[i * width : (i + 1) * width, i * width : (i + 1) * width] = np.eye(width) - v @ v.T
+    return tensors.times(rows, keep, np.zeros(layers * width), column)
 
-    rows = train.select(column).mapInPandas(task, "i int, g array<double>").select("i", F.posexplode("g").alias("j", "v"))
-    cells = rows.groupBy("i", "j").agg(F.sum("v").alias("v")).collect()  # the width squared
-    width = max((r.i for r in cells), default=-1) + 1
-    out = np.zeros((width + 1, width + 1))
-    for r in cells:
-        out[r.i + 1, r.j] = r.v
-    return int(out[0, 0]), out[0, 1:], out[1:, 1:]
 
-
-def without_common(rows: DataFrame, train: DataFrame, k: int, *, column: str = "features") -> DataFrame:
-    """Takes the k leading principal directions of the training rows out of every row, which isn't centred."""
-    n, first, second = _moments(train, column)
-    mean = first / max(1, n)
-    values, vectors = np.linalg.eigh(second / max(1, n) - np.outer(mean, mean))
-    v = vectors[:, np.argsort(-values)[:k]]
-    keep = np.eye(len(mean)) - v @ v.T
-    return _times(rows, keep, np.zeros(len(mean)), column)
-
-
-def residual(rows: DataFrame, train: DataFrame, base: str, *, column: str = "features", ridge: float = 1.0) -> DataFrame:
-    """What a ridge fit on ``base``, from training rows and with an intercept, leaves of every row."""
+def fused_residual(rows: DataFrame, train: DataFrame, base: str, *, column: str = "features", name: str = "fused") -> DataFrame:
+    """Adds ``name``: the base, then what a least-squares fit on it, from training rows and with an intercept, leaves of the
+    column, scaled by the mean and deviation of what it leaves of the training rows."""
     both = lambda d: d.withColumn("_both", F.concat(base, column))
-    n, first, second = _moments(both(train), "_both")
+    n, first, second = tensors.moments(both(train), "_both")
+    size = len(train.select(base).first()[0])
     mean = first / max(1, n)
-    cov = second - n * np.outer(mean, mean)
-    size = len(rows.select(base).first()[0]) if n else 0
-    w = np.linalg.solve(cov[:size, :size] + ridge * np.eye(size), cov[:size, size:])
+    cov = second / max(1, n) - np.outer(mean, mean)
+    w = np.linalg.lstsq(cov[:size, :size], cov[:size, size:], rcond=None)[0]
     keep = np.concatenate([-w, np.eye(len(mean) - size)])
-    return _times(both(rows), keep, -mean @ keep, "_both", column).drop("_both")
-
-
-def _times(rows: DataFrame, matrix: np.ndarray, shift: np.ndarray, column: str, name: str | None = None) -> DataFrame:
-    @F.pandas_udf("array<double>")
-    def product(x):
-        import pandas as pd
+    dev = np.sqrt(np.maximum(np.diag(keep.T @ cov @ keep), 0)) + 1e-8
+    matrix = np.concatenate([np.eye(len(mean))[:, :size], keep / dev], axis=1)
+    shift = np.concatenate([np.zeros(size), -(mean @ keep) / dev])
+    return tensors.times(both(rows), matrix, shift, "_both", name).drop("_both")
 
-        return pd.Series(list(np.stack(x.to_numpy()).astype(np.float64) @ matrix + shift)) if len(x) else pd.Series([], dtype=object)
 
-    return rows.withColumn(name or column, product(column))
+def not_negative(deltas: DataFrame) -> DataFrame:
+    """The components whose mean paired difference isn't below zero."""
+    return deltas.where("mean >= 0").select("condition")

@@ -4,13 +4,19 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from heddle.functions import columns
+from heddle.operators import ranking, scaling, tensors
+from heddle.sources import views
+from heddle.sources.scratch import stored
+
 
 def _balanced(train: DataFrame) -> DataFrame:
     n = {r.y: r.n for r in train.groupBy("y").agg(F.count("*").alias("n")).collect()}
@@ -20,8 +26,19 @@ def _balanced(train: DataFrame) -> DataFrame:
 
 
 def detector(kind: str, train: DataFrame, *, c: float = 1.0, trees: int = 200, seed: int = 42):
-    """A fitted pipeline on column ``features`` (array) and label y, with balanced class weights."""
-    rows = _balanced(train.withColumn("raw", array_to_vector(F.col("features").cast("array<double>"))))
+    """A fitted pipeline on column ``features`` (array) and label y, with balanced class weights.
+
+    The training rows are read once and kept while the model is fitted.
+    """
+    train = train.select("y", F.col("features").cast("array<double>").alias("features")).persist()
+    try:
+        return _fitted(kind, train, c, trees, seed)
+    finally:
+        train.unpersist()
+
+
+def _fitted(kind: str, train: DataFrame, c: float, trees: int, seed: int):
+    rows = _balanced(train.withColumn("raw", array_to_vector("features")))
     if kind == "logistic":
         stages = [
             StandardScaler(inputCol="raw", outputCol="v", withMean=True),
@@ -44,6 +61,94 @@ def out_of_fold(kind: str, rows: DataFrame, folds: DataFrame, k: int, **options)
     return reduce(DataFrame.unionByName, [scores(detector(kind, dealt.where(F.col("fold") != i), **options), dealt.where(F.col("fold") == i)) for i in range(k)])
 
 
+def scaled_tensors(packed: DataFrame, train: Column, channels: int) -> DataFrame:
+    """The tensors, each channel of a layer scaled by the training rows' median and deviation, and ``fit``, which marks those rows.  Stored."""
+    keys = [c for c in packed.columns if c != "x"]
+    cells = views.unpacked(packed.withColumn("fit", train), channels)
+    scaled = scaling.mad(cells, cells.where("fit"), ["layer", "ch"])
+    at = F.struct("layer", "ch", F.col("scaled").alias("v"))
+    return stored(scaled.groupBy(*keys, "fit").agg(F.transform(F.array_sort(F.collect_list(at)), lambda c: c["v"]).alias("x")), name="tensors")
+
+
+def fold_cores(packed: DataFrame, folds: DataFrame, k: int, shape: tuple[int, int], ranks: tuple[int, int]) -> DataFrame:
+    """Every row once for each fold (fold, fit): the tensor, scaled by the training rows' medians, in the training rows' factors
+    (core), its prompt's mean (centroid) and what is left of it (delta).  ``fit`` marks the training rows.  Stored."""
+    dealt = packed.select("beam_id", "prompt_id", "y", "x").join(folds.withColumnRenamed("fold", "own"), "prompt_id")
+    parts = []
+    for i in range(k):
+        tensor = scaled_tensors(dealt, F.col("own") != i, shape[1])
+        parts.append(tensors.core(tensor, *tensors.hosvd(tensor.where("fit"), *shape, *ranks)).drop("x", "own").withColumn("fold", F.lit(i)))
+    out = stored(reduce(DataFrame.unionByName, parts), name="cores")
+    means = out.select("fold", "prompt_id", F.posexplode("core").alias("j", "v")).groupBy("fold", "prompt_id", "j").agg(F.avg("v").alias("v"))
+    means = means.groupBy("fold", "prompt_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("j", "v"))), lambda p: p["v"]).alias("centroid"))
+    return stored(out.join(means, ["fold", "prompt_id"]).withColumn("delta", F.zip_with("core", "centroid", lambda a, b: a - b)), name="fold-cores")
+
+
+def grouped_evaluation(cores: DataFrame, k: int, features: list[str], kinds: dict[str, dict]) -> DataFrame:
+    """Out-of-fold scores of each detector on each feature of ``fold_cores``: feature, kind, fold, beam_id, prompt_id, y, score.  Stored."""
+    parts = []
+    for feature in features:
+        for i in range(k):
+            here = cores.where(F.col("fold") == i).select("beam_id", "prompt_id", "y", "fold", "fit", F.col(feature).alias("features"))
+            for kind, options in kinds.items():
+                model = detector(kind, here.where("fit"), **options)
+                parts.append(scores(model, here.where("not fit")).select(F.lit(feature).alias("feature"), F.lit(kind).alias("kind"), "fold", "beam_id", "prompt_id", "y", "score"))
+    return stored(reduce(DataFrame.unionByName, parts), name="out-of-fold")
+
+
+def evaluation_summary(found: DataFrame) -> DataFrame:
+    """Of ``grouped_evaluation``: pooled and within-prompt quality, and mean and deviation over folds."""
+    keys = ["feature", "kind"]
+    by_fold = ranking.auroc(found, [*keys, "fold"]).groupBy(*keys).agg(F.avg("auroc").alias("fold_mean"), F.stddev_pop("auroc").alias("fold_std"))
+    pooled = ranking.auroc(found, keys).withColumnRenamed("auroc", "pooled")
+    within = ranking.within_prompt(found, keys).withColumnRenamed("auroc", "within")
+    return pooled.join(within, keys, "left").join(by_fold, keys)
+
+
+def _with_interval(found: DataFrame, key: str, value, reps: int, seed: int) -> DataFrame:
+    point = ranking.auroc(found.withColumn(key, F.lit(value)), [key])
+    return point.join(F.broadcast(ranking.bootstrap(found.select("prompt_id", "y", "score"), reps=reps, seed=seed)))  # one row
+
+
+def split_evaluation(packed: DataFrame, split: DataFrame, shape: tuple[int, int], ranks: tuple[int, int], kinds: dict[str, dict], *, reps: int = 1000, seed: int = 42) -> DataFrame:
+    """Quality on the validation rows of a split (beam_id or prompt_id, part), with its interval over draws of prompts."""
+    key = "beam_id" if "beam_id" in split.columns else "prompt_id"
+    dealt = packed.select("beam_id", "prompt_id", "y", "x").join(split.select(key, "part"), key)
+    tensor = scaled_tensors(dealt, F.col("part") == "train", shape[1])
+    cores = stored(tensors.core(tensor, *tensors.hosvd(tensor.where("fit"), *shape, *ranks)).select("prompt_id", "y", "fit", F.col("core").alias("features")), name="cores")
+    parts = [_with_interval(scores(detector(kind, cores.where("fit"), **options), cores.where("not fit")), "kind", kind, reps, seed) for kind, options in kinds.items()]
+    return stored(reduce(DataFrame.unionByName, parts), name="split-evaluation")
+
+
+def layer_readout(packed: DataFrame, folds: DataFrame, k: int, shape: tuple[int, int], rank: int, *, reps: int = 1000, seed: int = 42) -> DataFrame:
+    """Of each layer on its own: out-of-fold quality of a logistic readout of its core, with an interval over draws of prompts."""
+    layers, channels = shape
+    dealt = packed.select("beam_id", "prompt_id", "y", "x").join(folds, "prompt_id")
+    parts: list[DataFrame] = []
+    for i in range(k):
+        tensor = scaled_tensors(dealt, F.col("fold") != i, channels)
+        for layer in range(layers):
+            one = tensor.withColumn("x", F.slice("x", layer * channels + 1, F.lit(channels)))
+            cores = tensors.core(one, *tensors.hosvd(one.where("fit"), 1, channels, 1, rank)).select("prompt_id", "y", "fit", F.col("core").alias("features"))
+            found = scores(detector("logistic", cores.where("fit")), cores.where("not fit"))
+            parts.append(found.select(F.lit(layer).alias("layer"), "prompt_id", "y", "score"))
+    found = stored(reduce(DataFrame.unionByName, parts), name="layer-scores")
+    by = [_with_interval(found.where(F.col("layer") == layer), "layer", layer, reps, seed) for layer in range(layers)]
+    return stored(reduce(DataFrame.unionByName, by), name="layer-readout")
+
+
+def quadratic_readout(train: DataFrame, rows: DataFrame, *, components: int = 32, c: float = 1.0) -> DataFrame:
+    """Scores of a logistic model on the training rows' principal components and their products; 0.5 with one class alone."""
+    n, first, second = tensors.moments(train, "features")
+    if train.select("y").distinct().count() < 2:
+        return rows.withColumn("score", F.lit(0.5))
+    mean = first / n
+    k = min(components, len(mean), max(1, n - 1))
+    v = tensors._top(second / n - np.outer(mean, mean), k)
+    expand = lambda d: tensors.times(d, v, -mean @ v, "features").withColumn("features", columns.degree2(F.col("features")))
+    return scores(detector("logistic", expand(train), c=c), expand(rows))
+
+
 def centroid_distance(train: DataFrame, rows: DataFrame) -> DataFrame:
     """Distance to the centroid of truthful training rows less that to the other class; above 0 is called y = 1."""
     cells = train.select("y", F.posexplode("features").alias("i", "v"))

@@ -13,7 +13,7 @@ from heddle.functions import ranks
 
 
 def _auroc(counts: DataFrame, keys: list[str]) -> DataFrame:
-    """Numerator and denominator from n1 and n0 by (keys, score)."""
+    """Numerator and denominator from n1 and n0 by (keys, score), where the keys have few scores."""
     below = F.coalesce(F.sum("n0").over(Window.partitionBy(*keys).orderBy("score").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
     parts = counts.withColumn("won", F.col("n1") * (below + F.col("n0") / 2))
     return parts.groupBy(*keys).agg(F.sum("won").alias("won"), (F.sum("n1") * F.sum("n0")).alias("pairs"))
@@ -26,12 +26,17 @@ def _by_score(rows: DataFrame, keys: list[str], weight: Column | None = None) ->
 
 def auroc(rows: DataFrame, keys: list[str]) -> DataFrame:
     """Chance that a positive outscores a negative, ties half; null where a class is missing."""
-    counts, bin_ = ranks.by_range(_by_score(rows, keys), "score")
-    placed = ranks.running_total(counts, keys, "score", bin_, F.col("n0"), "below")
-    parts = placed.groupBy(*keys).agg(F.sum(F.col("n1") * (F.col("below") + F.col("n0") / 2)).alias("won"), (F.sum("n1") * F.sum("n0")).alias("pairs"))
+    parts = _pooled(_by_score(rows, keys), keys)
     return parts.select(*keys, (F.col("won") / F.when(F.col("pairs") > 0, F.col("pairs"))).alias("auroc"))
 
 
+def _pooled(counts: DataFrame, keys: list[str]) -> DataFrame:
+    """As ``_auroc``, for keys with any number of scores."""
+    counts, bin_ = ranks.by_range(counts, "score")
+    placed = ranks.running_total(counts, keys, "score", bin_, F.col("n0"), "below")
+    return placed.groupBy(*keys).agg(F.sum(F.col("n1") * (F.col("below") + F.col("n0") / 2)).alias("won"), (F.sum("n1") * F.sum("n0")).alias("pairs"))
+
+
 def within_prompt(rows: DataFrame, keys: list[str]) -> DataFrame:
     """The same over pairs of one prompt, pooled; with the number of pairs and of mixed prompts."""
     each = _auroc(_by_score(rows, [*keys, "prompt_id"]), [*keys, "prompt_id"]).where("pairs > 0")
@@ -56,20 +61,26 @@ def _replicates(rows: DataFrame, drawn: DataFrame, within: bool) -> DataFrame:
     else:
         counts = _by_score(rows, ["prompt_id"])
         drawn_counts = drawn.join(counts, "prompt_id").groupBy("rep", "score").agg(F.sum(F.col("k") * F.col("n1")).alias("n1"), F.sum(F.col("k") * F.col("n0")).alias("n0"))
-        found = _auroc(drawn_counts, ["rep"])
+        found = _pooled(drawn_counts, ["rep"])
     return found.where("pairs > 0").select("rep", (F.col("won") / F.col("pairs")).alias("auroc"))
 
 
-def bootstrap(rows: DataFrame, *, reps: int = 200, seed: int = 42, within: bool = False) -> DataFrame:
+def bootstrap(rows: DataFrame, *, reps: int = 1000, seed: int = 42, within: bool = False) -> DataFrame:
     """Mean and 95 % interval over draws of prompts; draws with one class are left out."""
     r = _replicates(rows, draws(rows, reps, seed), within)
     return r.agg(F.count("*").alias("n_reps"), F.avg("auroc").alias("mean"), F.percentile("auroc", 0.025).alias("lo"), F.percentile("auroc", 0.975).alias("hi"))
 
 
-def paired_delta(rows: DataFrame, a: str, b: str, *, reps: int = 200, seed: int = 42, within: bool = False) -> DataFrame:
+def paired_delta(rows: DataFrame, a: str, b: str, *, reps: int = 1000, seed: int = 42, within: bool = False) -> DataFrame:
     """Difference of two scores' quality on the same draws, and whether its interval leaves out zero."""
     drawn = draws(rows, reps, seed)
     one, two = (_replicates(rows.drop("score").withColumnRenamed(c, "score") if c != "score" else rows, drawn, within) for c in (a, b))
     d = one.join(two.withColumnRenamed("auroc", "second"), "rep").select((F.col("auroc") - F.col("second")).alias("d"))
     out = d.agg(F.avg("d").alias("mean"), F.percentile("d", 0.025).alias("lo"), F.percentile("d", 0.975).alias("hi"))
     return out.withColumn("excludes_zero", (F.col("lo") > 0) | (F.col("hi") < 0))
+
+
+def paired_delta_over_repeats(rows: DataFrame, a: str, b: str, *, reps: int = 1000, seed: int = 42, within: bool = False) -> DataFrame:
+    """``paired_delta`` of scores from several repeats (a, b and repeat): every repeat's scores stand side by side in one
+    bootstrap, so an answer counts once for each repeat."""
+    return paired_delta(rows.drop("repeat"), a, b, reps=reps, seed=seed, within=within)

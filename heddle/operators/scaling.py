@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from heddle.functions import ranks
+
 
 def _with(cells: DataFrame, params: DataFrame, keys: list[str]) -> DataFrame:
     return cells.join(params, keys)  # one row a channel
@@ -12,20 +14,18 @@ def _with(cells: DataFrame, params: DataFrame, keys: list[str]) -> DataFrame:
 
 def mad(cells: DataFrame, train: DataFrame, keys: list[str]) -> DataFrame:
     """(v - median) / (median absolute deviation + 1e-6)."""
-    mid = train.groupBy(*keys).agg(F.percentile("v", 0.5).alias("mid"))
-    dev = _with(train, mid, keys).groupBy(*keys).agg(F.first("mid").alias("mid"), F.percentile(F.abs(F.col("v") - F.col("mid")), 0.5).alias("dev"))
-    return _with(cells, dev, keys).withColumn("scaled", (F.col("v") - F.col("mid")) / (F.col("dev") + 1e-6)).drop("mid", "dev")
+    mid = ranks.quantiles(train, keys, F.col("v"), {"mid": 0.5})
+    dev = ranks.quantiles(_with(train, mid, keys), keys, F.abs(F.col("v") - F.col("mid")), {"dev": 0.5})
+    return _with(_with(cells, mid, keys), dev, keys).withColumn("scaled", (F.col("v") - F.col("mid")) / (F.col("dev") + 1e-6)).drop("mid", "dev")
 
 
 def winsor_iqr(cells: DataFrame, train: DataFrame, keys: list[str]) -> DataFrame:
     """Clipped to the 0.5 and 99.5 percentiles, then centred and scaled by median and IQR of the clipped values."""
-    edge = train.groupBy(*keys).agg(F.percentile("v", 0.005).alias("lo"), F.percentile("v", 0.995).alias("hi"))
+    edge = ranks.quantiles(train, keys, F.col("v"), {"lo": 0.005, "hi": 0.995})
     clip = F.least(F.greatest(F.col("v"), F.col("lo")), F.col("hi"))
-    fit = _with(train, edge, keys).groupBy(*keys).agg(
-        F.first("lo").alias("lo"), F.first("hi").alias("hi"), F.percentile(clip, 0.5).alias("mid"), (F.percentile(clip, 0.75) - F.percentile(clip, 0.25)).alias("iqr")
-    )
-    scaled = (clip - F.col("mid")) / (F.col("iqr") / 1.349 + 1e-8)
-    return _with(cells, fit, keys).withColumn("scaled", F.least(F.greatest(scaled, F.lit(-6.0)), F.lit(6.0))).drop("lo", "hi", "mid", "iqr")
+    fit = ranks.quantiles(_with(train, edge, keys), keys, clip, {"mid": 0.5, "q1": 0.25, "q3": 0.75})
+    scaled = (clip - F.col("mid")) / ((F.col("q3") - F.col("q1")) / 1.349 + 1e-8)
+    return _with(_with(cells, edge, keys), fit, keys).withColumn("scaled", F.least(F.greatest(scaled, F.lit(-6.0)), F.lit(6.0))).drop("lo", "hi", "mid", "q1", "q3")
 
 
 def zscore(cells: DataFrame, train: DataFrame, keys: list[str]) -> DataFrame:
@@ -39,7 +39,7 @@ def rms_clip(cells: DataFrame, row: list[str], channel: str, q: float = 0.99) ->
     """Rows divided by their root mean square, then clipped at a percentile of each channel's size."""
     rms = F.sqrt(F.avg(F.col("v") ** 2).over(Window.partitionBy(*row)) + 1e-8)
     normed = cells.withColumn("scaled", F.col("v") / rms)
-    edge = normed.groupBy(channel).agg(F.percentile(F.abs("scaled"), q).alias("edge"))
+    edge = ranks.quantiles(normed, [channel], F.abs("scaled"), {"edge": q})
     return normed.join(edge, channel).withColumn("scaled", F.greatest(F.least(F.col("scaled"), F.col("edge")), -F.col("edge"))).drop("edge")
 
 

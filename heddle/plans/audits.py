@@ -4,6 +4,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from heddle.operators import audits, ranking
+from heddle.plans.ranking import _DRAWS, _REPS, _SEED
 from heddle.plans.registry import query
 from heddle.sources import views
 
@@ -42,13 +43,15 @@ def partition_delta(spark, sf):
 
 
 @query(
-    """SELECT count(*) FILTER (a.beam_id IS NOT NULL AND b.beam_id IS NOT NULL) AS matched, count(*) FILTER (b.beam_id IS NULL) AS left_only, count(*) FILTER (a.beam_id IS NULL) AS right_only,
-count(*) FILTER (a.y <> b.y) AS differing FROM (SELECT * FROM beams WHERE beam_id % 7 <> 0) a FULL JOIN (SELECT beam_id, CASE WHEN beam_id % 11 = 0 THEN 1 - y ELSE y END AS y FROM beams WHERE beam_id % 5 <> 0) b ON a.beam_id = b.beam_id"""
+    """SELECT count(*) FILTER (a.doc_id IS NOT NULL AND b.doc_id IS NOT NULL) AS matched, count(*) FILTER (b.doc_id IS NULL) AS left_only, count(*) FILTER (a.doc_id IS NULL) AS right_only,
+count(*) FILTER (a.y <> b.quality) AS differing FROM (SELECT doc_id, CASE WHEN n_chars > 1000 THEN 1 ELSE 0 END AS y FROM documents) a FULL JOIN labels b ON a.doc_id = b.doc_id""",
+    views=False,
 )
 def align_check(spark, sf):
-    b = views.beams(spark, sf).select("beam_id", "y")
-    other = b.where("beam_id % 5 <> 0").withColumn("y", F.when(F.col("beam_id") % 11 == 0, 1 - F.col("y")).otherwise(F.col("y")))
-    return audits.alignment(b.where("beam_id % 7 <> 0"), other, "beam_id", "y")
+    """Documents called good by their length, against those labelled good."""
+    by_length = views.table(spark, sf, "documents").select("doc_id", F.when(F.col("n_chars") > 1000, 1).otherwise(0).alias("y"))
+    labelled = views.table(spark, sf, "labels").select("doc_id", F.col("quality").alias("y"))
+    return audits.alignment(by_length, labelled, "doc_id", "y")
 
 
 @query(
@@ -90,22 +93,35 @@ def gradient_window(spark, sf):
 
 
 @query(
-    f"""WITH {_GAP}, s AS (SELECT max(abs(gap)) - min(abs(gap)) AS span, arg_max(layer, (abs(gap), -layer)) AS peak, arg_max(abs(gap), layer) AS fin, arg_min(abs(gap), layer) AS ini, max(abs(gap)) AS top FROM gaps)
-SELECT peak, CASE WHEN span < 0.05 * top THEN 'flat' WHEN peak = 7 THEN 'rising' WHEN peak = 0 THEN 'falling' WHEN top > 1.1 * greatest(ini, fin) THEN 'peaked' ELSE 'mixed' END AS shape FROM s"""
+    f"""WITH {_GAP}, s AS (SELECT max(gap) - min(gap) AS span, avg(gap) AS mean, arg_max(layer, (gap, -layer)) AS peak, arg_max(gap, layer) AS fin, arg_min(gap, layer) AS ini, max(gap) AS top FROM gaps)
+SELECT peak, CASE WHEN span < 1e-3 OR span < 0.02 * (abs(mean) + 1e-9) THEN 'flat' WHEN peak = 0 THEN 'falling' WHEN peak = 7 THEN 'rising' WHEN top > ini AND top > fin THEN 'peaked' ELSE 'mixed' END AS shape FROM s"""
 )
 def profile_shape(spark, sf):
-    g = F.abs("gap")
-    s = audits.energy_gap(_cells(spark, sf), []).agg(
-        (F.max(g) - F.min(g)).alias("span"), F.max_by("layer", F.struct(g, -F.col("layer"))).alias("peak"), F.max_by(g, "layer").alias("fin"), F.min_by(g, "layer").alias("ini"), F.max(g).alias("top")
-    )
-    shape = (
-        F.when(F.col("span") < 0.05 * F.col("top"), "flat")
-        .when(F.col("peak") == views.LAYERS - 1, "rising")
-        .when(F.col("peak") == 0, "falling")
-        .when(F.col("top") > 1.1 * F.greatest("ini", "fin"), "peaked")
-        .otherwise("mixed")
-    )
-    return s.select("peak", shape.alias("shape"))
+    return audits.profile_shape(audits.energy_gap(_cells(spark, sf), []), "gap")
+
+
+@query(
+    f"""WITH {_DRAWS}, norms AS (SELECT beam_id, prompt_id, y, layer, sqrt(sum(v * v)) AS norm FROM cells GROUP BY ALL), sums AS (SELECT rep, layer, y, sum(k) AS n, sum(k * norm) AS s,
+sum(k * norm * norm) AS q FROM norms JOIN draws USING (prompt_id) GROUP BY ALL), both_ AS (SELECT rep, layer, max(n) FILTER (y = 1) AS n1, max(s) FILTER (y = 1) AS s1, max(q) FILTER (y = 1) AS q1,
+max(n) FILTER (y = 0) AS n0, max(s) FILTER (y = 0) AS s0, max(q) FILTER (y = 0) AS q0 FROM sums GROUP BY ALL), gap AS (SELECT layer, (s1 / n1 - s0 / n0) / sqrt(((q1 - s1 * s1 / n1) / (n1 - 1) +
+(q0 - s0 * s0 / n0) / (n0 - 1)) / 2) AS g FROM both_ WHERE n0 >= 2 AND n1 >= 2)
+SELECT layer, count(*) AS n_reps, avg(g) AS mean, quantile_cont(g, 0.025) AS lo, quantile_cont(g, 0.975) AS hi FROM gap GROUP BY layer""",
+    "mean lo hi",
+)
+def layer_divergence_ci(spark, sf):
+    return audits.energy_gap_interval(_cells(spark, sf), ranking.draws(views.scored(spark, sf), _REPS, _SEED))
+
+
+@query(
+    """SELECT a.layer, count(*) AS n, count(*) FILTER (a.v <> b.v) AS differing, max(abs(a.v - b.v)) AS most, avg(abs(a.v - b.v)) AS mean, corr(a.v, b.v) AS corr
+FROM cells a JOIN cells b ON a.prompt_id = b.prompt_id AND b.beam_idx = 0 AND a.layer = b.layer AND a.ch = b.ch GROUP BY a.layer""",
+    "most mean corr",
+)
+def version_difference(spark, sf):
+    """Every answer's cells against those of its prompt's first answer."""
+    c = _cells(spark, sf)
+    first = c.where("beam_idx = 0").select("prompt_id", "layer", "ch", F.col("v").alias("w"))
+    return audits.version_difference(c.join(first, ["prompt_id", "layer", "ch"]), "v", "w", ["layer"])
 
 
 @query("SELECT layer, ch, share FROM (SELECT layer, ch, avg(CASE WHEN v > 0 THEN 1.0 ELSE 0.0 END) AS share FROM cells WHERE prompt_id % 5 <> 0 GROUP BY ALL) WHERE share BETWEEN 0.4 AND 0.5", "share")
@@ -114,17 +130,17 @@ def bandpass(spark, sf):
 
 
 @query(
-    """SELECT min(t) AS least, max(t) AS most, avg(t) AS mean, quantile_cont(t, 0.05) AS q05, quantile_cont(t, 0.25) AS q25, quantile_cont(t, 0.5) AS q50, quantile_cont(t, 0.75) AS q75, quantile_cont(t, 0.95) AS q95,
-count(*) FILTER (t < 1) AS below_1 FROM (SELECT prompt_id, sum(d * d) AS t FROM (SELECT prompt_id, v - avg(v) OVER (PARTITION BY prompt_id, layer, ch) AS d FROM cells) GROUP BY prompt_id)""",
-    "least most mean q05 q25 q50 q75 q95",
+    """SELECT min(t) AS least, max(t) AS most, avg(t) AS mean, quantile_cont(t, 0.01) AS q01, quantile_cont(t, 0.05) AS q05, quantile_cont(t, 0.25) AS q25, quantile_cont(t, 0.5) AS q50, quantile_cont(t, 0.75) AS q75, quantile_cont(t, 0.95) AS q95, quantile_cont(t, 0.99) AS q99,
+count(*) FILTER (t < 0.01) AS below_2, count(*) FILTER (t < 0.0001) AS below_4, count(*) FILTER (t < 0.000001) AS below_6 FROM (SELECT prompt_id, sum(d * d) AS t FROM (SELECT prompt_id, v - avg(v) OVER (PARTITION BY prompt_id, layer, ch) AS d FROM cells) GROUP BY prompt_id)""",
+    "least most mean q01 q05 q25 q50 q75 q95 q99",
 )
 def trace_distribution(spark, sf):
     from heddle.operators import scaling
 
     t = scaling.centred(_cells(spark, sf), ["prompt_id", "layer", "ch"]).groupBy("prompt_id").agg(F.sum(F.col("delta") ** 2).alias("t"))
-    q = {f"q{int(100 * p):02d}": p for p in (0.05, 0.25, 0.5, 0.75, 0.95)}
+    q = {f"q{int(100 * p):02d}": p for p in (0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99)}
     return t.agg(
-        F.min("t").alias("least"), F.max("t").alias("most"), F.avg("t").alias("mean"), *[F.percentile("t", p).alias(n) for n, p in q.items()], F.sum((F.col("t") < 1).cast("long")).alias("below_1")
+        F.min("t").alias("least"), F.max("t").alias("most"), F.avg("t").alias("mean"), *[F.percentile("t", p).alias(n) for n, p in q.items()], *[F.sum((F.col("t") < 10.0**-n).cast("long")).alias(f"below_{n}") for n in (2, 4, 6)]
     )
 
 
@@ -153,15 +169,22 @@ def best_condition(spark, sf):
     return one.union(two).groupBy("dataset").agg(F.max_by("name", F.struct("auroc", "name")).alias("best"), F.max("auroc").alias("auroc"))
 
 
+_PIECES = " || ':' || ".join(f"coalesce(bit_xor(CAST('0x' || substr(h, {at}, 15) AS BIGINT)), 0)" for at in (1, 16, 31, 46))
+
+
 @query(
-    """SELECT lang, source, count(*) AS n, sha256(string_agg(sha256(doc_id || ':' || coalesce(text, '')), '' ORDER BY doc_id)) AS digest FROM documents GROUP BY lang, source""",
+    f"""SELECT lang, source, count(*) AS n, sha256(count(*) || ':' || {_PIECES} || ':' || CAST(sum(CAST('0x' || substr(h, 59, 6) AS BIGINT)) AS BIGINT)) AS digest
+FROM (SELECT lang, source, sha256(doc_id || ':' || coalesce(text, '')) AS h FROM documents) GROUP BY lang, source""",
     views=False,
 )
 def manifest_hash(spark, sf):
-    """A digest of each part of a table that any change of an id or a text changes."""
-    d = views.table(spark, sf, "documents").select("lang", "source", "doc_id", F.sha2(F.concat_ws(":", "doc_id", F.coalesce("text", F.lit(""))), 256).alias("h"))
-    g = d.groupBy("lang", "source").agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.struct("doc_id", "h"))).alias("x"))
-    return g.select("lang", "source", "n", F.sha2(F.array_join(F.transform("x", lambda r: r["h"]), ""), 256).alias("digest"))
+    """A digest of each part of a table that any change of an id or a text changes, whatever the order of its rows: the rows'
+    hashes are combined bit by bit and by a sum, so no task holds a part's rows."""
+    hashed = F.sha2(F.concat_ws(":", "doc_id", F.coalesce("text", F.lit(""))), 256)
+    d = views.table(spark, sf, "documents").select("lang", "source", hashed.alias("h"))
+    number = lambda at, n: F.conv(F.substring("h", at, n), 16, 10).cast("long")
+    g = d.groupBy("lang", "source").agg(F.count("*").alias("n"), *[F.bit_xor(number(at, 15)).alias(f"x{at}") for at in (1, 16, 31, 46)], F.sum(number(59, 6)).alias("s"))
+    return g.select("lang", "source", "n", F.sha2(F.concat_ws(":", "n", "x1", "x16", "x31", "x46", "s"), 256).alias("digest"))
 
 
 @query("SELECT split_part(source || '-' || lang, '-', 2) AS prefix, count(*) AS n FROM documents WHERE lang IN ('en', 'de') GROUP BY prefix", views=False)

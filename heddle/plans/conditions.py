@@ -83,12 +83,17 @@ def _features(spark, sf):
 @query()
 def remove_common(spark, sf):
     rows = _features(spark, sf)
-    out = conditions.without_common(rows, rows.where("prompt_id % 5 <> 0"), 3)
+    out = conditions.without_common(rows, rows.where("prompt_id % 5 <> 0"), 3, views.LAYERS)
     return out.select("beam_id", F.sqrt(columns.dot(F.col("features"), F.col("features"))).alias("norm"))
 
 
 @query()
 def residual_block(spark, sf):
     rows = _features(spark, sf)
-    out = conditions.residual(rows, rows.where("prompt_id % 5 <> 0"), "base")
-    return out.select("beam_id", F.sqrt(columns.dot(F.col("features"), F.col("features"))).alias("norm"))
+    out = conditions.fused_residual(rows, rows.where("prompt_id % 5 <> 0"), "base")
+    return out.select("beam_id", F.size("fused").alias("n"), F.sqrt(columns.dot(F.col("fused"), F.col("fused"))).alias("norm"))
+
+
+@query(_with_draws(f"SELECT condition FROM ({_DELTAS}) WHERE mean >= 0"))
+def components_kept(spark, sf):
+    return conditions.not_negative(_deltas(spark, sf))

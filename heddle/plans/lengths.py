@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from heddle.functions import columns, ranks
-from heddle.operators import audits, pooling
+from heddle.operators import audits, pooling, splits
 from heddle.plans.registry import query
 from heddle.sources import views
 
@@ -104,11 +104,56 @@ def dedup_first(spark, sf):
     return first.select("conv_id", "turn", F.sha2("question", 256).alias("question_hash"))
 
 
+@query(
+    """WITH RECURSIVE p AS (SELECT conv_id, turn, regexp_extract_all(lower(answer), '[a-z0-9]+') AS c, regexp_extract_all(lower(question), '[a-z0-9]+') AS r FROM samples),
+l AS (SELECT conv_id, turn, c, r, 0 AS i, list_transform(range(len(r) + 1), lambda x: 0) AS row FROM p UNION ALL SELECT conv_id, turn, c, r, i + 1, list_prepend(0, list_transform(range(1, len(r) + 1),
+lambda j: greatest(row[j + 1], coalesce(list_max(list_transform(list_filter(range(1, j + 1), lambda k: r[k] = c[i + 1]), lambda k: row[k] + 1)), 0)))) FROM l WHERE i < len(c))
+SELECT conv_id, turn, CASE WHEN len(c) = 0 OR len(r) = 0 THEN 0.0 ELSE CAST(2 * row[-1] AS DOUBLE) / (len(c) + len(r)) END AS rouge_l FROM l WHERE i = len(c)""",
+    "rouge_l",
+)
 def rouge_l(spark, sf):
-    """ROUGE-L of each answer's first 40 words against its question's."""
+    """ROUGE-L of each answer against its question, of all their words."""
     s = views.samples(spark, sf)
-    cut = lambda c: F.slice(columns.words(F.col(c)), 1, 40)
-    return s.select("conv_id", "turn", columns.rouge_l(cut("answer"), cut("question")).alias("rouge_l"))
+    return s.select("conv_id", "turn", columns.rouge_l(columns.words(F.col("answer")), columns.words(F.col("question"))).alias("rouge_l"))
+
+
+@query("SELECT prompt_id, count(*) AS n FROM judges GROUP BY prompt_id HAVING count(*) <> 10")
+def structure_check(spark, sf):
+    return audits.structure(views.judges(spark, sf), "prompt_id", 10)
+
+
+@query(
+    f"""WITH {_LENGTHS} SELECT count(*) AS n, count(*) FILTER (a.n = b.canonical) AS equal, avg(CASE WHEN a.n = b.canonical THEN 1.0 ELSE 0.0 END) AS share FROM
+(SELECT beam_id, count(*) AS n FROM tokens GROUP BY beam_id) a JOIN lengths b USING (beam_id)""",
+    "share",
+)
+def length_matches(spark, sf):
+    counted = views.tokens(spark, sf).groupBy("beam_id").agg(F.count("*").alias("n"))
+    return audits.count_matches(counted, _lengths(spark, sf).select("beam_id", F.col("canonical").alias("n")), "beam_id", "n")
+
 
+@query("SELECT beam_id FROM (SELECT DISTINCT beam_id FROM tokens) ORDER BY sha256('42:' || beam_id) LIMIT 100")
+def row_subsample(spark, sf):
+    return splits.subsample(views.tokens(spark, sf).select("beam_id").distinct(), "beam_id", 100)
 
-query()(rouge_l)
+
+@query(
+    """WITH RECURSIVE o AS (SELECT beam_id, n, row_number() OVER (ORDER BY sha256('42:' || beam_id)) AS i FROM (SELECT beam_id, count(*) AS n FROM tokens GROUP BY beam_id)),
+g AS (SELECT CAST(0 AS BIGINT) AS i, CAST(NULL AS BIGINT) AS beam_id, CAST(0 AS BIGINT) AS n, CAST(0 AS BIGINT) AS used, false AS taken UNION ALL
+SELECT o.i, o.beam_id, o.n, CASE WHEN used + o.n <= 1000 OR used = 0 THEN used + o.n ELSE used END, used < 1000 AND (used + o.n <= 1000 OR used = 0) FROM g JOIN o ON o.i = g.i + 1)
+SELECT beam_id, n FROM g WHERE taken"""
+)
+def token_budget(spark, sf):
+    """Whole answers in hash order up to a thousand tokens."""
+    n = views.tokens(spark, sf).groupBy("beam_id").agg(F.count("*").alias("n"))
+    return splits.within_budget(n, "beam_id", "n", 1000)
+
+
+@query(
+    """WITH RECURSIVE o AS (SELECT prompt_id, n, row_number() OVER (ORDER BY n DESC, prompt_id) AS i FROM (SELECT prompt_id, count(*) AS n FROM tokens GROUP BY prompt_id)),
+g AS (SELECT CAST(0 AS BIGINT) AS i, CAST(NULL AS BIGINT) AS prompt_id, CAST(0 AS BIGINT) AS size, 0 AS fold, CAST([0, 0, 0, 0, 0] AS BIGINT[]) AS loads UNION ALL
+SELECT o.i, o.prompt_id, o.n, list_position(loads, list_min(loads)) - 1, list_transform(range(1, 6), lambda j: loads[j] + CASE WHEN j = list_position(loads, list_min(loads)) THEN o.n ELSE 0 END)
+FROM g JOIN o ON o.i = g.i + 1) SELECT prompt_id, size, CAST(fold AS INTEGER) AS fold FROM g WHERE i > 0"""
+)
+def size_folds(spark, sf):
+    return splits.folds_by_size(views.tokens(spark, sf))

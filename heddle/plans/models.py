@@ -47,3 +47,47 @@ def transfer_matrix(spark, sf):
         part = ranking.auroc(models.scores(model, cores), ["dataset"]).select(F.lit(source).alias("source"), F.col("dataset").alias("target"), "auroc")
         found = part if found is None else found.union(part)
     return found
+
+
+_SHAPE = (_L, _C)
+_KINDS = {"logistic": {}, "forest": {"trees": 20}}
+
+
+@query()
+def grouped_cv(spark, sf):
+    """Core, prompt mean and difference on grouped folds: pooled, within-prompt and fold-wise quality of both detectors."""
+    b = views.beams(spark, sf)
+    cores = models.fold_cores(b, splits.folds(b), 5, _SHAPE, _RANKS)
+    return models.evaluation_summary(models.grouped_evaluation(cores, 5, ["core", "centroid", "delta"], _KINDS))
+
+
+@query()
+def split_protocol(spark, sf):
+    """Both detectors by question and by answer, with intervals."""
+    b = views.beams(spark, sf)
+    by = {"question": splits.by_question(splits.known_prompts(b)), "answer": splits.by_answer(b)}
+    each = [models.split_evaluation(b, s, _SHAPE, _RANKS, _KINDS).withColumn("protocol", F.lit(name)) for name, s in by.items()]
+    return each[0].unionByName(each[1])
+
+
+@query()
+def seed_protocol(spark, sf):
+    """The split by question under several seeds."""
+    b = views.beams(spark, sf)
+    known, found = splits.known_prompts(b), None
+    for seed in (42, 43, 44):
+        part = models.split_evaluation(b, splits.by_question(known, seed=seed), _SHAPE, _RANKS, {"logistic": {}}, seed=seed).withColumn("seed", F.lit(seed))
+        found = part if found is None else found.unionByName(part)
+    return found
+
+
+@query()
+def layer_readout(spark, sf):
+    b = views.beams(spark, sf)
+    return models.layer_readout(b, splits.folds(b, 3), 3, _SHAPE, 4, reps=200)
+
+
+@query()
+def quadratic_readout(spark, sf):
+    rows = _features(spark, sf)
+    return models.quadratic_readout(rows.where("prompt_id % 5 <> 0"), rows, components=6).select("beam_id", "y", "score")

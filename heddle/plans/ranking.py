@@ -7,7 +7,7 @@ from heddle.plans.registry import query
 from heddle.sources import views
 
 _PAIRS = "sum(CASE WHEN a.score > b.score THEN 1.0 WHEN a.score = b.score THEN 0.5 ELSE 0.0 END)"
-_REPS, _SEED = 50, 42
+_REPS, _SEED = 1000, 42
 _DRAWS = f"""listed AS (SELECT prompt_id, row_number() OVER (ORDER BY prompt_id) - 1 AS i FROM (SELECT DISTINCT prompt_id FROM scored)),
 size AS (SELECT count(*) AS n FROM listed),
 draws AS (SELECT rep, prompt_id, count(*) AS k FROM (SELECT rep, CAST('0x' || substr(sha256('{_SEED}:' || rep || ':' || l.i), 1, 8) AS BIGINT) % n AS i
@@ -84,3 +84,20 @@ def fold_summary(spark, sf):
     each = ranking.auroc(views.scored(spark, sf), ["dataset", "prompt_id"]).where("auroc IS NOT NULL")
     a = F.col("auroc")
     return each.groupBy("dataset").agg(F.avg(a).alias("mean"), F.stddev_pop(a).alias("std"), F.min(a).alias("least"), F.max(a).alias("most"))
+
+
+_REPEATS = """twice AS (SELECT prompt_id, y, score, other FROM scored UNION ALL SELECT prompt_id, y, round(score * 2, 2), round(other * 2, 3) FROM scored)"""
+
+
+@query(
+    f"""WITH {_DRAWS}, {_REPEATS}, each AS (SELECT a.prompt_id, sum(CASE WHEN a.score > b.score THEN 1.0 WHEN a.score = b.score THEN 0.5 ELSE 0.0 END) AS p,
+sum(CASE WHEN a.other > b.other THEN 1.0 WHEN a.other = b.other THEN 0.5 ELSE 0.0 END) AS q, count(*) AS n FROM twice a JOIN twice b ON a.prompt_id = b.prompt_id AND a.y = 1 AND b.y = 0 GROUP BY ALL),
+d AS (SELECT rep, sum(k * k * (p - q)) / sum(k * k * n) AS d FROM draws JOIN each USING (prompt_id) GROUP BY rep)
+SELECT avg(d) AS mean, quantile_cont(d, 0.025) AS lo, quantile_cont(d, 0.975) AS hi, quantile_cont(d, 0.025) > 0 OR quantile_cont(d, 0.975) < 0 AS excludes_zero FROM d""",
+    "mean lo hi",
+)
+def paired_delta_repeats(spark, sf):
+    """Two repeats of each answer's scores, the second of them doubled, in one within-prompt bootstrap."""
+    one = views.scored(spark, sf).withColumn("repeat", F.lit(0))
+    two = one.select("beam_id", "prompt_id", "y", "dataset", F.round(F.col("score") * 2, 2).alias("score"), F.round(F.col("other") * 2, 3).alias("other"), F.lit(1).alias("repeat"))
+    return ranking.paired_delta_over_repeats(one.unionByName(two), "score", "other", reps=_REPS, seed=_SEED, within=True)

@@ -82,3 +82,10 @@ def leak_audit_question(spark, sf):
     rows = _rows(spark, sf)
     known = splits.known_prompts(rows)
     return splits.audit(rows.join(splits.by_question(known), "prompt_id"), known)
+
+
+@query(
+    """SELECT prompt_id, CASE WHEN row_number() OVER (ORDER BY sha256('42:' || prompt_id)) <= floor(0.75 * count(*) OVER ()) THEN 'train' ELSE 'valid' END AS part FROM (SELECT DISTINCT prompt_id FROM beams)"""
+)
+def split_any_question(spark, sf):
+    return splits.by_any_question(_rows(spark, sf))

@@ -13,13 +13,12 @@ _L, _C, _RANKS = views.LAYERS, views.CHANNELS, (3, 4)
 
 @query("SELECT a.layer AS i, b.layer AS j, sum(a.v * b.v) AS g FROM cells a JOIN cells b ON a.beam_id = b.beam_id AND a.ch = b.ch GROUP BY ALL", "g")
 def gram_layer(spark, sf):
-    return tensors.gram(views.unpacked(views.beams(spark, sf)), "layer", "ch")
+    return tensors.grams(views.beams(spark, sf), (_L, _C)).where("mode = 0").drop("mode")
 
 
 @query("SELECT a.ch AS i, b.ch AS j, sum(a.v * b.v) AS g FROM cells a JOIN cells b ON a.beam_id = b.beam_id AND a.layer = b.layer GROUP BY ALL", "g")
 def gram_channel(spark, sf):
-    g = tensors.gram(views.unpacked(views.beams(spark, sf)), "ch", "layer")
-    return g.select(F.col("i").cast("int").alias("i"), F.col("j").cast("int").alias("j"), "g")
+    return tensors.grams(views.beams(spark, sf), (_L, _C)).where("mode = 1").drop("mode")
 
 
 @query(
@@ -95,15 +94,76 @@ def q_statistic(spark, sf):
 
 @query()
 def contrast_block(spark, sf):
-    return tensors.contrast(views.beams(spark, sf))
+    """On cores in the training rows' factors; the principal directions are those of the training rows' differences."""
+    b, u_l, u_c = _factors(spark, sf)
+    return tensors.contrast(tensors.core(b, u_l, u_c), F.col("prompt_id") % 5 != 0)
+
+
+def _channel_factors(spark, sf, modulus):
+    b = views.beams(spark, sf)
+    return [tensors.hosvd(b.where(f"prompt_id % {modulus} = {i}"), _L, _C, *_RANKS)[1] for i in range(modulus)]
 
 
 @query()
 def principal_angles(spark, sf):
     """Angles between the channel factors of two halves of the prompts, beside those of random subspaces."""
-    b = views.beams(spark, sf)
-    one, two = (tensors.hosvd(b.where(f"prompt_id % 2 = {i}"), _L, _C, *_RANKS)[1] for i in (0, 1))
-    rng = np.random.default_rng(0)
-    null = tensors.principal_angles(*(np.linalg.qr(rng.standard_normal((_C, _RANKS[1])))[0] for _ in range(2)))
-    rows = [(i, float(c), float(n)) for i, (c, n) in enumerate(zip(tensors.principal_angles(one, two), null, strict=True))]
+    cosines = tensors.principal_angles(*_channel_factors(spark, sf, 2))
+    null = tensors.random_angles(_C, _RANKS[1])
+    rows = [(i, float(c), float(n)) for i, (c, n) in enumerate(zip(cosines, null, strict=True))]
     return spark.createDataFrame(rows, "i int, cosine double, random double")
+
+
+@query()
+def subspace_stability(spark, sf):
+    """Of each pair of datasets: the mean cosine of their channel factors' angles, how many directions they share, and how many random ones would."""
+    u = _channel_factors(spark, sf, 3)
+    null = tensors.shared_directions(tensors.random_angles(_C, _RANKS[1]))
+    cosines = {(i, j): tensors.principal_angles(u[i], u[j]) for i in range(3) for j in range(3)}
+    rows = [(i, j, float(c.mean()), tensors.shared_directions(c), null) for (i, j), c in cosines.items()]
+    return spark.createDataFrame(rows, "a int, b int, mean double, shared int, random int")
+
+
+@query()
+def hosvd_random(spark, sf):
+    """Cores in the factors of the randomised route."""
+    b = views.beams(spark, sf)
+    u = tensors.hosvd_randomised(b.where("prompt_id % 5 <> 0"), _L, _C, *_RANKS)
+    return tensors.core(b, *u).select("beam_id", "core")
+
+
+@query()
+def head_tucker(spark, sf):
+    """Cores of three modes: layers, heads and the channels of a head."""
+    b = views.beams(spark, sf)
+    u_l, u_h, u_c = tensors.tucker(b.where("prompt_id % 5 <> 0"), (_L, 2, _C // 2), (3, 2, 2))
+    return tensors.core(b, u_l, np.kron(u_h, u_c)).select("beam_id", "core")
+
+
+@query()
+def spectral_concentration(spark, sf):
+    b, u_l, u_c = _factors(spark, sf)
+    return tensors.spectral_concentration(tensors.core(b, u_l, u_c), *_RANKS, "core", leading=2).select("beam_id", "concentration")
+
+
+@query()
+def state_projection(spark, sf):
+    """Tensors in the trailing directions of the matrix that they make, and their size."""
+    b = views.beams(spark, sf)
+    band, _, _ = tensors.basis_of_rows(b, _L * _C, 8, 8)
+    z = tensors.projected(b, band)
+    return z.select("beam_id", "rms", F.sqrt(columns.dot(F.col("z"), F.col("z"))).alias("inside"))
+
+
+@query()
+def spectral_invariants(spark, sf):
+    """Of each prompt's answers taken as the states of one trajectory."""
+    return tensors.spectral_invariants(views.beams(spark, sf).withColumnRenamed("beam_idx", "pos"), "prompt_id")
+
+
+@query()
+def block_terms(spark, sf):
+    """Two streams: the channels of the training rows' factor, and the rest."""
+    b, _, u_c = _factors(spark, sf)
+    p = u_c @ u_c.T
+    found = tensors.block_terms(b, "prompt_id", {"inside": (p, 3, 4), "outside": (np.eye(_C) - p, 3, 2)}, _L, _C)
+    return found.select("prompt_id", "inside_rest", "outside_rest", F.size("inside_core").alias("n_inside"), F.size("outside_core").alias("n_outside"))

@@ -1,10 +1,12 @@
 """Properties of the operators that SQL can't express, against numpy on small data."""
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from heddle.functions import ranks
-from heddle.operators import conditions, models, ranking, splits, tensors
+from heddle.operators import audits, models, ranking, splits, tensors
+from heddle.sources import records
 
 RNG = np.random.default_rng(5)
 L, C = 4, 6
@@ -67,15 +69,39 @@ def test_question_split_never_straddles(spark):
     assert len({r.prompt_id for r in folds}) == len(folds) and {r.fold for r in folds} == set(range(5))
 
 
-def test_common_directions_and_residuals(spark):
-    x, df = tensors_of(spark)
-    flat = df.withColumnRenamed("x", "features").withColumn("base", F.slice("features", 1, 3))
-    got = {r.beam_id: np.array(r.features) for r in conditions.without_common(flat, flat, 2).collect()}
-    z = x.reshape(len(x), -1)
-    v = np.linalg.eigh(np.cov(z.T, bias=True))[1][:, ::-1][:, :2]
-    assert all(np.allclose(got[i], z[i] - z[i] @ v @ v.T) for i in got)
-    left = {r.beam_id: np.array(r.features) for r in conditions.residual(flat, flat, "base", ridge=1e-9).collect()}
-    assert all(np.allclose(left[i][:3], 0, atol=1e-6) for i in left)
+def test_quantiles_do_not_depend_on_their_route(spark):
+    rng = np.random.default_rng(4)
+    rows = [(int(k), float(v)) for k in range(3) for v in [*rng.normal(0, 1e6 if k else 1, 300), *([0.25] * 200), 1e12]] + [(7, 1.5), (8, None)]
+    df = spark.createDataFrame(rows, "k int, v double")
+    shares = {"a": 0.0, "b": 0.005, "c": 0.5, "d": 0.995, "e": 1.0}
+    one = {r.k: r for r in ranks.quantiles(df, ["k"], F.col("v"), shares).collect()}
+    two = {r.k: r for r in ranks._binned_quantiles(df, ["k"], F.col("v"), shares).collect()}
+    assert set(one) == set(two) == {0, 1, 2, 7}
+    for k in one:
+        want = np.quantile([v for i, v in rows if i == k], list(shares.values()))
+        assert np.allclose(one[k][1:], want) and np.allclose(two[k][1:], want)
+
+
+def test_folds_by_size_and_budget(spark):
+    rng = np.random.default_rng(5)
+    sizes = {p: int(rng.choice([1, 2, 3, 7, 40])) for p in range(60)}
+    rows = spark.createDataFrame([(p, i) for p, n in sizes.items() for i in range(n)], "prompt_id long, i int")
+    loads, want = [0] * 4, {}
+    for p in sorted(sizes, key=lambda p: (-sizes[p], p)):
+        want[p] = loads.index(min(loads))
+        loads[want[p]] += sizes[p]
+    assert {r.prompt_id: r.fold for r in splits.folds_by_size(rows, 4).collect()} == want
+
+
+def test_checks_and_records(spark, tmp_path):
+    rows = spark.createDataFrame([(1, 10, True), (1, 11, False), (2, 20, True)], "prompt_id long, beam_id long, ours boolean")
+    assert audits.asserted_count(rows, 3).count() == 3
+    with pytest.raises(Exception, match="expected 4 rows, found 3"):
+        audits.asserted_count(rows, 4).collect()
+    nested = records.nested(rows, "ours")
+    records.write(nested, str(tmp_path / "records"))
+    back = records.flattened(records.read(spark, str(tmp_path / "records")))
+    assert sorted(map(tuple, back.select("ind", "beam_id", "is_correct").collect())) == [(1, 10, True), (1, 11, False), (2, 20, True)]
 
 
 def test_planted_signal_is_found(spark):

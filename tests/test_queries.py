@@ -1,4 +1,4 @@
-"""Every registered query of the operators against DuckDB over the same tables, or its rows alone."""
+"""Every registered query that SQL can express against DuckDB over the same tables; test_numeric.py has the others."""
 
 import math
 import os
@@ -9,7 +9,6 @@ import pytest
 from heddle import catalog
 
 SF = "/root/testdata/sf0.001"
-SLOW = {"lr_oof", "rf_oof", "transfer_matrix"}
 
 
 @pytest.fixture(scope="module")
@@ -39,6 +38,6 @@ def test_equals_sql(spark, duck, name):
     assert table(got.columns, got.collect()) == table([d[0] for d in want.description], want.fetchall())
 
 
-@pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - set(catalog.ORACLE_SQL) - SLOW))
-def test_has_rows(spark, name):
-    assert catalog.QUERIES[name](spark, SF).count() > 0
+def test_the_others_are_held_against_numpy():
+    text = open(os.path.join(os.path.dirname(__file__), "test_numeric.py")).read()
+    assert not [n for n in set(catalog.QUERIES) - set(catalog.ORACLE_SQL) if f'"{n}"' not in text]
