@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-from weakref import WeakKeyDictionary
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from heddle.sources.scratch import discard, stored
+
+__all__ = ["discard", "stored"]
+
 #: The word pattern of the contracts: runs of anything but ASCII white space.
 ASCII_SPACE = "\x09\x0a\x0b\x0c\x0d\x20"
 
@@ -37,55 +37,6 @@ def fold(doc_id: str = "doc_id", folds: int = 5) -> Column:
     return (F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit(""))) % folds).cast("int")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of the session's spark.checkpoint.dir; where none is set, a local session gets its own and others fail."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        found = tempfile.mkdtemp(prefix="heddle-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found
-
-
-#: Has Spark delete a query's shuffle files when the query ends.
-_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-_paths: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
-
-
-def stored(df: DataFrame, *, name: str) -> DataFrame:
-    """``df`` written once as Parquet in the shared folder and read back, which cuts its lineage.
-
-    The shuffle files of the write go when it ends, as nothing reads them again; the table goes when the
-    application ends, or by ``discard``.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    before = spark.conf.get(_CLEANUP, "false")
-    spark.conf.set(_CLEANUP, "true")
-    try:
-        df.write.parquet(path)
-    finally:
-        spark.conf.set(_CLEANUP, before)
-    files, folder = _folder(spark, path)
-    files.deleteOnExit(folder)
-    out = spark.read.schema(df.schema).parquet(path)
-    _paths[out] = path
-    return out
-
-
-def discard(*tables: DataFrame) -> None:
-    """Deletes stored tables that nothing reads any more."""
-    for t in tables:
-        files, folder = _folder(t.sparkSession, _paths.pop(t))
-        files.delete(folder, True)
-
-
-def _folder(spark: SparkSession, path: str):
-    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), folder
-
-
 def ascii_lower(text: str) -> str:
     """A-Z in lower case, every other character as it is."""
     return text.lower() if text.isascii() else text.translate(_LOWER)
