@@ -32,6 +32,7 @@ NEIGHBOURS, ROUNDS = 128, 2
 END = b" "  # no word holds a space
 PAD = TOP + ENDINGS
 SYMBOLS = PAD + 1
+NEW = 1 << 40
 
 
 def key_of(word: bytes) -> int:
@@ -44,6 +45,19 @@ def ending_of(word: bytes) -> int:
     return zlib.crc32(word.rstrip(b".,;:!?*&#|")[-3:]) % ENDINGS
 
 
+class Codes(dict):
+    """Codes of words; a word met first gets NEW and its place in ``new`` until it has its own."""
+
+    def __init__(self):
+        super().__init__()
+        self.new: list[bytes] = []
+
+    def __missing__(self, word: bytes) -> int:
+        code = self[word] = NEW + len(self.new)
+        self.new.append(word)
+        return code
+
+
 @dataclass
 class Parameters:
     r: np.ndarray
@@ -74,7 +88,7 @@ class Model:
     #: How often each symbol stands in the training texts.
     times: np.ndarray
     parameters: Parameters | None = None
-    _codes: dict[bytes, int] | None = field(default=None, repr=False)
+    _codes: Codes | None = field(default=None, repr=False)
     _tail: list[tuple[int, int]] = field(default_factory=list, repr=False)
 
     def base(self, n):
@@ -83,20 +97,20 @@ class Model:
     def codes(self, words: list[bytes]) -> np.ndarray:
         """Places in ``head``, or -1 less a place in the worker's list of other words."""
         if self._codes is None or len(self._codes) > CACHE_WORDS:
-            self._codes, self._tail = {}, []
+            self._codes, self._tail = Codes(), []
         known = self._codes
-        new = [w for w in set(words) if w not in known]
+        codes = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
+        new, known.new = known.new, []
         if new:
             keys = np.array([key_of(w) for w in new])
             at = np.searchsorted(self.head, keys)
             hit = (at < len(self.head)) & (self.head[np.minimum(at, max(0, len(self.head) - 1))] == keys) if len(self.head) else np.zeros(len(new), bool)
-            for w, k, a, h in zip(new, keys.tolist(), at.tolist(), hit.tolist(), strict=True):
-                if h:
-                    known[w] = a
-                else:
-                    self._tail.append((k, TOP + ending_of(w)))
-                    known[w] = -len(self._tail)
-        return np.fromiter(map(known.__getitem__, words), np.int64, len(words))
+            found = np.where(hit, at, -1 - len(self._tail) - np.cumsum(~hit) + 1)
+            self._tail += [(k, TOP + ending_of(w)) for w, k, h in zip(new, keys.tolist(), hit.tolist(), strict=True) if not h]
+            known.update(zip(new, found.tolist(), strict=True))
+            fresh = codes >= NEW
+            codes[fresh] = found[codes[fresh] - NEW]
+        return codes
 
     def symbols(self, codes: np.ndarray) -> np.ndarray:
         out = np.empty(len(codes), np.int64)
@@ -138,11 +152,13 @@ def log_classes(p: Parameters, contexts: np.ndarray, classes: np.ndarray, table:
         part = contexts[at : at + 4096]
         h = table[0][part[:, 0]]
         for i in range(1, CONTEXT):
-            h = h + table[i][part[:, i]]
-        s = h @ p.q.T + p.b
+            h += table[i][part[:, i]]
+        s = h @ p.q.T
+        s += p.b
         s -= s.max(1, keepdims=True)
         own = s[np.arange(len(part)), classes[at : at + 4096]]
-        out[at : at + 4096] = (own - np.log(np.exp(s).sum(1, dtype=np.float64))) / math.log(10)
+        np.exp(s, out=s)
+        out[at : at + 4096] = (own - np.log(s @ np.ones(CLASSES, np.float32))) / math.log(10)
     return out
 
 
@@ -151,33 +167,45 @@ def tables(p: Parameters) -> np.ndarray:
     return np.stack([p.r @ p.c[i] for i in range(CONTEXT)])
 
 
+def summed(keys: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct keys in order, the sums of their rows, and how many each has."""
+    order = np.argsort(keys.astype(np.uint16), kind="stable")  # SYMBOLS fit 16 bits, which numpy sorts by radix
+    keys = keys[order]
+    starts = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+    return keys[starts], np.add.reduceat(rows[order], starts, axis=0), np.diff(starts, append=len(keys))
+
+
+def adagrad(value: np.ndarray, past: np.ndarray, step: np.ndarray, rate: float, at=...) -> None:
+    past[at] += step * step
+    value[at] += rate * step / np.sqrt(past[at])
+
+
 def train(p: Parameters, contexts: np.ndarray, classes: np.ndarray, noise: np.ndarray, rng, seen: np.ndarray, state: dict, batch: int = 512, rate: float = 0.1) -> None:
-    """One pass of noise-contrastive estimation with AdaGrad steps, in place."""
-    edges, log_noise = np.cumsum(noise), np.log(NOISE * noise).astype(np.float32)
+    """One pass of noise-contrastive estimation with AdaGrad steps, in place.
+
+    All classes have their scores, so the noise counts by its expectation, NOISE times a class's probability, not by draws.
+    """
+    if not state:
+        state |= {name: np.full_like(getattr(p, name), 1e-2) for name in ("r", "c", "q", "b")}
+    expected = (NOISE * noise).astype(np.float32)
+    log_noise = np.log(expected)
     for at in range(0, len(contexts), batch):
         x, y = contexts[at : at + batch], classes[at : at + batch]
         rows = np.arange(len(x))
-        r = p.r[x]
-        h = sum(r[:, i] @ p.c[i] for i in range(CONTEXT))
-        drawn = np.minimum(np.searchsorted(edges, rng.random((len(x), NOISE))), CLASSES - 1)
+        r = p.r[x.T]
+        h = r[0] @ p.c[0]
+        for i in range(1, CONTEXT):
+            h += r[i] @ p.c[i]
         odds = 1 / (1 + np.exp(np.clip(log_noise - (h @ p.q.T + p.b), -30, 30)))
-        times = np.bincount((rows[:, None] * CLASSES + drawn).ravel(), minlength=len(x) * CLASSES).reshape(len(x), CLASSES)
-        g = (-odds * times).astype(np.float32)
+        g = -odds * expected
         g[rows, y] += 1 - odds[rows, y]
         dh = g @ p.q
-        met, place = np.unique(x, return_inverse=True)  # the other symbols don't move
-        place, dr = place.reshape(x.shape), np.zeros((len(met), DIMS), np.float32)
-        for i in range(CONTEXT):
-            np.add.at(dr, place[:, i], dh @ p.c[i].T)
-        moves = {"c": np.stack([r[:, i].T @ dh for i in range(CONTEXT)]), "q": g.T @ h, "b": g.sum(0)}
-        for name, d in moves.items():
-            past = state.setdefault(name, np.full_like(d, 1e-2))
-            past += d * d
-            getattr(p, name)[...] += rate * d / np.sqrt(past)
-        past = state.setdefault("r", np.full_like(p.r, 1e-2))
-        past[met] += dr * dr
-        p.r[met] += rate * dr / np.sqrt(past[met])
-        seen += np.bincount(x.ravel(), minlength=SYMBOLS)
+        met, dr, times = summed(x.T.ravel(), np.concatenate([dh @ p.c[i].T for i in range(CONTEXT)]))  # the other symbols don't move
+        adagrad(p.c, state["c"], np.stack([r[i].T @ dh for i in range(CONTEXT)]), rate)
+        adagrad(p.q, state["q"], g.T @ h, rate)
+        adagrad(p.b, state["b"], g.sum(0), rate)
+        adagrad(p.r, state["r"], dr, rate, met)
+        seen[met] += times
 
 
 def _counts(texts: DataFrame) -> DataFrame:
