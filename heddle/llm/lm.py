@@ -1,10 +1,10 @@
 """Scores from a log-bilinear neural language model, trained in numpy with noise-contrastive estimation.
 
 Words have symbols: the most frequent ones their own, the others that of their ending.  Symbols
-fall into classes by the company they keep.  The model predicts the class of a word from the symbols
-before it: their vectors, through a matrix for each place, add up to a prediction that is multiplied with the
-class vectors and normalised over all classes.  A word's probability is its class's times its share
-of the class, which comes from exact counts over all training tokens.  Texts are read twice, to count
+fall into classes by the company they keep.  The symbols before a word, their vectors, through a matrix for
+each place, add up to a prediction.  It is multiplied with the class vectors and normalised over all classes, and with
+the vectors of the class's symbols, beside their shares, and normalised over these; the product is
+a symbol's probability.  Words that share a symbol have their shares of it by exact counts over all training tokens.  Texts are read twice, to count
 and to encode; training and scoring go over the stored symbols.  Each task trains on its
 own documents and the parameters are averaged, weighed by how often a task met a symbol.
 
@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import math
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 
 from heddle.llm.common import ascii_word_bytes, batch_of, ddl, fold, stored
 
-CONTEXT, DIMS, CLASSES, NOISE = 3, 16, 64, 8
+CONTEXT, DIMS, CLASSES, NOISE, DRAWS = 3, 16, 64, 8, 2
 #: Words with a symbol, symbols of endings, words whose counts are broadcast, words remembered by a worker.
 TOP, ENDINGS, HEAD, CACHE_WORDS = 4_000, 1_024, 200_000, 600_000
 #: Neighbours that tell symbols apart, and training rounds, which share out all positions.
@@ -41,6 +42,13 @@ def key_of(word: bytes) -> int:
     return xxhash.xxh3_64_intdigest(word) - (1 << 63)
 
 
+def keys_of(words: list[bytes]) -> np.ndarray:
+    """``key_of`` each word."""
+    import xxhash
+
+    return (np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words)) ^ np.uint64(1 << 63)).view(np.int64)
+
+
 def ending_of(word: bytes) -> int:
     return zlib.crc32(word.rstrip(b".,;:!?*&#|")[-3:]) % ENDINGS
 
@@ -64,12 +72,48 @@ class Parameters:
     c: np.ndarray
     q: np.ndarray
     b: np.ndarray
+    #: Vectors of symbols among their class's, beside their shares.
+    u: np.ndarray
 
     @classmethod
     def start(cls, prior: np.ndarray) -> Parameters:
         rng = np.random.default_rng(7)
         f = lambda *s: rng.normal(0, 0.1, s).astype(np.float32)
-        return cls(f(SYMBOLS, DIMS), np.stack([np.eye(DIMS, dtype=np.float32)] * CONTEXT), f(CLASSES, DIMS), np.log(prior).astype(np.float32))
+        return cls(f(SYMBOLS, DIMS), np.stack([np.eye(DIMS, dtype=np.float32)] * CONTEXT), f(CLASSES, DIMS), np.log(prior).astype(np.float32), np.zeros((SYMBOLS, DIMS), np.float32))
+
+    def copy(self) -> Parameters:
+        return Parameters(*(v.copy() for v in (self.r, self.c, self.q, self.b, self.u)))
+
+
+class Members:
+    """The symbols of each class, their shares, and draws by these shares in constant time (alias tables)."""
+
+    def __init__(self, classes: np.ndarray, share: np.ndarray):
+        self.classes, self.order = classes, np.argsort(classes, kind="stable")
+        self.first = np.searchsorted(classes[self.order], np.arange(CLASSES + 1))
+        self.size = np.diff(self.first)
+        self.place = np.empty(SYMBOLS, np.int64)
+        self.place[self.order] = np.arange(SYMBOLS) - self.first[classes[self.order]]
+        self.log_share = (share * math.log(10)).astype(np.float32)
+        self.keep, self.other = np.ones(SYMBOLS), np.arange(SYMBOLS)
+        for c in range(CLASSES):
+            a, n = self.first[c], self.size[c]
+            left = 10 ** share[self.order[a : a + n]] * n
+            small, large = ([i for i in range(n) if (left[i] < 1) == low] for low in (True, False))
+            while small and large:
+                i, j = small.pop(), large[-1]
+                self.keep[a + i], self.other[a + i] = left[i], a + j
+                left[j] -= 1 - left[i]
+                if left[j] < 1:
+                    small.append(large.pop())
+
+    def draw(self, classes: np.ndarray, rng) -> np.ndarray:
+        """DRAWS symbols of each class by their shares."""
+        at = rng.random((len(classes), DRAWS)) * self.size[classes][:, None]
+        slot = at.astype(np.int64)
+        at -= slot
+        slot += self.first[classes][:, None]
+        return self.order[np.where(at < self.keep[slot], slot, self.other[slot])]
 
 
 @dataclass
@@ -102,7 +146,7 @@ class Model:
         codes = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
         new, known.new = known.new, []
         if new:
-            keys = np.array([key_of(w) for w in new])
+            keys = keys_of(new)
             at = np.searchsorted(self.head, keys)
             hit = (at < len(self.head)) & (self.head[np.minimum(at, max(0, len(self.head) - 1))] == keys) if len(self.head) else np.zeros(len(new), bool)
             found = np.where(hit, at, -1 - len(self._tail) - np.cumsum(~hit) + 1)
@@ -144,16 +188,13 @@ def contexts_of(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     return symbols, contexts, starts
 
 
-def log_classes(p: Parameters, contexts: np.ndarray, classes: np.ndarray, table: np.ndarray | None = None) -> np.ndarray:
+def log_classes(p: Parameters, contexts: np.ndarray, classes: np.ndarray, h: np.ndarray | None = None) -> np.ndarray:
     """log10 of the normalised probability of each class, in blocks of matrix products."""
-    table = tables(p) if table is None else table
+    h = predicted(tables(p), contexts) if h is None else h
     out = np.empty(len(contexts))
     for at in range(0, len(contexts), 4096):
-        part = contexts[at : at + 4096]
-        h = table[0][part[:, 0]]
-        for i in range(1, CONTEXT):
-            h += table[i][part[:, i]]
-        s = h @ p.q.T
+        part = h[at : at + 4096]
+        s = part @ p.q.T
         s += p.b
         s -= s.max(1, keepdims=True)
         own = s[np.arange(len(part)), classes[at : at + 4096]]
@@ -162,6 +203,32 @@ def log_classes(p: Parameters, contexts: np.ndarray, classes: np.ndarray, table:
     return out
 
 
+def predicted(table: np.ndarray, contexts: np.ndarray) -> np.ndarray:
+    h = table[0][contexts[:, 0]]
+    for i in range(1, CONTEXT):
+        h += table[i][contexts[:, i]]
+    return h
+
+
+def log_members(p: Parameters, h: np.ndarray, symbols: np.ndarray, members: Members) -> np.ndarray:
+    """log10 of each symbol's probability given its class, normalised over the class, in a matrix product a class."""
+    out = np.empty(len(symbols))
+    own = members.classes[symbols]
+    order = np.argsort(own.astype(np.uint16), kind="stable")
+    ends = np.searchsorted(own[order], np.arange(CLASSES + 1))
+    for c in range(CLASSES):
+        among = members.order[members.first[c] : members.first[c + 1]]
+        for at in range(ends[c], ends[c + 1], 2048):
+            rows = order[at : min(at + 2048, ends[c + 1])]
+            s = h[rows] @ p.u[among].T
+            s += members.log_share[among]
+            s -= s.max(1, keepdims=True)
+            one = s[np.arange(len(rows)), members.place[symbols[rows]]]
+            np.exp(s, out=s)
+            out[rows] = (one - np.log(s @ np.ones(len(among), np.float32))) / math.log(10)
+    return out
+
+
 def tables(p: Parameters) -> np.ndarray:
     """Each symbol's part of a prediction, by place."""
     return np.stack([p.r @ p.c[i] for i in range(CONTEXT)])
@@ -175,18 +242,30 @@ def summed(keys: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return keys[starts], np.add.reduceat(rows[order], starts, axis=0), np.diff(starts, append=len(keys))
 
 
+def sigmoid(x: np.ndarray) -> None:
+    """1 / (1 + exp(x)), in place."""
+    np.minimum(x, 30, out=x)
+    np.exp(x, out=x)
+    x += 1
+    np.reciprocal(x, out=x)
+
+
 def adagrad(value: np.ndarray, past: np.ndarray, step: np.ndarray, rate: float, at=...) -> None:
-    past[at] += step * step
-    value[at] += rate * step / np.sqrt(past[at])
+    total = past[at] + step * step
+    past[at] = total
+    np.sqrt(total, out=total)
+    value[at] += rate * step / total
 
 
-def train(p: Parameters, contexts: np.ndarray, classes: np.ndarray, noise: np.ndarray, rng, seen: np.ndarray, state: dict, batch: int = 512, rate: float = 0.1) -> None:
+def train(p: Parameters, contexts: np.ndarray, classes: np.ndarray, noise: np.ndarray, rng, seen: np.ndarray, state: dict, batch: int = 512, rate: float = 0.1, words: tuple | None = None) -> None:
     """One pass of noise-contrastive estimation with AdaGrad steps, in place.
 
-    All classes have their scores, so the noise counts by its expectation, NOISE times a class's probability, not by draws.
+    All classes have their scores, so the noise counts by its expectation, NOISE times a class's probability, not by
+    draws.  ``words`` are the symbols that follow, the members of the classes and how often a symbol's
+    vector has moved: a symbol is told from DRAWS others of its class, drawn by their shares.
     """
     if not state:
-        state |= {name: np.full_like(getattr(p, name), 1e-2) for name in ("r", "c", "q", "b")}
+        state |= {name: np.full_like(getattr(p, name), 1e-2) for name in ("r", "c", "q", "b", "u")}
     expected = (NOISE * noise).astype(np.float32)
     log_noise = np.log(expected)
     for at in range(0, len(contexts), batch):
@@ -196,10 +275,24 @@ def train(p: Parameters, contexts: np.ndarray, classes: np.ndarray, noise: np.nd
         h = r[0] @ p.c[0]
         for i in range(1, CONTEXT):
             h += r[i] @ p.c[i]
-        odds = 1 / (1 + np.exp(np.clip(log_noise - (h @ p.q.T + p.b), -30, 30)))
-        g = -odds * expected
+        odds = h @ -p.q.T
+        odds += log_noise - p.b
+        sigmoid(odds)
+        g = odds * -expected
         g[rows, y] += 1 - odds[rows, y]
         dh = g @ p.q
+        if words is not None:
+            symbols, members, moved = words
+            both = np.concatenate([symbols[at : at + batch, None], members.draw(y, rng)], 1)
+            u = p.u[both]
+            own = math.log(DRAWS) - np.einsum("nkd,nd->nk", u, h)
+            sigmoid(own)
+            np.negative(own, out=own)
+            own[:, 0] += 1
+            dh += np.einsum("nk,nkd->nd", own, u)
+            met, du, times = summed(both.ravel(), (own[:, :, None] * h[:, None, :]).reshape(-1, DIMS))
+            adagrad(p.u, state["u"], du, rate, met)
+            moved[met] += times
         met, dr, times = summed(x.T.ravel(), np.concatenate([dh @ p.c[i].T for i in range(CONTEXT)]))  # the other symbols don't move
         adagrad(p.c, state["c"], np.stack([r[i].T @ dh for i in range(CONTEXT)]), rate)
         adagrad(p.q, state["q"], g.T @ h, rate)
@@ -213,19 +306,22 @@ def _counts(texts: DataFrame) -> DataFrame:
     schema = ddl("key long, ending int, n long")
 
     def task(batches: Iterator) -> Iterator:
-        found: dict[bytes, int] = {}
+        import pyarrow as pa
+
+        found: Counter[bytes] = Counter()
 
         def take():
-            rows = list(found.items())
-            for at in range(0, len(rows), 20_000):
-                yield batch_of([(key_of(w), ending_of(w), n) for w, n in rows[at : at + 20_000]], schema)
+            words, n = list(found), list(found.values())
+            for at in range(0, len(words), 20_000):
+                part = words[at : at + 20_000]
+                columns = [pa.array(keys_of(part)), pa.array(map(ending_of, part), pa.int32()), pa.array(n[at : at + 20_000], pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, names=schema.names)
             found.clear()
 
         for b in batches:
             for t in b.column(0):
-                for w in ascii_word_bytes(t.as_py() or ""):
-                    found[w] = found.get(w, 0) + 1
-                found[END] = found.get(END, 0) + 1
+                found.update(ascii_word_bytes(t.as_py() or ""))
+            found[END] += b.num_rows
             if len(found) > 400_000:
                 yield from take()
         yield from take()
@@ -274,38 +370,38 @@ def _classes(read: DataFrame) -> np.ndarray:
     return own
 
 
-def _trained(read: DataFrame, classes: np.ndarray, prior: np.ndarray) -> Parameters:
+def _trained(read: DataFrame, members: Members, prior: np.ndarray) -> Parameters:
     p = Parameters.start(prior)
     names = [f"v{i}" for i in range(DIMS)]
     schema = ddl("kind int, id int, w double, " + ", ".join(f"{v} double" for v in names))
     sc = read.sparkSession.sparkContext
-    shared = sc.broadcast(classes)
+    shared = sc.broadcast(members)
     for number in range(ROUNDS):
         sent = sc.broadcast(p)
 
         def task(batches, sent=sent, number=number):
             from pyspark import TaskContext
 
-            classes, p = shared.value, sent.value
-            p = Parameters(p.r.copy(), p.c.copy(), p.q.copy(), p.b.copy())
-            rng, seen, state = np.random.default_rng([number, TaskContext.get().partitionId()]), np.zeros(SYMBOLS), {}
+            members, p = shared.value, sent.value.copy()
+            rng, seen, moved, state = np.random.default_rng([number, TaskContext.get().partitionId()]), np.zeros(SYMBOLS), np.zeros(SYMBOLS), {}
             for b in batches:
                 for at in range(0, b.num_rows, 500):
                     s, x, _ = contexts_of(b.column(0).slice(at, 500).to_pylist())
                     pick = targets(len(s), number)
-                    train(p, x[pick], classes[s[pick]], prior, rng, seen, state)
+                    train(p, x[pick], members.classes[s[pick]], prior, rng, seen, state, words=(s[pick], members, moved))
             total = float(seen.sum())
             if total:
                 rows = [(0, int(i), float(seen[i]), *map(float, p.r[i])) for i in np.flatnonzero(seen)]
                 rows += [(1, i, total, *map(float, v)) for i, v in enumerate(p.c.reshape(-1, DIMS))]
                 rows += [(2, i, total, *map(float, v)) for i, v in enumerate(p.q)]
                 rows += [(3, i, total, *map(float, v)) for i, v in enumerate(p.b.reshape(-1, DIMS))]
+                rows += [(4, int(i), float(moved[i]), *map(float, p.u[i])) for i in np.flatnonzero(moved)]
                 yield batch_of(rows, schema)
 
         mean = [(F.sum(F.col("w") * F.col(v)) / F.sum("w")).alias(v) for v in names]
         rows = read.mapInArrow(task, schema).groupBy("kind", "id").agg(*mean).collect()  # one for each symbol and vector
-        p = Parameters(p.r.copy(), p.c.copy(), p.q.copy(), p.b.copy())
-        parts = [p.r, p.c.reshape(-1, DIMS), p.q, p.b.reshape(-1, DIMS)]
+        p = p.copy()
+        parts = [p.r, p.c.reshape(-1, DIMS), p.q, p.b.reshape(-1, DIMS), p.u]
         for row in rows:
             parts[row.kind][row.id] = row[2:]
         sent.destroy()
@@ -390,7 +486,7 @@ def learn(model: Model, encoded: DataFrame) -> None:
     sums = np.bincount(model.classes, model.times, minlength=CLASSES)
     each = np.bincount(model.classes, minlength=CLASSES)
     model.share = np.log10((model.times + 0.5) / (sums + 0.5 * each)[model.classes])
-    model.parameters = _trained(read, model.classes, (sums + 1) / (sums + 1).sum())
+    model.parameters = _trained(read, Members(model.classes, model.share), (sums + 1) / (sums + 1).sum())
 
 
 def fit(docs: DataFrame, *, text_col: str = "text") -> tuple[Model, DataFrame]:
@@ -413,14 +509,14 @@ def score(docs: DataFrame, model: Model, counts: DataFrame, *, id_col: str = "do
 def scored(encoded: DataFrame, model: Model, counts: DataFrame, *, id_col: str = "doc_id") -> DataFrame:
     """The scores of encoded texts, as of ``score``."""
     parameters, classes, share = model.parameters, model.classes, model.share
-    shared = encoded.sparkSession.sparkContext.broadcast((parameters, classes, share))
+    shared = encoded.sparkSession.sparkContext.broadcast((parameters, Members(classes, share) if parameters else None))
     held = encoded.select("row", "id", "n_tokens", "n_head", "base", "word", "tail", "symbols")
     schema = ddl(", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in held.schema.fields[:-1]) + ", model double")
 
     def task(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        parameters, classes, share = shared.value
+        parameters, members = shared.value
         table = tables(parameters) if parameters else None
         for b in batches:
             found = np.empty(b.num_rows)
@@ -429,7 +525,8 @@ def scored(encoded: DataFrame, model: Model, counts: DataFrame, *, id_col: str =
                     found[at : at + 200] = b.column(4).slice(at, 200).to_numpy()
                     continue
                 s, x, starts = contexts_of(b.column(7).slice(at, 200).to_pylist())
-                each = log_classes(parameters, x, classes[s], table) + share[s]
+                h = predicted(table, x)
+                each = log_classes(parameters, x, members.classes[s], h) + log_members(parameters, h, s, members)
                 found[at : at + 200] = np.add.reduceat(each, starts[:-1]) + b.column(5).slice(at, 200).to_numpy()
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(found)], names=[*b.schema.names[:-1], "model"])
 

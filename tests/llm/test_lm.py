@@ -76,6 +76,38 @@ def test_gradient_is_that_of_the_objective():
         lm.train(p, x, y, np.full(lm.CLASSES, 1 / lm.CLASSES), rng, np.zeros(lm.SYMBOLS), state, batch=128)
     assert lm.log_classes(p, x, y).mean() > before + 0.8
 
+def test_symbols_of_a_class_sum_to_one_and_are_drawn_by_their_shares(spark):
+    docs = spark.createDataFrame([(i, f"the {a} {b} .", "", 1) for i, (a, b) in enumerate([("red", "fox"), ("old", "dog"), ("red", "dog")] * 40)], SCHEMA)
+    model, _ = lm.fit(docs)
+    p, members = model.parameters, lm.Members(model.classes, model.share)
+    assert np.abs(p.u).max() > 0  # the symbols' vectors have moved
+    every = np.arange(lm.SYMBOLS)
+    h = lm.predicted(lm.tables(p), np.full((lm.SYMBOLS, lm.CONTEXT), 1))
+    inside = np.bincount(model.classes, 10 ** lm.log_members(p, h, every, members), minlength=lm.CLASSES)
+    assert np.allclose(inside[members.size > 0], 1, atol=1e-4)
+    largest = int(np.argmax(members.size))
+    drawn = members.draw(np.full(200_000, largest), np.random.default_rng(0)).ravel()
+    assert np.abs(np.bincount(drawn, minlength=lm.SYMBOLS) / len(drawn) - np.where(model.classes == largest, 10**model.share, 0)).max() < 5e-3
+
+
+def test_vectors_of_symbols_learn_what_follows():
+    rng = np.random.default_rng(0)
+    classes = np.arange(lm.SYMBOLS) % lm.CLASSES
+    share = -np.log10(np.bincount(classes)[classes])
+    members, p, state, moved = lm.Members(classes, share), lm.Parameters.start(np.full(lm.CLASSES, 1 / lm.CLASSES)), {}, np.zeros(lm.SYMBOLS)
+    x = rng.integers(0, 4, (4000, lm.CONTEXT))
+    s = x[:, 0] * lm.CLASSES  # all of class 0, told apart by the word before
+    score = lambda: lm.log_members(p, lm.predicted(lm.tables(p), x), s, members).mean()
+    before = score()
+    for _ in range(15):
+        lm.train(p, x, classes[s], np.full(lm.CLASSES, 1 / lm.CLASSES), rng, np.zeros(lm.SYMBOLS), state, batch=128, words=(s, members, moved))
+    assert score() > before + 0.8 and set(np.flatnonzero(moved)) <= set(np.flatnonzero(classes == 0))
+
+
+def test_keys():
+    words = [b"", b"a", b"the", bytes(range(33, 256))]
+    assert lm.keys_of(words).tolist() == [lm.key_of(w) for w in words]
+
 
 def test_odd_rows(spark):
     rows = [(1, None), (2, ""), (3, "A a\x1ca É"), (3, "A a\x1ca É"), (None, "a b"), (4, "w " * 60_000), (5, "x" * 100_000)]
