@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from itertools import combinations
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from heddle.operators import tensors
+from heddle.operators import ranking, tensors
 
 
 def joined_channels(a: Column, b: Column, channels: int) -> Column:
@@ -72,3 +75,25 @@ def fused_residual(rows: DataFrame, train: DataFrame, base: str, *, column: str
 def not_negative(deltas: DataFrame) -> DataFrame:
     """The components whose mean paired difference isn't below zero."""
     return deltas.where("mean >= 0").select("condition")
+
+
+def _compared(rows: DataFrame, pairs: list[tuple[str, str]], reps: int, seed: int) -> DataFrame:
+    out = []
+    for a, b in pairs:
+        for metric, within in (("pooled", False), ("within", True)):
+            d = ranking.paired_delta(rows, a, b, reps=reps, seed=seed, within=within)
+            out.append(d.select(F.lit(a).alias("condition"), F.lit(b).alias("baseline"), F.lit(metric).alias("metric"), "mean", "lo", "hi", "excludes_zero"))
+    return reduce(DataFrame.unionByName, out)
+
+
+def against(rows: DataFrame, new: list[str], baselines: list[str], *, reps: int = 1000, seed: int = 42) -> DataFrame:
+    """Every new condition's scores (columns) against every baseline's, pooled and within prompts, on the same draws.  Fails where a condition is missing."""
+    missing = [c for c in [*new, *baselines] if c not in rows.columns]
+    if missing:
+        raise ValueError(f"missing conditions: {', '.join(missing)}")
+    return _compared(rows, [(a, b) for a in new for b in baselines], reps, seed)
+
+
+def replayed(rows: DataFrame, windows: list[str], *, reps: int = 1000, seed: int = 42) -> DataFrame:
+    """Scores from several windows (columns), each compared with each later one."""
+    return _compared(rows, list(combinations(windows, 2)), reps, seed)

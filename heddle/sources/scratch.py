@@ -25,6 +25,14 @@ _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _paths: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
 
 
+def folder(spark: SparkSession, *, name: str) -> str:
+    """A new path in the shared folder, which goes when the application ends."""
+    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    files, place = _folder(spark, path)
+    files.deleteOnExit(place)
+    return path
+
+
 def stored(df: DataFrame, *, name: str) -> DataFrame:
     """``df`` written once as Parquet in the shared folder and read back, which cuts its lineage.
 
@@ -32,15 +40,13 @@ def stored(df: DataFrame, *, name: str) -> DataFrame:
     application ends, or by ``discard``.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = folder(spark, name=name)
     before = spark.conf.get(_CLEANUP, "false")
     spark.conf.set(_CLEANUP, "true")
     try:
         df.write.parquet(path)
     finally:
         spark.conf.set(_CLEANUP, before)
-    files, folder = _folder(spark, path)
-    files.deleteOnExit(folder)
     out = spark.read.schema(df.schema).parquet(path)
     _paths[out] = path
     return out
@@ -49,10 +55,10 @@ def stored(df: DataFrame, *, name: str) -> DataFrame:
 def discard(*tables: DataFrame) -> None:
     """Deletes stored tables that nothing reads any more."""
     for t in tables:
-        files, folder = _folder(t.sparkSession, _paths.pop(t))
-        files.delete(folder, True)
+        files, place = _folder(t.sparkSession, _paths.pop(t))
+        files.delete(place, True)
 
 
 def _folder(spark: SparkSession, path: str):
-    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), folder
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), place
