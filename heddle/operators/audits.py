@@ -171,5 +171,5 @@ def asserted_each(rows: DataFrame, key: str, expected: int) -> DataFrame:
     n = rows.groupBy(key).agg(F.count("*").alias("_n"))
     found = F.concat(F.lit(f"expected {expected} rows of each {key}, found "), F.col("_n").cast("string"), F.lit(" of "), F.coalesce(F.col(key).cast("string"), F.lit("null")))
     wrong = n.select(F.when(F.col("_n") != expected, found).alias("_said")).agg(F.min("_said").alias("_said"))
-    checked = wrong.select(F.when(F.col("_said").isNotNull(), F.raise_error("_said").cast("boolean")).otherwise(True).alias("_ok"))
+    checked = wrong.select(F.when(F.col("_said").isNotNull(), F.raise_error(F.col("_said")).cast("boolean")).otherwise(True).alias("_ok"))
     return rows.join(F.broadcast(checked)).where("_ok").drop("_ok")  # one row

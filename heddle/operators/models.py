@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 import numpy as np
@@ -13,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from heddle.functions import columns
-from heddle.operators import ranking, scaling, tensors
+from heddle.operators import conditions, pooling, ranking, scaling, splits, tensors
 from heddle.sources import views
 from heddle.sources.scratch import stored
 
@@ -61,11 +62,12 @@ def out_of_fold(kind: str, rows: DataFrame, folds: DataFrame, k: int, **options)
     return reduce(DataFrame.unionByName, [scores(detector(kind, dealt.where(F.col("fold") != i), **options), dealt.where(F.col("fold") == i)) for i in range(k)])
 
 
-def scaled_tensors(packed: DataFrame, train: Column, channels: int) -> DataFrame:
-    """The tensors, each channel of a layer scaled by the training rows' median and deviation, and ``fit``, which marks those rows.  Stored."""
+def scaled_tensors(packed: DataFrame, train: Column, channels: int, scale: Callable[[DataFrame, DataFrame, list[str]], DataFrame] = scaling.mad) -> DataFrame:
+    """The tensors, each channel of a layer scaled by the training rows (by their median and deviation, if nothing else is asked for),
+    and ``fit``, which marks those rows.  Stored."""
     keys = [c for c in packed.columns if c != "x"]
     cells = views.unpacked(packed.withColumn("fit", train), channels)
-    scaled = scaling.mad(cells, cells.where("fit"), ["layer", "ch"])
+    scaled = scale(cells, cells.where("fit"), ["layer", "ch"])
     at = F.struct("layer", "ch", F.col("scaled").alias("v"))
     return stored(scaled.groupBy(*keys, "fit").agg(F.transform(F.array_sort(F.collect_list(at)), lambda c: c["v"]).alias("x")), name="tensors")
 
@@ -156,3 +158,57 @@ def centroid_distance(train: DataFrame, rows: DataFrame) -> DataFrame:
     long = rows.select("beam_id", "y", F.posexplode("features").alias("i", "v")).join(means, "i")
     far = lambda m: F.sqrt(F.sum((F.col("v") - F.col(m)) ** 2))
     return long.groupBy("beam_id", "y").agg((far("m0") - far("m1")).alias("score"))
+
+
+def _both_detectors(rows: DataFrame, feature: str, column: str, kinds: dict[str, dict]) -> list[DataFrame]:
+    """Validation rows' scores by detectors of the training rows, in the form of ``grouped_evaluation``."""
+    here = rows.select("beam_id", "prompt_id", "y", "fold", "fit", F.col(column).alias("features"))
+    found = [(kind, scores(detector(kind, here.where("fit"), **options), here.where("not fit"))) for kind, options in kinds.items()]
+    return [f.select(F.lit(feature).alias("feature"), F.lit(kind).alias("kind"), "fold", "beam_id", "prompt_id", "y", "score") for kind, f in found]
+
+
+def contrast_evaluation(cores: DataFrame, k: int, kinds: dict[str, dict], *, components: int = 32) -> DataFrame:
+    """Of ``fold_cores``: out-of-fold scores on the contrast block alone (block), and on the core with what the core doesn't explain of it (fused).  Stored."""
+    parts = []
+    for i in range(k):
+        here = cores.where(F.col("fold") == i).select("beam_id", "prompt_id", "y", "fold", "fit", "core")
+        found = tensors.contrast(here, F.col("fit"), components)
+        block = F.concat("scores", F.array(*[c for c in found.columns if c not in ("beam_id", "scores")]))
+        rows = stored(here.join(found.select("beam_id", block.alias("block")), "beam_id"), name="contrast")
+        fused = conditions.fused_residual(rows, rows.where("fit"), "core", column="block")
+        parts += _both_detectors(rows, "block", "block", kinds) + _both_detectors(fused, "fused", "fused", kinds)
+    return stored(reduce(DataFrame.unionByName, parts), name="out-of-fold")
+
+
+def stacked_evaluation(tokens: DataFrame, cores: DataFrame, folds: DataFrame, k: int, kinds: dict[str, dict], *, inner: int = 3, reader: str = "logistic", **options) -> DataFrame:
+    """Out-of-fold scores on the core with what it doesn't explain of six numbers of an answer's token scores.  Stored.
+
+    ``tokens`` are beam_id, prompt_id, y, pos and features, which training tokens scale.  Validation tokens are scored by the reader of
+    all training tokens.  Training tokens are scored by readers of the other inner folds, so no token's score comes from a reader
+    that saw its prompt.
+    """
+    dealt = tokens.select("beam_id", "prompt_id", "y", "pos", "features").join(folds.withColumnRenamed("fold", "own"), "prompt_id")
+    parts = []
+    for i in range(k):
+        cells = dealt.withColumn("fit", F.col("own") != i).select("beam_id", "prompt_id", "y", "pos", "fit", F.posexplode("features").alias("ch", "v"))
+        scaled = scaling.winsor_iqr(cells, cells.where("fit"), ["ch"])
+        at = F.array_sort(F.collect_list(F.struct("ch", F.col("scaled").alias("v"))))
+        read = stored(scaled.groupBy("beam_id", "prompt_id", "y", "pos", "fit").agg(F.transform(at, lambda c: c["v"]).alias("features")), name="tokens")
+        train, rest = read.where("fit"), read.where("not fit")
+        found = scores(detector(reader, train, **options), rest).unionByName(out_of_fold(reader, train, splits.folds(train, inner), inner, **options).drop("fold"))
+        here = cores.where(F.col("fold") == i).select("beam_id", "prompt_id", "y", "fold", "fit", "core")
+        six = pooling.beam_summary(found, here)
+        rows = stored(here.join(six.select("beam_id", F.array(*[c for c in six.columns if c != "beam_id"]).alias("block")), "beam_id"), name="stacked")
+        parts += _both_detectors(conditions.fused_residual(rows, rows.where("fit"), "core", column="block"), "stacked", "fused", kinds)
+    return stored(reduce(DataFrame.unionByName, parts), name="out-of-fold")
+
+
+def ladder(packed: DataFrame, folds: DataFrame, k: int, shape: tuple[int, int], ranks: tuple[int, int], steps: dict[str, Callable[[DataFrame, Column], DataFrame]], kinds: dict[str, dict]) -> DataFrame:
+    """Out-of-fold scores on cores after each way to prepare the tensors, which takes (tensors, which rows train) and returns them with ``fit``.  Stored."""
+    dealt = packed.select("beam_id", "prompt_id", "y", "x").join(folds, "prompt_id")
+    parts = []
+    for name, prepared in steps.items():
+        for i in range(k):
+            tensor = prepared(dealt, F.col("fold") != i).withColumn("fold", F.lit(i))
+            parts += _both_detectors(tensors.core(tensor, *tensors.hosvd(tensor.where("fit"), *shape, *ranks)), name, "core", kinds)
+    return stored(reduce(DataFrame.unionByName, parts), name="out-of-fold")

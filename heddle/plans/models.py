@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from heddle.operators import models, ranking, splits, tensors
+from heddle.operators import conditions, models, ranking, scaling, splits, tensors
 from heddle.plans.registry import query
 from heddle.plans.tensors import _C, _L, _RANKS
 from heddle.sources import views
@@ -91,3 +91,37 @@ def layer_readout(spark, sf):
 def quadratic_readout(spark, sf):
     rows = _features(spark, sf)
     return models.quadratic_readout(rows.where("prompt_id % 5 <> 0"), rows, components=6).select("beam_id", "y", "score")
+
+
+@query()
+def contrast_cv(spark, sf):
+    """The contrast block alone and beside the core, on grouped folds."""
+    b = views.beams(spark, sf)
+    cores = models.fold_cores(b, splits.folds(b, 3), 3, _SHAPE, _RANKS)
+    return models.evaluation_summary(models.contrast_evaluation(cores, 3, {"logistic": {}}, components=6))
+
+
+@query()
+def stacked_cv(spark, sf):
+    """Layers as tokens: their scores, out of inner folds, beside the core."""
+    b = views.beams(spark, sf)
+    folds = splits.folds(b, 3)
+    layer = F.transform(F.sequence(F.lit(0), F.lit(_L - 1)), lambda i: F.slice("x", i * _C + 1, F.lit(_C)))
+    tokens = b.select("beam_id", "prompt_id", "y", F.posexplode(layer).alias("pos", "features"))
+    return models.evaluation_summary(models.stacked_evaluation(tokens, models.fold_cores(b, folds, 3, _SHAPE, _RANKS), folds, 3, {"logistic": {}}))
+
+
+@query()
+def hygiene_ladder(spark, sf):
+    """Three ways to prepare tensors: median and deviation, clipped quartiles, and these without each layer's leading direction; the last two against the first."""
+    b = views.beams(spark, sf)
+
+    def without(d, train):
+        t = models.scaled_tensors(d, train, _C, scaling.winsor_iqr)
+        return conditions.without_common(t, t.where("fit"), 1, _L, column="x")
+
+    steps = {"mad": lambda d, t: models.scaled_tensors(d, t, _C), "clipped": lambda d, t: models.scaled_tensors(d, t, _C, scaling.winsor_iqr), "uncommon": without}
+    found = models.ladder(b, splits.folds(b, 3), 3, _SHAPE, _RANKS, steps, {"logistic": {}})
+    wide = found.groupBy("beam_id", "prompt_id", "y").agg(*[F.max(F.when(F.col("feature") == s, F.col("score"))).alias(s) for s in steps])
+    deltas = conditions.against(wide, ["clipped", "uncommon"], ["mad"], reps=200).where("metric = 'within'").select(F.col("condition").alias("feature"), F.col("mean").alias("delta"), "excludes_zero")
+    return models.evaluation_summary(found).join(deltas, "feature", "left")

@@ -253,3 +253,56 @@ def test_split_and_layer_evaluation(spark, data):
         v = signed(np.linalg.svd(z[train], full_matrices=False)[2][:4].T)
         s[~train] = logistic(z[train] @ v, y[train])(z[~train] @ v)
     assert list(layers["layer"]) == list(range(8)) and abs(layers["auroc"][2] - auroc(y, s)) < 5e-3
+
+
+def fused(base, block, train):
+    a = np.column_stack([base, np.ones(len(base))])
+    left = block - a @ np.linalg.lstsq(a[train], block[train], rcond=None)[0]
+    return np.column_stack([base, (left - left[train].mean(0)) / (left[train].std(0) + 1e-8)])
+
+
+def clipped(v, train):
+    lo, hi = np.percentile(v[train], [0.5, 99.5], axis=0)
+    w = np.clip(v, lo, hi)
+    q1, mid, q3 = np.percentile(w[train], [25, 50, 75], axis=0)
+    return np.clip((w - mid) / ((q3 - q1) / 1.349 + 1e-8), -6, 6)
+
+
+def test_stacking_reads_training_tokens_out_of_inner_folds(spark, data):
+    _, prompt, y, x = data
+    got = run(spark, "stacked_cv", "feature").iloc[0]
+    fold, out = folds_of(prompt, 3), np.zeros(len(x))
+    for i in range(3):
+        train = fold != i
+        z = mad(x, train)
+        base = cores(z, *factors(z[train]))
+        t = clipped(x.reshape(-1, 8), np.repeat(train, 8)).reshape(x.shape)
+        s = np.zeros(x.shape[:2])
+        on = lambda m: logistic(t[m].reshape(-1, 8), np.repeat(y[m], 8))
+        s[~train] = on(train)(t[~train].reshape(-1, 8)).reshape(-1, 8)
+        inner = np.full(len(x), -1)
+        inner[train] = folds_of(prompt[train], 3)
+        for j in range(3):
+            s[inner == j] = on(train & (inner != j))(t[inner == j].reshape(-1, 8)).reshape(-1, 8)
+        block = np.column_stack([s.max(1), np.percentile(s, 90, axis=1), s.mean(1), s[:, -1], (s > 0.5).mean(1), np.full(len(s), np.log(8))])
+        f = fused(base, block, train)
+        f[:, -1] = 0  # all answers have as many tokens
+        keep = f[train].std(0) > 1e-6
+        out[~train] = logistic(f[train][:, keep], y[train])(f[~train][:, keep])
+    assert abs(got["pooled"] - auroc(y, out)) < 5e-3 and abs(got["within"] - within(prompt, y, out)) < 5e-3
+
+
+def test_contrast_and_ladder(spark, data):
+    _, prompt, y, x = data
+    found = run(spark, "contrast_cv", "feature")
+    assert list(found["feature"]) == ["block", "fused"] and found["pooled"].between(0, 1).all()
+    steps = run(spark, "hygiene_ladder", "feature").set_index("feature")
+    fold, out = folds_of(prompt, 3), {"mad": np.zeros(len(x)), "clipped": np.zeros(len(x))}
+    for i in range(3):
+        train = fold != i
+        for name, z in (("mad", mad(x, train)), ("clipped", clipped(x, train))):
+            c = cores(z, *factors(z[train]))
+            out[name][~train] = logistic(c[train], y[train])(c[~train])
+    for name, s in out.items():
+        assert abs(steps.loc[name]["pooled"] - auroc(y, s)) < 5e-3
+    assert np.isnan(steps.loc["mad"]["delta"]) and steps.loc[["clipped", "uncommon"]]["delta"].abs().max() < 1

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from heddle.functions import ranks
 from heddle.operators import audits, models, ranking, splits, tensors
-from heddle.sources import records
+from heddle.sources import records, results, texts
 
 RNG = np.random.default_rng(5)
 L, C = 4, 6
@@ -111,3 +111,32 @@ def test_planted_signal_is_found(spark):
     df = spark.createDataFrame(rows, "beam_id long, prompt_id long, y int, features array<double>")
     scored = models.out_of_fold("logistic", df, splits.folds(df, 3), 3)
     assert scored.count() == 200 and ranking.auroc(scored, []).first().auroc > 0.85
+
+
+def test_scans_and_files_fail_where_they_must(spark, tmp_path):
+    rows = spark.createDataFrame([(i, i // 2, i % 2) for i in range(5)], "beam_id long, prompt_id long, y int")
+    assert audits.asserted_each(rows.where("prompt_id < 2"), "prompt_id", 2).count() == 4
+    with pytest.raises(Exception, match="found 1 of 2"):
+        audits.asserted_each(rows, "prompt_id", 2).count()
+    with pytest.raises(ValueError, match="score"):
+        results.required(rows, ["beam_id", "score"])
+    other = rows.select(F.col("beam_id").alias("id"), "y", F.lit(1.0).alias("v"))
+    assert results.aligned(rows, other, "beam_id", ["y"], {"id": "beam_id"}).where("v = 1").count() == 5
+    for wrong in (other.where("id > 0"), other.withColumn("y", 1 - F.col("y"))):
+        with pytest.raises(Exception, match="sides differ"):
+            results.aligned(rows, wrong, "beam_id", ["y"], {"id": "beam_id"}).collect()
+    lines = {"whole": ['{"answer": "x"}', '{"text": "y"}'], "broken": ['{"answer": "x"}', "{"], "none": ['{"n": 1}', '{"text": ""}'], "long": ['{"text": "y"}'] * 3}
+    for name, some in lines.items():
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "a.jsonl").write_text("\n".join(some))
+    found = {r.folder: r.verdict for r in texts.inventory(spark, str(tmp_path), 2).collect()}
+    assert found == {"whole": "COMPLETE", "broken": "PARTIAL", "none": "NONE", "long": "PARTIAL"}
+
+
+def test_results_replace_and_pick(spark):
+    board = spark.createDataFrame([("a", "1", 0.5), ("b", "2", 0.6)], "condition string, version string, auroc double")
+    new = spark.createDataFrame([("c", "2", 0.7, "x")], "condition string, version string, auroc double, note string")
+    assert sorted(tuple(r) for r in results.replaced(board, new).select("condition", "version").collect()) == [("a", "1"), ("c", "2")]
+    found = spark.createDataFrame([(1, "b", "lr", 0.7), (1, "a", "rf", 0.7), (1, "c", "lr", None), (2, "c", "lr", None)], "dataset long, condition string, kind string, auroc double")
+    got = results.best(found, ["dataset"], ["condition", "kind"], "auroc").collect()
+    assert [tuple(r) for r in got] == [(1, "a", "rf", 0.7)]
