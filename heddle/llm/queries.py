@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from heddle.llm import decontaminate, knn, language, lm, neardup, packing, secrets, sentences, suffixes, toxicity
+from heddle.llm import decontaminate, knn, language, lexical, lm, neardup, packing, secrets, sentences, suffixes, toxicity
 from heddle.llm.common import read
 
 
@@ -51,6 +51,10 @@ def op10_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(read(spark, sf_dir, "documents"), percent=85)
 
 
+def op11_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(lexical.build(read(spark, sf_dir, "documents")), read(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language": op1_language,
     "op2_packing": op2_packing,
@@ -62,9 +66,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_lm": op8_lm,
     "op9_decontaminate": op9_decontaminate,
     "op10_neardup": op10_neardup,
+    "op11_search": op11_search,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op3_knn": knn.SQL,
     "op5_secrets": secrets.SQL,
+    "op11_search": lexical.SQL,
 }
