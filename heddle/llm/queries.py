@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from heddle.llm import decontaminate, knn, language, lexical, lm, neardup, packing, secrets, sentences, suffixes, toxicity
+from heddle.llm import decontaminate, knn, language, lexical, lm, mixing, neardup, packing, secrets, sentences, spelling, suffixes, toxicity
 from heddle.llm.common import read
 
 
@@ -55,6 +55,14 @@ def op11_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.search(lexical.build(read(spark, sf_dir, "documents")), read(spark, sf_dir, "benchmark"))
 
 
+def op12_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(read(spark, sf_dir, "documents"))
+
+
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(spelling.counted(read(spark, sf_dir, "documents"), damage=97))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language": op1_language,
     "op2_packing": op2_packing,
@@ -67,10 +75,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_decontaminate": op9_decontaminate,
     "op10_neardup": op10_neardup,
     "op11_search": op11_search,
+    "op12_mixing": op12_mixing,
+    "op13_spelling": op13_spelling,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op3_knn": knn.SQL,
     "op5_secrets": secrets.SQL,
     "op11_search": lexical.SQL,
+    "op13_spelling": spelling.SQL,
 }
