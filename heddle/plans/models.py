@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from heddle.operators import conditions, models, ranking, scaling, splits, tensors
+from heddle.operators import conditions, models, ranking, repeated, scaling, splits, tensors
 from heddle.plans.registry import query
 from heddle.plans.tensors import _C, _L, _RANKS
 from heddle.sources import views
@@ -125,3 +125,17 @@ def hygiene_ladder(spark, sf):
     wide = found.groupBy("beam_id", "prompt_id", "y").agg(*[F.max(F.when(F.col("feature") == s, F.col("score"))).alias(s) for s in steps])
     deltas = conditions.against(wide, ["clipped", "uncommon"], ["mad"], reps=200).where("metric = 'within'").select(F.col("condition").alias("feature"), F.col("mean").alias("delta"), "excludes_zero")
     return models.evaluation_summary(found).join(deltas, "feature", "left")
+
+
+@query()
+def repeated_cv(spark, sf):
+    """Five repeats of five shuffled grouped folds, all models in one pass: quality of the core, over repeats and folds."""
+    return repeated.summary(repeated.repeated_cv(views.beams(spark, sf), shape=_SHAPE, rank=_RANKS))
+
+
+@query()
+def repeated_delta(spark, sf):
+    """The core against the whole tensor over three repeats, in one paired bootstrap."""
+    b = views.beams(spark, sf)
+    core, whole = repeated.repeated_cv(b, repeats=3, shape=_SHAPE, rank=_RANKS), repeated.repeated_cv(b, repeats=3)
+    return repeated.compared(core, whole, reps=200).select("metric", "mean", "lo", "hi", "excludes_zero")

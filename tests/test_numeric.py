@@ -306,3 +306,60 @@ def test_contrast_and_ladder(spark, data):
     for name, s in out.items():
         assert abs(steps.loc[name]["pooled"] - auroc(y, s)) < 5e-3
     assert np.isnan(steps.loc["mad"]["delta"]) and steps.loc[["clipped", "uncommon"]]["delta"].abs().max() < 1
+
+
+def dealt_by_hash(prompt, k, repeats, seed=42):
+    """Folds of prompts in each repeat, in turn in hash order."""
+    import hashlib
+
+    prompts = np.unique(prompt)
+    out = np.zeros((len(prompt), repeats), int)
+    for r in range(repeats):
+        order = sorted(prompts, key=lambda p: hashlib.sha256(f"{seed + r}:{p}".encode()).hexdigest())
+        fold = {p: i % k for i, p in enumerate(order)}
+        out[:, r] = [fold[p] for p in prompt]
+    return out
+
+
+def test_repeated_models_equal_the_one_by_one_route(spark, data):
+    """repeated_cv: each model of the batch against factors and Newton's method on its own rows, on any layout."""
+    from heddle.operators import repeated
+    from heddle.sources import views
+
+    beam, prompt, y, x = data
+    folds = dealt_by_hash(prompt, 3, 2)
+    b = views.beams(spark, SF)
+    got = repeated.repeated_cv(b.repartition(5), k=3, repeats=2, shape=(8, 8), rank=RANKS).toPandas().sort_values(["repeat", "beam_id"])
+    whole = repeated.repeated_cv(b, k=3, repeats=2).toPandas().sort_values(["repeat", "beam_id"])
+    for r in range(2):
+        for f in range(3):
+            fit, rest = folds[:, r] != f, folds[:, r] == f
+            u = factors(x[fit])
+            core, flat = cores(x, *u), x.reshape(len(x), -1)
+            for found, z in ((got, core), (whole, flat)):
+                rows = found[(found["repeat"] == r) & (found["fold"] == f)]
+                assert rows["beam_id"].tolist() == beam[rest].tolist()
+                np.testing.assert_allclose(rows["score"], logistic(z[fit], y[fit])(z[rest]), atol=1e-6)
+
+
+def test_repeated_summaries(spark, data):
+    """repeated_cv and repeated_delta from scores."""
+    from heddle.operators import repeated
+    from heddle.sources import views
+
+    _, prompt, y, _ = data
+    row = run(spark, "repeated_cv", "pooled_mean").iloc[0]
+    found = repeated.repeated_cv(views.beams(spark, SF), shape=(8, 8), rank=catalog_ranks()).toPandas().sort_values(["repeat", "beam_id"])
+    pooled = [auroc(y, g["score"].to_numpy()) for _, g in found.groupby("repeat")]
+    folds = [auroc(g["y"].to_numpy(), g["score"].to_numpy()) for _, g in found.groupby(["repeat", "fold"])]
+    inside = [within(prompt, y, g["score"].to_numpy()) for _, g in found.groupby("repeat")]
+    for name, values in (("pooled", pooled), ("fold", folds), ("within", inside)):
+        np.testing.assert_allclose((row[f"{name}_mean"], row[f"{name}_std"]), (np.mean(values), np.std(values)), atol=2e-6)
+    delta = run(spark, "repeated_delta", "metric")
+    assert delta["metric"].tolist() == ["pooled", "within"] and (delta["lo"] <= delta["mean"]).all() and (delta["mean"] <= delta["hi"]).all()
+
+
+def catalog_ranks():
+    from heddle.plans.tensors import _RANKS
+
+    return _RANKS
