@@ -14,7 +14,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from heddle.functions import ranks
+from heddle.functions import ranks, sums
 from heddle.operators import ranking, tensors
 from heddle.sources.scratch import stored
 
@@ -73,31 +73,7 @@ def _arrays(frame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _summed(rows: DataFrame, size: int, part) -> np.ndarray:
-    """The sum over all rows of what ``part`` makes of a batch, an array of ``size`` numbers; tasks add up their own."""
-
-    def task(frames):
-        import pandas as pd
-
-        total = np.zeros(size)
-        for f in frames:
-            if len(f):
-                total += part(*_arrays(f)).ravel()
-        yield pd.DataFrame({"at": np.arange(0, size, 4096), "part": [total[i : i + 4096].tobytes() for i in range(0, size, 4096)]})
-
-    def together(frame):
-        import pandas as pd
-
-        found = np.sum([np.frombuffer(b) for b in frame["part"]], axis=0)
-        return pd.DataFrame({"at": frame["at"].iloc[:1], "part": [found.tobytes()]})
-
-    schema = "at long, part binary"
-    parts = rows.select("x", "y", "folds").mapInPandas(task, schema).withColumn("salt", F.spark_partition_id() % 32)
-    parts = parts.groupBy("at", "salt").applyInPandas(together, schema).groupBy("at").applyInPandas(together, schema)
-    out = np.zeros(size)
-    for r in parts.collect():  # what one task adds up
-        found = np.frombuffer(r["part"])
-        out[r["at"] : r["at"] + len(found)] = found
-    return out
+    return sums.added(rows.select("x", "y", "folds"), size, lambda f: part(*_arrays(f)))
 
 
 def _by_fold(rows: DataFrame, k: int, repeats: int, size: int, part) -> np.ndarray:
@@ -112,8 +88,8 @@ def _by_fold(rows: DataFrame, k: int, repeats: int, size: int, part) -> np.ndarr
                 out[r * k + f] = part(x[own], y[own])
         return out
 
-    sums = _summed(rows, (repeats * k + 1) * size, each).reshape(-1, size)
-    return sums[-1] - sums[:-1]
+    total = _summed(rows, (repeats * k + 1) * size, each).reshape(-1, size)
+    return total[-1] - total[:-1]
 
 
 def fitted(rows: DataFrame, k: int, repeats: int, *, shape: tuple[int, int] | None = None, rank: tuple[int, int] | None = None, c: float = 1.0) -> Models:
@@ -128,13 +104,13 @@ def fitted(rows: DataFrame, k: int, repeats: int, *, shape: tuple[int, int] | No
             t = x.reshape(-1, l, ch)
             return np.concatenate([[(y == 0).sum(), (y == 1).sum()], np.einsum("nlc,nmc->lm", t, t).ravel(), np.einsum("nlc,nld->cd", t, t).ravel()])
 
-        sums = _by_fold(rows, k, repeats, 2 + l * l + ch * ch, grams)
+        stats = _by_fold(rows, k, repeats, 2 + l * l + ch * ch, grams)
         cut = lambda s: (tensors._top(s[2 : 2 + l * l].reshape(l, l), rank[0]), tensors._top(s[2 + l * l :].reshape(ch, ch), rank[1]))
-        factors, width = [cut(s) for s in sums], rank[0] * rank[1]
+        factors, width = [cut(s) for s in stats], rank[0] * rank[1]
     else:
-        sums = _by_fold(rows, k, repeats, 2, lambda x, y: np.array([(y == 0).sum(), (y == 1).sum()]))
+        stats = _by_fold(rows, k, repeats, 2, lambda x, y: np.array([(y == 0).sum(), (y == 1).sum()]))
         factors, width = None, len(rows.select("x").first()[0])
-    counts = sums[:, :2]
+    counts = stats[:, :2]
     n = counts.sum(1)
     models = Models(k, repeats, factors, n[:, None] / (2 * np.maximum(counts, 1)))
 

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from heddle.operators import conditions, models, ranking, repeated, scaling, splits, tensors
+from heddle.operators import conditions, kernels, models, networks, ranking, repeated, scaling, splits, tensors
 from heddle.plans.registry import query
 from heddle.plans.tensors import _C, _L, _RANKS
 from heddle.sources import views
@@ -139,3 +139,17 @@ def repeated_delta(spark, sf):
     b = views.beams(spark, sf)
     core, whole = repeated.repeated_cv(b, repeats=3, shape=_SHAPE, rank=_RANKS), repeated.repeated_cv(b, repeats=3)
     return repeated.compared(core, whole, reps=200).select("metric", "mean", "lo", "hi", "excludes_zero")
+
+
+@query()
+def rbf_oof(spark, sf):
+    """Decision values of radial-kernel machines, out of fold."""
+    rows = _features(spark, sf)
+    return kernels.out_of_fold(rows, splits.folds(rows, 3), 3, width=128).select("beam_id", "y", "fold", "score")
+
+
+@query()
+def mlp_oof(spark, sf):
+    """Scores of perceptrons with a hidden layer, out of fold."""
+    rows = _features(spark, sf)
+    return networks.out_of_fold(rows, splits.folds(rows), 5, hidden=32, steps=20).select("beam_id", "y", "fold", "score")

@@ -4,7 +4,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from heddle.functions import columns
-from heddle.operators import scaling, tensors
+from heddle.operators import factoring, scaling, tensors
 from heddle.plans.registry import query
 from heddle.sources import views
 
@@ -167,3 +167,14 @@ def block_terms(spark, sf):
     p = u_c @ u_c.T
     found = tensors.block_terms(b, "prompt_id", {"inside": (p, 3, 4), "outside": (np.eye(_C) - p, 3, 2)}, _L, _C)
     return found.select("prompt_id", "inside_rest", "outside_rest", F.size("inside_core").alias("n_inside"), F.size("outside_core").alias("n_outside"))
+
+
+@query()
+def svd_route(spark, sf):
+    """Singular values of both modes' unfoldings of the training tensors, and each one's share of the energy."""
+    train = views.beams(spark, sf).where("prompt_id % 5 <> 0")
+    rows = []
+    for mode, n in enumerate((_L, _C)):
+        values, _ = factoring.singular(train, n, factoring.unfolding((_L, _C), mode))
+        rows += [(mode, i, float(v), float(v**2 / (values**2).sum())) for i, v in enumerate(values)]
+    return spark.createDataFrame(rows, "mode int, i int, value double, share double")
