@@ -23,13 +23,15 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from heddle.llm.common import ascii_word_bytes, batch_of, ddl, fold, stored
+from heddle.llm.common import ascii_word_bytes, batch_of, ddl, discard, fold, stored
 
 CONTEXT, DIMS, CLASSES, NOISE, DRAWS = 3, 16, 64, 8, 2
 #: Words with a symbol, symbols of endings, words whose counts are broadcast, words remembered by a worker.
 TOP, ENDINGS, HEAD, CACHE_WORDS = 4_000, 1_024, 200_000, 600_000
 #: Neighbours that tell symbols apart, and training rounds, which share out all positions.
 NEIGHBOURS, ROUNDS = 128, 2
+#: Training tokens of a group, tokens of a piece of a long text, and tasks that train at most.
+GROUP_TOKENS, PIECE_TOKENS, MOST_TASKS = 2_000_000, 1 << 16, 20_000
 END = b" "  # no word holds a space
 PAD = TOP + ENDINGS
 SYMBOLS = PAD + 1
@@ -370,41 +372,72 @@ def _classes(read: DataFrame) -> np.ndarray:
     return own
 
 
-def _trained(read: DataFrame, members: Members, prior: np.ndarray) -> Parameters:
+def _groups(read: DataFrame, number: int) -> DataFrame:
+    """(group, symbols, lengths, leads): training texts, long ones in pieces after the symbols before them, in groups by hash and in its order.  Stored."""
+    schema = ddl("group int, symbols binary, lengths binary, leads binary")
+    at = F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.length("symbols") / 2 - 1).cast("int"), F.lit(PIECE_TOKENS))).alias("at")
+    rows = read.select(F.xxhash64("id", "symbols").alias("key"), "symbols", at)
+    lead = F.least("at", F.lit(CONTEXT))
+    part = F.substring("symbols", 2 * (F.col("at") - lead) + 1, 2 * (lead + PIECE_TOKENS))
+    pieces = rows.select("key", "at", lead.alias("lead"), part.alias("symbols"), F.pmod(F.xxhash64("key", "at"), F.lit(number)).cast("int").alias("group"))
+
+    def together(frame):
+        import pandas as pd
+
+        f = frame.sort_values(["key", "at", "symbols"])
+        lengths, leads = f["symbols"].map(len).to_numpy("<i4"), f["lead"].to_numpy("u1")
+        return pd.DataFrame([(int(f["group"].iloc[0]), b"".join(f["symbols"]), lengths.tobytes(), leads.tobytes())], columns=schema.names)
+
+    return stored(pieces.groupBy("group").applyInPandas(together, schema), name="groups")  # a group has a stated size
+
+
+def _texts(row: dict) -> Iterator[tuple[list[bytes], np.ndarray]]:
+    """The pieces of a group, 500 at a time, and how many symbols before each are context alone."""
+    ends, leads = np.cumsum(np.frombuffer(row["lengths"], "<i4")), np.frombuffer(row["leads"], "u1")
+    for at in range(0, len(ends), 500):
+        some = range(at, min(at + 500, len(ends)))
+        yield [row["symbols"][ends[i - 1] if i else 0 : ends[i]] for i in some], leads[at : at + 500]
+
+
+def _trained(read: DataFrame, members: Members, prior: np.ndarray, tokens: int) -> Parameters:
     p = Parameters.start(prior)
     names = [f"v{i}" for i in range(DIMS)]
     schema = ddl("kind int, id int, w double, " + ", ".join(f"{v} double" for v in names))
     sc = read.sparkSession.sparkContext
     shared = sc.broadcast(members)
-    for number in range(ROUNDS):
+    number = max(1, math.ceil(tokens / GROUP_TOKENS))
+    groups = _groups(read, number)
+    for turn in range(ROUNDS):
         sent = sc.broadcast(p)
 
-        def task(batches, sent=sent, number=number):
-            from pyspark import TaskContext
-
-            members, p = shared.value, sent.value.copy()
-            rng, seen, moved, state = np.random.default_rng([number, TaskContext.get().partitionId()]), np.zeros(SYMBOLS), np.zeros(SYMBOLS), {}
-            for b in batches:
-                for at in range(0, b.num_rows, 500):
-                    s, x, _ = contexts_of(b.column(0).slice(at, 500).to_pylist())
-                    pick = targets(len(s), number)
+        def task(batches, sent=sent, turn=turn):
+            members = shared.value
+            for row in (b.slice(j, 1).to_pylist()[0] for b in batches for j in range(b.num_rows)):
+                p = sent.value.copy()
+                rng, seen, moved, state = np.random.default_rng([turn, row["group"]]), np.zeros(SYMBOLS), np.zeros(SYMBOLS), {}
+                for parts, leads in _texts(row):
+                    s, x, starts = contexts_of(parts)
+                    place = np.arange(len(s)) - np.repeat(starts[:-1], np.diff(starts))
+                    pick = targets(len(s), turn)
+                    pick = pick[place[pick] >= np.repeat(leads, np.diff(starts))[pick]]
                     train(p, x[pick], members.classes[s[pick]], prior, rng, seen, state, words=(s[pick], members, moved))
-            total = float(seen.sum())
-            if total:
-                rows = [(0, int(i), float(seen[i]), *map(float, p.r[i])) for i in np.flatnonzero(seen)]
-                rows += [(1, i, total, *map(float, v)) for i, v in enumerate(p.c.reshape(-1, DIMS))]
-                rows += [(2, i, total, *map(float, v)) for i, v in enumerate(p.q)]
-                rows += [(3, i, total, *map(float, v)) for i, v in enumerate(p.b.reshape(-1, DIMS))]
-                rows += [(4, int(i), float(moved[i]), *map(float, p.u[i])) for i in np.flatnonzero(moved)]
-                yield batch_of(rows, schema)
+                total = float(seen.sum())
+                if total:
+                    rows = [(0, int(i), float(seen[i]), *map(float, p.r[i])) for i in np.flatnonzero(seen)]
+                    rows += [(1, i, total, *map(float, v)) for i, v in enumerate(p.c.reshape(-1, DIMS))]
+                    rows += [(2, i, total, *map(float, v)) for i, v in enumerate(p.q)]
+                    rows += [(3, i, total, *map(float, v)) for i, v in enumerate(p.b.reshape(-1, DIMS))]
+                    rows += [(4, int(i), float(moved[i]), *map(float, p.u[i])) for i in np.flatnonzero(moved)]
+                    yield batch_of(rows, schema)
 
         mean = [(F.sum(F.col("w") * F.col(v)) / F.sum("w")).alias(v) for v in names]
-        rows = read.mapInArrow(task, schema).groupBy("kind", "id").agg(*mean).collect()  # one for each symbol and vector
+        found = groups.repartition(min(number, MOST_TASKS)).mapInArrow(task, schema).groupBy("kind", "id").agg(*mean).collect()  # one for each symbol and vector
         p = p.copy()
         parts = [p.r, p.c.reshape(-1, DIMS), p.q, p.b.reshape(-1, DIMS), p.u]
-        for row in rows:
+        for row in found:
             parts[row.kind][row.id] = row[2:]
         sent.destroy()
+    discard(groups)
     return p
 
 
@@ -481,12 +514,12 @@ def learn(model: Model, encoded: DataFrame) -> None:
     """Gives the model its classes and parameters, from the rows of ``encoded`` marked ``train``."""
     if not model.tokens:
         return
-    read = encoded.where("train").select("symbols")
-    model.classes = _classes(read)
+    read = encoded.where("train").select("id", "symbols")
+    model.classes = _classes(read.select("symbols"))
     sums = np.bincount(model.classes, model.times, minlength=CLASSES)
     each = np.bincount(model.classes, minlength=CLASSES)
     model.share = np.log10((model.times + 0.5) / (sums + 0.5 * each)[model.classes])
-    model.parameters = _trained(read, Members(model.classes, model.share), (sums + 1) / (sums + 1).sum())
+    model.parameters = _trained(read, Members(model.classes, model.share), (sums + 1) / (sums + 1).sum(), model.tokens)
 
 
 def fit(docs: DataFrame, *, text_col: str = "text") -> tuple[Model, DataFrame]:

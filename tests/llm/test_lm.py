@@ -118,3 +118,32 @@ def test_odd_rows(spark):
     model, counts = lm.fit(docs.limit(0))
     assert {r.score for r in lm.score(docs, model, counts).collect()} == {0.0}
     assert pytest.approx(0) == model.base(0)
+
+
+def test_scores_do_not_follow_tasks_or_pieces(spark):
+    """The same model on any layout; texts longer than a piece train alike wherever they are cut."""
+    import random
+
+    r = random.Random(4)
+    words = ["alpha", "beta", "gamma", "delta", "of", "the", "ends."]
+    docs = [(i, " ".join(r.choices(words, range(1, 8), k=r.randint(0, 60)))) for i in range(120)] + [(500, "the alpha of " * 30_000), (None, "the the"), (501, None)]
+    table = spark.createDataFrame(docs, "doc_id long, text string")
+    runs = []
+    for parts in (1, 4, 32):
+        model, counts = lm.fit(table.repartition(parts))
+        runs.append({(x["doc_id"], x["n_tokens"]): x["score"] for x in lm.score(table, model, counts).collect()})
+    for other in runs[1:]:
+        assert other.keys() == runs[0].keys() and all(abs(other[k] - v) <= 1e-6 * max(1, abs(v)) for k, v in runs[0].items())
+
+
+def test_groups_hold_every_training_symbol_once(spark):
+    symbols = {i: np.arange(n) % 5000 for i, n in ((1, 3), (2, lm.PIECE_TOKENS), (3, 2 * lm.PIECE_TOKENS + 7), (4, 1))}
+    rows = spark.createDataFrame([(i, bytearray(v.astype("<u2").tobytes())) for i, v in symbols.items()], "id long, symbols binary")
+    seen = []
+    for row in lm._groups(rows, 3).collect():
+        for parts, leads in lm._texts(row.asDict()):
+            for part, lead in zip(parts, leads, strict=True):
+                found = np.frombuffer(part, "<u2")
+                seen += found[lead:].tolist()
+                assert lead == 0 or (np.diff(found[: lead + 1].astype(int)) % 5000 == 1).all()
+    assert sorted(seen) == sorted(np.concatenate(list(symbols.values())).tolist())
