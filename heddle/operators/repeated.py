@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from heddle.functions import ranks, sums
-from heddle.operators import ranking, tensors
+from heddle.operators import conditions, ranking, tensors
 from heddle.sources.scratch import stored
 
 #: Newton steps at most, and the largest change of a coefficient at which they end.
@@ -41,6 +41,8 @@ class Models:
     factors: list[tuple[np.ndarray, np.ndarray]] | None
     #: Weights of the classes 0 and 1, means, deviations, and coefficients with the intercept last.
     weight: np.ndarray
+    #: How many rows train each model.
+    rows: np.ndarray
     mean: np.ndarray | None = None
     scale: np.ndarray | None = None
     w: np.ndarray | None = None
@@ -49,6 +51,9 @@ class Models:
     def n(self) -> int:
         return self.k * self.repeats
 
+    def width(self, rows: DataFrame) -> int:
+        return len(rows.select("x").first()[0]) if self.factors is None else self.factors[0][0].shape[1] * self.factors[0][1].shape[1]
+
     def features(self, x: np.ndarray) -> Iterator[np.ndarray]:
         """Each model's raw features of tensors or vectors laid out as rows."""
         for m in range(self.n):
@@ -92,11 +97,8 @@ def _by_fold(rows: DataFrame, k: int, repeats: int, size: int, part) -> np.ndarr
     return total[-1] - total[:-1]
 
 
-def fitted(rows: DataFrame, k: int, repeats: int, *, shape: tuple[int, int] | None = None, rank: tuple[int, int] | None = None, c: float = 1.0) -> Models:
-    """A logistic model for each repeat and fold, on rows (x, y, folds), with balanced classes and standard scores of training rows.
-
-    With ``shape`` and ``rank``, x is a packed tensor and its features are the core in the factors of the model's training rows.
-    """
+def _started(rows: DataFrame, k: int, repeats: int, shape: tuple[int, int] | None, ranks: list[tuple[int, int]] | None) -> list[Models]:
+    """Models of each rank without coefficients: class weights and, by one decomposition at the greatest rank, factors."""
     if shape:
         l, ch = shape
 
@@ -105,14 +107,31 @@ def fitted(rows: DataFrame, k: int, repeats: int, *, shape: tuple[int, int] | No
             return np.concatenate([[(y == 0).sum(), (y == 1).sum()], np.einsum("nlc,nmc->lm", t, t).ravel(), np.einsum("nlc,nld->cd", t, t).ravel()])
 
         stats = _by_fold(rows, k, repeats, 2 + l * l + ch * ch, grams)
-        cut = lambda s: (tensors._top(s[2 : 2 + l * l].reshape(l, l), rank[0]), tensors._top(s[2 + l * l :].reshape(ch, ch), rank[1]))
-        factors, width = [cut(s) for s in stats], rank[0] * rank[1]
+        top = max(r for r, _ in ranks), max(r for _, r in ranks)
+        whole = [(tensors._top(s[2 : 2 + l * l].reshape(l, l), top[0]), tensors._top(s[2 + l * l :].reshape(ch, ch), top[1])) for s in stats]
+        factors = [[(u[:, :a], v[:, :b]) for u, v in whole] for a, b in ranks]
     else:
         stats = _by_fold(rows, k, repeats, 2, lambda x, y: np.array([(y == 0).sum(), (y == 1).sum()]))
-        factors, width = None, len(rows.select("x").first()[0])
+        factors = [None]
     counts = stats[:, :2]
-    n = counts.sum(1)
-    models = Models(k, repeats, factors, n[:, None] / (2 * np.maximum(counts, 1)))
+    return [Models(k, repeats, f, counts.sum(1)[:, None] / (2 * np.maximum(counts, 1)), counts.sum(1)) for f in factors]
+
+
+def fitted(rows: DataFrame, k: int, repeats: int, *, shape: tuple[int, int] | None = None, rank: tuple[int, int] | None = None, c: float = 1.0) -> Models:
+    """A logistic model for each repeat and fold, on rows (x, y, folds), with balanced classes and standard scores of training rows.
+
+    With ``shape`` and ``rank``, x is a packed tensor and its features are the core in the factors of the model's training rows.
+    """
+    return _newton(rows, _started(rows, k, repeats, shape, [rank])[0], c)
+
+
+def fitted_ranks(rows: DataFrame, k: int, repeats: int, shape: tuple[int, int], ranks: list[tuple[int, int]], *, c: float = 1.0) -> list[Models]:
+    """``fitted`` for several ranks: factors are nested, so one decomposition at the greatest serves all."""
+    return [_newton(rows, m, c) for m in _started(rows, k, repeats, shape, ranks)]
+
+
+def _newton(rows: DataFrame, models: Models, c: float) -> Models:
+    n, width = models.rows, models.width(rows)
 
     def totals(x, y, folds):
         return np.stack([z[t].sum(0) for z, t in zip(models.features(x), models.trains(folds), strict=True)])
@@ -171,9 +190,38 @@ def held_out(rows: DataFrame, models: Models) -> DataFrame:
     return rows.select("beam_id", "prompt_id", "y", "x", "folds").mapInPandas(task, schema)
 
 
+def _dealt(packed: DataFrame, k: int, repeats: int, seed: int) -> DataFrame:
+    rows = packed.select("beam_id", "prompt_id", "y", F.col("x").cast("array<double>").alias("x"))
+    return stored(rows.join(repeated_folds(packed, k, repeats, seed=seed), "prompt_id"), name="dealt")
+
+
+def rank_probe(packed: DataFrame, shape: tuple[int, int], ranks: list[tuple[int, int]], *, k: int = 5, seed: int = 42, reps: int = 1000, c: float = 1.0) -> DataFrame:
+    """Of each rank: pooled and within-prompt quality out of fold, and pooled differences to the first rank with an interval (null for itself)."""
+    dealt = _dealt(packed, k, 1, seed)
+    found = {"x".join(map(str, r)): held_out(dealt, m) for r, m in zip(ranks, fitted_ranks(dealt, k, 1, shape, ranks, c=c), strict=True)}
+    names = list(found)
+    wide = None
+    for name, one in found.items():
+        one = one.select("beam_id", *(["prompt_id", "y"] if wide is None else []), F.col("score").alias(name))
+        wide = one if wide is None else wide.join(one, "beam_id")
+    wide = stored(wide, name="ranks")
+    long = wide.select("beam_id", "prompt_id", "y", F.explode(F.array(*[F.struct(F.lit(n).alias("rank"), F.col(n).alias("score")) for n in names])).alias("r")).select("beam_id", "prompt_id", "y", "r.*")
+    quality = ranking.auroc(long, ["rank"]).withColumnRenamed("auroc", "pooled").join(ranking.within_prompt(long, ["rank"]).select("rank", F.col("auroc").alias("within")), "rank", "left")
+    deltas = conditions.against(wide, names[1:], names[:1], reps=reps, seed=seed).where("metric = 'pooled'").select(F.col("condition").alias("rank"), "mean", "lo", "hi", "excludes_zero")
+    return quality.join(deltas, "rank", "left")
+
+
+def ranks_adopted(probes: DataFrame, improves: str, keeps: str) -> DataFrame:
+    """(rank, adopt) from probes of two datasets: a rank is adopted if it improves significantly on one and loses significantly on none of both."""
+    sure = F.coalesce("excludes_zero", F.lit(False))
+    better = F.max(sure & (F.col("mean") > 0) & (F.col("dataset") == improves))
+    worse = F.max(sure & (F.col("mean") < 0) & F.col("dataset").isin(improves, keeps))
+    return probes.where("mean IS NOT NULL").groupBy("rank").agg((better & ~worse).alias("adopt"))
+
+
 def repeated_cv(packed: DataFrame, *, k: int = 5, repeats: int = 5, seed: int = 42, shape: tuple[int, int] | None = None, rank: tuple[int, int] | None = None, c: float = 1.0) -> DataFrame:
     """Out-of-fold scores of all repeats, as ``held_out``.  Stored.  Rows are beam_id, prompt_id, y and x."""
-    dealt = stored(packed.select("beam_id", "prompt_id", "y", F.col("x").cast("array<double>").alias("x")).join(repeated_folds(packed, k, repeats, seed=seed), "prompt_id"), name="dealt")
+    dealt = _dealt(packed, k, repeats, seed)
     return stored(held_out(dealt, fitted(dealt, k, repeats, shape=shape, rank=rank, c=c)), name="repeated")
 
 

@@ -6,6 +6,7 @@ from heddle.operators import conditions, kernels, models, networks, ranking, rep
 from heddle.plans.registry import query
 from heddle.plans.tensors import _C, _L, _RANKS
 from heddle.sources import views
+from heddle.sources.scratch import stored
 
 
 def _features(spark, sf):
@@ -153,3 +154,15 @@ def mlp_oof(spark, sf):
     """Scores of perceptrons with a hidden layer, out of fold."""
     rows = _features(spark, sf)
     return networks.out_of_fold(rows, splits.folds(rows), 5, hidden=32, steps=20).select("beam_id", "y", "fold", "score")
+
+
+@query()
+def rank_probe(spark, sf):
+    """Nested channel ranks on two datasets, against the smallest, and which are adopted."""
+    b = views.beams(spark, sf)
+    found = None
+    for name, rest in (("first", 0), ("second", 1)):
+        part = repeated.rank_probe(b.where(F.col("prompt_id") % 2 == rest), _SHAPE, [(3, 2), (3, 4), (3, 6)], k=3, reps=200).withColumn("dataset", F.lit(name))
+        found = part if found is None else found.unionByName(part)
+    found = stored(found, name="probes")
+    return found.join(repeated.ranks_adopted(found, "first", "second"), "rank", "left").select("dataset", "rank", "pooled", "within", "mean", "excludes_zero", "adopt")

@@ -4,9 +4,10 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from heddle.functions import columns
-from heddle.operators import factoring, scaling, tensors
+from heddle.operators import conditions, factoring, pooling, scaling, splits, subspaces, tensors
 from heddle.plans.registry import query
 from heddle.sources import views
+from heddle.sources.scratch import stored
 
 _L, _C, _RANKS = views.LAYERS, views.CHANNELS, (3, 4)
 
@@ -178,3 +179,20 @@ def svd_route(spark, sf):
         values, _ = factoring.singular(train, n, factoring.unfolding((_L, _C), mode))
         rows += [(mode, i, float(v), float(v**2 / (values**2).sum())) for i, v in enumerate(values)]
     return spark.createDataFrame(rows, "mode int, i int, value double, share double")
+
+
+@query()
+def subspace_verdict(spark, sf):
+    """Channel directions that upper and lower quantiles of states share with those of steps between layers, against chance and the halves of one stream."""
+    cells = views.unpacked(views.beams(spark, sf))
+
+    def quantiles(rows, value):
+        pooled = rows.groupBy("prompt_id", "layer", "ch").agg(F.percentile(value, 0.95).alias("hi"), F.percentile(value, 0.05).alias("lo"))
+        pack = lambda c: F.transform(F.array_sort(F.collect_list(F.struct("layer", "ch", F.col(c).alias("v")))), lambda p: p["v"])
+        return pooled.groupBy("prompt_id").agg(pack("hi").alias("hi"), pack("lo").alias("lo"))
+
+    static, steps = stored(quantiles(cells, "v"), name="static"), stored(quantiles(pooling.layer_steps(cells, ["beam_id"]), "step"), name="steps")
+    both = lambda d: d.select("prompt_id", conditions.joined_channels(F.col("hi"), F.col("lo"), _C).alias("x"))
+    halves = static.select("prompt_id", F.col("hi").alias("x")), static.select("prompt_id", F.col("lo").alias("x"))
+    found = subspaces.compared(both(static), both(steps), halves, splits.folds(static, 3), 3, ((_L, 2 * _C), (_L - 1, 2 * _C), (_L, _C)), _RANKS[1])
+    return spark.createDataFrame([tuple(found.values())], "shared double, halves double, null_lo double, null_mid double, null_hi double, verdict string")

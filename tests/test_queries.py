@@ -38,6 +38,7 @@ def test_equals_sql(spark, duck, name):
     assert table(got.columns, got.collect()) == table([d[0] for d in want.description], want.fetchall())
 
 
-def test_the_others_are_held_against_numpy():
-    text = open(os.path.join(os.path.dirname(__file__), "test_numeric.py")).read()
-    assert not [n for n in set(catalog.QUERIES) - set(catalog.ORACLE_SQL) if f'"{n}"' not in text]
+def test_the_others_are_named_where_they_are_held_against_numpy():
+    here = os.path.dirname(__file__)
+    text = "".join(open(os.path.join(here, n)).read() for n in os.listdir(here) if n.endswith(".py"))
+    assert not [n for n in set(catalog.QUERIES) - set(catalog.ORACLE_SQL) if n not in text]
