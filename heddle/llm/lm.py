@@ -135,7 +135,9 @@ class Model:
     times: np.ndarray
     parameters: Parameters | None = None
     _codes: Codes | None = field(default=None, repr=False)
-    _tail: list[tuple[int, int]] = field(default_factory=list, repr=False)
+    #: Keys and symbols of the other words that the worker has met, and how many of their places are taken.
+    _tail: tuple[np.ndarray, np.ndarray] | None = field(default=None, repr=False)
+    _met: int = 0
 
     def base(self, n):
         return np.log10((n + 0.5) / (self.tokens + 0.5 * (self.distinct + 1)))
@@ -143,7 +145,7 @@ class Model:
     def codes(self, words: list[bytes]) -> np.ndarray:
         """Places in ``head``, or -1 less a place in the worker's list of other words."""
         if self._codes is None or len(self._codes) > CACHE_WORDS:
-            self._codes, self._tail = Codes(), []
+            self._codes, self._tail, self._met = Codes(), (np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64)), 0
         known = self._codes
         codes = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
         new, known.new = known.new, []
@@ -151,18 +153,28 @@ class Model:
             keys = keys_of(new)
             at = np.searchsorted(self.head, keys)
             hit = (at < len(self.head)) & (self.head[np.minimum(at, max(0, len(self.head) - 1))] == keys) if len(self.head) else np.zeros(len(new), bool)
-            found = np.where(hit, at, -1 - len(self._tail) - np.cumsum(~hit) + 1)
-            self._tail += [(k, TOP + ending_of(w)) for w, k, h in zip(new, keys.tolist(), hit.tolist(), strict=True) if not h]
+            found = np.where(hit, at, -self._met - np.cumsum(~hit))
+            self._remember(keys[~hit], [TOP + ending_of(w) for w, h in zip(new, hit.tolist(), strict=True) if not h])
             known.update(zip(new, found.tolist(), strict=True))
             fresh = codes >= NEW
             codes[fresh] = found[codes[fresh] - NEW]
         return codes
 
+    def _remember(self, keys: np.ndarray, symbols: list[int]) -> None:
+        end = self._met + len(keys)
+        while end > len(self._tail[0]):
+            self._tail = tuple(np.concatenate([a, np.zeros_like(a)]) for a in self._tail)
+        self._tail[0][self._met : end], self._tail[1][self._met : end] = keys, symbols
+        self._met = end
+
+    def tail_keys(self, codes: np.ndarray) -> np.ndarray:
+        return self._tail[0][-1 - codes]
+
     def symbols(self, codes: np.ndarray) -> np.ndarray:
         out = np.empty(len(codes), np.int64)
         inside = codes >= 0
-        out[inside] = self.head_symbol[codes[inside]]
-        out[~inside] = [self._tail[-1 - c][1] for c in codes[~inside].tolist()]
+        out[inside] = np.take(self.head_symbol, codes[inside])
+        out[~inside] = self._tail[1][-1 - codes[~inside]]
         return out
 
     def read(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -194,27 +206,36 @@ def log_classes(p: Parameters, contexts: np.ndarray, classes: np.ndarray, h: np.
     """log10 of the normalised probability of each class, in blocks of matrix products."""
     h = predicted(tables(p), contexts) if h is None else h
     out = np.empty(len(contexts))
-    for at in range(0, len(contexts), 4096):
-        part = h[at : at + 4096]
+    small = _small(h, p.q, p.b)
+    for at in range(0, len(contexts), 2048):
+        part = h[at : at + 2048]
         s = part @ p.q.T
         s += p.b
-        s -= s.max(1, keepdims=True)
-        own = s[np.arange(len(part)), classes[at : at + 4096]]
+        if not small:
+            s -= s.max(1, keepdims=True)
+        own = s[np.arange(len(part)), classes[at : at + 2048]]
         np.exp(s, out=s)
-        out[at : at + 4096] = (own - np.log(s @ np.ones(CLASSES, np.float32))) / math.log(10)
+        out[at : at + 2048] = (own - np.log(s @ np.ones(CLASSES, np.float32))) / math.log(10)
     return out
 
 
+def _small(h: np.ndarray, vectors: np.ndarray, bias: np.ndarray) -> bool:
+    """Whether no product of rows with vectors, with a bias, leaves what 32-bit exponentials hold; then no maximum need be taken out."""
+    longest = lambda m: float(np.sqrt(np.einsum("nd,nd->n", m, m).max(initial=0)))
+    return longest(h) * longest(vectors) + float(np.abs(bias).max(initial=0)) < 60
+
+
 def predicted(table: np.ndarray, contexts: np.ndarray) -> np.ndarray:
-    h = table[0][contexts[:, 0]]
+    h = np.take(table[0], contexts[:, 0], axis=0)
     for i in range(1, CONTEXT):
-        h += table[i][contexts[:, i]]
+        h += np.take(table[i], contexts[:, i], axis=0)
     return h
 
 
 def log_members(p: Parameters, h: np.ndarray, symbols: np.ndarray, members: Members) -> np.ndarray:
     """log10 of each symbol's probability given its class, normalised over the class, in a matrix product a class."""
     out = np.empty(len(symbols))
+    small = _small(h, p.u, members.log_share)
     own = members.classes[symbols]
     order = np.argsort(own.astype(np.uint16), kind="stable")
     ends = np.searchsorted(own[order], np.arange(CLASSES + 1))
@@ -222,9 +243,10 @@ def log_members(p: Parameters, h: np.ndarray, symbols: np.ndarray, members: Memb
         among = members.order[members.first[c] : members.first[c + 1]]
         for at in range(ends[c], ends[c + 1], 2048):
             rows = order[at : min(at + 2048, ends[c + 1])]
-            s = h[rows] @ p.u[among].T
+            s = np.take(h, rows, axis=0) @ np.take(p.u, among, axis=0).T
             s += members.log_share[among]
-            s -= s.max(1, keepdims=True)
+            if not small:
+                s -= s.max(1, keepdims=True)
             one = s[np.arange(len(rows)), members.place[symbols[rows]]]
             np.exp(s, out=s)
             out[rows] = (one - np.log(s @ np.ones(len(among), np.float32))) / math.log(10)
@@ -241,25 +263,29 @@ def summed(keys: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     order = np.argsort(keys.astype(np.uint16), kind="stable")  # SYMBOLS fit 16 bits, which numpy sorts by radix
     keys = keys[order]
     starts = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
-    return keys[starts], np.add.reduceat(rows[order], starts, axis=0), np.diff(starts, append=len(keys))
+    pairs = np.take(rows, order, axis=0).view(np.complex64 if rows.dtype == np.float32 else np.complex128)  # two sums at once
+    return keys[starts], np.add.reduceat(pairs, starts, axis=0).view(rows.dtype), np.diff(starts, append=len(keys))
 
 
 def sigmoid(x: np.ndarray) -> None:
     """1 / (1 + exp(x)), in place."""
-    np.minimum(x, 30, out=x)
-    np.exp(x, out=x)
+    with np.errstate(over="ignore"):
+        np.exp(x, out=x)
     x += 1
     np.reciprocal(x, out=x)
 
 
 def adagrad(value: np.ndarray, past: np.ndarray, step: np.ndarray, rate: float, at=...) -> None:
-    total = past[at] + step * step
+    total = step * step
+    total += past[at]
     past[at] = total
     np.sqrt(total, out=total)
-    value[at] += rate * step / total
+    np.divide(step, total, out=total)
+    total *= rate
+    value[at] += total
 
 
-def train(p: Parameters, contexts: np.ndarray, classes: np.ndarray, noise: np.ndarray, rng, seen: np.ndarray, state: dict, batch: int = 512, rate: float = 0.1, words: tuple | None = None) -> None:
+def train(p: Parameters, contexts: np.ndarray, classes: np.ndarray, noise: np.ndarray, rng, seen: np.ndarray, state: dict, batch: int = 1024, rate: float = 0.1, words: tuple | None = None) -> None:
     """One pass of noise-contrastive estimation with AdaGrad steps, in place.
 
     All classes have their scores, so the noise counts by its expectation, NOISE times a class's probability, not by
@@ -273,7 +299,7 @@ def train(p: Parameters, contexts: np.ndarray, classes: np.ndarray, noise: np.nd
     for at in range(0, len(contexts), batch):
         x, y = contexts[at : at + batch], classes[at : at + batch]
         rows = np.arange(len(x))
-        r = p.r[x.T]
+        r = np.take(p.r, x.T, axis=0)
         h = r[0] @ p.c[0]
         for i in range(1, CONTEXT):
             h += r[i] @ p.c[i]
@@ -286,7 +312,7 @@ def train(p: Parameters, contexts: np.ndarray, classes: np.ndarray, noise: np.nd
         if words is not None:
             symbols, members, moved = words
             both = np.concatenate([symbols[at : at + batch, None], members.draw(y, rng)], 1)
-            u = p.u[both]
+            u = np.take(p.u, both, axis=0)
             own = math.log(DRAWS) - np.einsum("nkd,nd->nk", u, h)
             sigmoid(own)
             np.negative(own, out=own)
@@ -476,6 +502,7 @@ def encode(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: s
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def task(batches: Iterator) -> Iterator:
+        import pyarrow as pa
         from pyspark import TaskContext
 
         m, row = shared.value, TaskContext.get().partitionId() << 33
@@ -483,28 +510,29 @@ def encode(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: s
         word = np.where(m.head_symbol < TOP, 0.0, np.log10(m.head_n + 0.5) + m.weight[m.head_symbol])
         floor = -math.log10(m.tokens + 0.5 * (m.distinct + 1))
         for b in batches:
-            ids, trained = b.column(0).to_pylist(), b.column(2).to_pylist()
-            for at in range(0, len(ids), 200):
-                part, rows = ids[at : at + 200], []
-                codes, symbols, starts = m.read(b.column(1).slice(at, 200).to_pylist())
+            for at in range(0, b.num_rows, 200):
+                part = b.slice(at, 200)
+                codes, symbols, starts = m.read(part.column(1).to_pylist())
                 inside = codes >= 0
                 places = np.maximum(codes, 0)
-                first = np.where(inside, base[places] if len(base) else 0.0, floor)
-                second = np.where(inside, word[places], m.weight[symbols]) if len(word) else m.weight[symbols]
+                first = np.where(inside, np.take(base, places) if len(base) else 0.0, floor)
+                second = np.where(inside, np.take(word, places), m.weight[symbols]) if len(word) else m.weight[symbols]
                 one, two, known = (np.add.reduceat(v, starts[:-1]) for v in (first, second, inside.astype(np.int64)))
                 outside = np.flatnonzero(~inside)
                 owner = np.searchsorted(starts, outside, side="right") - 1
-                tails: list[dict[int, int]] = [{} for _ in part]
-                for o, c in zip(owner.tolist(), codes[outside].tolist(), strict=True):
-                    key = m._tail[-1 - c][0]
-                    tails[o][key] = tails[o].get(key, 0) + 1
-                packed = symbols.astype("<u2").tobytes()
-                for i, doc_id in enumerate(part):
-                    tail = [{"key": k, "n": n} for k, n in tails[i].items()]
-                    a, e = int(starts[i]), int(starts[i + 1])
-                    rows.append((row, doc_id, trained[at + i], e - a, int(known[i]), float(one[i]), float(two[i]), tail, packed[2 * a : 2 * e]))
-                    row += 1
-                yield batch_of(rows, schema)
+                pairs, times = np.unique(owner << 40 | -1 - codes[outside], return_counts=True)  # a text and the place of a word
+                keys = m.tail_keys(-1 - (pairs & (1 << 40) - 1))
+                tail = pa.StructArray.from_arrays([pa.array(keys, pa.int64()), pa.array(times, pa.int32())], names=["key", "n"])
+                ends = pa.array(np.searchsorted(pairs >> 40, np.arange(part.num_rows + 1)), pa.int32())
+                packed = pa.py_buffer(symbols.astype("<u2").tobytes())
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(np.arange(row, row + part.num_rows)), part.column(0), part.column(2), pa.array(np.diff(starts)), pa.array(known), pa.array(one), pa.array(two),
+                        pa.ListArray.from_arrays(ends, tail), pa.Array.from_buffers(pa.binary(), part.num_rows, [None, pa.py_buffer((2 * starts).astype("<i4").tobytes()), packed]),
+                    ],
+                    names=schema.names,
+                )
+                row += part.num_rows
 
     train = F.lit(False) if train is None else train
     return stored(docs.select(F.col(id_col), F.col(text_col), train).mapInArrow(task, schema), name="encoded")
