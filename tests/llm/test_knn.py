@@ -72,5 +72,27 @@ def test_rings_rule_out_groups(spark):
     queries = data.where("vec_id % 3 = 0").withColumnRenamed("vec_id", "query_id")
     norms = [float((known[i].astype(float) ** 2).sum()) for i in range(8)]
     asked = queries.selectExpr("query_id", "v", f"cast({max(norms) * 0.9} as double) as least")
-    sent = knn._sent(asked, known, np.full(8 * knn.RINGS, 100.0), np.ones(8 * knn.RINGS, int), first=False)
-    assert sent.count() < 0.5 * queries.count() * 8 * knn.RINGS
+    layout = knn.Layout(np.full(8 * knn.RINGS, 100.0), np.full(8 * knn.RINGS, 10), 16, 16)
+    sent = knn._sent(asked, known, layout, first=False)
+    assert sum(len(r.groups) for r in sent.collect()) < 0.5 * queries.count() * 8 * knn.RINGS
+
+
+def test_a_query_travels_once_to_a_part(spark):
+    """On vectors without structure, where no group is ruled out, rows grow with queries times parts, not groups; many pivots need bounded memory."""
+    rng = np.random.default_rng(9)
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(rng.normal(size=(600, 8)).tolist())], "vec_id long, embedding array<float>")
+    queries = knn.quantised(df.where("vec_id % 20 = 0"), "vec_id", "embedding").selectExpr("vec_id as query_id", "v", "cast('-Infinity' as double) as least")
+    known = knn._in_order(rng.integers(-900, 900, (16_384, 8)))
+    sizes = np.full(16_384 * knn.RINGS, 10)
+    layout = knn.Layout(np.full(len(sizes), 1e6), sizes, 4096, 65_536)
+    parts = -(-int(sizes.sum()) // 65_536)
+    found = knn._sent(queries, known, layout, first=False).select("query_id", "part").collect()
+    assert len(found) == len(set(found)) == 30 * parts
+    check(spark, [(i, v) for i, v in enumerate(rng.normal(size=(300, 8)).astype(np.float32).astype(float).tolist())], pivots=20, block=8, part=30)
+
+
+def test_blocks_of_a_group_lie_in_several_parts():
+    layout = knn.Layout(np.zeros(3), np.array([10, 1000, 5]), 100, 256)
+    assert layout.blocks.tolist() == [1, 10, 1] and layout.start.tolist() == [0, 10, 1010]
+    assert layout.parts(np.array([0, 1])) == [(0, [0, 1]), (1, [1]), (2, [1]), (3, [1])]
+    assert layout.parts(np.array([2])) == [(3, [2])] and layout.parts(np.array([], int)) == []
