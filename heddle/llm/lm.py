@@ -285,7 +285,7 @@ def adagrad(value: np.ndarray, past: np.ndarray, step: np.ndarray, rate: float,
     value[at] += total
 
 
-def train(p: Parameters, contexts: np.ndarray, classes: np.ndarray, noise: np.ndarray, rng, seen: np.ndarray, state: dict, batch: int = 1024, rate: float = 0.1, words: tuple | None = None) -> None:
+def train(p: Parameters, contexts: np.ndarray, classes: np.ndarray, noise: np.ndarray, rng, seen: np.ndarray, state: dict, batch: int = 2048, rate: float = 0.1, words: tuple | None = None) -> None:
     """One pass of noise-contrastive estimation with AdaGrad steps, in place.
 
     All classes have their scores, so the noise counts by its expectation, NOISE times a class's probability, not by
@@ -324,7 +324,7 @@ def train(p: Parameters, contexts: np.ndarray, classes: np.ndarray, noise: np.nd
         met, dr, times = summed(x.T.ravel(), np.concatenate([dh @ p.c[i].T for i in range(CONTEXT)]))  # the other symbols don't move
         adagrad(p.c, state["c"], np.stack([r[i].T @ dh for i in range(CONTEXT)]), rate)
         adagrad(p.q, state["q"], g.T @ h, rate)
-        adagrad(p.b, state["b"], g.sum(0), rate)
+        adagrad(p.b, state["b"], np.ones(len(g), g.dtype) @ g, rate)
         adagrad(p.r, state["r"], dr, rate, met)
         seen[met] += times
 
@@ -506,19 +506,20 @@ def encode(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: s
         from pyspark import TaskContext
 
         m, row = shared.value, TaskContext.get().partitionId() << 33
-        base = m.base(m.head_n)
-        word = np.where(m.head_symbol < TOP, 0.0, np.log10(m.head_n + 0.5) + m.weight[m.head_symbol])
-        floor = -math.log10(m.tokens + 0.5 * (m.distinct + 1))
+        # The last place is that of words outside the head.
+        base = np.append(m.base(m.head_n), -math.log10(m.tokens + 0.5 * (m.distinct + 1)))
+        word = np.append(np.where(m.head_symbol < TOP, 0.0, np.log10(m.head_n + 0.5) + m.weight[m.head_symbol]), 0.0)
         for b in batches:
             for at in range(0, b.num_rows, 200):
                 part = b.slice(at, 200)
                 codes, symbols, starts = m.read(part.column(1).to_pylist())
                 inside = codes >= 0
-                places = np.maximum(codes, 0)
-                first = np.where(inside, np.take(base, places) if len(base) else 0.0, floor)
-                second = np.where(inside, np.take(word, places), m.weight[symbols]) if len(word) else m.weight[symbols]
-                one, two, known = (np.add.reduceat(v, starts[:-1]) for v in (first, second, inside.astype(np.int64)))
                 outside = np.flatnonzero(~inside)
+                places = codes.copy()
+                places[outside] = len(base) - 1
+                second = np.take(word, places)
+                second[outside] = m.weight[symbols[outside]]
+                one, two, known = (np.add.reduceat(v, starts[:-1]) for v in (np.take(base, places), second, inside.astype(np.int64)))
                 owner = np.searchsorted(starts, outside, side="right") - 1
                 pairs, times = np.unique(owner << 40 | -1 - codes[outside], return_counts=True)  # a text and the place of a word
                 keys = m.tail_keys(-1 - (pairs & (1 << 40) - 1))
