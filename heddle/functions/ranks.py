@@ -22,9 +22,8 @@ def by_hash(key: Column) -> Column:
     return F.substring(key, 1, 3)
 
 
-def by_range(rows: DataFrame, column: str) -> tuple[DataFrame, Column]:
-    """The rows with a bin of the column's value, and that bin.  Bins lie between approximate quantiles, so they are of like
-    size whatever the values; a value has one bin."""
+def _edged(rows: DataFrame, column: str) -> DataFrame:
+    """The rows with ``_by``, how many approximate quantiles lie below the column's value, and ``_edge``, whether it is the next one."""
     grid = [i / STEPS**2 for i in range(1, STEPS**2)]
     value = F.col(column).cast("double")
     edges = rows.agg(F.percentile_approx(value, grid, 10_000).alias("_edges"))
@@ -32,7 +31,21 @@ def by_range(rows: DataFrame, column: str) -> tuple[DataFrame, Column]:
     below = lambda cut: F.size(F.filter(cut, lambda e: e < value))
     coarse = below(F.col("_coarse"))
     bin_ = coarse * STEPS + below(F.slice("_edges", coarse * STEPS + 1, F.lit(STEPS - 1)))
-    return rows.join(F.broadcast(edges)).select(*rows.columns, bin_.alias("_by")), F.col("_by")  # one row of edges
+    held = rows.join(F.broadcast(edges)).withColumn("_by", bin_)  # one row of edges
+    return held.select(*rows.columns, "_by", F.coalesce(F.get("_edges", F.col("_by").cast("int")) == value, F.lit(False)).alias("_edge"))
+
+
+def by_range(rows: DataFrame, column: str) -> tuple[DataFrame, Column]:
+    """The rows with a bin of the column's value, and that bin.  Bins lie between approximate quantiles, so they are of like size
+    whatever the values; a value has one bin."""
+    return _edged(rows, column).drop("_edge"), F.col("_by")
+
+
+def by_range_or_value(rows: DataFrame, column: str) -> DataFrame:
+    """The rows with ``bin``, in the values' order: odd bins have a single value each, as every frequent one has, and the even ones
+    between them are of like size."""
+    found = _edged(rows, column)
+    return found.withColumn("bin", 2 * F.col("_by") + F.col("_edge").cast("int")).drop("_by", "_edge")
 
 
 def quantiles(rows: DataFrame, keys: list[str], value: Column, shares: dict[str, float]) -> DataFrame:

@@ -46,14 +46,13 @@ def without_common(rows: DataFrame, train: DataFrame, k: int, layers: int, *, co
     """Takes, in every layer on its own, the k leading principal directions of the training rows out of every row, which isn't centred."""
     width = len(train.select(column).first()[0]) // layers
     layer = lambda i: F.slice(column, i * width + 1, F.lit(width))
-    keep = np.zeros((layers * width, layers * width))
+    directions = np.zeros((layers, width, min(k, width)))
     for i in range(layers):
         n, first, second = tensors.moments(train.select(layer(i).alias("part")), "part")
         mean = first / max(1, n)
         values, vectors = np.linalg.eigh(second / max(1, n) - np.outer(mean, mean))
-        v = vectors[:, np.argsort(-values)[:k]]
-        keep[i * width : (i + 1) * width, i * width : (i + 1) * width] = np.eye(width) - v @ v.T
-    return tensors.times(rows, keep, np.zeros(layers * width), column)
+        directions[i] = vectors[:, np.argsort(-values)[:k]]
+    return tensors.without_directions(rows, directions, column)
 
 
 def fused_residual(rows: DataFrame, train: DataFrame, base: str, *, column: str = "features", name: str = "fused") -> DataFrame:

@@ -62,14 +62,24 @@ def out_of_fold(kind: str, rows: DataFrame, folds: DataFrame, k: int, **options)
     return reduce(DataFrame.unionByName, [scores(detector(kind, dealt.where(F.col("fold") != i), **options), dealt.where(F.col("fold") == i)) for i in range(k)])
 
 
-def scaled_tensors(packed: DataFrame, train: Column, channels: int, scale: Callable[[DataFrame, DataFrame, list[str]], DataFrame] = scaling.mad) -> DataFrame:
+def scaled_tensors(packed: DataFrame, train: Column, channels: int, scale: scaling.Scale = scaling.MAD) -> DataFrame:
     """The tensors, each channel of a layer scaled by the training rows (by their median and deviation, if nothing else is asked for),
-    and ``fit``, which marks those rows.  Stored."""
-    keys = [c for c in packed.columns if c != "x"]
-    cells = views.unpacked(packed.withColumn("fit", train), channels)
-    scaled = scale(cells, cells.where("fit"), ["layer", "ch"])
-    at = F.struct("layer", "ch", F.col("scaled").alias("v"))
-    return stored(scaled.groupBy(*keys, "fit").agg(F.transform(F.array_sort(F.collect_list(at)), lambda c: c["v"]).alias("x")), name="tensors")
+    and ``fit``, which marks those rows.  Stored.
+
+    Only the parameters are found by cells; they are as many as a tensor has numbers, and tensors are scaled where they lie.
+    """
+    marked = packed.withColumn("fit", train)
+    cells = views.unpacked(marked.where("fit").select("x"), channels)
+    found = scale.fit(cells, ["layer", "ch"]).orderBy("layer", "ch").select(*scale.names).collect()  # a row a number of a tensor
+    parameters = marked.sparkSession.sparkContext.broadcast(np.array(found, float).T)
+
+    @F.pandas_udf("array<double>")
+    def scaled(x):
+        import pandas as pd
+
+        return pd.Series(list(scale.apply(np.stack(x.to_numpy()).astype(np.float64), *parameters.value))) if len(x) else pd.Series([], dtype=object)
+
+    return stored(marked.withColumn("x", scaled("x")), name="tensors")
 
 
 def fold_cores(packed: DataFrame, folds: DataFrame, k: int, shape: tuple[int, int], ranks: tuple[int, int]) -> DataFrame:

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
+
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,20 +16,41 @@ def _with(cells: DataFrame, params: DataFrame, keys: list[str]) -> DataFrame:
     return cells.join(params, keys)  # one row a channel
 
 
-def mad(cells: DataFrame, train: DataFrame, keys: list[str]) -> DataFrame:
-    """(v - median) / (median absolute deviation + 1e-6)."""
+@dataclass
+class Scale:
+    """Parameters of channels from training cells, by keys, and what becomes of an array of values, given an array of each parameter."""
+
+    fit: Callable[[DataFrame, list[str]], DataFrame]
+    names: tuple[str, ...]
+    apply: Callable[..., np.ndarray]
+
+
+def _mad(train: DataFrame, keys: list[str]) -> DataFrame:
     mid = ranks.quantiles(train, keys, F.col("v"), {"mid": 0.5})
     dev = ranks.quantiles(_with(train, mid, keys), keys, F.abs(F.col("v") - F.col("mid")), {"dev": 0.5})
-    return _with(_with(cells, mid, keys), dev, keys).withColumn("scaled", (F.col("v") - F.col("mid")) / (F.col("dev") + 1e-6)).drop("mid", "dev")
+    return mid.join(dev, keys)
+
+
+def _winsor(train: DataFrame, keys: list[str]) -> DataFrame:
+    edge = ranks.quantiles(train, keys, F.col("v"), {"lo": 0.005, "hi": 0.995})
+    clip = F.least(F.greatest(F.col("v"), F.col("lo")), F.col("hi"))
+    return edge.join(ranks.quantiles(_with(train, edge, keys), keys, clip, {"mid": 0.5, "q1": 0.25, "q3": 0.75}), keys)
+
+
+MAD = Scale(_mad, ("mid", "dev"), lambda v, mid, dev: (v - mid) / (dev + 1e-6))
+WINSOR_IQR = Scale(_winsor, ("lo", "hi", "mid", "q1", "q3"), lambda v, lo, hi, mid, q1, q3: np.clip((np.clip(v, lo, hi) - mid) / ((q3 - q1) / 1.349 + 1e-8), -6, 6))
+
+
+def mad(cells: DataFrame, train: DataFrame, keys: list[str]) -> DataFrame:
+    """(v - median) / (median absolute deviation + 1e-6)."""
+    return _with(cells, _mad(train, keys), keys).withColumn("scaled", (F.col("v") - F.col("mid")) / (F.col("dev") + 1e-6)).drop("mid", "dev")
 
 
 def winsor_iqr(cells: DataFrame, train: DataFrame, keys: list[str]) -> DataFrame:
     """Clipped to the 0.5 and 99.5 percentiles, then centred and scaled by median and IQR of the clipped values."""
-    edge = ranks.quantiles(train, keys, F.col("v"), {"lo": 0.005, "hi": 0.995})
     clip = F.least(F.greatest(F.col("v"), F.col("lo")), F.col("hi"))
-    fit = ranks.quantiles(_with(train, edge, keys), keys, clip, {"mid": 0.5, "q1": 0.25, "q3": 0.75})
     scaled = (clip - F.col("mid")) / ((F.col("q3") - F.col("q1")) / 1.349 + 1e-8)
-    return _with(_with(cells, edge, keys), fit, keys).withColumn("scaled", F.least(F.greatest(scaled, F.lit(-6.0)), F.lit(6.0))).drop("lo", "hi", "mid", "q1", "q3")
+    return _with(cells, _winsor(train, keys), keys).withColumn("scaled", F.least(F.greatest(scaled, F.lit(-6.0)), F.lit(6.0))).drop("lo", "hi", "mid", "q1", "q3")
 
 
 def zscore(cells: DataFrame, train: DataFrame, keys: list[str]) -> DataFrame:

@@ -10,6 +10,12 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from heddle.functions import sums
+
+
+#: Channels whose Gram matrix is added up whole: 128 MB.
+MOST_CHANNELS = 4096
+
 
 def grams(packed: DataFrame, shape: tuple[int, ...]) -> DataFrame:
     """(mode, i, j, g): of every mode of the packed tensors x, sums over rows and the other modes of v[i] * v[j]."""
@@ -35,10 +41,19 @@ def tucker(train: DataFrame, shape: tuple[int, ...], ranks: tuple[int, ...], off
     offsets = offsets or (0,) * len(shape)
     if any(o + r > n for o, r, n in zip(offsets, ranks, shape, strict=True)):
         raise ValueError("offset and rank go past a mode's size")
-    out = [np.zeros((n, n)) for n in shape]
-    for r in grams(train, shape).collect():  # the squares of the modes' sizes
-        out[r["mode"]][r.i, r.j] = r.g
-    return [_top(m, r, o) for m, r, o in zip(out, ranks, offsets, strict=True)]
+    return [_top(m, r, o) for m, r, o in zip(gram_matrices(train, shape), ranks, offsets, strict=True)]
+
+
+def gram_matrices(packed: DataFrame, shape: tuple[int, ...], column: str = "x") -> list[np.ndarray]:
+    """``grams`` as arrays: what reaches the driver has the squares of the modes' sizes, in binary parts."""
+
+    def part(f):
+        x = np.stack(f["x"].to_numpy()).reshape(-1, *shape).astype(np.float64)
+        flat = [np.moveaxis(x, mode + 1, 0).reshape(n, -1) for mode, n in enumerate(shape)]
+        return np.concatenate([(m @ m.T).ravel() for m in flat])
+
+    found = sums.added(packed.select(F.col(column).alias("x")), sum(n * n for n in shape), part)
+    return [m.reshape(n, n) for m, n in zip(np.split(found, np.cumsum([n * n for n in shape])[:-1]), shape, strict=True)]
 
 
 def _top(matrix: np.ndarray, rank: int, offset: int = 0) -> np.ndarray:
@@ -48,8 +63,14 @@ def _top(matrix: np.ndarray, rank: int, offset: int = 0) -> np.ndarray:
     return u * np.sign(u[np.abs(u).argmax(0), np.arange(u.shape[1])])
 
 
-def hosvd(train: DataFrame, layers: int, channels: int, rank_l: int, rank_c: int, *, offset: int = 0) -> tuple[np.ndarray, np.ndarray]:
-    """Layer and channel factors from training rows (column x, layer-major); ``offset`` passes over channel directions."""
+def hosvd(train: DataFrame, layers: int, channels: int, rank_l: int, rank_c: int, *, offset: int = 0, most: int = MOST_CHANNELS) -> tuple[np.ndarray, np.ndarray]:
+    """Layer and channel factors from training rows (column x, layer-major); ``offset`` passes over channel directions.
+
+    With more than ``most`` channels, whose Gram matrix is too much to hold, the channel factor comes from subspace iteration.
+    """
+    if channels > most:
+        u_l, u_c = hosvd_randomised(train, layers, channels, rank_l, offset + rank_c)
+        return u_l, u_c[:, offset:]
     u_l, u_c = tucker(train, (layers, channels), (rank_l, rank_c), (0, offset))
     return u_l, u_c
 
@@ -91,9 +112,7 @@ def _signed(u: np.ndarray) -> np.ndarray:
 
 def basis_of_rows(matrix: DataFrame, width: int, rank: int, random_rank: int, *, seed: int = 42) -> tuple[np.ndarray, np.ndarray, float]:
     """Of a matrix with a row of x each: its trailing right singular directions, as many random orthonormal ones, and the trailing ones' share of energy."""
-    g = np.zeros((width, width))
-    for r in grams(matrix, (width,)).collect():  # the width squared
-        g[r.i, r.j] = r.g
+    g = gram_matrices(matrix, (width,))[0]
     values, vectors = np.linalg.eigh(g)
     rank = min(rank, width)
     noise = np.linalg.qr(np.random.default_rng(seed).standard_normal((width, random_rank)))[0]
@@ -115,13 +134,15 @@ def projected(packed: DataFrame, basis: np.ndarray) -> DataFrame:
 
 def core(packed: DataFrame, u_l: np.ndarray, u_c: np.ndarray) -> DataFrame:
     """Adds ``core``: the tensor in the factors' space, layer-major."""
-    both = np.kron(u_l, u_c)
 
     @F.pandas_udf("array<double>")
     def project(x):
         import pandas as pd
 
-        return pd.Series(list(np.stack(x.to_numpy()).astype(np.float64) @ both)) if len(x) else pd.Series([], dtype=object)
+        if not len(x):
+            return pd.Series([], dtype=object)
+        packed = np.stack(x.to_numpy()).reshape(-1, len(u_l), len(u_c)).astype(np.float64)
+        return pd.Series(list((u_l.T @ (packed @ u_c)).reshape(len(packed), -1)))
 
     return packed.withColumn("core", project("x"))
 
@@ -244,9 +265,9 @@ def block_terms(states: DataFrame, key: str, streams: dict[str, tuple[np.ndarray
     and the share of its norm that the channel factor leaves."""
     out = None
     for name, (projection, rank_l, rank_c) in streams.items():
-        inside = times(states.select(key, F.transform("x", lambda v: v.cast("double")).alias("x")), np.kron(np.eye(layers), projection), np.zeros(layers * channels), "x")
+        inside = layer_times(states.select(key, F.transform("x", lambda v: v.cast("double")).alias("x")), projection, "x")
         u_l, u_c = hosvd(inside, layers, channels, rank_l, rank_c)
-        both = times(times(inside, np.kron(u_l, u_c), np.zeros(rank_l * rank_c), "x", "core"), np.kron(np.eye(layers), np.eye(channels) - u_c @ u_c.T), np.zeros(layers * channels), "x", "rest")
+        both = without_directions(core(inside, u_l, u_c), u_c, "x", "rest")
         square = lambda c: F.aggregate(c, F.lit(0.0), lambda a, v: a + v * v)
         sizes = both.groupBy(key).agg((F.sqrt(F.sum(square("rest"))) / (F.sqrt(F.sum(square("x"))) + 1e-9)).alias(f"{name}_rest"))
         means = both.select(key, F.posexplode("core").alias("i", "v")).groupBy(key, "i").agg(F.avg("v").alias("v")).groupBy(key)
@@ -257,25 +278,54 @@ def block_terms(states: DataFrame, key: str, streams: dict[str, tuple[np.ndarray
 
 def moments(train: DataFrame, column: str) -> tuple[int, np.ndarray, np.ndarray]:
     """Rows, sum and sum of outer products of a vector column; tasks add up their own."""
+    one = train.select(column).first()
+    if one is None:
+        return 0, np.zeros(0), np.zeros((0, 0))
+    width = len(one[0])
 
-    def task(frames):
+    def part(f):
+        x = np.stack(f["x"].to_numpy()).astype(np.float64)
+        return np.concatenate([[len(x)], x.sum(0), (x.T @ x).ravel()])
+
+    found = sums.added(train.select(F.col(column).alias("x")), 1 + width + width * width, part)
+    return int(found[0]), found[1 : width + 1], found[width + 1 :].reshape(width, width)
+
+
+def layer_times(rows: DataFrame, matrices: np.ndarray, column: str, name: str | None = None) -> DataFrame:
+    """A packed tensor's layers, each times its own matrix [layer, channels, new channels], or all times one [channels, new channels]."""
+    shared = rows.sparkSession.sparkContext.broadcast(matrices)
+
+    @F.pandas_udf("array<double>")
+    def product(x):
         import pandas as pd
 
-        n, first, second = 0, 0.0, 0.0
-        for f in frames:
-            if len(f):
-                x = np.stack(f[column].to_numpy()).astype(np.float64)
-                n, first, second = n + len(x), first + x.sum(0), second + x.T @ x
-        if n:
-            yield pd.DataFrame({"i": range(-1, len(first)), "g": [[n, *first.tolist()], *([0.0, *row] for row in np.asarray(second).tolist())]})
-
-    rows = train.select(column).mapInPandas(task, "i int, g array<double>").select("i", F.posexplode("g").alias("j", "v"))
-    cells = rows.groupBy("i", "j").agg(F.sum("v").alias("v")).collect()  # the width squared
-    width = max((r.i for r in cells), default=-1) + 1
-    out = np.zeros((width + 1, width + 1))
-    for r in cells:
-        out[r.i + 1, r.j] = r.v
-    return int(out[0, 0]), out[0, 1:], out[1:, 1:]
+        if not len(x):
+            return pd.Series([], dtype=object)
+        m = shared.value
+        packed = np.stack(x.to_numpy()).astype(np.float64)
+        parts = packed.reshape(len(packed), -1, m.shape[-2])
+        return pd.Series(list((np.einsum("nlc,lcd->nld", parts, m) if m.ndim == 3 else parts @ m).reshape(len(packed), -1)))
+
+    return rows.withColumn(name or column, product(column))
+
+
+def without_directions(rows: DataFrame, directions: np.ndarray, column: str, name: str | None = None) -> DataFrame:
+    """A packed tensor's layers, each without its own orthonormal directions [layer, channels, k], or all without the same [channels, k]."""
+    shared = rows.sparkSession.sparkContext.broadcast(directions)
+
+    @F.pandas_udf("array<double>")
+    def rest(x):
+        import pandas as pd
+
+        if not len(x):
+            return pd.Series([], dtype=object)
+        v = shared.value
+        packed = np.stack(x.to_numpy()).astype(np.float64)
+        parts = packed.reshape(len(packed), -1, v.shape[-2])
+        back = np.einsum("nlk,lck->nlc", np.einsum("nlc,lck->nlk", parts, v), v) if v.ndim == 3 else parts @ v @ v.T
+        return pd.Series(list((parts - back).reshape(len(packed), -1)))
+
+    return rows.withColumn(name or column, rest(column))
 
 
 def times(rows: DataFrame, matrix: np.ndarray, shift: np.ndarray, column: str, name: str | None = None) -> DataFrame:

@@ -1,8 +1,8 @@
 """Queries on composition, agreement, alignment, energy and reports."""
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from heddle.functions import ranks
 from heddle.operators import audits, ranking
 from heddle.plans.ranking import _DRAWS, _REPS, _SEED
 from heddle.plans.registry import query
@@ -139,9 +139,9 @@ def trace_distribution(spark, sf):
 
     t = scaling.centred(_cells(spark, sf), ["prompt_id", "layer", "ch"]).groupBy("prompt_id").agg(F.sum(F.col("delta") ** 2).alias("t"))
     q = {f"q{int(100 * p):02d}": p for p in (0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99)}
-    return t.agg(
-        F.min("t").alias("least"), F.max("t").alias("most"), F.avg("t").alias("mean"), *[F.percentile("t", p).alias(n) for n, p in q.items()], *[F.sum((F.col("t") < 10.0**-n).cast("long")).alias(f"below_{n}") for n in (2, 4, 6)]
-    )
+    all_ = t.withColumn("all", F.lit(0))
+    ends = t.agg(F.min("t").alias("least"), F.max("t").alias("most"), F.avg("t").alias("mean"), *[F.sum((F.col("t") < 10.0**-n).cast("long")).alias(f"below_{n}") for n in (2, 4, 6)])
+    return ends.join(F.broadcast(ranks.quantiles(all_, ["all"], F.col("t"), q).drop("all")))  # one row
 
 
 @query("SELECT y, layer, avg(norm) AS mean_norm, avg(norm * norm) AS energy FROM (SELECT beam_id, y, layer, sqrt(sum(v * v)) AS norm FROM cells GROUP BY ALL) GROUP BY y, layer", "mean_norm energy")
@@ -203,5 +203,6 @@ def prompt_seed(spark, sf):
     "SELECT prompt_id, count(*) AS n, count(*) FILTER (score > m) AS above FROM (SELECT *, avg(score) OVER (PARTITION BY dataset) AS m FROM scored) GROUP BY prompt_id ORDER BY above DESC, prompt_id LIMIT 25"
 )
 def worst_prompts(spark, sf):
-    s = views.scored(spark, sf).withColumn("m", F.avg("score").over(Window.partitionBy("dataset")))
+    rows = views.scored(spark, sf)
+    s = rows.join(rows.groupBy("dataset").agg(F.avg("score").alias("m")), "dataset")
     return s.groupBy("prompt_id").agg(F.count("*").alias("n"), F.sum((F.col("score") > F.col("m")).cast("long")).alias("above")).orderBy(F.desc("above"), "prompt_id").limit(25)

@@ -118,10 +118,10 @@ def hygiene_ladder(spark, sf):
     b = views.beams(spark, sf)
 
     def without(d, train):
-        t = models.scaled_tensors(d, train, _C, scaling.winsor_iqr)
+        t = models.scaled_tensors(d, train, _C, scaling.WINSOR_IQR)
         return conditions.without_common(t, t.where("fit"), 1, _L, column="x")
 
-    steps = {"mad": lambda d, t: models.scaled_tensors(d, t, _C), "clipped": lambda d, t: models.scaled_tensors(d, t, _C, scaling.winsor_iqr), "uncommon": without}
+    steps = {"mad": lambda d, t: models.scaled_tensors(d, t, _C), "clipped": lambda d, t: models.scaled_tensors(d, t, _C, scaling.WINSOR_IQR), "uncommon": without}
     found = models.ladder(b, splits.folds(b, 3), 3, _SHAPE, _RANKS, steps, {"logistic": {}})
     wide = found.groupBy("beam_id", "prompt_id", "y").agg(*[F.max(F.when(F.col("feature") == s, F.col("score"))).alias(s) for s in steps])
     deltas = conditions.against(wide, ["clipped", "uncommon"], ["mad"], reps=200).where("metric = 'within'").select(F.col("condition").alias("feature"), F.col("mean").alias("delta"), "excludes_zero")
