@@ -563,7 +563,8 @@ def score(docs: DataFrame, model: Model, counts: DataFrame, *, id_col: str = "do
 
     A token is a word, A-Z in lower case, or the end of the text.  Null text is empty: its end alone.  A model
     of no texts gives every token the base's probability.  Repeated rows get a row each, an empty table gives
-    none, a null id stays null; other columns are ignored.
+    none, a null id stays null; other columns are ignored.  Very long texts are scored whole; for training they are cut
+    into pieces that keep the symbols before them.
     """
     return scored(encode(docs, model, id_col=id_col, text_col=text_col), model, counts, id_col=id_col)
 

@@ -364,7 +364,8 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     the Jaccard similarity of their sets of k-word shingles is at least ``percent`` per cent; a text of fewer
     words is one shingle; one without words, or null, is linked with nothing.  A row with a null id is linked
     with nothing, has a null component and is kept.  Rows are linked by their texts, so repeated
-    rows share a component; an empty table gives no rows; other columns are ignored.
+    rows share a component; an empty table gives no rows; other columns are ignored.  Very long texts are read
+    whole and compared on their full sets.
     """
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     table = stored(signature_table(texts, id_col="doc_id", text_col="text", k=k), name="signatures")

@@ -200,6 +200,7 @@ def pack(
 
     Null text counts as empty, and an empty document is its end id alone.  A null id stays
     null; repeated rows are packed each; an empty table gives no rows; other columns are ignored.
+    A very long text is encoded whole and cut into windows.
     """
     path = tokenizer_path or default_tokenizer_path()
     if any(t & (t - 1) for t in tiers):

@@ -59,6 +59,7 @@ def spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sc
 
     Positions are code points, ends exclusive.  Null text counts as empty.  Each row of the input gets a
     row, repeated or not; an empty table gives none; a null id stays null; other columns are ignored.
+    A very long text is searched whole; its candidates are rows, so they need not fit one value.
     """
     text = F.coalesce(F.col("_text"), F.lit(""))
     empty = F.array().cast("array<struct<kind:int,at:int,gap:bigint,len:bigint,good:boolean>>")

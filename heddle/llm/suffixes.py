@@ -229,7 +229,8 @@ def dedup_substrings(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     Returns the id, n_bytes, n_removed, n_spans (maximal removed runs), kept (the remaining bytes) and
     kept_sha256.  Strings never cross documents and are judged on the input.  Null text counts as empty;
     texts shorter than ``length`` stay whole; repeated rows count as further places, so each loses what
-    they share; an empty table gives no rows; a null id stays null; other columns are ignored.
+    they share; an empty table gives no rows; a null id stays null; other columns are ignored.  Very long texts are
+    read whole, and repeats inside one count.
     """
     if length < 4 * GRAM:
         raise ValueError(f"length is at least {4 * GRAM}")
