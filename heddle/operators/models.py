@@ -222,3 +222,30 @@ def ladder(packed: DataFrame, folds: DataFrame, k: int, shape: tuple[int, int],
             tensor = prepared(dealt, F.col("fold") != i).withColumn("fold", F.lit(i))
             parts += _both_detectors(tensors.core(tensor, *tensors.hosvd(tensor.where("fit"), *shape, *ranks)), name, "core", kinds)
     return stored(reduce(DataFrame.unionByName, parts), name="out-of-fold")
+
+
+def stream_conditions(cores: DataFrame, blocks: dict[str, DataFrame], k: int, kinds: dict[str, dict], *, alone: dict[str, DataFrame] | None = None) -> DataFrame:
+    """Out-of-fold scores on the core, on the core with what it doesn't explain of each block, and of all blocks (combined).  Stored.
+
+    ``cores`` are of ``fold_cores``.  Blocks are (beam_id, block), with a fold where they follow from its training rows, and so are those of ``alone``,
+    which take the core's place.
+    """
+    parts, blocks, alone = [], {n: b.withColumnRenamed("block", f"b_{n}") for n, b in blocks.items()}, alone or {}
+    for i in range(k):
+        here = cores.where(F.col("fold") == i).select("beam_id", "prompt_id", "y", "fold", "fit", "core")
+        own = lambda b: b.where(F.col("fold") == i).drop("fold") if "fold" in b.columns else b  # noqa: B023, E731
+        rows = here
+        for b in blocks.values():
+            rows = rows.join(own(b), "beam_id")
+        for name in blocks:
+            rows = conditions.fused_residual(rows, rows.where("fit"), "core", column=f"b_{name}", name=f"f_{name}")
+            rows = stored(rows, name="fused")
+        parts += _both_detectors(rows, "core", "core", kinds)
+        rest = lambda n: F.slice(f"f_{n}", F.size("core") + 1, F.size(f"b_{n}"))
+        for name in blocks:
+            parts += _both_detectors(rows, name, f"f_{name}", kinds)
+        if len(blocks) > 1:
+            parts += _both_detectors(rows.withColumn("all", F.concat("core", *map(rest, blocks))), "combined", "all", kinds)
+        for name, b in alone.items():
+            parts += _both_detectors(stored(here.drop("core").join(own(b), "beam_id"), name="alone"), name, "block", kinds)
+    return stored(reduce(DataFrame.unionByName, parts), name="out-of-fold")

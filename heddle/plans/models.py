@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from heddle.operators import conditions, kernels, models, networks, ranking, repeated, scaling, splits, tensors
+from heddle.operators import conditions, kernels, models, networks, pooling, ranking, repeated, scaling, splits, tensors
 from heddle.plans.registry import query
 from heddle.plans.tensors import _C, _L, _RANKS
 from heddle.sources import views
@@ -166,3 +166,21 @@ def rank_probe(spark, sf):
         found = part if found is None else found.unionByName(part)
     found = stored(found, name="probes")
     return found.join(repeated.ranks_adopted(found, "first", "second"), "rank", "left").select("dataset", "rank", "pooled", "within", "mean", "excludes_zero", "adopt")
+
+
+@query()
+def stream_conditions(spark, sf):
+    """The core, and beside it steps between layers and their speeds and turns, each alone and together; tensors pooled anew in the core's place."""
+    b = views.beams(spark, sf).withColumn("x", F.col("x").cast("array<double>"))
+    folds = splits.folds(b, 3)
+    layer = lambda i: F.slice("x", i * _C + 1, F.lit(_C))
+    steps = b.withColumn("x", F.flatten(F.transform(F.sequence(F.lit(0), F.lit(_L - 2)), lambda i: F.zip_with(layer(i + 1), layer(i), lambda p, q: p - q))))
+    square = b.withColumn("x", conditions.joined_channels(F.col("x"), F.transform("x", F.abs), _C))
+    cores = lambda d, shape: models.fold_cores(d, folds, 3, shape, _RANKS).select("beam_id", "fold", F.col("core").alias("block"))
+    motion = pooling.kinematics(views.unpacked(b), ["beam_id"], ["beam_id"])
+    number = lambda c: F.transform(F.array_sort(F.collect_list(F.struct("layer", F.col(c).alias("v")))), lambda p: p["v"])
+    motion = motion.groupBy("beam_id").agg(F.concat(number("speed_mean"), F.filter(number("turn_mean"), lambda v: v.isNotNull())).alias("block"))
+    found = models.stream_conditions(
+        models.fold_cores(b, folds, 3, _SHAPE, _RANKS), {"velocity": cores(steps, (_L - 1, _C)), "kinematic": motion}, 3, {"logistic": {}}, alone={"repooled": cores(square, (_L, 2 * _C))}
+    )
+    return models.evaluation_summary(found)

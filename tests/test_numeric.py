@@ -363,3 +363,37 @@ def catalog_ranks():
     from heddle.plans.tensors import _RANKS
 
     return _RANKS
+
+
+def fused(base, block, fit):
+    """The base and the standardised rest of a block after a least-squares fit with an intercept."""
+    design = np.column_stack([np.ones(len(base)), base])
+    rest = block - design @ np.linalg.lstsq(design[fit], block[fit], rcond=None)[0]
+    return np.column_stack([base, rest / (rest[fit].std(0) + 1e-8)])
+
+
+def test_stream_conditions(spark, data):
+    """Each condition's scores by plain scaling, factors, residuals and Newton's method, fold by fold."""
+    beam, prompt, y, x = data
+    prompts = np.unique(prompt)
+    fold = np.searchsorted(prompts, prompt) % 3
+    steps, wide = x[:, 1:] - x[:, :-1], np.concatenate([x, np.abs(x)], 2)
+    norm = np.linalg.norm(steps, axis=2)
+    turn = 1 - np.einsum("nlc,nlc->nl", steps[:, 1:], steps[:, :-1]) / (norm[:, 1:] * norm[:, :-1] + 1e-12)
+    kinematic = np.column_stack([norm, turn])
+    want = {n: np.zeros(len(y)) for n in ("core", "velocity", "kinematic", "combined", "repooled")}
+    for f in range(3):
+        fit, own = fold != f, fold == f
+
+        def core(t):
+            t = mad(t, fit)
+            return cores(t, *factors(t[fit]))
+
+        base, velocity = core(x), core(steps)
+        one, two = fused(base, velocity, fit), fused(base, kinematic, fit)
+        features = {"core": base, "velocity": one, "kinematic": two, "combined": np.column_stack([one, two[:, base.shape[1] :]]), "repooled": core(wide)}
+        for name, z in features.items():
+            want[name][own] = logistic(z[fit], y[fit])(z[own])
+    got = run(spark, "stream_conditions", "feature").set_index("feature")
+    for name, s in want.items():
+        assert abs(got.loc[name, "pooled"] - auroc(y, s)) < 2e-3 and abs(got.loc[name, "within"] - within(prompt, y, s)) < 5e-3, name
