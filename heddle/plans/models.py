@@ -114,17 +114,27 @@ def stacked_cv(spark, sf):
 
 @query()
 def hygiene_ladder(spark, sf):
-    """Three ways to prepare tensors: median and deviation, clipped quartiles, and these without each layer's leading direction; the last two against the first."""
+    """Four ways to prepare tensors: median and deviation, clipped quartiles, and these without each layer's leading direction or its
+    three; the others against the first, pooled and within prompts."""
     b = views.beams(spark, sf)
 
-    def without(d, train):
-        t = models.scaled_tensors(d, train, _C, scaling.WINSOR_IQR)
-        return conditions.without_common(t, t.where("fit"), 1, _L, column="x")
+    def without(k):
+        def prepared(d, train):
+            t = models.scaled_tensors(d, train, _C, scaling.WINSOR_IQR)
+            return conditions.without_common(t, t.where("fit"), k, _L, column="x")
 
-    steps = {"mad": lambda d, t: models.scaled_tensors(d, t, _C), "clipped": lambda d, t: models.scaled_tensors(d, t, _C, scaling.WINSOR_IQR), "uncommon": without}
+        return prepared
+
+    steps = {
+        "mad": lambda d, t: models.scaled_tensors(d, t, _C), "clipped": lambda d, t: models.scaled_tensors(d, t, _C, scaling.WINSOR_IQR), "uncommon": without(1), "uncommon3": without(3)
+    }
     found = models.ladder(b, splits.folds(b, 3), 3, _SHAPE, _RANKS, steps, {"logistic": {}})
-    wide = found.groupBy("beam_id", "prompt_id", "y").agg(*[F.max(F.when(F.col("feature") == s, F.col("score"))).alias(s) for s in steps])
-    deltas = conditions.against(wide, ["clipped", "uncommon"], ["mad"], reps=200).where("metric = 'within'").select(F.col("condition").alias("feature"), F.col("mean").alias("delta"), "excludes_zero")
+    wide = stored(found.groupBy("beam_id", "prompt_id", "y").agg(*[F.max(F.when(F.col("feature") == s, F.col("score"))).alias(s) for s in steps]), name="ladder")
+    deltas = conditions.against(wide, [s for s in steps if s != "mad"], ["mad"], reps=200)
+    of = lambda c, metric: F.max(F.when(F.col("metric") == metric, F.col(c)))
+    deltas = deltas.groupBy(F.col("condition").alias("feature")).agg(
+        of("mean", "within").alias("delta"), of("excludes_zero", "within").alias("excludes_zero"), of("mean", "pooled").alias("pooled_delta"), of("excludes_zero", "pooled").alias("pooled_excludes_zero")
+    )
     return models.evaluation_summary(found).join(deltas, "feature", "left")
 
 

@@ -297,15 +297,28 @@ def test_contrast_and_ladder(spark, data):
     found = run(spark, "contrast_cv", "feature")
     assert list(found["feature"]) == ["block", "fused"] and found["pooled"].between(0, 1).all()
     steps = run(spark, "hygiene_ladder", "feature").set_index("feature")
-    fold, out = folds_of(prompt, 3), {"mad": np.zeros(len(x)), "clipped": np.zeros(len(x))}
+    fold, out = folds_of(prompt, 3), {s: np.zeros(len(x)) for s in ("mad", "clipped", "uncommon", "uncommon3")}
+
+    def uncommon(z, train, k):
+        z = z.copy()
+        for layer in range(z.shape[1]):
+            values, vectors = np.linalg.eigh(np.cov(z[train][:, layer].T, bias=True))
+            v = vectors[:, np.argsort(-values)[:k]]
+            z[:, layer] -= z[:, layer] @ v @ v.T
+        return z
+
     for i in range(3):
         train = fold != i
-        for name, z in (("mad", mad(x, train)), ("clipped", clipped(x, train))):
+        c = clipped(x, train)
+        for name, z in (("mad", mad(x, train)), ("clipped", c), ("uncommon", uncommon(c, train, 1)), ("uncommon3", uncommon(c, train, 3))):
             c = cores(z, *factors(z[train]))
             out[name][~train] = logistic(c[train], y[train])(c[~train])
     for name, s in out.items():
         assert abs(steps.loc[name]["pooled"] - auroc(y, s)) < 5e-3
-    assert np.isnan(steps.loc["mad"]["delta"]) and steps.loc[["clipped", "uncommon"]]["delta"].abs().max() < 1
+    assert np.isnan(steps.loc["mad"]["delta"])
+    for name in ("clipped", "uncommon", "uncommon3"):  # a bootstrap's mean is near the difference itself
+        assert abs(steps.loc[name]["pooled_delta"] - (auroc(y, out[name]) - auroc(y, out["mad"]))) < 0.02
+        assert abs(steps.loc[name]["delta"] - (within(prompt, y, out[name]) - within(prompt, y, out["mad"]))) < 0.03
 
 
 def dealt_by_hash(prompt, k, repeats, seed=42):
@@ -365,13 +378,6 @@ def catalog_ranks():
     return _RANKS
 
 
-def fused(base, block, fit):
-    """The base and the standardised rest of a block after a least-squares fit with an intercept."""
-    design = np.column_stack([np.ones(len(base)), base])
-    rest = block - design @ np.linalg.lstsq(design[fit], block[fit], rcond=None)[0]
-    return np.column_stack([base, rest / (rest[fit].std(0) + 1e-8)])
-
-
 def test_stream_conditions(spark, data):
     """Each condition's scores by plain scaling, factors, residuals and Newton's method, fold by fold."""
     beam, prompt, y, x = data

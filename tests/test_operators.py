@@ -133,6 +133,19 @@ def test_scans_and_files_fail_where_they_must(spark, tmp_path):
     assert found == {"whole": "COMPLETE", "broken": "PARTIAL", "none": "NONE", "long": "PARTIAL"}
 
 
+def test_inventory_of_arrays_tables_and_strings(spark, tmp_path):
+    files = {
+        "array/a.json": '[\n {"text": "x"},\n {"completion": "y"}\n]\n', "oneline/a.json": '[{"text": "x"}, {"gen_text": "y"}]', "object/a.json": '{\n "text": "x"\n}',
+        "number/a.jsonl": '{"text": 5, "answer": "y"}\n{"text": 5}\n', "strings/a.json": '["x", "5"]', "csv/a.csv": 'id,answer\n1,x\n2,"y, and ""z"""\n', "empty/a.csv": "text,answer\n,1\n",
+    }
+    for name, text in files.items():
+        (tmp_path / name).parent.mkdir()
+        (tmp_path / name).write_text(text)
+    found = {r.folder: (r.n_rows, r.n_texts, r.verdict) for r in texts.inventory(spark, str(tmp_path), 2).collect()}
+    whole = (2, 2, "COMPLETE")
+    assert found == {"array": whole, "oneline": whole, "strings": whole, "csv": whole, "object": (1, 1, "PARTIAL"), "number": (2, 1, "PARTIAL"), "empty": (1, 0, "NONE")}
+
+
 def test_results_replace_and_pick(spark):
     board = spark.createDataFrame([("a", "1", 0.5), ("b", "2", 0.6)], "condition string, version string, auroc double")
     new = spark.createDataFrame([("c", "2", 0.7, "x")], "condition string, version string, auroc double, note string")
