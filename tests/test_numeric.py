@@ -261,6 +261,24 @@ def fused(base, block, train):
     return np.column_stack([base, (left - left[train].mean(0)) / (left[train].std(0) + 1e-8)])
 
 
+def contrast(c, prompt, fit, components):
+    """Differences from the prompt's mean in their principal directions, then seven numbers of a prompt's spectrum."""
+    delta, seven = c.copy(), np.zeros((len(c), 7))
+    for p in np.unique(prompt):
+        m = prompt == p
+        d = delta[m] = c[m] - c[m].mean(0)
+        squared = (d**2).sum(1)
+        e, u = np.linalg.eigh(d @ d.T)
+        e = np.clip(e[::-1], 0, None)
+        share = e[e > 1e-12 * e.sum()] / e.sum()
+        leading = np.abs(u[:, -1]) * np.sqrt(e[0]) if e[0] > 1e-10 else np.zeros(m.sum())
+        row = [np.log(e[0] + 1e-8), -(share * np.log(share)).sum(), e.sum() ** 2 / ((e**2).sum() + 1e-12), np.log(e.sum() + 1e-8)]
+        seven[m] = np.column_stack([np.sqrt(squared), squared / (e.sum() + 1e-12), np.tile(row, (m.sum(), 1)), leading])
+    mid = delta[fit].mean(0)
+    v = np.linalg.svd(delta[fit] - mid, full_matrices=False)[2][:components].T
+    return np.column_stack([(delta - mid) @ signed(v), seven])
+
+
 def clipped(v, train):
     lo, hi = np.percentile(v[train], [0.5, 99.5], axis=0)
     w = np.clip(v, lo, hi)
@@ -294,8 +312,17 @@ def test_stacking_reads_training_tokens_out_of_inner_folds(spark, data):
 
 def test_contrast_and_ladder(spark, data):
     _, prompt, y, x = data
-    found = run(spark, "contrast_cv", "feature")
-    assert list(found["feature"]) == ["block", "fused"] and found["pooled"].between(0, 1).all()
+    found = run(spark, "contrast_cv", "feature").set_index("feature")
+    three, want = folds_of(prompt, 3), {"block": np.zeros(len(x)), "fused": np.zeros(len(x))}
+    for i in range(3):
+        fit = three != i
+        z = mad(x, fit)
+        c = cores(z, *factors(z[fit]))
+        block = contrast(c, prompt, fit, 6)
+        for name, z in (("block", block), ("fused", fused(c, block, fit))):
+            want[name][~fit] = logistic(z[fit], y[fit])(z[~fit])
+    for name, s in want.items():
+        assert abs(found.loc[name]["pooled"] - auroc(y, s)) < 5e-3 and abs(found.loc[name]["within"] - within(prompt, y, s)) < 1e-2
     steps = run(spark, "hygiene_ladder", "feature").set_index("feature")
     fold, out = folds_of(prompt, 3), {s: np.zeros(len(x)) for s in ("mad", "clipped", "uncommon", "uncommon3")}
 
