@@ -25,9 +25,14 @@ def _records(texts: DataFrame) -> DataFrame:
 
 def _tables(spark: SparkSession, root: str) -> DataFrame:
     """(folder, text) of comma-separated files: by each file's own header, whose columns needn't be those of other files."""
-    lines = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.csv").csv(root, header=False, inferSchema=False, multiLine=True, escape='"')
-    if not lines.columns:
+    files = lambda: spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.csv")
+    raw = files().text(root).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
+    # the widest header: Spark would take the width from one file, and fails where there is none
+    commas = F.length(F.min_by("value", "row")) - F.length(F.translate(F.min_by("value", "row"), ",", ""))
+    width = raw.where("block = 0 AND trim(value) <> ''").groupBy("file").agg((commas + 1).alias("n")).agg(F.max("n").alias("n")).first().n
+    if width is None:
         return spark.createDataFrame([], "folder string, text string")
+    lines = files().csv(root, schema=", ".join(f"_c{i} string" for i in range(width)), header=False, multiLine=True, escape='"')
     cells = F.array(*[F.col(c) for c in lines.columns])
     where = lines.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), cells.alias("cells"), F.monotonically_increasing_id().alias("row"))
     # files are read whole by one task each, so a file's least row is its header

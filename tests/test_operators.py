@@ -146,6 +146,15 @@ def test_inventory_of_arrays_tables_and_strings(spark, tmp_path):
     assert found == {"array": whole, "oneline": whole, "strings": whole, "csv": whole, "object": (1, 1, "PARTIAL"), "number": (2, 1, "PARTIAL"), "empty": (1, 0, "NONE")}
 
 
+def test_inventory_of_tables_of_many_widths_or_none(spark, tmp_path):
+    for name, text in {"narrow/a.csv": "text\nx\n", "wide/a.csv": '\nid,a,b,c,d,answer\n1,,,,,"x, y, z"\n2,,,,,\n', "void/a.csv": "", "lines/a.jsonl": '{"text": "x"}\n'}.items():
+        (tmp_path / name).parent.mkdir()
+        (tmp_path / name).write_text(text)
+    found = {r.folder: (r.n_rows, r.n_texts, r.verdict) for r in texts.inventory(spark, str(tmp_path), 1).collect()}
+    assert found == {"narrow": (1, 1, "COMPLETE"), "wide": (2, 1, "PARTIAL"), "lines": (1, 1, "COMPLETE")}
+    assert [tuple(r) for r in texts.inventory(spark, str(tmp_path / "lines"), 1).collect()] == [("lines", 1, 1, "COMPLETE")]
+
+
 def test_results_replace_and_pick(spark):
     board = spark.createDataFrame([("a", "1", 0.5), ("b", "2", 0.6)], "condition string, version string, auroc double")
     new = spark.createDataFrame([("c", "2", 0.7, "x")], "condition string, version string, auroc double, note string")
