@@ -143,9 +143,9 @@ def aligned_files(spark, sf):
 
 @query("SELECT beam_id, prompt_id, y FROM beams")
 def checked_scan(spark, sf):
-    """Answers of prompts that must have ten each."""
+    """Answers of prompts that must have ten each, but for the last, inside which the table may end."""
     rows = results.required(views.beams(spark, sf), ["beam_id", "prompt_id", "y"]).select("beam_id", "prompt_id", "y")
-    return audits.asserted_each(rows, "prompt_id", 10)
+    return audits.asserted_each(rows, "prompt_id", 10, open_end=True)
 
 
 def _compared_scores(table: str, pairs: list[tuple[str, str]]) -> str:

@@ -146,6 +146,16 @@ def test_inventory_of_arrays_tables_and_strings(spark, tmp_path):
     assert found == {"array": whole, "oneline": whole, "strings": whole, "csv": whole, "object": (1, 1, "PARTIAL"), "number": (2, 1, "PARTIAL"), "empty": (1, 0, "NONE")}
 
 
+def test_the_last_key_may_be_short(spark):
+    rows = spark.createDataFrame([(i, i // 2) for i in range(5)], "beam_id long, prompt_id long")
+    check = lambda d: audits.asserted_each(d, "prompt_id", 2, open_end=True).count()
+    assert check(rows) == 5 and check(rows.where("beam_id < 4")) == 4 and check(rows.limit(0)) == 0
+    more = spark.createDataFrame([(9, 2), (8, 2)], rows.schema)
+    for wrong, said in ((rows.where("beam_id <> 1"), "found 1 of 0"), (rows.union(more), "found 3 of 2"), (rows.union(spark.createDataFrame([(7, None)], rows.schema)), "found 1 of null")):
+        with pytest.raises(Exception, match=said):
+            check(wrong)
+
+
 def test_inventory_of_tables_of_many_widths_or_none(spark, tmp_path):
     for name, text in {"narrow/a.csv": "text\nx\n", "wide/a.csv": '\nid,a,b,c,d,answer\n1,,,,,"x, y, z"\n2,,,,,\n', "void/a.csv": "", "lines/a.jsonl": '{"text": "x"}\n'}.items():
         (tmp_path / name).parent.mkdir()
