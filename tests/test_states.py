@@ -101,3 +101,21 @@ def test_a_state_of_another_width_fails(spark, tmp_path):
     rows = spark.createDataFrame([(1, 1, 0, 0, [1.0, 2.0]), (1, 1, 0, 1, [1.0])], "beam_id long, prompt_id long, y int, pos int, x array<double>")
     with pytest.raises(Exception, match="has 1 numbers"):
         states.write(rows, str(tmp_path / "s"), 1, 2)
+
+
+@pytest.mark.parametrize("n", [1, 2, 10, 37])
+def test_quantiles_of_halves_are_those_of_sql_to_the_last_bit(n):
+    import duckdb
+    import pandas as pd
+
+    x = np.round(np.random.default_rng(n).standard_normal((n, 40, 25)) * 64) / 256
+    rows = pd.DataFrame({"k": np.tile(np.arange(1000), n), "v": x.ravel()})  # noqa: F841
+    for share in (0.05, 0.9, 0.95):
+        want = duckdb.sql(f"SELECT quantile_cont(v, {share}) AS q FROM rows GROUP BY k ORDER BY k").fetchnumpy()["q"]
+        assert np.array_equal(states._between(x, share).ravel(), want)
+
+
+def test_quantiles_of_odd_states():
+    x = np.array([[[np.nan, np.inf, -np.inf, 1.0]], [[1.0, np.inf, 2.0, 2.0]], [[1.0, 0.0, 2.0, 4.0]]])
+    assert np.array_equal(states._between(x, 0.5), [[np.nan, np.inf, 2.0, 2.0]], equal_nan=True)
+    assert np.array_equal(states._between(x[:0], 0.5), np.zeros((1, 4)))
