@@ -4,7 +4,8 @@ Every word emits itself and what is left of it by each single deletion, with the
 what is left by a deletion at the same place differ by a replaced code point there; a word that another one is left with
 differs from it by an inserted one.  So the joins meet no pair that isn't near, and groups of a shared key have a word for each
 letter of the alphabet at most.  The distance is verified all the same.  Links are added up to a form for each word, and forms
-are followed by joins that double their steps.
+are followed by joins that double their steps.  All joins are by sorted runs: tables of words grow with the texts and are small
+as Parquet, so Spark would build them in the driver and send them whole.
 """
 
 from __future__ import annotations
@@ -42,11 +43,11 @@ def links(words: DataFrame) -> DataFrame:
     """(word, near, near_n) for all words (word, n) at a distance of exactly one, in both directions.  Words are distinct."""
     places = F.sequence(F.lit(0), F.length("word") - 1)
     left = words.where("word <> ''").select("word", "n", F.posexplode(F.transform(places, lambda i: without(F.col("word"), i))).alias("at", "key"))
-    a, b = left.alias("a"), left.alias("b")
+    a, b = left.alias("a"), left.alias("b").hint("merge")
     replaced = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.at") == F.col("b.at")) & (F.col("a.word") != F.col("b.word")))
     replaced = replaced.select("a.word", F.col("b.word").alias("near"), F.col("b.n").alias("near_n"))
     long = left.select(F.col("word").alias("long"), F.col("n").alias("long_n"), F.col("key").alias("word")).distinct()
-    inserted = long.join(words, "word")
+    inserted = long.join(words.hint("merge"), "word")
     ends = F.array(
         F.struct(F.col("word"), F.col("long").alias("near"), F.col("long_n").alias("near_n")),
         F.struct(F.col("long").alias("word"), F.col("word").alias("near"), F.col("n").alias("near_n")),
@@ -58,7 +59,7 @@ def links(words: DataFrame) -> DataFrame:
 def forms(words: DataFrame, near: DataFrame, *, factor: int = 2) -> DataFrame:
     """(word, n, n_near, form, form_n): the most frequent near word, ties to the smallest, if it has ``factor`` times the count."""
     best = near.groupBy("word").agg(F.count("*").alias("n_near"), F.min(F.struct((-F.col("near_n")).alias("less"), "near")).alias("best"))
-    found = words.join(best, "word", "left")
+    found = words.join(best.hint("merge"), "word", "left")
     kept = -F.col("best.less") >= factor * F.col("n")
     return found.select(
         "word", "n", F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"), F.when(kept, F.col("best.near")).alias("form"), F.when(kept, -F.col("best.less")).alias("form_n")
@@ -70,7 +71,7 @@ def roots(found: DataFrame) -> DataFrame:
     now = stored(found.where("form IS NOT NULL").select("word", F.col("form").alias("root"), F.lit(True).alias("moved")), name="roots")
     while now.where("moved").limit(1).count():
         on = now.select(F.col("word").alias("root"), F.col("root").alias("next"))
-        last, now = now, stored(now.join(on, "root", "left").select("word", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moved")), name="roots")
+        last, now = now, stored(now.join(on.hint("merge"), "root", "left").select("word", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moved")), name="roots")
         discard(last)
     return now.select("word", "root")
 
@@ -82,7 +83,7 @@ def variants(words: DataFrame, *, factor: int = 2) -> DataFrame:
     """
     words = stored(words.select("word", "n"), name="words")
     found = stored(forms(words, links(words), factor=factor), name="forms")
-    return found.join(roots(found), "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
+    return found.join(roots(found).hint("merge"), "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
 
 
 _CRC = """list_reduce(list_transform(range(8), lambda x: 0::UBIGINT), lambda a, b: CASE WHEN a % 2 = 1 THEN xor(a // 2, 3988292384::UBIGINT) ELSE a // 2 END, i::UBIGINT)"""

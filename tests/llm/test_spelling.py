@@ -89,3 +89,11 @@ def test_long_chains_end_at_their_root(spark):
 def test_empty_and_null(spark):
     for docs in ([], [(1, None)], [(None, "ab cd")]):
         assert spelling.variants(spelling.counted(spark.createDataFrame(docs, "doc_id long, text string"), damage=97)).collect() == []
+
+
+def test_no_join_sends_the_words_to_the_driver(spark, monkeypatch):
+    monkeypatch.setattr(spelling, "stored", lambda df, name: plans.append(df) or stored(df, name=name))
+    plans, stored = [], spelling.discard.__globals__["stored"]
+    plans.append(spelling.variants(spark.createDataFrame([("letter", 9), ("lettre", 2), ("lettres", 1)], "word string, n long")))
+    texts = [p._jdf.queryExecution().executedPlan().toString() for p in plans]
+    assert sum("SortMergeJoin" in t for t in texts) >= 3 and not [t for t in texts if "Broadcast" in t]
