@@ -7,6 +7,7 @@ of a few hash bins, so their number is bounded however many rows fail.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -78,17 +79,28 @@ def asserted(found: DataFrame) -> DataFrame:
     return found
 
 
+@lru_cache(maxsize=1)
+def _tokenizer(path: str):
+    """Read once by each worker of an executor."""
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(path)
+
+
+def _round_trip(text: str, path: str) -> bool:
+    t = _tokenizer(path)
+    ids = t.encode(text, add_special_tokens=False).ids
+    return t.encode(t.decode(ids, skip_special_tokens=False), add_special_tokens=False).ids == ids
+
+
 def round_trips(text: str | Column, tokenizer: str) -> Column:
     """Whether a text's ids, decoded and encoded anew, are the same ids; null for null.  ``tokenizer`` is the path of a vocabulary file."""
 
     @F.pandas_udf("boolean")
     def same(texts):
         import pandas as pd
-        from tokenizers import Tokenizer
 
-        t = Tokenizer.from_file(tokenizer)
-        ids = [e.ids for e in t.encode_batch(texts.fillna("").tolist(), add_special_tokens=False)]
-        again = [e.ids for e in t.encode_batch(t.decode_batch(ids, skip_special_tokens=False), add_special_tokens=False)]
-        return pd.Series([None if x is None else a == b for x, a, b in zip(texts, ids, again, strict=True)], dtype="boolean")
+        # one text at a time: of a whole batch, the tokenizer's encodings take hundreds of bytes a token
+        return pd.Series([None if x is None else _round_trip(x, tokenizer) for x in texts], dtype="boolean")
 
     return same(text)

@@ -47,3 +47,23 @@ def test_draws_of_frequent_scores(spark):
         assert abs(got[rep] - want) < 1e-12
     sparse = rows.where("y = 1")
     assert ranking._replicates(sparse, ranking._drawn(sparse, 5, 1), False, 5).count() == 0
+
+
+def test_round_trips_hold_one_text_at_a_time(monkeypatch):
+    import pandas as pd
+    import public_tokenizers
+    from heddle.operators import validation
+
+    path, most = public_tokenizers.path("byte_bpe_50k.json"), [0]
+
+    class One:
+        def __init__(self, t):
+            self.decode, self.encode = t.decode, lambda *a, **b: (most.__setitem__(0, most[0] + 1), t.encode(*a, **b))[1]
+
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(validation, "_tokenizer", lambda p, t=One(Tokenizer.from_file(path)): t)
+    udf = []
+    monkeypatch.setattr(validation.F, "pandas_udf", lambda kind: lambda f: udf.append(f) or (lambda c: c))
+    validation.round_trips("a", path)
+    assert udf[0](pd.Series(["plain words", None, "", "Straße\n 7"])).tolist() == [True, pd.NA, True, True] and most[0] == 6
