@@ -139,12 +139,19 @@ def _in_bins(placed: DataFrame, reps: int) -> DataFrame:
 def _over_bins(bins: DataFrame, reps: int) -> DataFrame:
     """(rep, auroc) from the sums of bins; a bin of one score is the sum of its splits, half of whose pairs count."""
 
+    parts = ["n1", "n0", "won"]
+
+    def splits(f):
+        import pandas as pd
+
+        return pd.DataFrame([(f["bin"].iloc[0], *(np.sum([np.frombuffer(b) for b in f[c]], axis=0).tobytes() for c in parts))], columns=["bin", *parts])
+
     def task(f):
         import pandas as pd
 
         won, pairs, below, ones = (np.zeros(reps) for _ in range(4))
-        for bin_, some in f.groupby("bin", sort=True):
-            n1, n0, inside = (np.sum([np.frombuffer(b) for b in some[c]], axis=0) for c in ("n1", "n0", "won"))
+        for row in f.sort_values("bin").itertuples():
+            bin_, (n1, n0, inside) = row.bin, (np.frombuffer(getattr(row, c)) for c in parts)
             won += n1 * below + (n1 * n0 / 2 if bin_ % 2 else inside)
             below += n0
             ones += n1
@@ -152,7 +159,8 @@ def _over_bins(bins: DataFrame, reps: int) -> DataFrame:
         some = np.flatnonzero(pairs > 0)
         return pd.DataFrame({"rep": some, "auroc": won[some] / pairs[some]})
 
-    return bins.groupBy().applyInPandas(task, "rep int, auroc double")  # a row for each of about 2,048 bins and its splits
+    whole = bins.groupBy("bin").applyInPandas(splits, bins.schema)  # a bin has ``SPLIT`` rows at most
+    return whole.groupBy().applyInPandas(task, "rep int, auroc double")  # a row for each of about 2,048 bins
 
 
 def _replicates(rows: DataFrame, drawn: DataFrame, within: bool, reps: int) -> DataFrame:
@@ -164,8 +172,11 @@ def _replicates(rows: DataFrame, drawn: DataFrame, within: bool, reps: int) -> D
     each = _auroc(_by_score(rows, ["prompt_id"]), ["prompt_id"]).where("pairs > 0").join(drawn, "prompt_id").select("won", "pairs", "k")
 
     def part(f):
-        twice = _counts(f["k"]) ** 2  # a prompt drawn k times pairs all its copies
-        return np.stack([f["won"].to_numpy() @ twice, f["pairs"].to_numpy() @ twice])
+        total = np.zeros((2, reps))
+        for at in range(0, len(f), AT_ONCE):
+            some = f.iloc[at : at + AT_ONCE]
+            total += some[["won", "pairs"]].to_numpy(float).T @ _counts(some["k"]) ** 2  # a prompt drawn k times pairs all its copies
+        return total
 
     won, pairs = sums.added(each, 2 * reps, part).reshape(2, reps)
     return rows.sparkSession.createDataFrame([(i, float(won[i] / pairs[i])) for i in range(reps) if pairs[i] > 0], "rep int, auroc double")

@@ -67,3 +67,14 @@ def test_round_trips_hold_one_text_at_a_time(monkeypatch):
     monkeypatch.setattr(validation.F, "pandas_udf", lambda kind: lambda f: udf.append(f) or (lambda c: c))
     validation.round_trips("a", path)
     assert udf[0](pd.Series(["plain words", None, "", "Straße\n 7"])).tolist() == [True, pd.NA, True, True] and most[0] == 6
+
+
+def test_splits_of_a_bin_meet_before_all_bins_do(spark):
+    """One frame of all bins has a row a bin; the splits of a frequent score, 64 a bin, don't get there."""
+    one = np.ones(3).tobytes()
+    bins = spark.createDataFrame([(b, one, one, one) for b in (1, 3, 4) for _ in range(64 if b % 2 else 1)], "bin int, n1 binary, n0 binary, won binary")
+    found = ranking._over_bins(bins, 3)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FlatMapGroupsInPandas") == 2 and "hashpartitioning(bin" in plan
+    want = (64 * 64 / 2 + 64 * 64 + 64 * 64 / 2 + 128 + 1) / (129 * 129)
+    assert [r.rep for r in found.orderBy("rep").collect()] == [0, 1, 2] and all(np.isclose(r.auroc, want) for r in found.collect())
