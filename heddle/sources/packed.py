@@ -1,7 +1,7 @@
 """Stores of token streams: answers in order of id, cut into shards of a stated size.
 
-A store holds two tables by shard: ``beams``, with each answer's number of tokens and where they start in the shard, and
-``tokens``.  A reader adds up the shards before, so the starts hold over the whole store, or over several stores.
+A store holds two tables in order of shard, as ranges of Parquet whose statistics lead to a shard: ``beams``, with each answer's number
+of tokens and where they start in the shard, and ``tokens``.  So small shards don't become a file each.  A reader adds up the shards before, so the starts hold over the whole store, or over several stores.
 """
 
 from __future__ import annotations
@@ -29,9 +29,9 @@ def write(tokens: DataFrame, path: str, values: list[str], *, most_bytes: int =
     beams = placed.join(F.broadcast(total)).withColumn("shard", shard).drop("rank", "_beams", "_bytes")  # one row
     first = Window.partitionBy("shard").orderBy("beam_id").rowsBetween(Window.unboundedPreceding, -1)
     beams = beams.withColumn("start", F.coalesce(F.sum("n").over(first), F.lit(0)))
-    beams.write.partitionBy("shard").parquet(f"{path}/beams")
+    beams.repartitionByRange("shard", "beam_id").sortWithinPartitions("shard", "beam_id").write.parquet(f"{path}/beams")
     dealt = tokens.join(tokens.sparkSession.read.parquet(f"{path}/beams").select("beam_id", "shard"), "beam_id").drop("prompt_id", "y")
-    dealt.repartitionByRange("shard", "beam_id", "pos").sortWithinPartitions("shard", "beam_id", "pos").write.partitionBy("shard").parquet(f"{path}/tokens")
+    dealt.repartitionByRange("shard", "beam_id", "pos").sortWithinPartitions("shard", "beam_id", "pos").write.parquet(f"{path}/tokens")
 
 
 def read(spark: SparkSession, *paths: str) -> tuple[DataFrame, DataFrame]:

@@ -78,3 +78,14 @@ def test_splits_of_a_bin_meet_before_all_bins_do(spark):
     assert plan.count("FlatMapGroupsInPandas") == 2 and "hashpartitioning(bin" in plan
     want = (64 * 64 / 2 + 64 * 64 + 64 * 64 / 2 + 128 + 1) / (129 * 129)
     assert [r.rep for r in found.orderBy("rep").collect()] == [0, 1, 2] and all(np.isclose(r.auroc, want) for r in found.collect())
+
+
+def test_small_shards_are_no_files_of_their_own(spark, tmp_path):
+    from heddle.sources import packed
+
+    rows = spark.range(4000).selectExpr("id div 4 AS beam_id", "id div 40 AS prompt_id", "0 AS y", "cast(id % 4 as int) AS pos", "id * 1.0D AS score")
+    packed.write(rows, str(tmp_path / "s"), ["score"], most_bytes=64)
+    beams, tokens = packed.read(spark, str(tmp_path / "s"))
+    assert beams.agg({"shard": "max"}).first()[0] == 249 and tokens.count() == 4000
+    assert [r.start for r in beams.orderBy("beam_id").collect()] == list(range(0, 4000, 4))
+    assert len(list((tmp_path / "s").rglob("part-*"))) < 40
