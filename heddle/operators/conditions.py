@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -77,12 +76,7 @@ def not_negative(deltas: DataFrame) -> DataFrame:
 
 
 def _compared(rows: DataFrame, pairs: list[tuple[str, str]], reps: int, seed: int) -> DataFrame:
-    out = []
-    for a, b in pairs:
-        for metric, within in (("pooled", False), ("within", True)):
-            d = ranking.paired_delta(rows, a, b, reps=reps, seed=seed, within=within)
-            out.append(d.select(F.lit(a).alias("condition"), F.lit(b).alias("baseline"), F.lit(metric).alias("metric"), "mean", "lo", "hi", "excludes_zero"))
-    return reduce(DataFrame.unionByName, out)
+    return ranking.paired_deltas(rows, pairs, [False, True], reps=reps, seed=seed)
 
 
 def against(rows: DataFrame, new: list[str], baselines: list[str], *, reps: int = 1000, seed: int = 42) -> DataFrame:

@@ -7,6 +7,8 @@ an array for each bin, as wide as there are draws; rows are never repeated.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -190,11 +192,27 @@ def bootstrap(rows: DataFrame, *, reps: int = 1000, seed: int = 42, within: bool
 
 def paired_delta(rows: DataFrame, a: str, b: str, *, reps: int = 1000, seed: int = 42, within: bool = False) -> DataFrame:
     """Difference of two scores' quality on the same draws, and whether its interval leaves out zero."""
+    return paired_deltas(rows, [(a, b)], [within], reps=reps, seed=seed).drop("condition", "baseline", "metric")
+
+
+def paired_deltas(rows: DataFrame, pairs: list[tuple[str, str]], within: list[bool], *, reps: int = 1000, seed: int = 42) -> DataFrame:
+    """``paired_delta`` of several pairs, with condition, baseline and metric (pooled, within).  Prompts are drawn once, and a score that is in several pairs is measured once."""
+    names = sorted({c for p in pairs for c in p})
+    rows = stored(rows.select("prompt_id", "y", *names), name="scores")
     drawn = _drawn(rows, reps, seed)
-    one, two = (_replicates(rows.drop("score").withColumnRenamed(c, "score") if c != "score" else rows, drawn, within, reps) for c in (a, b))
-    d = one.join(two.withColumnRenamed("auroc", "second"), "rep").select((F.col("auroc") - F.col("second")).alias("d"))
-    out = d.agg(F.avg("d").alias("mean"), F.percentile("d", 0.025).alias("lo"), F.percentile("d", 0.975).alias("hi"))
-    return out.withColumn("excludes_zero", (F.col("lo") > 0) | (F.col("hi") < 0))
+    found = {}
+    for c in names:
+        for w in within:
+            quality = _replicates(rows.select("prompt_id", "y", F.col(c).alias("score")), drawn, w, reps)
+            found[c, w] = quality if len(pairs) == 1 else stored(quality, name="replicates")
+    out = []
+    for a, b in pairs:
+        for w in within:
+            d = found[a, w].join(found[b, w].withColumnRenamed("auroc", "second"), "rep").select((F.col("auroc") - F.col("second")).alias("d"))
+            d = d.agg(F.avg("d").alias("mean"), F.percentile("d", 0.025).alias("lo"), F.percentile("d", 0.975).alias("hi"))
+            d = d.withColumn("excludes_zero", (F.col("lo") > 0) | (F.col("hi") < 0))
+            out.append(d.select(F.lit(a).alias("condition"), F.lit(b).alias("baseline"), F.lit("within" if w else "pooled").alias("metric"), *d.columns))
+    return reduce(DataFrame.unionByName, out)
 
 
 def paired_delta_over_repeats(rows: DataFrame, a: str, b: str, *, reps: int = 1000, seed: int = 42, within: bool = False) -> DataFrame:

@@ -89,3 +89,15 @@ def test_small_shards_are_no_files_of_their_own(spark, tmp_path):
     assert beams.agg({"shard": "max"}).first()[0] == 249 and tokens.count() == 4000
     assert [r.start for r in beams.orderBy("beam_id").collect()] == list(range(0, 4000, 4))
     assert len(list((tmp_path / "s").rglob("part-*"))) < 40
+
+
+def test_prompts_are_drawn_once_for_all_pairs(spark, monkeypatch):
+    rng, drawn, measured = np.random.default_rng(1), [], []
+    rows = spark.createDataFrame([(i // 5, int(i % 3 == 0), *map(float, rng.integers(0, 9, 3))) for i in range(100)], "prompt_id long, y int, a double, b double, c double")
+    one, two = ranking._drawn, ranking._replicates
+    each = {(p, m): tuple(ranking.paired_delta(rows, *p, reps=40, within=m == "within").first()) for p in (("a", "b"), ("a", "c"), ("b", "c")) for m in ("pooled", "within")}
+    monkeypatch.setattr(ranking, "_drawn", lambda *x: drawn.append(1) or one(*x))
+    monkeypatch.setattr(ranking, "_replicates", lambda *x: measured.append(1) or two(*x))
+    found = conditions.replayed(rows, ["a", "b", "c"], reps=40).collect()
+    assert (len(drawn), len(measured)) == (1, 6)
+    assert len(found) == 6 and all(np.allclose(tuple(r)[3:], each[(r.condition, r.baseline), r.metric]) for r in found)
