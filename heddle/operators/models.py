@@ -13,7 +13,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from heddle.functions import columns
+from heddle.functions import columns, sums
 from heddle.operators import conditions, pooling, ranking, scaling, splits, tensors
 from heddle.sources import views
 from heddle.sources.scratch import stored
@@ -62,37 +62,93 @@ def out_of_fold(kind: str, rows: DataFrame, folds: DataFrame, k: int, **options)
     return reduce(DataFrame.unionByName, [scores(detector(kind, dealt.where(F.col("fold") != i), **options), dealt.where(F.col("fold") == i)) for i in range(k)])
 
 
+def _scaled(scale: scaling.Scale, parameters: np.ndarray):
+    """Scales a column of tensors where they lie."""
+
+    @F.pandas_udf("array<double>")
+    def scaled(x):
+        import pandas as pd
+
+        return pd.Series(list(scale.apply(np.stack(x.to_numpy()).astype(np.float64), *parameters))) if len(x) else pd.Series([], dtype=object)
+
+    return scaled
+
+
 def scaled_tensors(packed: DataFrame, train: Column, channels: int, scale: scaling.Scale = scaling.MAD) -> DataFrame:
     """The tensors, each channel of a layer scaled by the training rows (by their median and deviation, if nothing else is asked for),
     and ``fit``, which marks those rows.  Stored.
 
     Only the parameters are found by cells; they are as many as a tensor has numbers, and tensors are scaled where they lie.
     """
-    marked = packed.withColumn("fit", train)
-    cells = views.unpacked(marked.where("fit").select("x"), channels)
-    found = scale.fit(cells, ["layer", "ch"]).orderBy("layer", "ch").select(*scale.names).collect()  # a row a number of a tensor
-    parameters = marked.sparkSession.sparkContext.broadcast(np.array(found, float).T)
+    found = scaling.parameters(packed, "x", [train], scale)[0]
+    return stored(packed.withColumn("fit", train).withColumn("x", _scaled(scale, found)("x")), name="tensors")
 
-    @F.pandas_udf("array<double>")
-    def scaled(x):
-        import pandas as pd
 
-        return pd.Series(list(scale.apply(np.stack(x.to_numpy()).astype(np.float64), *parameters.value))) if len(x) else pd.Series([], dtype=object)
+def _fold_grams(dealt: DataFrame, found: np.ndarray, scale: scaling.Scale, sizes: list[int], part: Callable[[np.ndarray], list[np.ndarray]]) -> list[list[np.ndarray]]:
+    """Of each fold's training rows (x, own), scaled by the fold's parameters: square matrices of ``sizes``, which ``part`` makes of an array of them.
+
+    As many folds go in one pass as keep what a task adds up to the size of one matrix of ``MOST_CHANNELS``.
+    """
+    size, k, out = sum(n * n for n in sizes), len(found), []
+    at_once = max(1, tensors.MOST_CHANNELS**2 // size)
+    for first in range(0, k, at_once):
+        turn = range(first, min(k, first + at_once))
+
+        def each(f, turn=turn):
+            x, own = np.stack(f["x"].to_numpy()).astype(np.float64), f["own"].to_numpy()
+            return np.concatenate([g.ravel() for i in turn for g in part(scale.apply(x[own != i], *found[i]))])
+
+        total = sums.added(dealt.select("x", "own"), len(turn) * size, each).reshape(len(turn), size)
+        out += [[g.reshape(n, n) for g, n in zip(np.split(s, np.cumsum([n * n for n in sizes])[:-1]), sizes, strict=True)] for s in total]
+    return out
+
+
+def _dealt(packed: DataFrame, folds: DataFrame) -> DataFrame:
+    return stored(packed.select("beam_id", "prompt_id", "y", "x").join(folds.select("prompt_id", F.col("fold").alias("own")), "prompt_id"), name="dealt")
+
 
-    return stored(marked.withColumn("x", scaled("x")), name="tensors")
+def _others(k: int) -> list[Column]:
+    """Of each fold, the rows that train it."""
+    return [F.col("own") != i for i in range(k)]
+
+
+def _fold_factors(dealt: DataFrame, found: np.ndarray, scale: scaling.Scale, shape: tuple[int, int], ranks: tuple[int, int]) -> list[tuple[np.ndarray, np.ndarray]]:
+    if shape[1] > tensors.MOST_CHANNELS:
+        train = [stored(dealt.where(F.col("own") != i).select(_scaled(scale, p)("x").alias("x")), name="tensors") for i, p in enumerate(found)]
+        return [tensors.hosvd(t, *shape, *ranks) for t in train]
+
+    def part(x):
+        x = x.reshape(-1, *shape)
+        flat = [np.moveaxis(x, mode + 1, 0).reshape(n, -1) for mode, n in enumerate(shape)]
+        return [m @ m.T for m in flat]
+
+    return [tuple(tensors._top(g, r) for g, r in zip(grams, ranks, strict=True)) for grams in _fold_grams(dealt, found, scale, list(shape), part)]
 
 
 def fold_cores(packed: DataFrame, folds: DataFrame, k: int, shape: tuple[int, int], ranks: tuple[int, int]) -> DataFrame:
     """Every row once for each fold (fold, fit): the tensor, scaled by the training rows' medians, in the training rows' factors
-    (core), its prompt's mean (centroid) and what is left of it (delta).  ``fit`` marks the training rows.  Stored."""
-    dealt = packed.select("beam_id", "prompt_id", "y", "x").join(folds.withColumnRenamed("fold", "own"), "prompt_id")
-    parts = []
-    for i in range(k):
-        tensor = scaled_tensors(dealt, F.col("own") != i, shape[1])
-        parts.append(tensors.core(tensor, *tensors.hosvd(tensor.where("fit"), *shape, *ranks)).drop("x", "own").withColumn("fold", F.lit(i)))
-    out = stored(reduce(DataFrame.unionByName, parts), name="cores")
-    means = out.select("fold", "prompt_id", F.posexplode("core").alias("j", "v")).groupBy("fold", "prompt_id", "j").agg(F.avg("v").alias("v"))
-    means = means.groupBy("fold", "prompt_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("j", "v"))), lambda p: p["v"]).alias("centroid"))
+    (core), its prompt's mean (centroid) and what is left of it (delta).  ``fit`` marks the training rows.  Stored.
+
+    Folds share the passes for scales, factors and cores.
+    """
+    dealt = _dealt(packed, folds)
+    found = scaling.parameters(dealt, "x", _others(k), scaling.MAD)
+    factors = _fold_factors(dealt, found, scaling.MAD, shape, ranks)
+
+    @F.pandas_udf("array<array<double>>")
+    def cores(x):
+        import pandas as pd
+
+        if not len(x):
+            return pd.Series([], dtype=object)
+        x = np.stack(x.to_numpy()).astype(np.float64)
+        each = [(l.T @ (scaling.MAD.apply(x, *p).reshape(-1, *shape) @ c)).reshape(len(x), -1) for p, (l, c) in zip(found, factors, strict=True)]
+        return pd.Series(np.stack(each, axis=1).tolist())
+
+    out = dealt.select("beam_id", "prompt_id", "y", "own", F.posexplode(cores("x")).alias("fold", "core"))
+    out = stored(out.withColumn("fit", F.col("own") != F.col("fold")).drop("own"), name="cores")
+    mean = F.array(*[F.avg(F.get("core", F.lit(j))) for j in range(ranks[0] * ranks[1])])
+    means = out.groupBy("fold", "prompt_id").agg(mean.alias("centroid"))
     return stored(out.join(means, ["fold", "prompt_id"]).withColumn("delta", F.zip_with("core", "centroid", lambda a, b: a - b)), name="fold-cores")
 
 
@@ -117,9 +173,9 @@ def evaluation_summary(found: DataFrame) -> DataFrame:
     return pooled.join(within, keys, "left").join(by_fold, keys)
 
 
-def _with_interval(found: DataFrame, key: str, value, reps: int, seed: int) -> DataFrame:
+def _with_interval(found: DataFrame, key: str, value, drawn: DataFrame, reps: int) -> DataFrame:
     point = ranking.auroc(found.withColumn(key, F.lit(value)), [key])
-    return point.join(F.broadcast(ranking.bootstrap(found.select("prompt_id", "y", "score"), reps=reps, seed=seed)))  # one row
+    return point.join(F.broadcast(ranking.interval(found.select("prompt_id", "y", "score"), drawn, reps=reps)))  # one row
 
 
 def split_evaluation(packed: DataFrame, split: DataFrame, shape: tuple[int, int], ranks: tuple[int, int], kinds: dict[str, dict], *, reps: int = 1000, seed: int = 42) -> DataFrame:
@@ -128,24 +184,51 @@ def split_evaluation(packed: DataFrame, split: DataFrame, shape: tuple[int, int]
     dealt = packed.select("beam_id", "prompt_id", "y", "x").join(split.select(key, "part"), key)
     tensor = scaled_tensors(dealt, F.col("part") == "train", shape[1])
     cores = stored(tensors.core(tensor, *tensors.hosvd(tensor.where("fit"), *shape, *ranks)).select("prompt_id", "y", "fit", F.col("core").alias("features")), name="cores")
-    parts = [_with_interval(scores(detector(kind, cores.where("fit"), **options), cores.where("not fit")), "kind", kind, reps, seed) for kind, options in kinds.items()]
+    rest = cores.where("not fit")
+    drawn = ranking._drawn(rest, reps, seed)
+    found = {kind: stored(scores(detector(kind, cores.where("fit"), **options), rest).select("prompt_id", "y", "score"), name="scores") for kind, options in kinds.items()}
+    parts = [_with_interval(f, "kind", kind, drawn, reps) for kind, f in found.items()]
     return stored(reduce(DataFrame.unionByName, parts), name="split-evaluation")
 
 
 def layer_readout(packed: DataFrame, folds: DataFrame, k: int, shape: tuple[int, int], rank: int, *, reps: int = 1000, seed: int = 42) -> DataFrame:
     """Of each layer on its own: out-of-fold quality of a logistic readout of its core, with an interval over draws of prompts."""
     layers, channels = shape
-    dealt = packed.select("beam_id", "prompt_id", "y", "x").join(folds, "prompt_id")
+    dealt = _dealt(packed, folds)
+    found = scaling.parameters(dealt, "x", _others(k), scaling.MAD)
+    if channels > tensors.MOST_CHANNELS:
+        one = lambda i, layer: dealt.where(F.col("own") != i).select(F.slice(_scaled(scaling.MAD, found[i])("x"), layer * channels + 1, F.lit(channels)).alias("x"))
+        factors = [[tensors.hosvd(one(i, layer), 1, channels, 1, rank)[1] for layer in range(layers)] for i in range(k)]
+    else:
+        factors = [[] for _ in range(k)]
+        at_once = max(1, tensors.MOST_CHANNELS**2 // channels**2)  # layers whose Gram matrices a task adds up together
+        for first in range(0, layers, at_once):
+            turn = range(first, min(layers, first + at_once))
+            part = lambda x, turn=turn: [(lambda m: m.T @ m)(x[:, layer * channels : (layer + 1) * channels]) for layer in turn]
+            for f, grams in zip(factors, _fold_grams(dealt, found, scaling.MAD, [channels] * len(turn), part), strict=True):
+                f += [tensors._top(g, rank) for g in grams]
+
+    @F.pandas_udf("array<array<array<double>>>")
+    def cores(x):
+        import pandas as pd
+
+        if not len(x):
+            return pd.Series([], dtype=object)
+        x = np.stack(x.to_numpy()).astype(np.float64)
+        each = [np.stack([t[:, j] @ u for j, u in enumerate(f)], axis=1) for f, t in ((f, scaling.MAD.apply(x, *p).reshape(-1, *shape)) for p, f in zip(found, factors, strict=True))]
+        return pd.Series(np.stack(each, axis=1).tolist())
+
+    rows = dealt.select("prompt_id", "y", "own", F.posexplode(cores("x")).alias("fold", "core"))
+    rows = stored(rows.select("prompt_id", "y", "own", "fold", *[F.get("core", F.lit(layer)).alias(f"c{layer}") for layer in range(layers)]), name="cores")
     parts: list[DataFrame] = []
     for i in range(k):
-        tensor = scaled_tensors(dealt, F.col("fold") != i, channels)
+        here = rows.where(F.col("fold") == i)
         for layer in range(layers):
-            one = tensor.withColumn("x", F.slice("x", layer * channels + 1, F.lit(channels)))
-            cores = tensors.core(one, *tensors.hosvd(one.where("fit"), 1, channels, 1, rank)).select("prompt_id", "y", "fit", F.col("core").alias("features"))
-            found = scores(detector("logistic", cores.where("fit")), cores.where("not fit"))
-            parts.append(found.select(F.lit(layer).alias("layer"), "prompt_id", "y", "score"))
-    found = stored(reduce(DataFrame.unionByName, parts), name="layer-scores")
-    by = [_with_interval(found.where(F.col("layer") == layer), "layer", layer, reps, seed) for layer in range(layers)]
+            one = here.select("prompt_id", "y", (F.col("own") != i).alias("fit"), F.col(f"c{layer}").alias("features"))
+            parts.append(scores(detector("logistic", one.where("fit")), one.where("not fit")).select(F.lit(layer).alias("layer"), "prompt_id", "y", "score"))
+    scored = stored(reduce(DataFrame.unionByName, parts), name="layer-scores")
+    drawn = ranking._drawn(scored, reps, seed)
+    by = [_with_interval(scored.where(F.col("layer") == layer), "layer", layer, drawn, reps) for layer in range(layers)]
     return stored(reduce(DataFrame.unionByName, by), name="layer-readout")
 
 

@@ -68,13 +68,13 @@ def draws(prompts: DataFrame, reps: int, seed: int) -> DataFrame:
 
 def _drawn(prompts: DataFrame, reps: int, seed: int) -> DataFrame:
     """(prompt_id, k): ``draws`` with a prompt's counts in all draws as one binary of 16-bit numbers.  Stored."""
-    listed, drawn = _slots(prompts, reps, seed)
+    listed, slots = _slots(prompts, reps, seed)
 
     @F.pandas_udf("binary")
     def counts(found):
         return found.map(lambda r: np.bincount(np.asarray([] if r is None else r, int), minlength=reps).astype("<u2").tobytes())
 
-    each = drawn.groupBy("i").agg(F.collect_list("rep").alias("reps"))  # about a number a draw
+    each = slots.groupBy("i").agg(F.collect_list("rep").alias("reps"))  # about a number a draw
     return stored(listed.join(each, "i", "left").select("prompt_id", counts("reps").alias("k")), name="draws")
 
 
@@ -186,7 +186,12 @@ def _replicates(rows: DataFrame, drawn: DataFrame, within: bool, reps: int) -> D
 
 def bootstrap(rows: DataFrame, *, reps: int = 1000, seed: int = 42, within: bool = False) -> DataFrame:
     """Mean and 95 % interval over draws of prompts; draws with one class are left out."""
-    r = _replicates(rows, _drawn(rows, reps, seed), within, reps)
+    return interval(rows, _drawn(rows, reps, seed), reps=reps, within=within)
+
+
+def interval(rows: DataFrame, drawn: DataFrame, *, reps: int = 1000, within: bool = False) -> DataFrame:
+    """``bootstrap`` on draws of the same prompts that were made before, by ``_drawn``."""
+    r = _replicates(rows, drawn, within, reps)
     return r.agg(F.count("*").alias("n_reps"), F.avg("auroc").alias("mean"), F.percentile("auroc", 0.025).alias("lo"), F.percentile("auroc", 0.975).alias("hi"))
 
 
@@ -199,11 +204,11 @@ def paired_deltas(rows: DataFrame, pairs: list[tuple[str, str]], within: list[bo
     """``paired_delta`` of several pairs, with condition, baseline and metric (pooled, within).  Prompts are drawn once, and a score that is in several pairs is measured once."""
     names = sorted({c for p in pairs for c in p})
     rows = stored(rows.select("prompt_id", "y", *names), name="scores")
-    drawn = _drawn(rows, reps, seed)
+    held = _drawn(rows, reps, seed)
     found = {}
     for c in names:
         for w in within:
-            quality = _replicates(rows.select("prompt_id", "y", F.col(c).alias("score")), drawn, w, reps)
+            quality = _replicates(rows.select("prompt_id", "y", F.col(c).alias("score")), held, w, reps)
             found[c, w] = quality if len(pairs) == 1 else stored(quality, name="replicates")
     out = []
     for a, b in pairs:

@@ -6,11 +6,14 @@ from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from heddle.functions import ranks
 
+#: Values of one number that a task puts in order as an array: 64 MB.
+AT_ONCE = 8_000_000
+
 
 def _with(cells: DataFrame, params: DataFrame, keys: list[str]) -> DataFrame:
     return cells.join(params, keys)  # one row a channel
@@ -18,11 +21,22 @@ def _with(cells: DataFrame, params: DataFrame, keys: list[str]) -> DataFrame:
 
 @dataclass
 class Scale:
-    """Parameters of channels from training cells, by keys, and what becomes of an array of values, given an array of each parameter."""
+    """Parameters of channels from training cells, by keys, or of one channel from its values in order, and what becomes of an array of
+    values, given an array of each parameter."""
 
     fit: Callable[[DataFrame, list[str]], DataFrame]
     names: tuple[str, ...]
     apply: Callable[..., np.ndarray]
+    of: Callable[[np.ndarray], tuple[float, ...]]
+
+
+def _line(v: np.ndarray, share: float) -> float:
+    """A quantile of values in order, between neighbours by line, to the last bit as Spark's ``percentile``."""
+    if not len(v):
+        return np.nan
+    at = (len(v) - 1) * share
+    lo, hi = int(np.floor(at)), int(np.ceil(at))
+    return float(v[lo] if lo == hi or v[lo] == v[hi] else (hi - at) * v[lo] + (at - lo) * v[hi])
 
 
 def _mad(train: DataFrame, keys: list[str]) -> DataFrame:
@@ -37,8 +51,61 @@ def _winsor(train: DataFrame, keys: list[str]) -> DataFrame:
     return edge.join(ranks.quantiles(_with(train, edge, keys), keys, clip, {"mid": 0.5, "q1": 0.25, "q3": 0.75}), keys)
 
 
-MAD = Scale(_mad, ("mid", "dev"), lambda v, mid, dev: (v - mid) / (dev + 1e-6))
-WINSOR_IQR = Scale(_winsor, ("lo", "hi", "mid", "q1", "q3"), lambda v, lo, hi, mid, q1, q3: np.clip((np.clip(v, lo, hi) - mid) / ((q3 - q1) / 1.349 + 1e-8), -6, 6))
+def _mad_of(v: np.ndarray) -> tuple[float, ...]:
+    mid = _line(v, 0.5)
+    return mid, _line(np.sort(np.abs(v - mid)), 0.5)
+
+
+def _winsor_of(v: np.ndarray) -> tuple[float, ...]:
+    lo, hi = _line(v, 0.005), _line(v, 0.995)
+    clipped = np.minimum(np.maximum(v, lo), hi)
+    return lo, hi, *(_line(clipped, p) for p in (0.5, 0.25, 0.75))
+
+
+MAD = Scale(_mad, ("mid", "dev"), lambda v, mid, dev: (v - mid) / (dev + 1e-6), _mad_of)
+WINSOR_IQR = Scale(_winsor, ("lo", "hi", "mid", "q1", "q3"), lambda v, lo, hi, mid, q1, q3: np.clip((np.clip(v, lo, hi) - mid) / ((q3 - q1) / 1.349 + 1e-8), -6, 6), _winsor_of)
+
+
+def parameters(rows: DataFrame, column: str, fits: list[Column], scale: Scale, *, most: int = AT_ONCE) -> np.ndarray:
+    """For each of several choices of training rows, the parameters of every number of an array column: (choices, names, numbers).
+
+    All choices take one pass: a number's values travel once, as blocks with a bit for each choice, and are put in order once.
+    With more than ``most`` rows no task holds all values of a number; they then go by cells, with the same results.  Null numbers count for nothing.
+    """
+    marked = rows.select(F.col(column).alias("x"), F.array(*[F.coalesce(f, F.lit(False)) for f in fits]).alias("fit"))
+    if marked.count() > most:
+        each = [scale.fit(marked.where(F.get("fit", F.lit(k))).select(F.posexplode("x").alias("i", "v")).withColumn("v", F.col("v").cast("double")), ["i"]) for k in range(len(fits))]
+        return np.array([np.array(f.orderBy("i").select(*scale.names).collect(), float).T for f in each])  # a row a number
+    n, names, of = len(fits), scale.names, scale.of
+    kind = "<f4" if rows.schema[column].dataType.elementType.typeName() == "float" else "<f8"
+
+    def cut(batches):
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        for b in batches:
+            if not b.num_rows:
+                continue
+            flat = b.column(0).flatten()
+            x = pc.fill_null(flat.cast(pa.float32() if kind == "<f4" else pa.float64()), 0).to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
+            bits = np.packbits(b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1), axis=1)
+            there = flat.is_valid().to_numpy(zero_copy_only=False).reshape(x.shape) if flat.null_count else None
+            kept = lambda v, i: (v if there is None else v[there[:, i]]).tobytes()  # noqa: B023, E731
+            cells = range(x.shape[1])
+            parts = pa.array([kept(x[:, i], i) for i in cells], pa.binary()), pa.array([kept(bits, i) for i in cells], pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(cells, pa.int32()), *parts], names=["i", "v", "fit"])
+
+    def solve(f):
+        import pandas as pd
+
+        v = np.frombuffer(b"".join(f["v"]), kind).astype(np.float64)
+        fit = np.unpackbits(np.frombuffer(b"".join(f["fit"]), np.uint8).reshape(len(v), -1), axis=1, count=n).astype(bool)
+        order = np.argsort(v)
+        v, fit = v[order], fit[order]
+        return pd.DataFrame({"i": f["i"][:1], "found": [np.concatenate([of(v[fit[:, k]]) for k in range(n)])]})
+
+    found = marked.mapInArrow(cut, "i int, v binary, fit binary").groupBy("i").applyInPandas(solve, "i int, found array<double>")
+    return np.array([r.found for r in found.orderBy("i").collect()], float).reshape(-1, n, len(names)).transpose(1, 2, 0)  # a row a number
 
 
 def mad(cells: DataFrame, train: DataFrame, keys: list[str]) -> DataFrame:
