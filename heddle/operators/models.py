@@ -58,7 +58,7 @@ def scores(model, rows: DataFrame) -> DataFrame:
 
 def out_of_fold(kind: str, rows: DataFrame, folds: DataFrame, k: int, **options) -> DataFrame:
     """Each row scored by the model of the other folds."""
-    dealt = rows.join(folds, "prompt_id")
+    dealt = stored(rows.join(folds, "prompt_id"), name="dealt")  # in parts by size: what a forest shuffles grows with their number
     return reduce(DataFrame.unionByName, [scores(detector(kind, dealt.where(F.col("fold") != i), **options), dealt.where(F.col("fold") == i)) for i in range(k)])
 
 
@@ -280,13 +280,11 @@ def stacked_evaluation(tokens: DataFrame, cores: DataFrame, folds: DataFrame, k:
     all training tokens.  Training tokens are scored by readers of the other inner folds, so no token's score comes from a reader
     that saw its prompt.
     """
-    dealt = tokens.select("beam_id", "prompt_id", "y", "pos", "features").join(folds.withColumnRenamed("fold", "own"), "prompt_id")
+    dealt = stored(tokens.select("beam_id", "prompt_id", "y", "pos", "features").join(folds.select("prompt_id", F.col("fold").alias("own")), "prompt_id"), name="dealt")
+    scales = scaling.parameters(dealt, "features", _others(k), scaling.WINSOR_IQR)
     parts = []
     for i in range(k):
-        cells = dealt.withColumn("fit", F.col("own") != i).select("beam_id", "prompt_id", "y", "pos", "fit", F.posexplode("features").alias("ch", "v"))
-        scaled = scaling.winsor_iqr(cells, cells.where("fit"), ["ch"])
-        at = F.array_sort(F.collect_list(F.struct("ch", F.col("scaled").alias("v"))))
-        read = stored(scaled.groupBy("beam_id", "prompt_id", "y", "pos", "fit").agg(F.transform(at, lambda c: c["v"]).alias("features")), name="tokens")
+        read = stored(dealt.withColumn("fit", F.col("own") != i).withColumn("features", _scaled(scaling.WINSOR_IQR, scales[i])("features")).drop("own"), name="tokens")
         train, rest = read.where("fit"), read.where("not fit")
         found = scores(detector(reader, train, **options), rest).unionByName(out_of_fold(reader, train, splits.folds(train, inner), inner, **options).drop("fold"))
         here = cores.where(F.col("fold") == i).select("beam_id", "prompt_id", "y", "fold", "fit", "core")

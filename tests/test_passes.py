@@ -4,7 +4,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from heddle.functions import ranks
-from heddle.operators import models, ranking, scaling, splits, tensors
+from heddle.operators import models, ranking, repeated, scaling, splits, tensors
 
 
 def _packed(spark, n=120, shape=(3, 4), seed=0):
@@ -55,3 +55,24 @@ def test_layers_share_their_draws(spark, monkeypatch):
     monkeypatch.setattr(ranking, "_drawn", lambda *a: drawn.append(1) or one(*a))
     found = models.layer_readout(packed, splits.folds(packed, 2), 2, (3, 4), 2, reps=20).toPandas()
     assert sorted(found.layer) == [0, 1, 2] and found.auroc.between(0, 1).all() and len(drawn) == 1
+
+
+def test_forests_read_few_parts_however_the_rows_lie(spark, monkeypatch):
+    """What a forest shuffles grows with the parts of its table."""
+    _, packed = _packed(spark)
+    rows, seen, one = packed.withColumnRenamed("x", "features").repartition(40), [], models.detector
+    monkeypatch.setattr(models, "detector", lambda kind, train, **o: seen.append(train.rdd.getNumPartitions()) or one(kind, train, **o))
+    found = models.out_of_fold("forest", rows, splits.folds(rows, 2), 2, trees=2)
+    assert found.count() == 120 and len(seen) == 2 and max(seen) <= 8
+
+
+def test_ranks_take_their_steps_in_the_same_passes(spark, monkeypatch):
+    _, packed = _packed(spark)
+    dealt, passes, one = repeated._dealt(packed, 2, 1, 42), [], repeated._summed
+    monkeypatch.setattr(repeated, "_summed", lambda *a: passes.append(1) or one(*a))
+    both = repeated.fitted_ranks(dealt, 2, 1, (3, 4), [(2, 1), (2, 2)])
+    together, passes[:] = len(passes), []
+    alone = [repeated.fitted(dealt, 2, 1, shape=(3, 4), rank=r) for r in [(2, 1), (2, 2)]]
+    assert together <= len(passes) / 2 + 1
+    for a, b in zip(both, alone, strict=True):
+        np.testing.assert_allclose(a.w, b.w, atol=1e-8)
