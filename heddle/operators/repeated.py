@@ -126,46 +126,60 @@ def fitted(rows: DataFrame, k: int, repeats: int, *, shape: tuple[int, int] | No
 
 
 def fitted_ranks(rows: DataFrame, k: int, repeats: int, shape: tuple[int, int], ranks: list[tuple[int, int]], *, c: float = 1.0) -> list[Models]:
-    """``fitted`` for several ranks: factors are nested, so one decomposition at the greatest serves all."""
-    return [_newton(rows, m, c) for m in _started(rows, k, repeats, shape, ranks)]
+    """``fitted`` for several ranks: factors are nested, so one decomposition at the greatest serves all, and all ranks take their steps in the same passes."""
+    return _together(rows, _started(rows, k, repeats, shape, ranks), c)
 
 
 def _newton(rows: DataFrame, models: Models, c: float) -> Models:
-    n, width = models.rows, models.width(rows)
+    return _together(rows, [models], c)[0]
 
-    def totals(x, y, folds):
-        return np.stack([z[t].sum(0) for z, t in zip(models.features(x), models.trains(folds), strict=True)])
 
-    models.mean = _summed(rows, models.n * width, totals).reshape(models.n, width) / np.maximum(n, 1)[:, None]
+def _each(rows: DataFrame, many: list[Models], sizes: list[int], part) -> list[np.ndarray]:
+    """The sums of ``part``, a row a model and ``sizes`` wide, for several sets of models in one pass."""
+    found = _summed(rows, sum(m.n * s for m, s in zip(many, sizes, strict=True)), lambda x, y, folds: np.concatenate([np.ravel(part(m, x, y, folds)) for m in many]))
+    return [f.reshape(m.n, s) for f, m, s in zip(np.split(found, np.cumsum([m.n * s for m, s in zip(many, sizes, strict=True)])[:-1]), many, sizes, strict=True)]
+
+
+def _together(rows: DataFrame, many: list[Models], c: float) -> list[Models]:
+    """Fits several sets of models; a pass serves all of them that still move."""
+    widths = [m.width(rows) for m in many]
+    totals = _each(rows, many, widths, lambda m, x, y, folds: np.stack([z[t].sum(0) for z, t in zip(m.features(x), m.trains(folds), strict=True)]))
+    for m, total in zip(many, totals, strict=True):
+        m.mean = total / np.maximum(m.rows, 1)[:, None]
     # A second pass about the means, so that large ones cost no digits.
-    spread = _summed(rows, models.n * width, lambda x, y, folds: np.stack([((z[t] - m) ** 2).sum(0) for z, t, m in zip(models.features(x), models.trains(folds), models.mean, strict=True)]))
-    deviation = np.sqrt(spread.reshape(models.n, width) / np.maximum(n - 1, 1)[:, None])
-    models.scale = np.where(deviation > 0, 1 / np.where(deviation > 0, deviation, 1), 0.0)
-    models.w = np.zeros((models.n, width + 1))
-    ridge = np.append(np.full(width, 1 / c), 0.0)
-    q = width + 1
-    for _ in range(STEPS):
-        w = models.w
+    spread = _each(rows, many, widths, lambda m, x, y, folds: np.stack([((z[t] - mean) ** 2).sum(0) for z, t, mean in zip(m.features(x), m.trains(folds), m.mean, strict=True)]))
+    for m, width, s in zip(many, widths, spread, strict=True):
+        deviation = np.sqrt(s / np.maximum(m.rows - 1, 1)[:, None])
+        m.scale = np.where(deviation > 0, 1 / np.where(deviation > 0, deviation, 1), 0.0)
+        m.w = np.zeros((m.n, width + 1))
+
+    def step(models, x, y, folds):
+        q = models.w.shape[1]
+        out = np.zeros((models.n, q + q * q))
+        for m, (d, t) in enumerate(zip(models.design(x), models.trains(folds), strict=True)):
+            d, yt = d[t], y[t]
+            p = 1 / (1 + np.exp(-np.clip(d @ models.w[m], -500, 500)))
+            u = models.weight[m][yt]
+            out[m, :q] = d.T @ (u * (p - yt))
+            out[m, q:] = ((d * (u * p * (1 - p))[:, None]).T @ d).ravel()
+        return out
 
-        def step(x, y, folds, w=w):
-            out = np.zeros((models.n, q + q * q))
-            for m, (d, t) in enumerate(zip(models.design(x), models.trains(folds), strict=True)):
-                d, yt = d[t], y[t]
-                p = 1 / (1 + np.exp(-np.clip(d @ w[m], -500, 500)))
-                u = models.weight[m][yt]
-                out[m, :q] = d.T @ (u * (p - yt))
-                out[m, q:] = ((d * (u * p * (1 - p))[:, None]).T @ d).ravel()
-            return out
-
-        found = _summed(rows, models.n * (q + q * q), step).reshape(models.n, -1)
-        change = np.zeros_like(w)
-        for m in range(models.n):
-            h = found[m, q:].reshape(q, q) + np.diag(ridge)
-            change[m] = np.linalg.lstsq(h, found[m, :q] + ridge * w[m], rcond=None)[0]
-        models.w = w - change
-        if np.abs(change).max(initial=0) < CLOSE:
+    moving = list(many)
+    for _ in range(STEPS):
+        sizes = [m.w.shape[1] for m in moving]
+        left = []
+        for models, q, found in zip(moving, sizes, _each(rows, moving, [q + q * q for q in sizes], step), strict=True):
+            ridge = np.append(np.full(q - 1, 1 / c), 0.0)
+            change = np.zeros_like(models.w)
+            for m in range(models.n):
+                h = found[m, q:].reshape(q, q) + np.diag(ridge)
+                change[m] = np.linalg.lstsq(h, found[m, :q] + ridge * models.w[m], rcond=None)[0]
+            models.w = models.w - change
+            left += [models] if np.abs(change).max(initial=0) >= CLOSE else []
+        moving = left
+        if not moving:
             break
-    return models
+    return many
 
 
 def held_out(rows: DataFrame, models: Models) -> DataFrame:
