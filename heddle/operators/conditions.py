@@ -56,7 +56,7 @@ def without_common(rows: DataFrame, train: DataFrame, k: int, layers: int, *, co
 
 def fused_residual(rows: DataFrame, train: DataFrame, base: str, *, column: str = "features", name: str = "fused") -> DataFrame:
     """Adds ``name``: the base, then what a least-squares fit on it, from training rows and with an intercept, leaves of the
-    column, scaled by the mean and deviation of what it leaves of the training rows."""
+    column, scaled by the mean and deviation of what it leaves of the training rows.  A number of which nothing but rounding is left gives 0."""
     both = lambda d: d.withColumn("_both", F.concat(base, column))
     n, first, second = tensors.moments(both(train), "_both")
     size = len(train.select(base).first()[0])
@@ -64,9 +64,11 @@ def fused_residual(rows: DataFrame, train: DataFrame, base: str, *, column: str
     cov = second / max(1, n) - np.outer(mean, mean)
     w = np.linalg.lstsq(cov[:size, :size], cov[:size, size:], rcond=None)[0]
     keep = np.concatenate([-w, np.eye(len(mean) - size)])
-    dev = np.sqrt(np.maximum(np.diag(keep.T @ cov @ keep), 0)) + 1e-8
-    matrix = np.concatenate([np.eye(len(mean))[:, :size], keep / dev], axis=1)
-    shift = np.concatenate([np.zeros(size), -(mean @ keep) / dev])
+    rest = np.maximum(np.diag(keep.T @ cov @ keep), 0)
+    some = rest > 1e-13 * np.diag(second)[size:] / max(1, n)  # what the moments can tell from nothing
+    keep = np.where(some, keep / (np.sqrt(rest) + 1e-8), 0)
+    matrix = np.concatenate([np.eye(len(mean))[:, :size], keep], axis=1)
+    shift = np.concatenate([np.zeros(size), -(mean @ keep)])
     return tensors.times(both(rows), matrix, shift, "_both", name).drop("_both")
 
 

@@ -4,7 +4,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from heddle.functions import ranks
-from heddle.operators import models, ranking, repeated, scaling, splits, tensors
+from heddle.operators import conditions, models, ranking, repeated, scaling, splits, tensors
 
 
 def _packed(spark, n=120, shape=(3, 4), seed=0):
@@ -76,3 +76,11 @@ def test_ranks_take_their_steps_in_the_same_passes(spark, monkeypatch):
     assert together <= len(passes) / 2 + 1
     for a, b in zip(both, alone, strict=True):
         np.testing.assert_allclose(a.w, b.w, atol=1e-8)
+
+
+def test_a_constant_number_leaves_nothing_of_itself(spark):
+    """Rounding in it isn't blown up to a feature."""
+    base = np.random.default_rng(0).normal(size=(97, 2))
+    rows = spark.createDataFrame([(b.tolist(), [float(np.log(8)), float(b[0] ** 2)]) for b in base], "base array<double>, features array<double>").repartition(4)
+    got = np.stack(conditions.fused_residual(rows, rows, "base").toPandas()["fused"])
+    assert (got[:, 2] == 0).all() and abs(got[:, 3].std() - 1) < 1e-6 and abs(got[:, 3].mean()) < 1e-9
