@@ -28,7 +28,7 @@ BLOCK, BLOCKS, ENCODED = 250, 4, 20_000
 PARTS = 8
 #: How much all items weigh beside all windows in the decomposition, so that the leading directions hold the items.
 ITEM_WEIGHT = 4.0
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 200_000
 _MARKS = ".,;:!?()[]{}\"'“”«»„`*#&%|<>"
 
 
