@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from heddle.functions import sums
+from heddle.sources.scratch import stored
 
 WIDTH = 512
 
@@ -70,5 +71,5 @@ def machine(train: DataFrame, rows: DataFrame, *, width: int = WIDTH, gamma: flo
 
 def out_of_fold(rows: DataFrame, folds: DataFrame, k: int, **options) -> DataFrame:
     """Each row scored by the machine of the other folds."""
-    dealt = rows.join(folds, "prompt_id")
+    dealt = stored(rows.join(folds, "prompt_id"), name="dealt")
     return reduce(DataFrame.unionByName, [machine(dealt.where(F.col("fold") != i), dealt.where(F.col("fold") == i), **options) for i in range(k)])
