@@ -1,8 +1,8 @@
 """Benchmark decontamination by latent semantic retrieval.
 
 Documents are read as overlapping windows of words, of a size for each class of item lengths, weighed by TF-IDF
-over the benchmark's vocabulary; document frequencies come from all documents.  A randomised SVD of a bounded sample of windows and
-the items themselves, each product with the Gram matrix being one Spark job, gives the latent
+over the benchmark's vocabulary; document frequencies come from all documents.  One pass adds up the Gram matrix of all windows
+of all documents; a randomised SVD of it and the items themselves, each product being one Spark job, gives the latent
 space.  Every window of every document is projected; those close to an item go to a check of the words
 themselves: the longest common subsequence, and how many of the rarer half of the item's words, where its
 answer is, stand there.
@@ -13,6 +13,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -26,8 +27,12 @@ SHORTEST = 8
 BLOCK, BLOCKS, ENCODED = 250, 4, 20_000
 #: Parts in which the tasks' matrices are added up.
 PARTS = 8
+#: Cells of a Gram matrix that a task adds up at once, as doubles, and blocks of its rows.
+CELLS, UPPER = 8_000_000, 32
 #: How much all items weigh beside all windows in the decomposition, so that the leading directions hold the items.
 ITEM_WEIGHT = 4.0
+#: Squared weight that a window has at least, so that windows of nothing but words of every document don't drown others' digits.
+LEAST = 1e-9
 CACHE_WORDS = 200_000
 _MARKS = ".,;:!?()[]{}\"'“”«»„`*#&%|<>"
 
@@ -173,26 +178,109 @@ def _frequencies(encoded: DataFrame, space: Space) -> tuple[int, np.ndarray]:
     return next((r.n for r in rows if r.w < 0), 0), df
 
 
-def _basis(encoded: DataFrame, space: Space, dims: int, docs_sampled: int, total: int, rounds: int = 3) -> np.ndarray:
-    """Leading right singular vectors of the TF-IDF windows, by subspace iteration from a random start."""
-    sc, schema, cells = encoded.sparkSession.sparkContext, ddl("ids array<int>"), _width(len(space.local) - 1)
-    turns = sorted(space.classes)
-    size, width = len(space.vocabulary), min(len(space.items) + dims + 8, len(space.vocabulary))
-    shared = sc.broadcast(space)
+def _pairs(s: Space, ids: np.ndarray, spans: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Pairs of words that share windows, each word with itself too, as (words, words, the sum over these windows of one over the
+    window's squared weight), the distance between both growing from part to part.  ``spans`` are starts and ends of windows."""
+    at = np.flatnonzero(ids >= 0)
+    words = ids[at]
+    inside = np.concatenate([[0], np.cumsum(np.where(ids >= 0, s.idf[np.maximum(ids, 0)] ** 2, 0))])
+    sums = []
+    for starts, ends in spans:
+        own = inside[ends] - inside[starts]
+        total = np.concatenate([[0], np.cumsum(np.where(own > 0, 1 / np.maximum(own, LEAST), 0))])
+        # the windows of two places are those that start up to the first and end after the second
+        begun, over = (np.cumsum(np.bincount(x, minlength=len(ids) + 1))[at] for x in (starts, ends))
+        sums.append((total[begun], total[over], int((ends - starts).max(initial=0))))
+    first = None  # all places, until most share no window with one so far off
+    for gap in range(max((size for *_, size in sums), default=0)):
+        sums = [x for x in sums if x[2] > gap]
+        if first is None:
+            last = max(0, len(at) - gap)
+            weight = sum(np.maximum(begun[:last] - over[gap:], 0) for begun, over, _ in sums)
+            here = np.flatnonzero(weight)
+            weight = weight[here]
+            first = here if len(here) < last / 4 else None
+        else:
+            first = first[: np.searchsorted(first, len(at) - gap)]
+            weight = sum(np.maximum(begun[first] - over[first + gap], 0) for begun, over, _ in sums)
+            here = first = first[weight > 0]  # places further apart share no other windows
+            weight = weight[weight > 0]
+        if not len(here):
+            return
+        left, right = words[here], words[here + gap]
+        yield left, right, np.where(left == right, 2 * weight, weight) if gap else weight
+
+
+def _products(encoded: DataFrame, space: Space, shared) -> tuple[list[DataFrame], list[int]]:
+    """The Gram matrix of all windows of all documents, before weights, as the blocks' first rows and stored tables of
+    (block, n, part): upper rows end to end, and how many windows hold words of the vocabulary.
+
+    Tasks are as many as the cores, so what they send doesn't grow with the documents, and a pass adds up ``CELLS`` cells or
+    one row, so neither does what they hold.
+    """
+    schema, cells, size = ddl("block int, n long, part binary"), _width(len(space.local) - 1), len(space.vocabulary)
+    first = np.concatenate([[0], np.cumsum(np.arange(size, 0, -1))])  # cells before each row's
+    cuts, passes = [0], [[]]
+    step = min(CELLS, -(-int(first[-1]) // UPPER))
+    while cuts[-1] < size:
+        cuts.append(max(cuts[-1] + 1, int(np.searchsorted(first, first[cuts[-1]] + step, side="right")) - 1))
+        if passes[-1] and first[cuts[-1]] - first[cuts[passes[-1][0]]] > CELLS:
+            passes.append([])
+        passes[-1].append(len(cuts) - 2)
+
+    def summed(blocks):
+        low, high = cuts[blocks[0]], cuts[blocks[-1] + 1]
+
+        def task(batches):
+            s, n = shared.value, 0
+            out = np.zeros(int(first[high] - first[low]))
+            for b in batches:
+                for at in range(0, b.num_rows, 200):
+                    ids, bounds = _laid(b.column(0).slice(at, 200).to_pylist(), cells, s.local)
+                    known = np.concatenate([[0], np.cumsum(ids >= 0)])
+                    spans = [windows(bounds, k) for k in s.classes]
+                    n += sum(int((known[e] > known[a]).sum()) for a, e in spans)
+                    for left, right, weight in _pairs(s, ids, spans):
+                        row, column = np.minimum(left, right), np.maximum(left, right)
+                        if high - low < size:
+                            here = (row >= low) & (row < high)
+                            row, column, weight = row[here], column[here], weight[here]
+                        np.add.at(out, first[row] - first[low] + column - row, weight)
+            for k in blocks:
+                part = out[first[cuts[k]] - first[low] : first[cuts[k + 1]] - first[low]]
+                yield batch_of([(k, n, part.astype(np.float32).tobytes())], schema)
+
+        return task
+
+    tasks = encoded.select("ids").coalesce(encoded.sparkSession.sparkContext.defaultParallelism)
+    parts = [tasks.mapInArrow(summed(blocks), schema).repartition(UPPER, "block").mapInArrow(_added(schema), schema) for blocks in passes]
+    return [stored(p, name="products") for p in parts], cuts
+
+
+def _added(schema):
+    """Adds up the blocks' parts; a block is in one partition."""
 
-    def cut(batches):
-        local = shared.value.local
+    def task(batches):
+        sums: dict[int, list] = {}
         for b in batches:
-            texts, turn = b.column(0).to_pylist(), b.column(1).to_pylist()
-            rows = []
-            for k, size in enumerate(turns):  # each document gives windows of one size
-                ids, bounds = _laid([x for x, at in zip(texts, turn, strict=True) if at == k], cells, local)
-                rows += [(ids[a:e][ids[a:e] >= 0].tolist(),) for a, e in zip(*windows(bounds, size), strict=True)]
-            yield batch_of([r for r in rows if r[0]], schema)
-
-    share = min(1.0, docs_sampled / max(1, total))
-    sample = encoded.where(F.pmod(F.xxhash64("doc_id", "ids"), F.lit(1 << 30)) < share * (1 << 30)).select("ids", F.pmod(F.xxhash64("ids", "doc_id"), F.lit(len(turns))).alias("turn"))
-    rows = stored(sample.mapInArrow(cut, schema).repartition(8), name="windows")
+            for block, n, part in zip(*b.columns, strict=True):
+                old = sums.setdefault(block.as_py(), [0, 0.0])
+                old[0], old[1] = old[0] + n.as_py(), old[1] + np.frombuffer(part.as_buffer(), np.float32)
+        for k in list(sums):
+            n, v = sums.pop(k)
+            yield batch_of([(k, n, v.astype(np.float32).tobytes())], schema)
+
+    return task
+
+
+def _basis(encoded: DataFrame, space: Space, dims: int, rounds: int = 3) -> np.ndarray:
+    """Leading right singular vectors of the TF-IDF windows of all documents, by subspace iteration from a random start."""
+    sc, size = encoded.sparkSession.sparkContext, len(space.vocabulary)
+    width = min(len(space.items) + dims + 8, size)
+    shared = sc.broadcast(space)
+    tables, rows = _products(encoded, space, shared)
+    products = reduce(DataFrame.union, tables)
+    n = products.agg(F.max("n")).first()[0] or 0
     rng = np.random.default_rng(0)
     x = np.linalg.qr(rng.standard_normal((size, width)))[0]
     items = np.zeros((len(space.items), size), np.float32)
@@ -201,37 +289,30 @@ def _basis(encoded: DataFrame, space: Space, dims: int, docs_sampled: int, total
     items /= np.maximum(np.linalg.norm(items, axis=1, keepdims=True), 1e-9)
     blob = ddl("block int, n long, part binary")
     cuts = np.linspace(0, size, PARTS + 1).astype(int).tolist()
-
-    def added(batches):
-        sums: dict[int, list] = {}
-        for b in batches:
-            for block, n, part in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                old = sums.setdefault(block, [0, 0.0])
-                old[0], old[1] = old[0] + n, old[1] + np.frombuffer(part, np.float32).astype(np.float64)
-        yield batch_of([(k, n, v.astype(np.float32).tobytes()) for k, (n, v) in sums.items()], blob)
-
     for _ in range(rounds):
-        sent = sc.broadcast(x.astype(np.float32))
+        sent = sc.broadcast((space.idf[:, None] * x).astype(np.float32))
 
         def product(batches, sent=sent):
-            s, x = shared.value, sent.value
-            out, n = np.zeros(x.shape, np.float32), 0
+            x = sent.value
+            out = np.zeros(x.shape, np.float32)
             for b in batches:
-                n += b.num_rows
-                for ids in b.column(0).to_pylist():
-                    ids = np.array(ids)
-                    w = s.idf[ids].astype(np.float32)
-                    w /= max(1e-9, float(np.sqrt((w**2).sum())))
-                    np.add.at(out, ids, np.outer(w, w @ x[ids]))
-            yield batch_of([(k, n, out[a:e].tobytes()) for k, (a, e) in enumerate(zip(cuts, cuts[1:], strict=False))], blob)
-
-        y, n = np.zeros(x.shape), 0
-        for r in rows.mapInArrow(product, blob).repartition(PARTS, "block").mapInArrow(added, blob).collect():  # one matrix, in parts
-            y[cuts[r.block] : cuts[r.block + 1]], n = np.frombuffer(r.part, np.float32).reshape(-1, width), r.n
-        y = y * len(items) / max(1, n) + ITEM_WEIGHT * items.T @ (items @ x.astype(np.float32))
+                for block, _, part in zip(*b.columns, strict=True):
+                    a, e = rows[block.as_py()], rows[block.as_py() + 1]
+                    upper = np.zeros((e - a, size - a), np.float32)
+                    upper[np.triu(np.ones(upper.shape, bool))] = np.frombuffer(part.as_buffer(), np.float32)
+                    out[a:e] += upper @ x[a:]
+                    upper[np.arange(e - a), np.arange(e - a)] = 0  # the diagonal counts once
+                    out[a:] += upper.T @ x[a:e]
+            yield batch_of([(k, 0, out[a:e].tobytes()) for k, (a, e) in enumerate(zip(cuts, cuts[1:], strict=False))], blob)
+
+        y = np.zeros(x.shape)
+        for r in products.mapInArrow(product, blob).repartition(PARTS, "block").mapInArrow(_added(blob), blob).collect():  # one matrix, in parts
+            y[cuts[r.block] : cuts[r.block + 1]] = np.frombuffer(r.part, np.float32).reshape(-1, width)
+        y = space.idf[:, None] * y * len(items) / max(1, n) + ITEM_WEIGHT * items.T @ (items @ x.astype(np.float32))
         small = x.T @ y
         x, before = np.linalg.qr(y)[0], x
         sent.destroy()
+    discard(*tables)
     values, turn = np.linalg.eigh((small + small.T) / 2)
     return (before @ turn[:, np.argsort(-values)[: len(space.items) + dims]]).astype(np.float32)
 
@@ -249,7 +330,7 @@ def _encoder(rows: list) -> Space:
     return Space([], [], vocabulary, np.empty(0))
 
 
-def _space(block: list, encoder: Space, encoded: DataFrame, total: int, df: np.ndarray, dims: int, docs_sampled: int) -> Space:
+def _space(block: list, encoder: Space, encoded: DataFrame, total: int, df: np.ndarray, dims: int) -> Space:
     """The space of a block of items."""
     vocabulary: dict[str, int] = {}
     texts = [_words(r.text) for r in block]
@@ -263,7 +344,7 @@ def _space(block: list, encoder: Space, encoded: DataFrame, total: int, df: np.n
     space.local[here] = np.arange(len(here))
     sizes = np.array([window_of(len(i)) for i in items])
     space.classes = {int(w): np.flatnonzero(sizes == w) for w in np.unique(sizes)}
-    space.basis = _basis(encoded, space, dims, docs_sampled, total)
+    space.basis = _basis(encoded, space, dims)
     raw = np.stack([(space.idf[i][:, None] * space.basis[i]).sum(0) for i in items])
     space.vectors = (raw / np.maximum(np.linalg.norm(raw, axis=1, keepdims=True), 1e-9)).astype(np.float32)
     space.answers = [{w for w in set(i.tolist()) if space.idf[w] >= np.median(space.idf[np.unique(i)])} for i in items]
@@ -327,7 +408,6 @@ def leaks(
     id_col: str = "doc_id",
     text_col: str = "text",
     dims: int = 64,
-    docs_sampled: int = 2_000,
     least_cosine: float = 0.1,
     least_lcs: float = 0.5,
 ) -> DataFrame:
@@ -338,7 +418,7 @@ def leaks(
     between those of an item dilute a window.  Null and empty texts, and items without words, match nothing; very long texts are
     read whole.  Repeated rows give a row each; without documents or items there
     are no rows; other columns are ignored.  The latent space has ``dims`` dimensions besides one for each item of
-    a block, fitted on the windows of about ``docs_sampled`` documents.  Documents are encoded once for ``ENCODED`` items, and searched
+    a block, fitted on all windows of all documents.  Documents are encoded once for ``ENCODED`` items, and searched
     for ``BLOCKS`` blocks of ``BLOCK`` items in a pass over their ids, so what is broadcast stays bounded.
     """
     id_type = docs.schema[id_col].dataType.simpleString()
@@ -361,7 +441,7 @@ def leaks(
         width = _width(len(encoder.vocabulary))
         blocks = [usable[at : at + BLOCK] for at in range(0, len(usable), BLOCK)]
         for at in range(0, len(blocks), BLOCKS):
-            spaces = [_space(block, encoder, encoded, total, df, dims, docs_sampled) for block in blocks[at : at + BLOCKS]]
+            spaces = [_space(block, encoder, encoded, total, df, dims) for block in blocks[at : at + BLOCKS]]
             part = stored(encoded.mapInArrow(_search(docs.sparkSession.sparkContext.broadcast(spaces), width, schema, least_cosine, least_lcs), schema), name="leaks")
             found = part if found is None else found.union(part)
         discard(encoded)

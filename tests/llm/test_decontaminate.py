@@ -139,3 +139,37 @@ def test_diluted_copies_are_found(spark):
                     due.append((i, item))
         assert len(due) > 40 and sum(d in found for d in due) >= 0.9 * len(due), (mixtures[s], len(due), sum(d in found for d in due))
     assert len({i for i, _ in found if i < 1000}) < 0.2 * clear
+
+
+def test_latent_space_is_fitted_on_every_window(spark, monkeypatch):
+    """The Gram matrix is that of all windows of each size of more documents than the former sample of 2,000 had."""
+    rng = np.random.default_rng(3)
+    vocabulary, idf = {f"w{i}": i for i in range(40)}, rng.uniform(0.1, 5, 40)
+    rows = [(i, " ".join(f"w{w}" if w < 40 else "other" for w in rng.integers(0, 60, rng.integers(0, 70)))) for i in range(3_000)]
+    encoder = D.Space([], [], vocabulary, np.empty(0))
+    encoded = D._encoded(spark.createDataFrame(rows, "doc_id long, text string"), encoder)
+    space = D.Space([0], [np.arange(40, dtype=np.int32)], vocabulary, idf, local=np.append(np.arange(40), -1).astype(np.int32), classes={8: [0], 32: [0]})
+    want, n = np.zeros((40, 40)), 0
+    ids, bounds = encoder.batch(t for _, t in rows)
+    for size in space.classes:
+        for a, e in zip(*D.windows(bounds, size), strict=True):
+            known = ids[a:e][ids[a:e] >= 0]
+            if len(known):
+                count = np.bincount(known, minlength=40)
+                want += np.outer(count, count) / (idf[known] ** 2).sum()
+                n += 1
+    for cells in (D.CELLS, 100):  # in one pass and in several
+        monkeypatch.setattr(D, "CELLS", cells)
+        tables, cuts = D._products(encoded, space, spark.sparkContext.broadcast(space))
+        assert (len(tables) > 1) == (cells == 100)
+        got, found = np.zeros((40, 40)), [r for t in tables for r in t.collect()]
+        for r in found:
+            rows_, columns = np.triu_indices(cuts[r.block + 1] - cuts[r.block], 0, 40 - cuts[r.block])
+            got[rows_ + cuts[r.block], columns + cuts[r.block]] = np.frombuffer(r.part, np.float32)
+        assert {r.n for r in found} == {n} and {r.block for r in found} == set(range(len(cuts) - 1))
+        assert np.allclose(np.triu(got), np.triu(want), rtol=1e-4)
+    items = np.where(np.arange(40) >= 0, idf, 0) / np.linalg.norm(idf)
+    whole = want * np.outer(idf, idf) / n + D.ITEM_WEIGHT * np.outer(items, items)
+    basis = D._basis(encoded, space, 2)
+    values, vectors = np.linalg.eigh(whole)
+    assert abs(basis[:, 0] @ vectors[:, -1]) > 0.999
