@@ -15,7 +15,7 @@ import os
 import struct
 import unicodedata
 import zlib
-from bisect import bisect_right, insort
+from bisect import bisect_left, bisect_right, insort
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
@@ -25,6 +25,8 @@ from heddle.llm.common import batch_of, ddl
 
 #: Chunks whose ids a worker remembers at most; beyond that it starts anew.
 CACHE_WORDS = 1_000_000
+#: Chunks that go through the tokenizer as one text.
+TOGETHER = 200
 _cache: dict[str, dict[str, bytes]] = {}
 _tokenizers: dict[str, object] = {}
 
@@ -62,10 +64,7 @@ def encode_texts(texts: list[str], path: str) -> list[bytes]:
     fresh = [w for w in new if w not in cache]
     parts = [_core_and_tail(w) for w in fresh]
     wanted = [w for w in {x for p in parts for x in p} if w not in cache]
-    for at in range(0, len(wanted), 10_000):
-        part = wanted[at : at + 10_000]
-        for w, e in zip(part, tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-            cache[w] = _pack(e.ids)
+    cache.update(_encoded_apart(wanted, tokenizer))
     get = cache.__getitem__
     cache.update((w, b"".join(map(get, p))) for w, p in zip(fresh, parts, strict=True) if len(p) > 1 or p[0] != w)
     return [
@@ -74,6 +73,25 @@ def encode_texts(texts: list[str], path: str) -> list[bytes]:
     ]
 
 
+def _encoded_apart(chunks: list[str], tokenizer) -> Iterator[tuple[str, bytes]]:
+    """Each chunk with its ids.  Chunks that composing leaves as they are go through the tokenizer ``TOGETHER`` at a time, with spaces
+    between, and are told apart by where tokens begin; the others go one by one."""
+    plain = [w for w in chunks if w.isascii() or unicodedata.is_normalized("NFC", w)]
+    for at in range(0, len(plain), TOGETHER):
+        part = plain[at : at + TOGETHER]
+        found = tokenizer.encode(" ".join(part), add_special_tokens=False)
+        ids, begun, a, end = _pack(found.ids), [o[0] for o in found.offsets], 0, 0
+        for w in part:
+            end += len(w) + 1
+            e = bisect_left(begun, end, a)
+            yield w, ids[4 * a : 4 * e]
+            a = e
+    if len(plain) < len(chunks):
+        rest = list(set(chunks).difference(plain))
+        for w, e in zip(rest, tokenizer.encode_batch_fast(rest, add_special_tokens=False), strict=True):
+            yield w, _pack(e.ids)
+
+
 def _pack(ids: list[int]) -> bytes:
     return struct.pack(f"<{len(ids)}I", *ids)
 

@@ -77,3 +77,27 @@ def test_ids_of_odd_words_are_the_tokenizer_s():
     want = [struct.pack(f"<{len(e.ids)}I", *e.ids) for e in t.encode_batch(texts, add_special_tokens=False)]
     got = packing.encode_texts(texts, path)
     assert [x for x, a, b in zip(texts, got, want, strict=True) if a != b] == []
+
+
+def test_new_chunks_share_texts_and_keep_their_ids(monkeypatch):
+    """1,000 chunks that a worker hasn't seen take a few texts through the tokenizer, and each has the ids that it has alone."""
+    path = packing.default_tokenizer_path()
+    plain, texts = packing._tokenizer(path), []
+
+    class Counted:
+        def encode(self, text, **kw):
+            texts.append(text)
+            return plain.encode(text, **kw)
+
+        def encode_batch_fast(self, part, **kw):
+            texts.extend(part)
+            return plain.encode_batch_fast(part, **kw)
+
+    odd = ["<|endoftext|>x", "'s", "a's'", "́x", "é", "İstanbul", "Å", "가", "​", "‍’s", "\U0001f600\U0001f600", "12½", "﻿x", "กำ", "xͅ", "\x00", "\x7f"]
+    chunks = [f"zq{i}w-{i}" for i in range(1_000)] + [x for w in odd for x in (w, f"q{w}", f"{w}9{w}")]
+    monkeypatch.setattr(packing, "_cache", {})
+    monkeypatch.setattr(packing, "_tokenizer", lambda path: Counted())
+    got = packing.encode_texts([" ".join(chunks), *chunks], path)
+    assert len(texts) < 100
+    alone = [packing._pack(plain.encode(w, add_special_tokens=False).ids) for w in chunks]
+    assert got == [packing._pack(plain.encode(" ".join(chunks), add_special_tokens=False).ids), *alone]
