@@ -51,11 +51,17 @@ def within_prompt(rows: DataFrame, keys: list[str]) -> DataFrame:
     return each.groupBy(*keys).agg((F.sum("won") / F.sum("pairs")).alias("auroc"), F.sum("pairs").cast("long").alias("n_pairs"), F.count("*").alias("n_mixed"))
 
 
+def _parts(rows: DataFrame) -> int:
+    """Spark's own number of parts of a shuffle, given where small parts would be joined before they grow."""
+    return int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
 def _slots(prompts: DataFrame, reps: int, seed: int) -> tuple[DataFrame, DataFrame]:
-    """Prompts by number (i, prompt_id), and the number that each slot of each draw (rep) gets by hash."""
+    """Prompts by number (i, prompt_id), and the number that each slot of each draw (rep) gets by hash.  Slots are dealt over tasks
+    before they grow by the draws, as prompts alone are so small that Spark leaves them all in one."""
     listed = ranks.value_rank(prompts.select("prompt_id").distinct(), "prompt_id").select("prompt_id", (F.col("rank") - 1).alias("i"))
     size = listed.agg(F.count("*").alias("size"))
-    slots = listed.select(F.col("i").alias("slot")).join(F.broadcast(size)).select(F.explode(F.sequence(F.lit(0), F.lit(reps - 1))).alias("rep"), "slot", "size")
+    slots = listed.select(F.col("i").alias("slot")).repartition(_parts(listed), "slot").join(F.broadcast(size)).select(F.explode(F.sequence(F.lit(0), F.lit(reps - 1))).alias("rep"), "slot", "size")
     text = F.concat_ws(":", F.lit(seed), F.col("rep"), F.col("slot"))
     return listed, slots.select("rep", (F.conv(F.substring(F.sha2(text, 256), 1, 8), 16, 10).cast("long") % F.col("size")).alias("i"))
 
@@ -63,6 +69,7 @@ def _slots(prompts: DataFrame, reps: int, seed: int) -> tuple[DataFrame, DataFra
 def draws(prompts: DataFrame, reps: int, seed: int) -> DataFrame:
     """(rep, prompt_id, k): how often a prompt is drawn when as many as there are get drawn by hash with replacement."""
     listed, drawn = _slots(prompts, reps, seed)
+    drawn = drawn.repartition(_parts(drawn), "i")  # almost every slot is a key of its own, so nothing is gained by counting before
     return drawn.groupBy("rep", "i").agg(F.count("*").alias("k")).join(listed, "i").select("rep", "prompt_id", "k")
 
 

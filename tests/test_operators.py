@@ -172,3 +172,9 @@ def test_results_replace_and_pick(spark):
     found = spark.createDataFrame([(1, "b", "lr", 0.7), (1, "a", "rf", 0.7), (1, "c", "lr", None), (2, "c", "lr", None)], "dataset long, condition string, kind string, auroc double")
     got = results.best(found, ["dataset"], ["condition", "kind"], "auroc").collect()
     assert [tuple(r) for r in got] == [(1, "a", "rf", 0.7)]
+
+
+def test_slots_of_draws_are_dealt_over_tasks(spark):
+    _, slots = ranking._slots(spark.range(2_000).withColumnRenamed("id", "prompt_id"), 10, 42)
+    sizes = [r["count"] for r in slots.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(sizes) == 20_000 and max(sizes) < 10_000
