@@ -175,6 +175,11 @@ def test_results_replace_and_pick(spark):
 
 
 def test_slots_of_draws_are_dealt_over_tasks(spark):
-    _, slots = ranking._slots(spark.range(2_000).withColumnRenamed("id", "prompt_id"), 10, 42)
-    sizes = [r["count"] for r in slots.groupBy(F.spark_partition_id()).count().collect()]
-    assert sum(sizes) == 20_000 and max(sizes) < 10_000
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    try:
+        _, slots = ranking._slots(spark.range(2_000).withColumnRenamed("id", "prompt_id"), 10, 42)
+        sizes = [r["count"] for r in slots.groupBy(F.spark_partition_id()).count().collect()]
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert sum(sizes) == 20_000 and max(sizes) < 3_000
