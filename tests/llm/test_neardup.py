@@ -97,3 +97,38 @@ def test_components_of_a_long_path(spark):
     got = {r.node: r.root for r in components(edges).collect()}
     assert all(got[i] == 0 for i in range(501)) and got[5000] == got[1001] == got[1000] == 1000
     assert components(edges.limit(0)).count() == 0
+
+
+def test_components_by_rounds_and_by_tasks_are_the_same(spark):
+    rng = random.Random(5)
+    pairs = [(i, i + 1) for i in range(300)] + [(9_000, 8_000 + i) for i in range(300)] + [(rng.randrange(20_000, 21_000), rng.randrange(20_000, 21_000)) for _ in range(600)]
+    pairs += [(b, a) for a, b in pairs[::7]] + pairs[::5] + [(3, 3), (None, 4), (10**12, -5)]
+    rng.shuffle(pairs)
+    up = {}
+
+    def top(x):
+        while up.setdefault(x, x) != x:
+            x = up[x]
+        return x
+
+    for a, b in pairs:
+        if a is not None and a != b:
+            p, q = top(a), top(b)
+            up[max(p, q)] = min(p, q)
+    right = sorted((x, top(x)) for x in up)
+    edges = spark.createDataFrame(pairs, "a long, b long").repartition(6)
+    for local in (40, 100_000):
+        assert sorted(map(tuple, components(edges, local=local).collect())) == right
+
+
+def test_components_of_few_edges_take_few_tasks(spark):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(500)], "a long, b long").repartition(4)
+    sc = spark.sparkContext
+    sc.setJobGroup("few-edges", "few-edges")
+    try:
+        assert components(edges).count() == 501
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    track = sc.statusTracker()
+    stages = {k for j in track.getJobIdsForGroup("few-edges") for k in track.getJobInfo(j).stageIds}
+    assert len(stages) <= 16  # rounds over all tasks took eight each
